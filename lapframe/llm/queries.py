@@ -10,13 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from lapframe.llm.byte_bpe import encode_decode
 from lapframe.llm.common import table
 from lapframe.llm.exact_dedup import exact_dedup
+from lapframe.llm.jaccard_join import jaccard_join
 from lapframe.llm.mixing import mix
 from lapframe.llm.quality_rules import judge
 from lapframe.llm.sharding import shard_documents
+from lapframe.llm.suffix_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -39,12 +45,18 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), words=5, threshold=0.8)
+
+
 QUERIES: dict[str, Query] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op7_mixing": op7_mixing,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
