@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lapframe.llm.byte_bpe import encode_decode
 from lapframe.llm.common import table
+from lapframe.llm.context_mixing import score_documents
 from lapframe.llm.exact_dedup import exact_dedup
 from lapframe.llm.jaccard_join import jaccard_join
 from lapframe.llm.mixing import mix
@@ -49,6 +50,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), words=5, threshold=0.8)
 
 
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_sharding": op3_sharding,
@@ -57,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op7_mixing": op7_mixing,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_context_mixing": op10_context_mixing,
 }
 
 ORACLES: dict[str, str] = {
