@@ -10,18 +10,20 @@ stitches, again in parallel, and the parts of a text are put in order. A text
 where some overlap holds no shared boundary (a run longer than the overlap) is
 pre-tokenised whole. Shorter texts are one chunk and need no shuffle.
 
-Decoding looks up each id's raw bytes and concatenates them.
+Decoding looks up each id's raw bytes and concatenates them. :func:`encode_decode`
+gives ids and decoded bytes of every row; :func:`decode` takes ids from anywhere.
 
-Defined cases: a null text is the empty text: no ids, digests of nothing. Rows
+Defined cases: a null text is the empty text: no ids, no bytes. Rows
 repeated give a result each; other columns are not read; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from lapframe.llm.common import text_of
 from lapframe.session import materialize
 
-OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+OUT = "doc_id long, ids array<int>, decoded binary"
 CACHED_PIECES = 150_000
 
 
@@ -53,30 +55,27 @@ class ByteBPE:
         """Where the pre-tokens of ``text`` start, and its end."""
         return [m.start() for m in self.split.finditer(text)] + [len(text)]
 
-    def encode(self, pieces: Iterable[str]) -> list[int]:
-        return [i for p in pieces for i in self.merge(p)]
-
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def digest_parts(self, pieces: list[str]) -> tuple[int, str, bytes]:
-        """Number of ids, the ids joined by commas, and their decoded bytes."""
+    def encode(self, pieces: list[str]) -> tuple[list[int], bytes]:
+        """The ids of some pieces, and the bytes that these ids decode to."""
         found = list(map(self.cache.__getitem__, pieces))
         if len(self.cache) > CACHED_PIECES:
             self.cache.clear()
-        return sum([f[0] for f in found]), ",".join([f[1] for f in found]), b"".join([f[2] for f in found])
+        return list(chain.from_iterable([f[0] for f in found])), b"".join([f[1] for f in found])
 
 
 class _Pieces(dict):
-    """Per piece: number of ids, ids as text, decoded bytes. Emptied when full; words repeat, so most look-ups hit."""
+    """Per piece: its ids and their bytes. Emptied when full; words repeat, so most look-ups hit."""
 
     def __init__(self, bpe: ByteBPE):
         super().__init__()
         self.bpe = bpe
 
-    def __missing__(self, piece: str) -> tuple[int, str, bytes]:
+    def __missing__(self, piece: str) -> tuple[list[int], bytes]:
         ids = self.bpe.merge(piece)
-        self[piece] = got = (len(ids), ",".join(map(str, ids)), self.bpe.decode(ids))
+        self[piece] = got = (ids, self.bpe.decode(ids))
         return got
 
 
@@ -90,23 +89,37 @@ def tokenizer(path: str, pattern: str) -> ByteBPE:
     return _loaded[path, pattern]
 
 
+def _lists(ids: list[list[int]]) -> pa.Array:
+    offsets = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([len(x) for x in ids], out=offsets[1:])
+    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
 def _encode_whole(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
         for batch in batches:
-            rows = []
-            for text in batch.column("text"):
-                n, ids, raw = bpe.digest_parts(bpe.pieces(text.as_py()))
-                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()))
-            n, ids, raw = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            for some in _lots(batch):
+                ids, raw = _columns([bpe.encode(bpe.pieces(text.as_py())) for text in some.column("text")])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), ids, raw], ["doc_id", "ids", "decoded"])
 
     return run
 
 
+def _columns(coded: list[tuple[list[int], bytes]]) -> tuple[pa.Array, pa.Array]:
+    ids, raw = zip(*coded, strict=True) if coded else ((), ())
+    return _lists(list(ids)), pa.array(raw, pa.binary())
+
+
+def _lots(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``most`` bytes, so that what is built from one stays small."""
+    n = max(1, batch.nbytes // most)
+    step = max(1, -(-batch.num_rows // n))
+    for a in range(0, batch.num_rows, step):
+        yield batch.slice(a, step)
+
+
 def _bounds_of_chunks(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
@@ -122,21 +135,39 @@ def _encode_parts(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
         for batch in batches:
-            rows = []
+            coded = []
             for start, text, bounds, a, b in zip(*[batch.column(c).to_pylist() for c in ("start", "part", "bounds", "own_from", "own_to")], strict=True):
                 own = [x - start for x in bounds if a <= x <= b]
-                rows.append(bpe.digest_parts([text[i:j] for i, j in zip(own, own[1:], strict=False)]))
-            n, ids, raw = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), batch.column("no"), pa.array(n, pa.int64()), pa.array(ids, pa.large_string()).cast(pa.string()), pa.array(raw, pa.binary())],
-                ["row", "doc_id", "no", "n", "ids", "raw"],
-            )
+                coded.append(bpe.encode([text[i:j] for i, j in zip(own, own[1:], strict=False)]))
+            ids, raw = _columns(coded)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("no"), ids, raw], ["row", "doc_id", "no", "ids", "raw"])
+
+    return run
+
+
+def _decode(path: str, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(path, pattern)
+        for batch in batches:
+            raw = [None if ids is None else bpe.decode(ids) for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], ["doc_id", "decoded"])
 
     return run
 
 
+def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, decoded (bytes) of rows with doc_id and ids."""
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(_decode(path, pattern), "doc_id long, decoded binary")
+
+
+def digests(coded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids, joined by commas), decoded_sha256."""
+    text = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def encode_decode(docs: DataFrame, path: str, pattern: str, chunk: int = 32_768, overlap: int = 1_024) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row."""
+    """doc_id, ids, decoded for every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     whole = _encode_whole(path, pattern)
     short = texts.where(F.length("text") <= chunk).mapInArrow(whole, OUT)
@@ -160,11 +191,10 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, chunk: int = 32_768,
     torn = F.max((F.col("own_to").isNull()).cast("int")).over(Window.partitionBy("row"))
     ends = materialize(ends.withColumn("torn", torn).select("row", "no", "own_from", "own_to", "torn"), "bpe-ends")
     stitched = bounds.join(ends.where("torn = 0").drop("torn"), ["row", "no"])
-    coded = stitched.mapInArrow(_encode_parts(path, pattern), "row long, doc_id long, no int, n long, ids string, raw binary")
-    in_line = coded.groupBy("row", "doc_id").agg(F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("no", "ids", "raw"))).alias("p"))
+    coded = stitched.mapInArrow(_encode_parts(path, pattern), "row long, doc_id long, no int, ids array<int>, raw binary")
+    in_line = coded.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("no", "ids", "raw"))).alias("p"))
     joined = in_line.select(
-        "doc_id", "n_tokens", F.sha2(F.array_join(F.transform("p", lambda x: x["ids"]), ","), 256).alias("ids_sha256"),
-        F.sha2(F.aggregate("p", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["raw"])), 256).alias("decoded_sha256"),
+        "doc_id", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"), F.aggregate("p", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["raw"])).alias("decoded"),
     )
     rest = long.join(ends.where("torn = 1").select("row").distinct(), "row", "left_semi").select("doc_id", "text").mapInArrow(whole, OUT)
     return short.unionByName(joined).unionByName(rest)

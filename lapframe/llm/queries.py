@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lapframe.llm.byte_bpe import encode_decode
+from lapframe.llm.byte_bpe import digests, encode_decode
 from lapframe.llm.common import table
 from lapframe.llm.context_mixing import score_documents
 from lapframe.llm.exact_dedup import exact_dedup
@@ -54,7 +54,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return digests(encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
