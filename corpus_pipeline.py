@@ -18,7 +18,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lapframe.llm.byte_bpe import encode_decode
+from lapframe.llm.byte_bpe import digests, encode_decode
 from lapframe.llm.common import table
 from lapframe.llm.exact_dedup import drop_exact_copies
 from lapframe.llm.jaccard_join import one_per_class
@@ -51,7 +51,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of each text's ids and of the bytes that they decode to."""
-    return encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return digests(encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 STAGES: list[tuple[str, Stage]] = [
