@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MOST_MESSAGES = 65_536
 MAX_ID, MAX_BITS = 0x1FFFFFFF, 512
@@ -21,6 +21,7 @@ MAX_ID, MAX_BITS = 0x1FFFFFFF, 512
 # The forms of a log line.
 LINE = r"^\s*(?:\((-?\d+(?:\.\d+)?)\)\s+)?(?:(\S+)\s+)?"
 COMPACT = LINE + r"([0-9A-Fa-f]{1,8})(##([0-9A-Fa-f])|#)([0-9A-Fa-f]*)\s*$"
+CUT = "\u0001"
 BRACKET = LINE + r"([0-9A-Fa-f]{1,8})\s+\[(\d{1,2})\]((?:\s+[0-9A-Fa-f]{2})*)\s*$"
 
 
@@ -64,28 +65,12 @@ class Signal:
     def bytes_used(self) -> list[int]:
         return sorted({byte for byte, _ in self.bits()})
 
-    def raw(self, data: Column) -> Column:
-        """The bits as a whole number: each byte's share is masked and shifted into its place."""
+    def shares(self) -> list[tuple[int, int, int, int]]:
+        """(byte, lowest bit, mask, place in the number) of each byte's part."""
         parts: dict[int, list[tuple[int, int]]] = {}
         for place, (byte, bit) in enumerate(self.bits()):
-            parts.setdefault(byte, []).append((place, bit))
-        text, total = F.hex(data), F.lit(0).cast("long")
-        for byte, own in parts.items():
-            low = min(bit for _, bit in own)
-            place = min(p for p, _ in own)
-            value = F.conv(F.substring(text, byte * 2 + 1, 2), 16, 10).cast("long")
-            share = F.shiftright(value, low).bitwiseAND(F.lit((1 << len(own)) - 1))
-            total = total.bitwiseOR(F.shiftleft(share.cast("long"), place))
-        if self.signed and self.bit_length < 64:
-            total = F.when(total >= F.lit(1 << (self.bit_length - 1)), total - F.lit(1 << self.bit_length)).otherwise(total)
-        return total
-
-    def value(self, data: Column) -> Column:
-        raw = self.raw(data)
-        number = raw.cast("double")
-        if not self.signed and self.bit_length == 64:
-            number = F.when(raw < 0, number + F.lit(2.0**64)).otherwise(number)
-        return number * F.lit(float(self.factor)) + F.lit(float(self.offset))
+            parts.setdefault(byte, []).append((bit, place))
+        return [(byte, min(own)[0], (1 << len(own)) - 1, min(p for _, p in own)) for byte, own in parts.items()]
 
 
 @dataclass(frozen=True)
@@ -152,42 +137,54 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     length of two digits means FD. More than three identifier digits make an extended frame.
     """
     text = F.col(line)
+    # both forms in one layout: time, interface, identifier, separator or length, flags, payload
+    compact = F.regexp_replace(text, COMPACT, CUT.join(["$1", "$2", "$3", "$4", "$5", "$6"]))
+    bracket = F.regexp_replace(text, BRACKET, CUT.join(["$1", "$2", "$3", "$4", "", "$5"]))
+    parts = F.split(F.when(text.rlike(COMPACT), compact).when(text.rlike(BRACKET), bracket), CUT)
+    blank = F.trim(text) == ""
+    frame = let(let(let(parts, _fields), lambda f: _with_problem(f, blank)), _with_data)
+    got = lines.withColumn("__f", frame)
+    names = ("ts", "interface", "can_id", "is_extended", "is_fd", "fd_flags", "data", "problem")
+    return got.select(*lines.columns, *[F.col(f"__f.{n}").alias(n) for n in names])
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` computed once: a lambda variable holds it, so nested rules don't repeat it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _fields(p: Column) -> Column:
+    part = lambda k: F.nullif(F.get(p, F.lit(k)), F.lit(""))
+    is_compact = F.get(p, F.lit(3)).startswith("#")
+    return F.struct(
+        part(0).cast("double").alias("ts"), part(1).alias("interface"), F.conv(part(2), 16, 10).cast("long").alias("can_id"), (F.length(part(2)) > 3).alias("is_extended"),
+        F.when(is_compact, F.length(part(3)) > 1).otherwise(F.length(part(3)) == 2).alias("is_fd"), F.conv(part(4), 16, 10).cast("int").alias("fd_flags"),
+        F.regexp_replace(F.get(p, F.lit(5)), r"\s+", "").alias("digits"), F.when(~is_compact, part(3).cast("int")).alias("count"),
+    )
 
-    def part(pattern: str, group: int) -> Column:
-        return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
-
-    compact, bracket = text.rlike(COMPACT), text.rlike(BRACKET)
-
-    def pick(a: Column, b: Column) -> Column:
-        return F.when(compact, a).when(bracket, b)
 
-    ident = pick(part(COMPACT, 3), part(BRACKET, 3))
-    fd = pick(part(COMPACT, 4) != "#", F.length(part(BRACKET, 4)) == 2)
-    payload = pick(F.regexp_extract(text, COMPACT, 6), F.regexp_replace(F.regexp_extract(text, BRACKET, 5), r"\s+", ""))
-    out = lines.withColumns(
-        {
-            "ts": pick(part(COMPACT, 1), part(BRACKET, 1)).cast("double"), "interface": pick(part(COMPACT, 2), part(BRACKET, 2)),
-            "can_id": F.conv(ident, 16, 10).cast("long"), "is_extended": F.length(ident) > 3, "is_fd": fd,
-            "fd_flags": F.conv(part(COMPACT, 5), 16, 10).cast("int"), "__hex": payload,
-            "__count": F.when(~compact & bracket, part(BRACKET, 4).cast("int")),
-        }
-    )
-    size = F.length("__hex") / 2
+def _with_problem(f: Column, blank: Column) -> Column:
+    size = F.length(f["digits"]) / 2
     problem = (
-        F.when(F.trim(text) == "", F.lit(None).cast("string"))
-        .when(~compact & ~bracket, F.lit("not a frame"))
-        .when(F.length("__hex") % 2 == 1, F.lit("odd number of hex digits"))
-        .when(size > F.when(F.col("is_fd"), 64).otherwise(8), F.lit("payload too long"))
-        .when(F.col("__count") != size, F.lit("length does not match the payload"))
-        .when(F.col("can_id") > F.when(F.col("is_extended"), MAX_ID).otherwise(0x7FF), F.lit("identifier out of range"))
+        F.when(blank, F.lit(None).cast("string"))
+        .when(f["can_id"].isNull(), F.lit("not a frame"))
+        .when(F.length(f["digits"]) % 2 == 1, F.lit("odd number of hex digits"))
+        .when(size > F.when(f["is_fd"], 64).otherwise(8), F.lit("payload too long"))
+        .when(f["count"] != size, F.lit("length does not match the payload"))
+        .when(f["can_id"] > F.when(f["is_extended"], MAX_ID).otherwise(0x7FF), F.lit("identifier out of range"))
     )
-    out = out.withColumn("problem", problem)
-    return out.withColumn("data", F.when(F.col("problem").isNull(), F.unhex("__hex"))).drop("__hex", "__count")
+    return F.struct(f.alias("f"), problem.alias("problem"))
+
+
+def _with_data(x: Column) -> Column:
+    f = x["f"]
+    same = [f[n].alias(n) for n in ("ts", "interface", "can_id", "is_extended", "is_fd", "fd_flags")]
+    return F.struct(*same, F.when(x["problem"].isNull(), F.unhex(f["digits"])).alias("data"), x["problem"].alias("problem"))
 
 
 def frames_of(lines: DataFrame, strict: bool = True) -> DataFrame:
     """The frames of parsed lines, blanks left out. ``strict``: a malformed line fails the job, with its number."""
-    parsed = parse_lines(lines).where(F.trim("line") != "")
+    parsed = parse_lines(lines.where(F.trim("line") != ""))
     if strict:
         told = F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": "), F.col("problem"))
         parsed = parsed.withColumn("can_id", F.when(F.col("problem").isNull(), F.col("can_id")).otherwise(F.raise_error(told).cast("long")))
@@ -201,9 +198,33 @@ def known_frames(frames: DataFrame, messages: list[Message]) -> DataFrame:
     return frames.join(F.broadcast(message_table(frames.sparkSession, messages).select("can_id", "is_extended")), ["can_id", "is_extended"], "left_semi")
 
 
-def message_table(spark: SparkSession, messages: list[Message]) -> DataFrame:
-    schema = T.StructType([T.StructField("can_id", T.LongType()), T.StructField("is_extended", T.BooleanType()), T.StructField("message", T.StringType()), T.StructField("bytes_needed", T.IntegerType())])
-    return spark.createDataFrame([(m.can_id, m.extended, m.name, m.bytes_needed()) for m in messages], schema)
+_SHARE = "struct<byte:int,low:int,mask:bigint,place:int>"
+_SIGNAL = f"struct<signal:string,column:string,unit:string,factor:double,offset:double,signed:boolean,bits:int,shares:array<{_SHARE}>>"
+
+
+def message_table(spark: SparkSession, messages: list[Message], names: dict[tuple[str, str], str] | None = None) -> DataFrame:
+    """can_id, is_extended, message, bytes_needed, signals: at most ``MOST_MESSAGES`` rows."""
+    rows = []
+    for m in messages:
+        own = [(s.name, (names or {}).get((m.name, s.name), s.name), s.unit, float(s.factor), float(s.offset), s.signed, s.bit_length, s.shares()) for s in m.signals]
+        rows.append((m.can_id, m.extended, m.name, m.bytes_needed(), own))
+    return spark.createDataFrame(rows, f"can_id bigint, is_extended boolean, message string, bytes_needed int, signals array<{_SIGNAL}>")
+
+
+def signal_value(text: Column, signal: Column) -> Column:
+    """A signal's value from the payload in hexadecimal: each byte's part is masked and shifted into its place."""
+
+    def add(total: Column, part: Column) -> Column:
+        byte = F.conv(F.substring(text, part["byte"] * 2 + 1, F.lit(2)), 16, 10).cast("bigint")
+        return total.bitwiseOR(F.call_function("shiftleft", F.call_function("shiftright", byte, part["low"]).bitwiseAND(part["mask"]), part["place"]))
+
+    def number(raw: Column) -> Column:
+        turn = F.call_function("shiftleft", F.lit(1).cast("bigint"), signal["bits"])
+        negative = signal["signed"] & (signal["bits"] < 64) & (raw >= F.call_function("shiftleft", F.lit(1).cast("bigint"), signal["bits"] - 1))
+        wrapped = ~signal["signed"] & (raw < 0)
+        return F.when(negative, (raw - turn).cast("double")).when(wrapped, raw.cast("double") + F.lit(2.0**64)).otherwise(raw.cast("double"))
+
+    return F.aggregate(signal["shares"], F.lit(0).cast("bigint"), add, number) * signal["factor"] + signal["offset"]
 
 
 def changed_frames(frames: DataFrame, run: str = "run_id", order: tuple[str, ...] = ("line_no",)) -> DataFrame:
@@ -222,19 +243,18 @@ def last_times(frames: DataFrame, run: str = "run_id") -> DataFrame:
 # --- signals -----------------------------------------------------------------------------------
 
 
-def decode_long(frames: DataFrame, messages: list[Message]) -> DataFrame:
-    """``frames`` with message, signal, value and unit: a row per signal. A payload too short for its message fails the job."""
-    table = F.broadcast(message_table(frames.sparkSession, messages))
-    known = frames.join(table, ["can_id", "is_extended"])
-    short = F.length("data") < F.col("bytes_needed")
+def _checked(frames: DataFrame, messages: list[Message], names: dict[tuple[str, str], str] | None = None) -> DataFrame:
+    """Known frames with message, signals and ``__hex``. A payload too short for its message fails the job."""
+    known = frames.join(F.broadcast(message_table(frames.sparkSession, messages, names)), ["can_id", "is_extended"])
     told = F.concat(F.lit("payload too short for message "), F.col("message"))
-    checked = known.withColumn("data", F.when(short, F.raise_error(told).cast("binary")).otherwise(F.col("data"))).drop("bytes_needed")
-    branches = F.lit(None).cast("array<struct<signal:string,value:double,unit:string>>")
-    for m in messages:
-        own = F.array(*[F.struct(F.lit(s.name).alias("signal"), s.value(F.col("data")).alias("value"), F.lit(s.unit).alias("unit")) for s in m.signals])
-        if m.signals:
-            branches = F.when((F.col("can_id") == m.can_id) & (F.col("is_extended") == m.extended), own).otherwise(branches)
-    return checked.withColumn("__s", F.explode(branches)).select("*", "__s.signal", "__s.value", "__s.unit").drop("__s")
+    text = F.when(F.length("data") < F.col("bytes_needed"), F.raise_error(told).cast("string")).otherwise(F.hex("data"))
+    return known.withColumn("__hex", text).drop("bytes_needed")
+
+
+def decode_long(frames: DataFrame, messages: list[Message]) -> DataFrame:
+    """``frames`` with message, signal, value and unit: a row per signal."""
+    rows = _checked(frames, messages).withColumn("__s", F.explode("signals"))
+    return rows.select("*", F.col("__s.signal").alias("signal"), signal_value(F.col("__hex"), F.col("__s")).alias("value"), F.col("__s.unit").alias("unit")).drop("__s", "__hex", "signals")
 
 
 def column_names(messages: list[Message], reserved: tuple[str, ...] = ()) -> dict[tuple[str, str], str]:
@@ -250,17 +270,12 @@ def column_names(messages: list[Message], reserved: tuple[str, ...] = ()) -> dic
 
 
 def decode_wide(frames: DataFrame, messages: list[Message]) -> DataFrame:
-    """``frames`` with a column per signal, filled where the frame carries it: one projection, no shuffle."""
+    """``frames`` with a column per signal, filled where the frame carries it: no shuffle."""
     names = column_names(messages, tuple(frames.columns))
-    known = known_frames(frames, messages)
-    columns = {}
-    for m in messages:
-        mine = (F.col("can_id") == m.can_id) & (F.col("is_extended") == m.extended)
-        short = F.length("data") < m.bytes_needed()
-        for s in m.signals:
-            told = F.raise_error(F.lit(f"payload too short for message {m.name}")).cast("double")
-            columns[names[m.name, s.name]] = F.when(mine & short, told).when(mine, s.value(F.col("data")))
-    return known.withColumns(columns)
+    rows = _checked(frames, messages, names)
+    values = F.map_from_arrays(F.transform("signals", lambda x: x["column"]), F.transform("signals", lambda x: signal_value(F.col("__hex"), x)))
+    held = rows.withColumn("__v", values)
+    return held.select(*frames.columns, *[F.try_element_at("__v", F.lit(n)).alias(n) for n in names.values()])
 
 
 def long_table(decoded: DataFrame) -> DataFrame:

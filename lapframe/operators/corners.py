@@ -62,13 +62,13 @@ def low_acceleration_points(laps: DataFrame, lateral: str = "ay_mps2_smoothed",
     return _grouped(points, LOW_GAP_M, run, "median")
 
 
-def deceleration_points(laps: DataFrame, r_cos_phi: str = "r_cos_phi_smoothed", run: str = RUN, seq: str = SEQ) -> DataFrame:
-    """Where braking sets in: the ratio passes -0.15 while it mostly falls over the next 20 rows."""
+def deceleration_points(laps: DataFrame, r_cos_phi: str = "r_cos_phi_smoothed", run: str = RUN, seq: str = SEQ, falls_below: float = 0.0) -> DataFrame:
+    """Where braking sets in: the ratio passes -0.15 while the upper quartile of its slope over 20 rows is under ``falls_below``."""
     keys = [run, "n_lap"]
     w = ordered(keys, seq)
     placed = with_position(laps, keys, seq).withColumn("__slope", gradient(r_cos_phi, w)).withColumn("__sign", F.signum(F.col(r_cos_phi) - F.lit(DECEL_LEVEL)))
     marked = placed.withColumn("__turn", gradient("__sign", w)).withColumn("__falls", forward_quantile("__slope", DECEL_ROWS, DECEL_QUANTILE, w))
-    points = marked.where((F.col("__turn") != 0) & (F.col("__falls") < 0)).withColumn("order", F.col("pos"))
+    points = marked.where((F.col("__turn") != 0) & (F.col("__falls") < falls_below)).withColumn("order", F.col("pos"))
     return _grouped(points, DECEL_GAP_M, run, "last")
 
 

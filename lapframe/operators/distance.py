@@ -103,7 +103,7 @@ def nearest_distance(df: DataFrame, reference: DataFrame, k: int = 3, cell_m: fl
 def _in_cells(rows: DataFrame, reference: DataFrame, k: int, size: float, run: str, seq: str, everything: bool) -> DataFrame:
     cell = lambda c: F.floor(F.col(c) / F.lit(size)).cast("long") if not everything else F.lit(0).cast("long")
     around = F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long")) if not everything else F.array(F.lit(0).cast("long"))
-    points = reference.withColumns({"__cx": cell("ref_x") + F.explode(around)}).withColumn("__cy", cell("ref_y") + F.explode(around))
+    points = reference.withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around)).withColumns({"__cx": cell("ref_x") + F.col("__dx"), "__cy": cell("ref_y") + F.col("__dy")}).drop("__dx", "__dy")
     asked = rows.withColumns({"__cx": cell("pos_x_m"), "__cy": cell("pos_y_m")})
     pairs = asked.join(points, ["__cx", "__cy"], "left").withColumn("d", F.hypot(F.col("pos_x_m") - F.col("ref_x"), F.col("pos_y_m") - F.col("ref_y")))
     near = Window.partitionBy(run, seq).orderBy(F.col("d").asc_nulls_last(), "ref_seq")

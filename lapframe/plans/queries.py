@@ -454,3 +454,202 @@ def carry_last(spark, sf_dir):
 def props_json(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("long")
     return table(spark, sf_dir, "events").groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+# --- nearest points ----------------------------------------------------------------------------------
+
+_JITTER = "j AS (SELECT run_id, seq, s_m, pos_x_m + ax_mps2 * 0.05 AS x, pos_y_m + vx_mps * 0.01 AS y FROM runs)"
+
+
+@query(f"""WITH {RUNS}, {_JITTER}, lim AS (SELECT min(run_id) AS ref FROM j), r AS (SELECT seq, x, y, (s_m + 25) % (SELECT max(s_m) FROM j, lim WHERE run_id = ref) AS s FROM j, lim WHERE run_id = ref),
+  n AS (SELECT j.run_id, j.seq, list_sort(list((sqrt((j.x - r.x) * (j.x - r.x) + (j.y - r.y) * (j.y - r.y)), r.seq, r.s)))[1:3] AS near FROM j, r GROUP BY j.run_id, j.seq)
+  SELECT run_id, seq, round((near[1][3] + near[2][3] + near[3][3]) / 3, 4) AS s_norm_m FROM n""")
+def knn3_distance(spark, sf_dir):
+    """Distance of every row by its three nearest points of the first run."""
+    from lapframe.operators.distance import nearest_distance, reference_points
+
+    df = runs(spark, sf_dir).withColumns({"pos_x_m": F.col("pos_x_m") + F.col("ax_mps2") * 0.05, "pos_y_m": F.col("pos_y_m") + F.col("vx_mps") * 0.01})
+    first = df.agg(F.min("run_id")).first()[0]
+    reference = reference_points(df.where(F.col("run_id") == F.lit(first)), 25.0)
+    return _rounded(nearest_distance(df, reference, 3, cell_m=5.0).select("run_id", "seq", "s_norm_m"), 4)
+
+
+@query(f"""WITH {RUNS}, c AS (SELECT run_id, seq, pos_x_m AS x, pos_y_m AS y, lag(pos_x_m) OVER w AS px, lag(pos_y_m) OVER w AS py FROM runs {_W}),
+  d AS (SELECT *, (x - px) * 0.0 - (y - py) * 60.0 AS cr FROM c), k AS (SELECT *, ((60.0 - px) * 0.0 - (0.05 - py) * 60.0) / cr AS along, ((60.0 - px) * (y - py) - (0.05 - py) * (x - px)) / cr AS across FROM d WHERE abs(cr) > 1e-12)
+  SELECT run_id, seq, CAST(sign(cr) AS INT) AS direction FROM k WHERE along BETWEEN 0 AND 1 AND across BETWEEN 0 AND 1""")
+def line_crossings(spark, sf_dir):
+    from lapframe.operators.distance import line_crossings as crossings
+
+    return crossings(runs(spark, sf_dir), ((60.0, 0.05), (120.0, 0.05))).select("run_id", "seq", "direction")
+
+
+@query()
+def start_line_laps(spark, sf_dir):
+    """Distance since the start line from positions alone, with debounced crossings."""
+    from lapframe.operators.distance import path_distance
+
+    return path_distance(runs(spark, sf_dir).drop("s_m"), ((60.0, 0.05), (120.0, 0.05))).select("run_id", "seq", "s_m")
+
+
+# --- corners and stiffness -----------------------------------------------------------------------------
+
+_SG = f"""WITH {RUNS}, {LAPS}, p AS (SELECT run_id, n_lap, s_m, row_number() OVER (PARTITION BY run_id, n_lap ORDER BY seq) - 1 AS pos, sign(ay_mps2) AS sg, lead(sign(ay_mps2)) OVER (PARTITION BY run_id, n_lap ORDER BY seq) AS nx FROM laps),
+  c AS (SELECT *, CASE WHEN s_m - lag(s_m) OVER (PARTITION BY run_id, n_lap ORDER BY pos) >= 50 THEN 1 ELSE 0 END AS fresh FROM p WHERE nx <> sg),
+  g AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY run_id, n_lap ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stretch FROM c)"""
+
+
+@query(f"{_SG} SELECT run_id, n_lap, stretch, CAST(floor(quantile_cont(pos, 0.5)) AS BIGINT) AS pos, count(*) AS n_points FROM g GROUP BY run_id, n_lap, stretch")
+def sign_change_groups(spark, sf_dir):
+    from lapframe.operators.corners import sign_changes
+
+    return sign_changes(_laps(spark, sf_dir), "ay_mps2")
+
+
+@query(f"""WITH {RUNS}, {LAPS}, p AS (SELECT *, row_number() OVER (PARTITION BY run_id, n_lap ORDER BY seq) - 1 AS pos, lead(ay_mps2) OVER w AS nay, lead(abs(yaw_rate_radps)) OVER w AS ny FROM laps WINDOW w AS (PARTITION BY run_id, n_lap ORDER BY seq)),
+  u AS (SELECT run_id, n_lap, s_m, pos, 0 AS way FROM p WHERE sign(nay - 2.5) <> sign(ay_mps2 - 2.5) AND ny < 0.002 UNION ALL SELECT run_id, n_lap, s_m, pos, 1 FROM p WHERE sign(nay + 2.5) <> sign(ay_mps2 + 2.5) AND ny < 0.002),
+  c AS (SELECT *, CASE WHEN s_m - lag(s_m) OVER (PARTITION BY run_id, n_lap ORDER BY pos, way) >= 20 THEN 1 ELSE 0 END AS fresh FROM u),
+  g AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY run_id, n_lap ORDER BY pos, way ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stretch FROM c)
+  SELECT run_id, n_lap, stretch, CAST(floor(quantile_cont(pos, 0.5)) AS BIGINT) AS pos, count(*) AS n_points FROM g GROUP BY run_id, n_lap, stretch""")
+def low_accel_groups(spark, sf_dir):
+    from lapframe.operators.corners import low_acceleration_points
+
+    return low_acceleration_points(_laps(spark, sf_dir), "ay_mps2", "yaw_rate_radps")
+
+
+_GR = "CASE WHEN lag({x}) OVER w IS NULL AND row_number() OVER w = 1 THEN lead({x}) OVER w - {x} WHEN lead(1) OVER w IS NULL THEN {x} - lag({x}) OVER w ELSE (lead({x}) OVER w - lag({x}) OVER w) / 2 END"
+_LW = "WINDOW w AS (PARTITION BY run_id, n_lap ORDER BY seq)"
+
+
+@query(f"""WITH {RUNS}, {LAPS}, r AS (SELECT run_id, n_lap, seq, s_m, round(ax_mps2 / 3, 6) AS r, sign(round(ax_mps2 / 3, 6) + 0.15) AS sg FROM laps), a AS (SELECT *, row_number() OVER w - 1 AS pos, {_GR.format(x='r')} AS slope, {_GR.format(x='sg')} AS turn FROM r {_LW}),
+  b AS (SELECT *, quantile_cont(slope, 0.75) OVER (PARTITION BY run_id, n_lap ORDER BY seq ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS falls FROM a),
+  c AS (SELECT *, CASE WHEN s_m - lag(s_m) OVER (PARTITION BY run_id, n_lap ORDER BY pos) >= 50 THEN 1 ELSE 0 END AS fresh FROM b WHERE turn <> 0 AND falls < 0.2),
+  g AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY run_id, n_lap ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stretch FROM c)
+  SELECT run_id, n_lap, stretch, max(pos) AS pos, count(*) AS n_points FROM g GROUP BY run_id, n_lap, stretch""")
+def decel_points(spark, sf_dir):
+    from lapframe.operators.corners import deceleration_points
+
+    laps = _laps(spark, sf_dir).withColumn("ratio", F.round(F.col("ax_mps2") / 3, 6))
+    return deceleration_points(laps, "ratio", falls_below=0.2)
+
+
+def _smooth_laps(spark, sf_dir):
+    df = slice_laps(derive(runs(spark, sf_dir), only={"speed", "body_slip", "radius", "curvature", "r_cos_phi"}))
+    return smooth(df, {"ay_mps2": 3.0, "r_cos_phi": 3.0}, rate_hz=10.0)
+
+
+@query()
+def corner_labels(spark, sf_dir):
+    """Corner name, speed class and phase of every row."""
+    from lapframe.operators.corners import label_corners
+
+    return label_corners(_smooth_laps(spark, sf_dir)).select("run_id", "seq", "n_lap", "corner_name", "corner_speed", "corner_phase")
+
+
+@query()
+def cornering_stiffness(spark, sf_dir):
+    """Local slopes of the axles' forces over their slip angles, with the ratio to the linear region."""
+    from lapframe.operators.stiffness import estimate_stiffness
+
+    df = derive(runs(spark, sf_dir)).select("run_id", "seq", "time_s", "alpha_f_rad", "alpha_r_rad", "fy_f_N", "fy_r_N")
+    return estimate_stiffness(df).select("run_id", "seq", "cs_f_Nprad", "cs_r_Nprad", "cs_ratio_f", "cs_ratio_r")
+
+
+# --- CAN ---------------------------------------------------------------------------------------------
+
+#: One message per event type: the value in hundredths, the property k, and the user across two bytes in Motorola order.
+CAN_MESSAGES = {
+    "params": [
+        {"canId": 0x100 + k, "name": name, "signals": [
+            {"name": "value", "startBit": 0, "bitLength": 16, "factor": 0.01, "postfixMetric": "m"}, {"name": "shade", "startBit": 16, "bitLength": 8, "isSigned": True},
+            {"name": "user", "startBit": 31, "bitLength": 16, "isLittleEndian": False}]}
+        for k, name in enumerate(CHANNELS)
+    ]
+}
+
+
+def can_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run_id, line_no, line: the events as the text of a CAN log."""
+    ev = table(spark, sf_dir, "events")
+    ident = F.array_position(F.array(*[F.lit(c) for c in CHANNELS]), F.col("event_type")) - 1 + 0x100
+    raw = F.round(F.col("value") * 100).cast("long")
+    k = F.get_json_object("props", "$.k").cast("long") * 2 + 20
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    payload = [raw.bitwiseAND(F.lit(255)), F.shiftright(raw, 8), k, F.shiftright(F.col("user_id"), 8).bitwiseAND(F.lit(255)), F.col("user_id").bitwiseAND(F.lit(255))]
+    line = F.format_string("(%.6f) can0 %03X#%02X%02X%02X%02X%02X", seconds, ident, *payload)
+    return ev.select(F.lit("log").alias("run_id"), (F.col("event_id") + 1).alias("line_no"), line.alias("line"))
+
+
+def _can_frames(spark, sf_dir):
+    from lapframe.operators.can import frames_of, parse_definitions
+
+    return frames_of(can_lines(spark, sf_dir)), parse_definitions(CAN_MESSAGES)
+
+
+_CAN_SQL = "e AS (SELECT event_id + 1 AS line_no, event_type AS message, round(round(value * 100) * 0.01, 6) AS v, CAST(json_extract(props, '$.k') AS BIGINT) * 2 + 20 AS k8, user_id & 65535 AS usr FROM events), f AS (SELECT *, CASE WHEN k8 >= 128 THEN k8 - 256 ELSE k8 END AS k FROM e)"
+
+
+@query(f"""WITH {_CAN_SQL} SELECT line_no, message, 'value' AS signal, v AS value, 'm' AS unit FROM f UNION ALL SELECT line_no, message, 'shade', k::DOUBLE, '' FROM f UNION ALL SELECT line_no, message, 'user', usr::DOUBLE, '' FROM f""")
+def can_decode_long(spark, sf_dir):
+    from lapframe.operators.can import decode_long
+
+    return _rounded(decode_long(*_can_frames(spark, sf_dir)).select("line_no", "message", "signal", "value", "unit"))
+
+
+@query(f"WITH {_CAN_SQL} SELECT line_no, " + ", ".join(f"CASE WHEN message = '{c}' THEN {x} END AS \"{c}.{s}\"" for c in CHANNELS for s, x in (("value", "v"), ("shade", "k::DOUBLE"), ("user", "usr::DOUBLE"))) + " FROM f")
+def can_decode_wide(spark, sf_dir):
+    from lapframe.operators.can import column_names, decode_wide
+
+    frames, messages = _can_frames(spark, sf_dir)
+    names = list(column_names(messages).values())
+    return _rounded(decode_wide(frames, messages).select("line_no", *[F.col(f"`{n}`") for n in names]))
+
+
+@query(f"""WITH {_CAN_SQL}, b AS (SELECT line_no, message, (v, k, usr) AS now, lag((v, k, usr)) OVER (PARTITION BY message ORDER BY line_no) AS before FROM f) SELECT message, count(*) AS n FROM b WHERE before IS NULL OR now IS DISTINCT FROM before GROUP BY message""")
+def can_changes(spark, sf_dir):
+    from lapframe.operators.can import changed_frames, decode_long, known_frames, message_counts
+
+    frames, messages = _can_frames(spark, sf_dir)
+    fresh = changed_frames(known_frames(frames, messages))
+    return message_counts(decode_long(fresh, messages).where("signal = 'value'"))
+
+
+# --- fingerprints and streams ----------------------------------------------------------------------------
+
+
+@query()
+def run_fingerprints(spark, sf_dir):
+    from lapframe.sources.sinks import fingerprints
+
+    return fingerprints(runs(spark, sf_dir))
+
+
+def _event_stream(spark, sf_dir):
+    """The events table as a stream."""
+    ev = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOURS, ts) AS start, time_bucket(INTERVAL 6 HOURS, ts) + INTERVAL 6 HOURS AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3")
+def stream_windows(spark, sf_dir):
+    from lapframe.streaming.live import run_to_end, windowed_values
+
+    got = run_to_end(windowed_values(_event_stream(spark, sf_dir), "6 hours"), "windows", mode="complete")
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 8 HOURS THEN 1 ELSE 0 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
+  SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 8 HOURS AS "end", count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, no""")
+def stream_sessions(spark, sf_dir):
+    from lapframe.streaming.live import run_to_end, sessions
+
+    got = run_to_end(sessions(_event_stream(spark, sf_dir), "8 hours"), "sessions", mode="complete")
+    return got.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH b AS (SELECT event_id, user_id, floor(value / 50) AS level, lag(floor(value / 50)) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT event_id, user_id FROM b WHERE before IS NULL OR level <> before""")
+def stream_changes(spark, sf_dir):
+    from lapframe.streaming.live import changed_payloads, run_to_end
+
+    frames = _event_stream(spark, sf_dir).select("event_id", "user_id", F.floor(F.col("value") / 50).cast("string").cast("binary").alias("data"))
+    return run_to_end(changed_payloads(frames, "user_id", "event_id"), "changes").select("event_id", "user_id")
