@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapframe.llm.common import text_of
+from lapframe.llm.filters import may_be_among
 from lapframe.llm.grouping import Forest, connected_components, whole_groups
 from lapframe.session import materialize
 
@@ -224,6 +225,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, threshold: float = 0.8, bucket
     placed = found.join(sizes, "component").join(nodes.select("node", "rep_id"), "node")
     placed = materialize(placed.select(F.col("node").alias("key"), "rep_id", "component", F.ceil(F.col("members") / bucket).cast("int").alias("blocks")), "join-placed")
     keyed = texts.withColumn("node", F.unhex(F.md5(F.encode("text", "UTF-8"))))
+    keyed = may_be_among(keyed, F.xxhash64("doc_id", "node"), placed, F.xxhash64("rep_id", "key"))
     wanted = keyed.join(placed, keyed["doc_id"].eqNullSafe(placed["rep_id"]) & (keyed["node"] == placed["key"])).select("node", "component", "blocks", "text")
     sets = materialize(wanted.mapInArrow(_sets(words), "node binary, component binary, blocks int, items binary").dropDuplicates(["node"]), "join-sets")
     checked = sets.transform(_in_block_pairs, "component").mapInArrow(_verify(threshold), "a binary, b binary, degree long")
