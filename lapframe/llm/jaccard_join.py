@@ -121,11 +121,17 @@ def _children(runs: int, level: int, threshold: float):
 
 
 def _stars(least: float):
-    """Links of each bucket: sketches that agree in ``least`` of their entries, as a star per cluster."""
+    """Links of each bucket: sketches that agree in ``least`` of their entries, as a star per cluster.
+
+    A pair of blocks tells only which clusters of one block meet which of the other: each
+    block's own clusters come from the group in which it is alone. So a bucket of b blocks
+    leaves a star for each member once, not b times.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in whole_groups(batches, ["path", "lo", "hi"]):
-            node = rows.column("node").to_pylist()
+            node, block = rows.column("node").to_pylist(), rows.column("block").to_numpy()
+            lo, hi = rows.column("lo").to_numpy(), rows.column("hi").to_numpy()
             sketches = _as_matrix(rows.column("sketch").combine_chunks())
             a, b = [], []
             for i, j in zip(starts, [*starts[1:], len(node)], strict=True):
@@ -133,12 +139,20 @@ def _stars(least: float):
                     if (sketches[i] == sketches[i + 1]).mean() >= least:
                         a.append(node[i + 1]), b.append(node[i])
                 elif j - i > 2:
-                    own, forest = sketches[i:j], Forest(j - i)
+                    own, forest, across = sketches[i:j], Forest(j - i), []
                     for k in range(j - i - 1):
                         for other in np.flatnonzero((own[k + 1 :] == own[k]).mean(axis=1) >= least):
-                            forest.join(k, k + 1 + int(other))
-                    for member, root in forest.stars():
-                        a.append(node[i + member]), b.append(node[i + root])
+                            at = k + 1 + int(other)
+                            if block[i + k] == block[i + at]:
+                                forest.join(k, at)
+                            else:
+                                across.append((k, at))
+                    if lo[i] == hi[i]:
+                        links = forest.stars()
+                    else:
+                        links = [(x, y) for x, y in across if forest.root(x) != forest.root(y) and forest.join(x, y) is None]
+                    for x, y in links:
+                        a.append(node[i + x]), b.append(node[i + y])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return run
