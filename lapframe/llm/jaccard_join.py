@@ -279,6 +279,7 @@ def _in_block_pairs(rows: DataFrame, group: str) -> DataFrame:
 
 
 def one_per_class(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each class: the one with the smallest doc_id."""
-    keep = jaccard_join(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["__id"]), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one document of each class: the one with the smallest doc_id, once. Rows without a doc_id stay."""
+    keep = jaccard_join(docs, **options).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.where(F.col("doc_id").isNotNull())
+    return named.join(keep, named["doc_id"].cast("long") == keep["__id"], "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
