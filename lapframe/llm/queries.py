@@ -78,9 +78,25 @@ QUERIES: dict[str, Query] = {
     "op10_context_mixing": op10_context_mixing,
 }
 
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM d WINDOW g AS (PARTITION BY t)""",
+    # exponential keys from the same digest; a source is taken in whole epochs and then by rising key
+    "op7_mixing": rf"""
+        WITH d AS (SELECT doc_id, source, {_WORDS}::BIGINT AS size, coalesce(text, '') AS t FROM documents),
+        k AS (SELECT doc_id, source, size, -ln((('0x' || left(md5('7|' || coalesce(doc_id::VARCHAR, '~')), 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+            / (CASE WHEN length(regexp_replace(t, '\s+', '', 'g')) > 0 THEN 1.0::DOUBLE - 0.5::DOUBLE * length(regexp_replace(t, '[\p{{L}}\s]+', '', 'g')) / length(regexp_replace(t, '\s+', '', 'g')) ELSE 0.5::DOUBLE END) AS key FROM d),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, [1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, source_size * 3.0::DOUBLE AS most FROM s),
+        v AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM w WINDOW o AS (ORDER BY most / weight, source NULLS LAST)),
+        x AS (SELECT source, source_size, least(most, coalesce(arg_min(level, most / weight) FILTER (level * weight <= most) OVER (), 'inf'::DOUBLE) * weight) AS target FROM v),
+        e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM x),
+        m AS (SELECT k.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest, sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2 AS mid
+            FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+        SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN mid <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM m""",
 }
