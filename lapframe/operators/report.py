@@ -118,10 +118,10 @@ def axis_bounds(df: DataFrame, rows: int = 30, run: str = RUN, seq: str = SEQ) -
     )
 
 
-def run_totals(df: DataFrame, run: str = RUN, seq: str = SEQ) -> DataFrame:
-    """run_id, run_min, track_km."""
-    time = df.groupBy(run).agg(F.round(F.max("time_s") / 60.0, 2).alias("run_min"))
-    track = track_lengths(lap_table(df, run, seq), run).select(run, F.round(F.col("track_m") / 1000.0, 3).alias("track_km"))
+def run_totals(df: DataFrame, run: str = RUN, seq: str = SEQ, places: tuple[int, int] = (2, 3)) -> DataFrame:
+    """run_id, run_min, track_km, to some places."""
+    time = df.groupBy(run).agg(F.round(F.max("time_s") / 60.0, places[0]).alias("run_min"))
+    track = track_lengths(lap_table(df, run, seq), run).select(run, F.round(F.col("track_m") / 1000.0, places[1]).alias("track_km"))
     return time.join(track, run)
 
 

@@ -382,9 +382,9 @@ def axis_bounds(spark, sf_dir):
     return _rounded(report.axis_bounds(_laps(spark, sf_dir)))
 
 
-@query(f"WITH {RUNS}, {LAPS}, {LAP_TABLE} SELECT run_id, round(max(time_s) / 60.0, 2) AS run_min, round(any_value(track_m) / 1000.0, 3) AS track_km FROM runs JOIN (SELECT run_id, max(distance_m) AS track_m FROM lap_table GROUP BY run_id) USING (run_id) GROUP BY run_id")
+@query(f"WITH {RUNS}, {LAPS}, {LAP_TABLE} SELECT run_id, round(max(time_s) / 60.0, 6) AS run_min, round(any_value(track_m) / 1000.0, 6) AS track_km FROM runs JOIN (SELECT run_id, max(distance_m) AS track_m FROM lap_table GROUP BY run_id) USING (run_id) GROUP BY run_id")
 def run_totals(spark, sf_dir):
-    return report.run_totals(_laps(spark, sf_dir))
+    return report.run_totals(_laps(spark, sf_dir), places=(6, 6))
 
 
 # --- places and attitude ---------------------------------------------------------------------------
@@ -438,11 +438,11 @@ def downsample(spark, sf_dir):
 
 
 @query(f"""WITH {RUNS}, r AS (SELECT run_id, seq, regr_slope(ay_mps2, vx_mps) OVER w AS slope, regr_r2(ay_mps2, vx_mps) OVER w AS r2, count(*) OVER w AS n FROM runs WINDOW w AS (PARTITION BY run_id ORDER BY seq ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))
-  SELECT run_id, seq, {_r('slope', 'r2')} FROM r WHERE n = 50""")
+  SELECT run_id, seq, {_r('slope', 'r2', places=9)} FROM r WHERE n = 50""")
 def fixed_window_regression(spark, sf_dir):
     w = ordered().rowsBetween(-49, 0)
     got = runs(spark, sf_dir).select("run_id", "seq", F.regr_slope("ay_mps2", "vx_mps").over(w).alias("slope"), F.regr_r2("ay_mps2", "vx_mps").over(w).alias("r2"), F.count(F.lit(1)).over(w).alias("n"))
-    return _rounded(got.where("n = 50").drop("n"))
+    return _rounded(got.where("n = 50").drop("n"), 9)
 
 
 @query(f"""WITH {RUNS}, c AS (SELECT *, last_value(CASE WHEN abs(ay_mps2) < 1 THEN vx_mps END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS held FROM runs) SELECT run_id, seq, held FROM c""")
