@@ -165,3 +165,32 @@ def label_corners(df: DataFrame, run: str = RUN, seq: str = SEQ) -> DataFrame:
     narrow = df.select(run, seq, *INPUTS)
     labels = narrow.groupBy(run, "n_lap").applyInPandas(one, f"`{run}` {kinds[run]}, `{seq}` {kinds[seq]}, corner_name string, corner_speed string, corner_phase string")
     return df.join(labels, [run, seq], "left")
+
+
+def without_near_changes(lows: DataFrame, changes: DataFrame, rows: int = NEAR_ROWS, run: str = RUN) -> DataFrame:
+    """Low-acceleration points that are not within ``rows`` rows of a sign change of their lap."""
+    a, b = lows.alias("a"), changes.alias("b")
+    near = (F.col(f"a.{run}") == F.col(f"b.{run}")) & (F.col("a.n_lap") == F.col("b.n_lap")) & (F.abs(F.col("a.pos") - F.col("b.pos")) <= rows)
+    return a.join(b, near, "left_anti")
+
+
+def phase_starts(laps: DataFrame, channel: str, levels: tuple[float, ...] = PHASE_LEVELS, run: str = RUN, seq: str = SEQ) -> DataFrame:
+    """run_id, n_lap, phase1, phase2, ...: for each level the last row, from the one before on, where ``channel`` lies under it.
+
+    A level that is not met starts where the one before does. One pass over the rows for each level.
+    """
+    keys = [run, "n_lap"]
+    rows = with_position(laps.select(*keys, seq, channel), keys, seq)
+    found = rows.select(*keys).distinct()
+    before = F.lit(0).cast("long")
+    for k, level in enumerate(levels, 1):
+        here = rows.join(found, keys).where((F.col("pos") >= before) & (F.col(channel) < level)) if k > 1 else rows.where(F.col(channel) < level)
+        last = here.groupBy(*keys).agg(F.max("pos").alias(f"phase{k}"))
+        found = found.join(last, keys, "left").withColumn(f"phase{k}", F.coalesce(f"phase{k}", before))
+        before = F.col(f"phase{k}")
+    return found
+
+
+def speed_class(v: str | None = "v_mps"):
+    """Low, Medium or High Speed."""
+    return F.when(F.col(v) < 25, "Low Speed").when(F.col(v) < 40, "Medium Speed").otherwise("High Speed")

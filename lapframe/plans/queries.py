@@ -438,11 +438,11 @@ def downsample(spark, sf_dir):
 
 
 @query(f"""WITH {RUNS}, r AS (SELECT run_id, seq, regr_slope(ay_mps2, vx_mps) OVER w AS slope, regr_r2(ay_mps2, vx_mps) OVER w AS r2, count(*) OVER w AS n FROM runs WINDOW w AS (PARTITION BY run_id ORDER BY seq ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))
-  SELECT run_id, seq, {_r('slope', 'r2', places=9)} FROM r WHERE n = 50""")
+  SELECT run_id, seq, {_r('slope', 'r2', places=11)} FROM r WHERE n = 50""")
 def fixed_window_regression(spark, sf_dir):
     w = ordered().rowsBetween(-49, 0)
     got = runs(spark, sf_dir).select("run_id", "seq", F.regr_slope("ay_mps2", "vx_mps").over(w).alias("slope"), F.regr_r2("ay_mps2", "vx_mps").over(w).alias("r2"), F.count(F.lit(1)).over(w).alias("n"))
-    return _rounded(got.where("n = 50").drop("n"), 9)
+    return _rounded(got.where("n = 50").drop("n"), 11)
 
 
 @query(f"""WITH {RUNS}, c AS (SELECT *, last_value(CASE WHEN abs(ay_mps2) < 1 THEN vx_mps END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS held FROM runs) SELECT run_id, seq, held FROM c""")
@@ -653,3 +653,115 @@ def stream_changes(spark, sf_dir):
 
     frames = _event_stream(spark, sf_dir).select("event_id", "user_id", F.floor(F.col("value") / 50).cast("string").cast("binary").alias("data"))
     return run_to_end(changed_payloads(frames, "user_id", "event_id"), "changes").select("event_id", "user_id")
+
+
+# --- more of the report and the plots -----------------------------------------------------------------
+
+
+@query(f"""WITH {RUNS}, {LAPS}, {LAP_TABLE}, t AS (SELECT run_id, n_lap, CAST(round_even(round(duration_s, 3) * 10, 0) AS BIGINT) AS x FROM lap_table)
+  SELECT run_id, n_lap, (x // 600)::VARCHAR || ':' || lpad(((x % 600) // 10)::VARCHAR, 2, '0') || '.' || (x % 10)::VARCHAR AS lap_time FROM t""")
+def lap_time_texts(spark, sf_dir):
+    return lap_table(_laps(spark, sf_dir)).select("run_id", "n_lap", report.lap_time_text(F.round("duration_s", 3)).alias("lap_time"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS raw, round(CASE WHEN l_quantity = floor(l_quantity) AND l_quantity < 10 THEN l_quantity * 0.01 WHEN l_quantity = floor(l_quantity) THEN l_quantity * 0.001 ELSE l_quantity END, 6) AS scaled FROM lineitem")
+def scaled_times(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").alias("raw"), F.round(report.scaled_time(F.col("l_quantity")), 6).alias("scaled"))
+
+
+@query("""WITH f AS (SELECT event_id, strftime(ts, '%d.%m.%Y') || '_' || strftime(ts, '%H.%M.%S') || '_run' AS name, strftime(ts, '%H:%M') AS t FROM events)
+  SELECT event_id, left(name, 10) AS day, t AS start, CASE WHEN hour < 6 THEN '--' WHEN hour < 12 THEN 'Morning' WHEN hour < 15 THEN 'Noon' WHEN hour < 18 THEN 'Evening' ELSE 'Night' END AS part FROM (SELECT *, CAST(left(t, 2) AS INT) AS hour FROM f)""")
+def folder_sessions(spark, sf_dir):
+    from lapframe.functions.text import folder_date, folder_time, session_of_day
+
+    name = F.concat(F.date_format("ts", "dd.MM.yyyy"), F.lit("_"), F.date_format("ts", "HH.mm.ss"), F.lit("_run"))
+    return table(spark, sf_dir, "events").select("event_id", folder_date(name).alias("day"), folder_time(name).alias("start"), session_of_day(folder_time(name)).alias("part"))
+
+
+@query(r"""WITH n AS (SELECT c_custkey, 'Run' || (c_custkey % 97)::VARCHAR || '-' || (c_custkey * 7)::VARCHAR || '.csv' AS name FROM customer)
+  SELECT c_custkey, name, array_to_string(list_transform(regexp_extract_all(lower(name), '\d+|\D+'), lambda p: CASE WHEN regexp_matches(p, '^\d') THEN lpad(p, 20, '0') ELSE p END), '') AS natural_key FROM n""")
+def natural_order(spark, sf_dir):
+    from lapframe.sources.files import natural_key
+
+    name = F.concat(F.lit("Run"), (F.col("c_custkey") % 97).cast("string"), F.lit("-"), (F.col("c_custkey") * 7).cast("string"), F.lit(".csv"))
+    return table(spark, sf_dir, "customer").select("c_custkey", name.alias("name"), natural_key(name).alias("natural_key"))
+
+
+@query("SELECT l_suppkey AS run_id, count(*) AS n, round(avg(l_quantity * 0.5), 6) AS mean_half, round(sum(l_tax), 4) AS l_tax FROM lineitem GROUP BY l_suppkey")
+def profile_units(spark, sf_dir):
+    from lapframe.profiles import Profile, select_profile, unify
+
+    profiles = [Profile("other", {"x": ("not_there", 1.0)}), Profile("line items", {"run_id": ("l_suppkey", 1.0), "half": ("l_quantity", 0.5)})]
+    df = table(spark, sf_dir, "lineitem")
+    got = unify(df, select_profile(df.columns, profiles))
+    return got.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("half"), 6).alias("mean_half"), F.round(F.sum("l_tax"), 4).alias("l_tax"))
+
+
+@query("SELECT DISTINCT user_id AS run_id, event_type AS channel FROM events")
+def pick_lists(spark, sf_dir):
+    return knots(spark, sf_dir).select("run_id", "channel").distinct()
+
+
+@query(f"WITH {RUNS}, {LAPS}, {LAP_TABLE} SELECT run_id, n_lap, sum(n_rows)::BIGINT AS n_rows, {_r('sum(distance_m) AS distance_m', places=4)} FROM lap_table GROUP BY ROLLUP (run_id, n_lap)")
+def lap_rollup(spark, sf_dir):
+    return _rounded(lap_table(_laps(spark, sf_dir)).rollup("run_id", "n_lap").agg(F.sum("n_rows").alias("n_rows"), F.sum("distance_m").alias("distance_m")), 4)
+
+
+@query(f"WITH {RUNS}, {LAPS}, r AS (SELECT *, count(*) OVER w AS n, avg(ay_mps2) OVER w AS across, avg(ax_mps2) OVER w AS along FROM laps WINDOW w AS (PARTITION BY run_id, n_lap ORDER BY seq ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) SELECT run_id, n_lap, seq, {_r('across', 'along')} FROM r WHERE n = 30")
+def acceleration_diagram(spark, sf_dir):
+    from lapframe.operators.plots import acceleration_diagram as diagram
+
+    return _rounded(diagram(_laps(spark, sf_dir)))
+
+
+@query(f"WITH {RUNS}, {LAPS}, r AS (SELECT *, count(*) OVER w AS n, avg(sqrt(vx_mps * vx_mps + vy_mps * vy_mps)) OVER w AS v_mean FROM laps WINDOW w AS (PARTITION BY run_id, n_lap ORDER BY seq ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) SELECT run_id, n_lap, seq, {_r('s_m', 'v_mean')} FROM r WHERE n = 30")
+def speed_over_distance(spark, sf_dir):
+    from lapframe.operators.plots import speed_over_distance as speed
+
+    return _rounded(speed(derive(_laps(spark, sf_dir), only={"speed"})))
+
+
+@query(f"""WITH {RUNS}, {LAPS}, f AS (SELECT *, CASE WHEN seq > 0 AND n_lap = lag(n_lap) OVER (PARTITION BY run_id ORDER BY seq) THEN 0 ELSE 1 END AS fresh FROM laps), i AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS trace FROM f)
+  SELECT run_id, trace, any_value(n_lap) AS n_lap, {_r('avg(pos_x_m) AS label_x', 'avg(pos_y_m) AS label_y')} FROM i GROUP BY run_id, trace""")
+def track_map_labels(spark, sf_dir):
+    from lapframe.operators.plots import track_map
+
+    return _rounded(track_map(_laps(spark, sf_dir), "n_lap"))
+
+
+@query(f"WITH {RUNS} SELECT run_id, seq, {_r('ay_mps2 AS x', 'ax_mps2 AS y', 'vx_mps AS colour')} FROM runs")
+def scatter_points(spark, sf_dir):
+    from lapframe.operators.plots import scatter
+
+    return _rounded(scatter(runs(spark, sf_dir), "ay_mps2", "ax_mps2", "vx_mps"))
+
+
+
+
+@query(f"""WITH {RUNS}, {LAPS}, q AS (SELECT run_id, n_lap, row_number() OVER (PARTITION BY run_id, n_lap ORDER BY seq) - 1 AS pos, round(ax_mps2 / 2, 6) AS r FROM laps), k0 AS (SELECT DISTINCT run_id, n_lap, 0 AS zero FROM q),
+  p1 AS (SELECT k0.run_id, k0.n_lap, coalesce(max(CASE WHEN q.r < -0.97 THEN q.pos END), 0) AS phase1 FROM k0 JOIN q USING (run_id, n_lap) GROUP BY k0.run_id, k0.n_lap),
+  p2 AS (SELECT p1.run_id, p1.n_lap, phase1, coalesce(max(CASE WHEN q.pos >= phase1 AND q.r < -0.3 THEN q.pos END), phase1) AS phase2 FROM p1 JOIN q USING (run_id, n_lap) GROUP BY p1.run_id, p1.n_lap, phase1),
+  p3 AS (SELECT p2.run_id, p2.n_lap, phase1, phase2, coalesce(max(CASE WHEN q.pos >= phase2 AND q.r < 0.1 THEN q.pos END), phase2) AS phase3 FROM p2 JOIN q USING (run_id, n_lap) GROUP BY p2.run_id, p2.n_lap, phase1, phase2)
+  SELECT * FROM p3""")
+def phase_starts(spark, sf_dir):
+    from lapframe.operators.corners import phase_starts as starts
+
+    return starts(_laps(spark, sf_dir).withColumn("ratio", F.round(F.col("ax_mps2") / 2, 6)), "ratio")
+
+
+@query(f"""{_SG}, ch AS (SELECT run_id, n_lap, CAST(floor(quantile_cont(pos, 0.5)) AS BIGINT) AS pos FROM g GROUP BY run_id, n_lap, stretch), q AS (SELECT run_id, n_lap, row_number() OVER (PARTITION BY run_id, n_lap ORDER BY seq) - 1 AS pos, vx_mps FROM laps)
+  SELECT run_id, n_lap, pos FROM q WHERE vx_mps > 50 AND NOT EXISTS (SELECT 1 FROM ch WHERE ch.run_id = q.run_id AND ch.n_lap = q.n_lap AND abs(ch.pos - q.pos) <= 30)""")
+def points_off_changes(spark, sf_dir):
+    from lapframe.functions.series import with_position
+    from lapframe.operators.corners import sign_changes, without_near_changes
+
+    laps = _laps(spark, sf_dir)
+    fast = with_position(laps, ["run_id", "n_lap"]).where("vx_mps > 50").select("run_id", "n_lap", "pos")
+    return without_near_changes(fast, sign_changes(laps, "ay_mps2"))
+
+
+@query(f"WITH {RUNS}, {_MOTION} SELECT run_id, seq, CASE WHEN v_mps < 25 THEN 'Low Speed' WHEN v_mps < 40 THEN 'Medium Speed' ELSE 'High Speed' END AS corner_speed FROM m")
+def speed_classes(spark, sf_dir):
+    from lapframe.operators.corners import speed_class
+
+    return derive(runs(spark, sf_dir), only={"speed"}).select("run_id", "seq", speed_class("v_mps").alias("corner_speed"))
