@@ -3,17 +3,17 @@
 A line is dropped if an earlier line (by doc_id, then place) of any document is
 the same or one character edit away; near matches need ``least`` characters.
 
-Equal lines are reduced to their first occurrence. Emitting the deletions of
-every character of every line would cost the square of a line's length, so it is
-done in two steps that lose nothing. First, the deletion of a whole block of
-``block`` characters: two lines one edit apart are equal before and after the
-block that holds the edit (a longer line's block has one more character), so
-both emit the same hashed key. Only keys that two different lines share go on.
-Second, for these, the deletion of each single character inside the block. Lines
-that delete the same place and leave the same rest differ by a substitution; a
-line that equals another's rest differs from it by a deletion. So each group has
-an earliest line that all others are matched with, and no pairs within a group
-are made; the match is then verified by edit distance.
+Emitting the deletions of every character of every line would cost the square of
+a line's length, so the deleted place is narrowed in steps that lose nothing. Two
+lines one edit apart are equal outside a half that holds the edit (a longer
+line's half has one more character), so both emit the hash of the other half as a
+key. Only keys that two different lines share go on: the half is cut into
+``PARTS`` blocks, each block's surroundings are the next keys, and so on until a
+block has ``LAST_BLOCK`` characters at most. Then each single character in it is
+deleted. Lines that delete the same place and leave the same rest differ by a
+substitution; a line that equals another's rest differs from it by a deletion.
+So each group has an earliest line that all others are matched with, and no pairs
+within a group are made; the match is then verified by edit distance.
 
 Defined cases: lines end at \\n; a line without a word is kept and matches
 nothing; matches are judged on the input, so a dropped line still counts as
@@ -29,54 +29,84 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapframe.llm.common import WORD_RE, text_of
+from lapframe.llm.filters import may_be_among
 from lapframe.session import materialize
 
 _LAST = 2**63 - 1
+PARTS, LAST_BLOCK = 32, 16
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc, text_key, no, line, id (a digest, null for a line without a word)."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.unhex(F.md5(F.encode(text_of(), "UTF-8"))).alias("text_key"), text_of().alias("text"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text_of()).alias("text_key"), text_of().alias("text"))
     lines = texts.select("doc", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
     return lines.withColumn("id", F.when(F.col("line").rlike(WORD_RE), F.unhex(F.md5(F.encode("line", "UTF-8")))))
 
 
-def _block_keys(lines: DataFrame, block: int) -> DataFrame:
-    """Per line and hypothesis (shorter line's length ``base``, block ``nth``): the hash of what is around the block."""
-    n = F.length("line")
-    bases = F.array(n, n - 1)
-    hypotheses = F.flatten(F.transform(bases, lambda base: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(base / block).cast("int") - 1, F.lit(0))), lambda k: F.struct(base.alias("base"), k.alias("nth")))))
-    out = lines.select("*", F.explode(hypotheses).alias("h")).select("*", "h.base", "h.nth").drop("h")
-    rest = F.greatest(F.col("base") - (F.col("nth") + 1) * block, F.lit(0))
-    key = F.xxhash64("base", "nth", F.expr(f"substring(line, 1, nth * {block})"), F.when(rest > 0, F.expr(f"right(line, greatest(base - (nth + 1) * {block}, 0))")).otherwise(""))
-    return out.withColumn("key", key)
+def _around(outer: Column, base: Column, lo: Column, hi: Column) -> Column:
+    """The hash of what is around the block [lo, hi) of a line, which has ``base`` characters without the longer line's extra one."""
+    before = F.when(lo > 0, F.substring("line", F.lit(1), lo)).otherwise(F.lit(""))
+    return F.xxhash64(outer, base, lo, hi, before, F.when(base > hi, F.right(F.col("line"), base - hi)).otherwise(F.lit("")))
 
 
-def _inner(block: int) -> Column:
-    """The block's own characters: what lies between the two parts of the key."""
-    return F.expr(f"substring(line, nth * {block} + 1, length(line) - nth * {block} - greatest(base - (nth + 1) * {block}, 0))")
+def _half_keys(lines: DataFrame) -> DataFrame:
+    """lid, key, longer, lo, hi: per line as the shorter (or equal) one and as the longer one, for either half."""
+    ways = []
+    for longer in (False, True):
+        base = F.length("line") - int(longer)
+        half = F.floor(base / 2).cast("int")
+        for lo, hi in ((F.lit(0), half), (half, base)):
+            ways.append(F.struct(_around(F.lit(0).cast("long"), base, lo, hi).alias("key"), F.lit(longer).alias("longer"), lo.alias("lo"), hi.alias("hi")))
+    return lines.select(F.xxhash64("line").alias("lid"), F.explode(F.array(*ways)).alias("k")).select("lid", "k.*")
 
 
-def near_earlier(docs: DataFrame, block: int = 256, least: int = 16) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, verdicts): all lines without their text, and per id of a line its first occurrence and whether an earlier line is near."""
+def _shared(keys: DataFrame, name: str) -> DataFrame:
+    """The keys that two different lines have."""
+    pairs = keys.groupBy("key").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).where("a <> b").select("key")
+    return materialize(keys.join(pairs, "key", "left_semi").distinct(), name)
+
+
+def _narrowed(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """Keys whose blocks have ``LAST_BLOCK`` characters at most."""
+    while True:
+        wide = F.col("hi") - F.col("lo") > LAST_BLOCK
+        if keys.where(wide).isEmpty():
+            return keys
+        size = F.ceil((F.col("hi") - F.col("lo")) / PARTS).cast("int")
+        blocks = F.transform(F.sequence(F.col("lo"), F.col("hi") - 1, size), lambda lo: F.struct(lo.alias("a"), F.least(lo + size, F.col("hi")).alias("b")))
+        base = F.length("line") - F.col("longer").cast("int")
+        cut = keys.where(wide).join(texts.select("lid", "line"), "lid").withColumn("x", F.explode(blocks))
+        finer = cut.select("lid", _around(F.col("key"), base, F.col("x.a"), F.col("x.b")).alias("key"), "longer", F.col("x.a").alias("lo"), F.col("x.b").alias("hi"))
+        keys = _shared(finer, "line-keys").unionByName(keys.where(~wide))
+        keys = materialize(keys, "line-narrowed")
+
+
+def _inner() -> Column:
+    """The block's own characters, with the longer line's extra one."""
+    return F.substring("line", F.col("lo") + 1, F.col("hi") - F.col("lo") + F.col("longer").cast("int"))
+
+
+def near_earlier(docs: DataFrame, least: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(occurrences, verdicts): all lines without their text; and for ids of lines that occur more than once or are near an earlier one, their first occurrence and that line."""
     occurrences = materialize(_lines(docs).select("doc", "text_key", "no", "id"), "line-occurrences")
     spot = F.struct("doc", "text_key", "no")
-    first = materialize(occurrences.where("id is not null").groupBy("id").agg(F.min(spot).alias("first")), "line-firsts")
+    first = materialize(occurrences.where("id is not null").groupBy("id").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("n")), "line-firsts")
     long_lines = _lines(docs).where(F.col("id").isNotNull() & (F.length("line") >= least)).select("id", "line")
-    keys = _block_keys(long_lines, block).select("id", "key", "base", "nth")
-    shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key")
-    wanted = materialize(keys.join(shared, "key", "left_semi").distinct(), "line-candidates")
-    texts = long_lines.join(wanted.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    texts = materialize(texts.join(first, "id"), "line-texts")
-    inner = wanted.join(texts, "id").withColumn("inner", _inner(block))
-    # the longer hypothesis deletes one character; the shorter one stands as it is, and deletes one for substitutions
-    cut = F.transform(F.sequence(F.lit(1), F.length("inner")), lambda i: F.struct(i.alias("place"), F.xxhash64(F.concat(F.substring("inner", 1, i - 1), F.substring("inner", i + 1, F.length("inner")))).alias("rest")))
+    keys = _shared(materialize(_half_keys(long_lines), "line-halves"), "line-candidates")
+    ids = keys.select("lid").distinct()
+    likely = may_be_among(long_lines.withColumn("lid", F.xxhash64("line")), F.col("lid"), ids, F.col("lid"))
+    # an inner join, since a semi-join would be moved below the filter
+    texts = likely.join(ids, "lid").groupBy("id").agg(F.first("lid").alias("lid"), F.first("line").alias("line"))
+    texts = materialize(texts.join(first.drop("n"), "id"), "line-texts")
+    inner = _narrowed(keys, texts).join(texts, "lid").withColumn("inner", _inner())
+    # the longer line deletes one character; the shorter one stands as it is, and deletes one for substitutions
+    cut = F.transform(F.sequence(F.lit(1), F.length("inner")), lambda i: F.struct(i.alias("place"), F.xxhash64(F.concat(F.substring("inner", F.lit(1), i - 1), F.substring("inner", i + 1, F.length("inner")))).alias("rest")))
+    cut = F.when(F.length("inner") > 0, cut)
     whole = F.array(F.struct(F.lit(0).alias("place"), F.xxhash64("inner").alias("rest")))
-    is_longer = F.length("line") > F.col("base")
-    variants = inner.select("id", "first", "key", is_longer.alias("longer"), F.explode(F.when(is_longer, cut).otherwise(F.concat(whole, cut))).alias("v")).select("id", "first", "key", "longer", "v.place", "v.rest")
+    variants = inner.select("id", "first", "key", "longer", F.explode(F.when(F.col("longer"), cut).otherwise(F.concat(whole, F.coalesce(cut, F.array().cast("array<struct<place:int,rest:bigint>>"))))).alias("v")).select("id", "first", "key", "longer", "v.place", "v.rest")
     variants = materialize(variants, "line-variants")
     earliest = F.min(F.struct("first", "id"))
-    substituted = variants.where("place > 0 and not longer").groupBy("key", "place", "rest").agg(earliest.alias("e"), F.max("id").alias("last")).where("e.id <> last").drop("last")
+    substituted = variants.where("place > 0 and not longer").groupBy("key", "place", "rest").agg(earliest.alias("e"), F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").drop("a", "b")
     by_place = variants.where("place > 0 and not longer").join(substituted, ["key", "place", "rest"]).select("id", "first", "e")
     shorter = variants.where("place = 0").select("key", "rest", F.col("id").alias("short_id"), F.col("first").alias("short_first"))
     longer = variants.where("longer").select("key", "rest", "id", "first").distinct()
@@ -85,14 +115,15 @@ def near_earlier(docs: DataFrame, block: int = 256, least: int = 16) -> tuple[Da
     matches = by_place.unionByName(to_short).unionByName(to_long).where("e.first < first").groupBy("id").agg(F.min("e").alias("e")).select("id", F.col("e.id").alias("earlier"))
     a, b = texts.select("id", "line"), texts.select(F.col("id").alias("earlier"), F.col("line").alias("earlier_line"))
     verified = matches.join(a, "id").join(b, "earlier").where(F.levenshtein("line", "earlier_line", 1).between(0, 1)).select("id", "earlier")
-    return occurrences, first.join(verified, "id", "left").select("id", "first", "earlier")
+    return occurrences, first.join(verified, "id", "left").where("n > 1 or earlier is not null").select("id", "first", "earlier")
 
 
-def dedup_lines(docs: DataFrame, block: int = 256, least: int = 16) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 16) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped_lines (places from 0, ascending) for every row."""
-    occurrences, verdicts = near_earlier(docs, block, least)
+    occurrences, verdicts = near_earlier(docs, least)
     judged = occurrences.join(verdicts, "id", "left")
-    stays = F.col("id").isNull() | (F.struct("doc", "text_key", "no").eqNullSafe(F.col("first")) & F.col("earlier").isNull())
+    # a line without a verdict occurs once and is near no earlier one
+    stays = F.col("first").isNull() | (F.struct("doc", "text_key", "no").eqNullSafe(F.col("first")) & F.col("earlier").isNull())
     per_doc = judged.groupBy("doc", "text_key").agg(
         F.collect_set("no").alias("places"), F.sort_array(F.collect_set(F.when(~stays, F.col("no")))).alias("dropped_lines"), F.sum((F.col("no") == 0).cast("int")).cast("int").alias("rows"),
     )
@@ -101,9 +132,9 @@ def dedup_lines(docs: DataFrame, block: int = 256, least: int = 16) -> DataFrame
     return out.select(doc_id.alias("doc_id"), F.size("places").cast("long").alias("n_lines"), F.size("dropped_lines").cast("long").alias("n_dropped"), "dropped_lines")
 
 
-def drop_lines(docs: DataFrame, block: int = 256, least: int = 16) -> DataFrame:
+def drop_lines(docs: DataFrame, least: int = 16) -> DataFrame:
     """``docs`` with the dropped lines taken out of their texts (doc_id must be unique and not null)."""
-    found = dedup_lines(docs, block, least).select(F.col("doc_id").alias("__id"), F.col("dropped_lines").alias("__dropped"))
+    found = dedup_lines(docs, least).select(F.col("doc_id").alias("__id"), F.col("dropped_lines").alias("__dropped"))
     joined = docs.join(found, docs["doc_id"].cast("long") == F.col("__id"), "left")
     kept = F.filter(F.split("text", "\n", -1), lambda line, no: ~F.coalesce(F.array_contains("__dropped", no), F.lit(False)))
     return joined.withColumn("text", F.array_join(kept, "\n")).drop("__id", "__dropped")
