@@ -11,8 +11,9 @@ compared with each other:
    equal runs once, for the smallest document, and marks the others itself: a
    passage that a third of all documents hold leaves each batch once.
 2. Refinement. In a group, runs whose gram no other document has are dropped, and
-   equal runs are settled as in a batch. The windows left get bucket pointers by
-   sorting: the bucket of 16 bytes from the pointers of 8 bytes at offsets 0 and
+   equal runs are settled as in a batch. The windows left are sorted by the grams of
+   8 bytes at two offsets, twice; then they get bucket pointers by sorting: the
+   bucket of 16 bytes from the pointers of 8 bytes at offsets 0 and
    8, that of 32 bytes from the updated pointers at 0 and 16, that of 50 from
    those at 0 and 18. After each step, buckets of one document are left out.
 3. A window whose bucket holds a smaller document is repeated. Intervals of
@@ -41,15 +42,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapframe.llm.common import text_of
-from lapframe.llm.grouping import whole_groups
 from lapframe.llm.jaccard_join import mix64
 from lapframe.llm.packing import gather_runs, pack, split_points, unpack_all
 
 LENGTH = 50
 GRAM = 12
 NO_ID = np.int64(2**63 - 1)
+_BASE = 0x9E3779B97F4A7C15
 _SLICE = 2_000_000  # bytes of text handled at once in a task
-_RUN = [np.uint8, np.uint16, np.int64, np.int64, np.int32]  # bytes, length, doc, text key, start
+_PART = 2_000_000  # bytes of runs refined at once in a task
+_RUN = [np.uint8, np.uint16, np.uint8, np.int64, np.int64, np.int32]  # bytes, length, place of the gram, doc, text key, start
 _MARK = [np.int64, np.int64, np.int32, np.int32]  # doc, text key, first window, last window
 
 
@@ -62,11 +64,20 @@ def eight_bytes(text: np.ndarray) -> np.ndarray:
     return x[: len(text)]
 
 
-def smallest_grams(text: np.ndarray) -> np.ndarray:
-    """For each window start of ``text`` (one byte string), the smallest hash of a gram in the window."""
+def _gram_hash(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of 12 bytes, given as the 8 at their beginning and the 8 at their end."""
+    return mix64(first ^ mix64(last + np.uint64(_BASE)))
+
+
+def gram_hashes(text: np.ndarray) -> np.ndarray:
+    """The hash of the gram at each position of ``text`` (one byte string)."""
     x = eight_bytes(text)
     n = len(text) - GRAM + 1
-    h = mix64(x[:n] ^ mix64(x[GRAM - 8 : GRAM - 8 + n] + np.uint64(0x9E3779B97F4A7C15)))
+    return _gram_hash(x[:n], x[GRAM - 8 : GRAM - 8 + n])
+
+
+def smallest_grams(h: np.ndarray) -> np.ndarray:
+    """For each window start the smallest of the gram hashes ``h`` in the window."""
     span, wide = 1, LENGTH - GRAM + 1
     while span * 2 <= wide:
         h = np.minimum(h[:-span], h[span:])
@@ -74,11 +85,19 @@ def smallest_grams(text: np.ndarray) -> np.ndarray:
     return np.minimum(h[: len(h) - (wide - span)], h[wide - span :]) if wide > span else h
 
 
+def grams_at(text: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The hashes of the grams at some places."""
+    words = [np.zeros(len(places), np.uint64) for _ in range(2)]
+    for k in range(8):
+        for word, ahead in zip(words, (0, GRAM - 8), strict=True):
+            word |= text[places + (k + ahead)].astype(np.uint64) << np.uint64(8 * k)
+    return _gram_hash(*words)
+
+
 def _powers(n: int, base: int) -> np.ndarray:
     return np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)], dtype=np.uint64)
 
 
-_BASE = 0x9E3779B97F4A7C15
 _UP, _DOWN = np.empty(0, np.uint64), np.empty(0, np.uint64)
 
 
@@ -108,30 +127,53 @@ def settle_equal(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, doc:
     return same
 
 
+def _order(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal pairs are neighbours, and where each pair begins in it."""
+    order = np.argsort(mix64(a ^ mix64(b + np.uint64(0xD1B54A32D192ED03))))
+    a, b = a[order], b[order]
+    return order, np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+
+
 def pointers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Bucket pointers of pairs: equal pairs, and only they, get the same number."""
-    order = np.argsort(mix64(a ^ mix64(b + np.uint64(0xD1B54A32D192ED03))), kind="stable")
-    a, b = a[order], b[order]
+    order, begins = _order(a, b)
     out = np.empty(len(a), np.uint64)
-    out[order] = np.cumsum(np.r_[False, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]).astype(np.uint64)
+    out[order] = np.cumsum(begins).astype(np.uint64)
     return out
 
 
-def smallest_doc(bucket: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per window: the smallest and the largest document of its bucket."""
-    order = np.argsort(bucket, kind="stable")
-    _, bounds = split_points(bucket[order])
-    sizes = np.diff(bounds)
+def documents_of(order: np.ndarray, begins: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row: the smallest and the largest document of its bucket."""
+    starts = np.flatnonzero(begins)
+    sizes = np.diff(np.r_[starts, len(order)])
     low, high = np.empty_like(doc), np.empty_like(doc)
-    low[order] = np.repeat(np.minimum.reduceat(doc[order], bounds[:-1]), sizes)
-    high[order] = np.repeat(np.maximum.reduceat(doc[order], bounds[:-1]), sizes)
+    low[order] = np.repeat(np.minimum.reduceat(doc[order], starts), sizes)
+    high[order] = np.repeat(np.maximum.reduceat(doc[order], starts), sizes)
     return low, high
 
 
+def smallest_doc(bucket: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(bucket)
+    sorted_bucket = bucket[order]
+    return documents_of(order, np.r_[True, sorted_bucket[1:] != sorted_bucket[:-1]], doc)
+
+
 def refine(text: np.ndarray, windows: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which of the ``windows`` (starts in ``text``) equal a window of a smaller document."""
+    """Which of the ``windows`` (starts in ``text``) equal a window of a smaller document.
+
+    8-byte grams are their own bucket numbers. Buckets of the grams at two offsets of the
+    window itself come first, since they leave most windows with one document; then
+    the pointers of each step serve the next one at later offsets.
+    """
     repeated, alive = np.zeros(len(windows), bool), np.arange(len(windows))
-    bucket = eight_bytes(text)
+    gram = eight_bytes(text)
+    for near, far in ((0, LENGTH - 8), (17, 29)):
+        at = windows[alive]
+        low, high = documents_of(*_order(gram[at + near], gram[at + far]), doc[alive])
+        alive = alive[low != high]
+        if not len(alive):
+            return repeated
+    bucket = gram
     for reach, ahead in ((8, (0, 16, 18, 34)), (16, (0, 18)), (18, (0,))):
         at = windows[alive]
         spots = np.unique(np.concatenate([at + k for k in ahead])) if len(ahead) > 1 else at
@@ -154,11 +196,12 @@ def _text_key(raw: bytes) -> int:
     return xxhash.xxh3_64_intdigest(raw) - 2**63
 
 
-def _runs_of(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, number of windows and gram of each run; ``bounds``: the documents' starts in ``text``, and its end."""
+def _runs_of(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, number of windows, gram and its place of each run; ``bounds``: the documents' starts in ``text``, and its end."""
     if len(text) < LENGTH:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    gram = smallest_grams(text)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint8)
+    h = gram_hashes(text)
+    gram = smallest_grams(h)
     inside = np.zeros(len(gram) + 1, np.int8)  # windows must not cross documents
     size = np.diff(bounds)
     for a, b in ((bounds[:-1], 1), (bounds[:-1] + np.maximum(size - LENGTH + 1, 0), -1)):
@@ -173,7 +216,16 @@ def _runs_of(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
         outside = np.flatnonzero(~inside)
         nearest = np.searchsorted(outside, starts)
         ends = np.minimum(ends, np.where(nearest < len(outside), outside[np.minimum(nearest, len(outside) - 1)], len(gram)))
-    return starts, ends - starts, gram[starts]
+    place = np.empty(len(starts), np.uint8)
+    for i in range(0, len(starts), 20_000):
+        own = starts[i : i + 20_000, None] + np.arange(LENGTH - GRAM + 1)
+        place[i : i + 20_000] = h[own].argmin(axis=1)
+    return starts, ends - starts, gram[starts], place
+
+
+def _first_gram(text: np.ndarray, window: int, gram: np.uint64) -> int:
+    """Where ``gram`` first stands in a window."""
+    return window + int(np.flatnonzero(gram_hashes(text[window : window + LENGTH]) == gram)[0])
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
@@ -207,11 +259,13 @@ def _send_runs(groups: int):
             for parts, doc, key, at in _slices(batch):
                 text = np.frombuffer(b"".join(parts), np.uint8)
                 bounds = np.r_[0, np.cumsum([len(p) for p in parts])]
-                starts, windows, gram = _runs_of(text, bounds)
+                starts, windows, gram, place = _runs_of(text, bounds)
                 # a run of few distinct bytes can be long: its length must fit two bytes
                 while len(windows) and windows.max() > 60_000:
                     k = np.flatnonzero(windows > 60_000)
-                    starts, windows, gram = np.r_[starts, starts[k] + 60_000], np.r_[windows, windows[k] - 60_000], np.r_[gram, gram[k]]
+                    rest = starts[k] + 60_000
+                    where_in = [h - s for s, h in zip(rest.tolist(), (_first_gram(text, x, g) for x, g in zip(rest.tolist(), gram[k], strict=True)), strict=True)]
+                    starts, windows, gram, place = np.r_[starts, rest], np.r_[windows, windows[k] - 60_000], np.r_[gram, gram[k]], np.r_[place, np.array(where_in, np.uint8)]
                     windows[k] = 60_000
                 own = np.searchsorted(bounds, starts, side="right") - 1
                 lengths = windows + LENGTH - 1
@@ -223,7 +277,7 @@ def _send_runs(groups: int):
                 fresh, settled = order[~known[order]], order[known[order]]
                 for g, i, j in zip(*_pairs(group[fresh]), strict=True):
                     k = fresh[i:j]
-                    rows.append((g, 0, pack([gather_runs(text, starts[k], lengths[k]), lengths[k].astype(np.uint16), doc[own[k]], key[own[k]], where[k]])))
+                    rows.append((g, 0, pack([gather_runs(text, starts[k], lengths[k]), lengths[k].astype(np.uint16), place[k], doc[own[k]], key[own[k]], where[k]])))
                 for g, i, j in zip(*_pairs(group[settled]), strict=True):
                     k = settled[i:j]
                     rows.append((g, 1, pack([doc[own[k]], key[own[k]], where[k], (where[k] + windows[k] - 1).astype(np.int32)])))
@@ -246,54 +300,76 @@ def _doc_group(doc: np.ndarray, groups: int) -> np.ndarray:
     return (mix64(doc.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
 
+def blob_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[bytes]]]]:
+    """(grp, blobs by kind) of rows sorted by grp: a task holds one batch and one group, in compressed form."""
+    now, held = None, {}
+    for batch in batches:
+        for grp, kind, blob in zip(batch.column("grp").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
+            if grp != now:
+                if held:
+                    yield now, held
+                now, held = grp, {}
+            held.setdefault(kind, []).append(blob.as_py())
+    if held:
+        yield now, held
+
+
 def _refine_groups(groups: int):
     """Marks of each bucket group, sent on by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, bounds in whole_groups(batches, ["grp"]):
-            kinds, blobs = rows.column("kind").to_numpy(), rows.column("blob")
-            for i, j in zip(bounds, [*bounds[1:], rows.num_rows], strict=True):
-                own = [k for k in range(i, j) if kinds[k] == 0]
-                marks = [unpack_all([blobs[k].as_py() for k in range(i, j) if kinds[k] == 1], _MARK)]
-                if own:
-                    marks.append(_marks_of(*unpack_all([blobs[k].as_py() for k in own], _RUN)))
-                doc, key, a, b = (np.concatenate([m[c] for m in marks]) for c in range(4))
-                group = _doc_group(doc, groups)
-                order = np.argsort(group, kind="stable")
-                yield _blob_rows([(g, 1, pack([doc[order[x:y]], key[order[x:y]], a[order[x:y]], b[order[x:y]]])) for g, x, y in zip(*_pairs(group[order]), strict=True)])
+        for _, blobs in blob_groups(batches):
+            marks = [unpack_all(blobs.get(1, []), _MARK)]
+            if own := blobs.pop(0, None):
+                marks += _marks_of(*unpack_all(own, _RUN))
+            doc, key, a, b = (np.concatenate([m[c] for m in marks]) for c in range(4))
+            group = _doc_group(doc, groups)
+            order = np.argsort(group, kind="stable")
+            yield _blob_rows([(g, 1, pack([doc[order[x:y]], key[order[x:y]], a[order[x:y]], b[order[x:y]]])) for g, x, y in zip(*_pairs(group[order]), strict=True)])
 
     return run
 
 
-def _marks_of(text: np.ndarray, lengths: np.ndarray, doc: np.ndarray, key: np.ndarray, where: np.ndarray) -> list[np.ndarray]:
+def _marks_of(text: np.ndarray, lengths: np.ndarray, place: np.ndarray, doc: np.ndarray, key: np.ndarray, where: np.ndarray) -> list[list[np.ndarray]]:
+    """Marks of a group of initial buckets; some buckets at a time, so that about ``_PART`` bytes are refined at once."""
     lengths = lengths.astype(np.int64)
     starts = np.cumsum(lengths) - lengths
-    # initial buckets: runs of a gram that only one document has are settled
-    gram = np.empty(len(starts), np.uint64)
-    for i in range(0, len(starts), 20_000):
-        j = min(i + 20_000, len(starts))
-        a, b = starts[i], starts[j - 1] + lengths[j - 1]
-        gram[i:j] = smallest_grams(text[a:b])[starts[i:j] - a]
+    gram = grams_at(text, starts + place)
+    # runs of a gram that only one document has are settled
     low, high = smallest_doc(gram, doc)
-    live = np.flatnonzero(low != high)
-    if not len(live):
-        return [doc[:0], key[:0], where[:0], where[:0]]
-    known = settle_equal(text, starts[live], lengths[live], doc[live])
-    done, live = live[known], live[~known]
-    out = [[doc[done], key[done], where[done], (where[done] + lengths[done] - LENGTH).astype(np.int32)]]
-    part = gather_runs(text, starts[live], lengths[live])
-    size = lengths[live] - LENGTH + 1
-    base = np.cumsum(lengths[live]) - lengths[live]
-    run = np.repeat(np.arange(len(live)), size)
+    shared = np.flatnonzero(low != high)
+    parts = int(lengths[shared].sum()) // _PART + 1
+    share = ((gram[shared] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    out = []
+    for p in range(parts):
+        live = shared[share == p]
+        if not len(live):
+            continue
+        known = settle_equal(*_gathered(text, starts[live], lengths[live]), lengths[live], doc[live])
+        done, live = live[known], live[~known]
+        out.append([doc[done], key[done], where[done], (where[done] + lengths[done] - LENGTH).astype(np.int32)])
+        if len(live):
+            out.append(_refined(text, starts[live], lengths[live], doc[live], key[live], where[live]))
+    return out
+
+
+def _gathered(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some runs one after the other, and where each then starts."""
+    return gather_runs(text, starts, lengths), np.cumsum(lengths) - lengths
+
+
+def _refined(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, doc: np.ndarray, key: np.ndarray, where: np.ndarray) -> list[np.ndarray]:
+    part, base = _gathered(text, starts, lengths)
+    size = lengths - LENGTH + 1
+    run = np.repeat(np.arange(len(size), dtype=np.int32), size)
     inside = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
-    if len(run):
-        hit = np.flatnonzero(refine(part, base[run] + inside, doc[live][run]))
-        if len(hit):
-            begin = np.r_[True, (run[hit][1:] != run[hit][:-1]) | (inside[hit][1:] != inside[hit][:-1] + 1)]
-            first, last = hit[begin], hit[np.r_[np.flatnonzero(begin)[1:] - 1, len(hit) - 1]]
-            k = live[run[first]]
-            out.append([doc[k], key[k], (where[k] + inside[first]).astype(np.int32), (where[k] + inside[last]).astype(np.int32)])
-    return [np.concatenate([o[c] for o in out]) for c in range(4)]
+    hit = np.flatnonzero(refine(part, base[run] + inside, doc[run]))
+    if not len(hit):
+        return [doc[:0], key[:0], where[:0], where[:0]]
+    begin = np.r_[True, (run[hit][1:] != run[hit][:-1]) | (inside[hit][1:] != inside[hit][:-1] + 1)]
+    first, last = hit[begin], hit[np.r_[np.flatnonzero(begin)[1:] - 1, len(hit) - 1]]
+    k = run[first]
+    return [doc[k], key[k], (where[k] + inside[first]).astype(np.int32), (where[k] + inside[last]).astype(np.int32)]
 
 
 def _send_texts(groups: int):
@@ -324,34 +400,31 @@ def removed_spans(n: int, first: np.ndarray, last: np.ndarray) -> list[tuple[int
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: what is removed and the bytes that are left."""
-    for rows, bounds in whole_groups(batches, ["grp"]):
-        kinds, blobs = rows.column("kind").to_numpy(), rows.column("blob")
-        for i, j in zip(bounds, [*bounds[1:], rows.num_rows], strict=True):
-            doc, key, first, last = unpack_all([blobs[k].as_py() for k in range(i, j) if kinds[k] == 1], _MARK)
-            order = np.lexsort((key, doc))
-            doc, key, first, last = doc[order], key[order], first[order], last[order]
-            change = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]) if len(doc) else np.empty(0, np.int64)
-            place = {(int(doc[x]), int(key[x])): (int(x), int(y)) for x, y in zip(change, np.r_[change[1:], len(doc)], strict=True)}
-            for k in range(i, j):
-                if kinds[k]:
-                    continue
-                text, lengths, ids, whole = unpack_all([blobs[k].as_py()], [np.uint8, np.int32, np.int64, np.uint8])
-                raw, at, out = text.tobytes(), 0, []
-                for n, own, copy in zip(lengths.tolist(), ids.tolist(), whole.tolist(), strict=True):
-                    one = raw[at : at + n]
-                    at += n
-                    if copy:
-                        spans = [(0, n)]
-                    else:
-                        x, y = place.get((own, _text_key(one)), (0, 0))
-                        spans = removed_spans(n, first[x:y], last[x:y])
-                    kept = b"".join(one[a:b] for a, b in zip([0, *[b for _, b in spans]], [*[a for a, _ in spans], n], strict=True))
-                    out.append((None if own == NO_ID else own, n, n - len(kept), len(spans), kept, [{"start": a, "end": b} for a, b in spans]))
-                c = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(v, pa.int64()) for v in c[:4]), pa.array([hashlib.sha256(v).hexdigest() for v in c[4]], pa.string()), pa.array(c[4], pa.binary()), pa.array(c[5], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"],
-                )
+    for _, blobs in blob_groups(batches):
+        doc, key, first, last = unpack_all(blobs.get(1, []), _MARK)
+        order = np.lexsort((key, doc))
+        doc, key, first, last = doc[order], key[order], first[order], last[order]
+        change = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]) if len(doc) else np.empty(0, np.int64)
+        ends = np.r_[change[1:], len(doc)][: len(change)]
+        place = {(int(doc[x]), int(key[x])): (int(x), int(y)) for x, y in zip(change, ends, strict=True)}
+        for blob in blobs.get(0, []):
+            text, lengths, ids, whole = unpack_all([blob], [np.uint8, np.int32, np.int64, np.uint8])
+            raw, at, out = text.tobytes(), 0, []
+            for n, own, copy in zip(lengths.tolist(), ids.tolist(), whole.tolist(), strict=True):
+                one = raw[at : at + n]
+                at += n
+                if copy:
+                    spans = [(0, n)]
+                else:
+                    x, y = place.get((own, _text_key(one)), (0, 0))
+                    spans = removed_spans(n, first[x:y], last[x:y])
+                kept = b"".join(one[a:b] for a, b in zip([0, *[b for _, b in spans]], [*[a for a, _ in spans], n], strict=True))
+                out.append((None if own == NO_ID else own, n, n - len(kept), len(spans), kept, [{"start": a, "end": b} for a, b in spans]))
+            c = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(v, pa.int64()) for v in c[:4]), pa.array([hashlib.sha256(v).hexdigest() for v in c[4]], pa.string()), pa.array(c[4], pa.binary()), pa.array(c[5], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"],
+            )
 
 
 def remove_repeats(docs: DataFrame, group_bytes: int = 4_000_000) -> DataFrame:
