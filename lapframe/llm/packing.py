@@ -6,18 +6,25 @@ import numpy as np
 import zstandard
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """The bytes of an array, all first bytes before all second ones: the high bytes of small numbers are then one run of zeros."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
 def pack(arrays: list[np.ndarray], level: int = 3) -> bytes:
     """Element counts, then the arrays' bytes, compressed."""
     head = np.array([len(a) for a in arrays], np.int64)
-    return zstandard.ZstdCompressor(level=level).compress(head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=level).compress(head.tobytes() + b"".join(_planes(a) for a in arrays))
 
 
 def unpack(blob: bytes, dtypes: list[type]) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     at, out = 8 * len(dtypes), []
-    for n, dtype in zip(np.frombuffer(raw, np.int64, len(dtypes)), dtypes, strict=True):
-        out.append(np.frombuffer(raw, dtype, int(n), at))
-        at += out[-1].nbytes
+    for n, dtype in zip(np.frombuffer(raw, np.int64, len(dtypes)).tolist(), dtypes, strict=True):
+        size = np.dtype(dtype).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * size, at)
+        out.append(planes.view(dtype) if size == 1 else np.ascontiguousarray(planes.reshape(size, n).T).view(dtype).ravel())
+        at += n * size
     return out
 
 
@@ -27,6 +34,18 @@ def unpack_all(blobs: list[bytes], dtypes: list[type]) -> list[np.ndarray]:
     return [np.concatenate([p[k] for p in parts]) if parts else np.empty(0, d) for k, d in enumerate(dtypes)]
 
 
+def steps(a: np.ndarray) -> np.ndarray:
+    """Differences of neighbours; small where numbers that rise slowly are packed. :func:`walk` is the inverse, for each of several parts."""
+    return np.diff(a, prepend=a.dtype.type(0))
+
+
+def walk(a: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    total = np.cumsum(a)
+    ends = np.cumsum(sizes)
+    before = np.r_[a.dtype.type(0), total[ends[:-1] - 1]] if len(ends) else total[:0]
+    return total - np.repeat(before, sizes)
+
+
 def split_points(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of a sorted array and the bounds of their runs."""
     starts = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.empty(0, np.int64)

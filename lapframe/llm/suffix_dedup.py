@@ -4,7 +4,7 @@ A byte goes if some 50-byte string that covers it also starts in a document
 with a smaller doc_id. The suffixes (starts of 50-byte windows) are never all
 compared with each other:
 
-1. Initial buckets. Each window belongs to the smallest 12-byte gram in it (by a
+1. Initial buckets. Each window belongs to the smallest 10-byte gram in it (by a
    hash); neighbouring windows with the same one stay together as a run of bytes.
    Equal windows have equal grams, so they meet in one bucket. Runs are sent,
    compressed, to the group of buckets that their gram hashes to. A batch sends
@@ -43,16 +43,17 @@ from pyspark.sql import functions as F
 
 from lapframe.llm.common import text_of
 from lapframe.llm.jaccard_join import mix64
-from lapframe.llm.packing import gather_runs, pack, split_points, unpack_all
+from lapframe.llm.packing import gather_runs, pack, split_points, steps, unpack, unpack_all, walk
 
 LENGTH = 50
-GRAM = 12
+GRAM = 10
 NO_ID = np.int64(2**63 - 1)
 _BASE = 0x9E3779B97F4A7C15
+LEVEL = 5  # of compression, for what is sent in bulk
 _SLICE = 2_000_000  # bytes of text handled at once in a task
 _PART = 2_000_000  # bytes of runs refined at once in a task
-_RUN = [np.uint8, np.uint16, np.uint8, np.int64, np.int64, np.int32]  # bytes, length, place of the gram, doc, text key, start
-_MARK = [np.int64, np.int64, np.int32, np.int32]  # doc, text key, first window, last window
+_RUN = [np.uint8, np.uint16, np.uint8, np.int64, np.uint32, np.int32]  # bytes, length, place of the gram, step of doc, text key, start
+_MARK = [np.int64, np.uint32, np.int32, np.int32]  # doc, text key, first window, last window
 
 
 def eight_bytes(text: np.ndarray) -> np.ndarray:
@@ -65,7 +66,7 @@ def eight_bytes(text: np.ndarray) -> np.ndarray:
 
 
 def _gram_hash(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A hash of 12 bytes, given as the 8 at their beginning and the 8 at their end."""
+    """A hash of a gram, given as the 8 at their beginning and the 8 at their end."""
     return mix64(first ^ mix64(last + np.uint64(_BASE)))
 
 
@@ -193,7 +194,8 @@ def refine(text: np.ndarray, windows: np.ndarray, doc: np.ndarray) -> np.ndarray
 
 
 def _text_key(raw: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(raw) - 2**63
+    """Tells different texts of one doc_id apart."""
+    return xxhash.xxh32_intdigest(raw)
 
 
 def _runs_of(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -250,7 +252,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray, np
 
 def _lot(lot: list[tuple[bytes, int, int, int]]):
     parts, doc, key, at = zip(*lot, strict=True)
-    return list(parts), np.array(doc, np.int64), np.array(key, np.int64), np.array(at, np.int64)
+    return list(parts), np.array(doc, np.int64), np.array(key, np.uint32), np.array(at, np.int64)
 
 
 def _send_runs(groups: int):
@@ -277,7 +279,7 @@ def _send_runs(groups: int):
                 fresh, settled = order[~known[order]], order[known[order]]
                 for g, i, j in zip(*_pairs(group[fresh]), strict=True):
                     k = fresh[i:j]
-                    rows.append((g, 0, pack([gather_runs(text, starts[k], lengths[k]), lengths[k].astype(np.uint16), place[k], doc[own[k]], key[own[k]], where[k]])))
+                    rows.append((g, 0, pack([gather_runs(text, starts[k], lengths[k]), lengths[k].astype(np.uint16), place[k], steps(doc[own[k]]), key[own[k]], where[k]], LEVEL)))
                 for g, i, j in zip(*_pairs(group[settled]), strict=True):
                     k = settled[i:j]
                     rows.append((g, 1, pack([doc[own[k]], key[own[k]], where[k], (where[k] + windows[k] - 1).astype(np.int32)])))
@@ -321,7 +323,11 @@ def _refine_groups(groups: int):
         for _, blobs in blob_groups(batches):
             marks = [unpack_all(blobs.get(1, []), _MARK)]
             if own := blobs.pop(0, None):
-                marks += _marks_of(*unpack_all(own, _RUN))
+                parts = [unpack(b, _RUN) for b in own]
+                text, length, place, step, key, where = (np.concatenate([p[c] for p in parts]) for c in range(len(_RUN)))
+                sizes = np.array([len(p[1]) for p in parts])
+                del parts
+                marks += _marks_of(text, length, place, walk(step, sizes), key, where)
             doc, key, a, b = (np.concatenate([m[c] for m in marks]) for c in range(4))
             group = _doc_group(doc, groups)
             order = np.argsort(group, kind="stable")
@@ -377,14 +383,13 @@ def _send_texts(groups: int):
         for batch in batches:
             raw = [t.as_py() for t in batch.column("text").cast(pa.binary())]
             doc = batch.column("doc_id").fill_null(NO_ID).to_numpy()
-            whole = batch.column("copy").to_numpy(zero_copy_only=False).astype(np.uint8)
             group = _doc_group(doc, groups)
             order = np.argsort(group, kind="stable")
             rows = []
             for g, i, j in zip(*_pairs(group[order]), strict=True):
                 k = order[i:j]
                 texts = [raw[x] for x in k]
-                rows.append((g, 0, pack([np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int32), doc[k], whole[k]])))
+                rows.append((g, 0, pack([np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int32), doc[k]], LEVEL)))
             yield _blob_rows(rows)
 
     return run
@@ -408,16 +413,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.r_[change[1:], len(doc)][: len(change)]
         place = {(int(doc[x]), int(key[x])): (int(x), int(y)) for x, y in zip(change, ends, strict=True)}
         for blob in blobs.get(0, []):
-            text, lengths, ids, whole = unpack_all([blob], [np.uint8, np.int32, np.int64, np.uint8])
+            text, lengths, ids = unpack(blob, [np.uint8, np.int32, np.int64])
             raw, at, out = text.tobytes(), 0, []
-            for n, own, copy in zip(lengths.tolist(), ids.tolist(), whole.tolist(), strict=True):
+            for n, own in zip(lengths.tolist(), ids.tolist(), strict=True):
                 one = raw[at : at + n]
                 at += n
-                if copy:
-                    spans = [(0, n)]
-                else:
-                    x, y = place.get((own, _text_key(one)), (0, 0))
-                    spans = removed_spans(n, first[x:y], last[x:y])
+                x, y = place.get((own, _text_key(one)), (0, 0))
+                spans = removed_spans(n, first[x:y], last[x:y])
                 kept = b"".join(one[a:b] for a, b in zip([0, *[b for _, b in spans]], [*[a for a, _ in spans], n], strict=True))
                 out.append((None if own == NO_ID else own, n, n - len(kept), len(spans), kept, [{"start": a, "end": b} for a, b in spans]))
             c = list(zip(*out, strict=True))
@@ -439,8 +441,15 @@ def remove_repeats(docs: DataFrame, group_bytes: int = 4_000_000) -> DataFrame:
     later = F.coalesce(F.coalesce("doc_id", F.lit(int(NO_ID))) > F.col("first_id"), F.lit(False)) & (F.octet_length("text") >= LENGTH)
     marked = marked.select("doc_id", "text", later.alias("copy"))
     blob = "grp long, kind int, blob binary"
-    runs = marked.where(~F.col("copy")).select("doc_id", "text").mapInArrow(_send_runs(groups), blob)
+    fresh = marked.where(~F.col("copy")).select("doc_id", "text")
+    runs = fresh.mapInArrow(_send_runs(groups), blob)
     marks = runs.repartition("grp").sortWithinPartitions("grp").mapInArrow(_refine_groups(groups), blob)
-    both = marks.unionByName(marked.mapInArrow(_send_texts(groups), blob))
+    both = marks.unionByName(fresh.mapInArrow(_send_texts(groups), blob))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>"
-    return both.repartition("grp").sortWithinPartitions("grp").mapInArrow(_cut, schema)
+    cut = both.repartition("grp").sortWithinPartitions("grp").mapInArrow(_cut, schema)
+    n = F.octet_length("text").cast("long")
+    gone = marked.where("copy").select(
+        "doc_id", n.alias("n_bytes"), n.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), F.lit(b"").alias("kept"),
+        F.array(F.struct(F.lit(0).cast("long").alias("start"), n.alias("end"))).alias("spans"),
+    )
+    return cut.unionByName(gone)
