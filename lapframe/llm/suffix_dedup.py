@@ -211,7 +211,8 @@ def _runs_of(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     inside = np.cumsum(inside[:-1]) > 0
     begins = inside.copy()
     begins[1:] &= (gram[1:] != gram[:-1]) | ~inside[:-1]
-    begins[np.intersect1d(bounds[:-1], np.flatnonzero(inside))] = True
+    opening = bounds[:-1][bounds[:-1] < len(gram)]
+    begins[opening[inside[opening]]] = True
     starts = np.flatnonzero(begins)
     ends = np.r_[starts[1:], len(gram)]
     if (~inside).any():
