@@ -1,19 +1,21 @@
 """Language-model scoring by online logistic context mixing.
 
 A text is a sequence of binary decisions: each byte, and the end, by its Huffman
-code over the training bytes. Four predictors look up hashed contexts (the last
-one, two and three bytes, and the current word's beginning), each with the node
-of the code, in tables of counts of zeros and ones gathered from all training
-documents. Their stretched probabilities are combined by weights: one of two
-sets, by whether the word's context is known (the gate). The weights are refined
-online, after every ``STEP`` decisions, by the gradient of the coding cost. A text
-of more than ``SEGMENT`` decisions starts anew with the first weights in each
-segment, so the score of a document depends on its text and the tables alone,
-not on what it is batched with. Inside a task, all segments of a lot advance
-side by side in NumPy.
+code over the training bytes. Three predictors look up hashed contexts, each with
+the node of the code, in tables of counts of zeros and ones gathered from all
+training documents: the last three bytes with the text's class, the last six
+bytes, and the current word's beginning with the class. The class is the bucket
+of letters outside ASCII that has occurred most so far in the text: it tells apart
+languages that share a script. The predictors' stretched probabilities are
+combined by weights: one of two sets, by whether the word's context is known (the
+gate). The weights are refined online, after every ``STEP`` decisions, by the
+gradient of the coding cost. A text of more than ``SEGMENT`` decisions starts anew
+with the first weights in each segment, so the score of a document depends on its
+text and the tables alone, not on what it is batched with. Inside a task, all
+segments of a lot advance side by side in NumPy.
 
 Tables have 2**TABLE_BITS slots each whatever the input: they are summed by slot
-range in a shuffle and broadcast (16 MiB). The base score needs exact counts of
+range in a shuffle and broadcast (12 MiB). The base score needs exact counts of
 all training tokens: they are grouped by hash range. Tokens with more than
 N / HEAD occurrences (so fewer than HEAD of them) are broadcast; the other tokens
 of each document go to their hash range and come back as sums, so a frequent
@@ -44,10 +46,10 @@ from lapframe.llm.grouping import whole_groups
 from lapframe.llm.packing import pack, split_points, unpack, unpack_all
 from lapframe.session import materialize
 
-ORDERS = (2, 3, 4)
-PREDICTORS, TABLE_BITS, SLICES = 4, 22, 256
+SHORT, LONG, CLASSES = 3, 6, 8  # bytes of the contexts; buckets of letters
+PREDICTORS, TABLE_BITS, SLICES = 3, 22, 256
 STEP, SEGMENT = 32, 16_384
-FIRST_WEIGHTS, RATE = (0.2, 0.35, 0.4, 0.2), 0.004
+FIRST_WEIGHTS, RATE = (0.4, 0.35, 0.45), 0.008
 SCALE = 16.0  # a table's entry is the stretched probability times this, as int8
 HEAD = 250_000
 END = 256
@@ -95,31 +97,55 @@ def symbols_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
+def classes(symbols: np.ndarray, bounds: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Before each symbol: the bucket of two-byte letters seen most so far in its text, from 1 (the first of equals); 0 before any."""
+    letter = np.zeros(len(symbols), bool)
+    letter[1:] = (symbols[1:] >= 128) & (symbols[1:] < 192) & (symbols[:-1] >= 192) & (symbols[:-1] < 256) & (place[1:] > 0)
+    at = np.flatnonzero(letter)
+    upto = np.cumsum(letter) - letter  # letters before each symbol
+    before_text = upto[bounds[:-1]]
+    counts = np.zeros((len(at) + 1, CLASSES), np.int32)
+    counts[np.arange(1, len(at) + 1), (symbols[at].astype(np.int64) * 7 + symbols[at - 1].astype(np.int64) * 13) % CLASSES] = 1
+    counts = np.cumsum(counts, axis=0)
+    of_text = np.searchsorted(bounds, at, side="right") - 1
+    best = np.r_[0, (counts[1:] - counts[before_text[of_text]]).argmax(axis=1) + 1].astype(np.uint32)
+    return np.where(upto > np.repeat(before_text, np.diff(bounds)), best[upto], np.uint32(0))
+
+
+_BASE = 0x2F0B4C47
+_UP, _DOWN = np.empty(0, np.uint32), np.empty(0, np.uint32)
+
+
+class _Stretches:
+    """Hashes of any stretches of a series of symbols, from one running polynomial sum."""
+
+    def __init__(self, symbols: np.ndarray):
+        global _UP, _DOWN
+        n = len(symbols)
+        if len(_UP) <= n:
+            _UP, _DOWN = (np.cumprod(np.r_[np.uint32(1), np.full(n, base, np.uint32)], dtype=np.uint32) for base in (_BASE, pow(_BASE, -1, 2**32)))
+        self.sums = np.zeros(n + 1, np.uint32)
+        np.cumsum(_SYMBOLS[symbols] * _UP[:n], out=self.sums[1:], dtype=np.uint32)
+
+    def before(self, start: np.ndarray) -> np.ndarray:
+        """For each symbol: what stands from ``start`` up to it."""
+        return (self.sums[:-1] - self.sums[start]) * _DOWN[start]
+
+
 def contexts(symbols: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     """One 32-bit hash per predictor and symbol; nothing before the text's start is seen."""
     n = len(symbols)
-    place = np.arange(n, dtype=np.int64) - np.repeat(bounds[:-1], np.diff(bounds))
-    out, seen = [], np.zeros(n, np.uint32)
-    for k in range(1, max(ORDERS) + 1):
-        before = np.full(n, END, np.uint32)
-        before[k:] = symbols[:-k]
-        before[place < k] = END
-        seen = seen * np.uint32(0x2F0B4C47) + before + np.uint32(1)
-        if k in ORDERS:
-            out.append(_scramble(seen + np.uint32(k << 28)))
+    here = np.arange(n, dtype=np.int64)
+    opens = np.repeat(bounds[:-1], np.diff(bounds))
+    of_class = classes(symbols, bounds, here - opens) * np.uint32(0x85EBCA77)
+    stretch = _Stretches(symbols)
+    short = stretch.before(np.maximum(here - SHORT, opens))
+    long = stretch.before(np.maximum(here - LONG, opens))
     breaks = (symbols == 32) | ((symbols >= 9) & (symbols <= 13))
-    fresh = place == 0
-    fresh[1:] |= breaks[:-1]
-    begin = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    word = np.zeros(n, np.uint32)
-    for k in range(1, 13):  # the word so far, its last 12 bytes at most
-        back = np.arange(n) - k >= begin
-        if not back.any():
-            break
-        at = np.flatnonzero(back)
-        word[at] = word[at] + _scramble(symbols[at - k].astype(np.uint32) * np.uint32(0x01000193) + np.uint32(k * 0x3D4D51CB & 0xFFFFFFFF))
-    out.append(_scramble(word + np.uint32(0xA5A5A5A5)))
-    return out
+    begin = np.zeros(n, np.int64)
+    begin[1:] = np.where(breaks[:-1], here[1:], 0)
+    begin = np.maximum(np.maximum.accumulate(begin), opens)  # where the current word starts
+    return [_scramble(_scramble(short + np.uint32(1)) + of_class + np.uint32(0x778)), _scramble(long + np.uint32(2)), _scramble(stretch.before(begin) + of_class + np.uint32(0x777))]
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -128,6 +154,9 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint32(16))
 
 
+_SYMBOLS = _scramble(np.arange(1, 258, dtype=np.uint32) * np.uint32(0x01000193))
+
+
 def decisions(code: Code, symbols: np.ndarray, hashes: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """Turns and each predictor's slots, for some symbols at a time."""
     for i in range(0, len(symbols), 65_536):
@@ -139,7 +168,7 @@ def decisions(code: Code, symbols: np.ndarray, hashes: list[np.ndarray]) -> Iter
         slots = []
         for h in hashes:
             x = (np.repeat(h[i : i + 65_536], length) ^ node) * np.uint32(0x9E3779B1)
-            slots.append(x >> np.uint32(32 - TABLE_BITS))
+            slots.append((x >> np.uint32(32 - TABLE_BITS)).astype(np.int64))
         yield code.turn[at], slots
 
 
@@ -252,7 +281,7 @@ def _count_decisions(code: Code):
                 symbols, bounds = symbols_of(texts)
                 for turn, slots in decisions(code, symbols, contexts(symbols, bounds)):
                     for table, slot in zip(tables, slots, strict=True):
-                        np.add.at(table, slot.astype(np.int64) * 2 + turn, np.uint32(1))  # this pairing of types is NumPy's fast path
+                        np.add.at(table, slot * 2 + turn, np.uint32(1))  # this pairing of types is NumPy's fast path
         if tables is not None:
             ranges = tables.reshape(PREDICTORS * SLICES, -1)
             for k, part in enumerate(ranges):
@@ -281,7 +310,7 @@ def _sum_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def mix_scores(code: Code, tables: np.ndarray, texts: list[bytes]) -> np.ndarray:
     """log10 of the probability of each text."""
     symbols, bounds = symbols_of(texts)
-    parts = [(turn, *[t[s] for t, s in zip(tables, slots, strict=True)]) for turn, slots in decisions(code, symbols, contexts(symbols, bounds))]
+    parts = [(turn, *[np.take(t, s, mode="clip") for t, s in zip(tables, slots, strict=True)]) for turn, slots in decisions(code, symbols, contexts(symbols, bounds))]
     turn, *inputs = [np.concatenate(p) for p in zip(*parts, strict=True)]
     ends = np.cumsum(code.length[symbols])
     first = np.r_[0, ends[bounds[1:-1] - 1]]
