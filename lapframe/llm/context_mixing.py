@@ -383,6 +383,14 @@ class _Head(dict):
         return value
 
 
+def _counted(token: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and how often each occurs. Pairs are sorted by one mixed number, which is faster than by both."""
+    order = np.argsort(token ^ ((row.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
+    token, row = token[order], row[order]
+    starts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (row[1:] != row[:-1])]) if len(token) else np.empty(0, np.int64)
+    return token[starts], row[starts], np.diff(np.r_[starts, len(token)]).astype(np.int32)
+
+
 def _score(code: Code, tables, head, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -406,9 +414,8 @@ def _score(code: Code, tables, head, groups: int):
                 doc = np.array([0 if i is None else i for i in ids], np.int64)
                 null = np.array([i is None for i in ids], np.uint8)
                 rows = [(lot, 0, pack([doc, null, np.array(n_tokens, np.int64), np.array(n_known, np.int64), np.array(base), scores]))]
-                pairs, times = np.unique(np.rec.fromarrays([_token_hash(tail), np.array(tail_row, np.int32)], names="h,r"), return_counts=True)
-                h = pairs["h"].astype(np.uint64)
-                rows += _grouped(h, groups, [h, np.full(len(h), lot, np.int64), pairs["r"].astype(np.int32), times.astype(np.int32)], 1)
+                h, r, times = _counted(_token_hash(tail), np.array(tail_row, np.int32))
+                rows += _grouped(h, groups, [h, np.full(len(h), lot, np.int64), r, times], 1)
                 yield _rows(rows)
 
     return run
