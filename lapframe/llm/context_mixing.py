@@ -2,8 +2,8 @@
 
 A text is a sequence of binary decisions: each byte, and the end, by its Huffman
 code over the training bytes. Three predictors look up hashed contexts, each with
-the node of the code, in tables of counts of zeros and ones gathered from all
-training documents: the last three bytes with the text's class, the last six
+the node of the code, in counts of zeros and ones gathered from all training
+documents: the last three bytes with the text's class, the last six
 bytes, and the current word's beginning with the class. The class is the bucket
 of letters outside ASCII that has occurred most so far in the text: it tells apart
 languages that share a script. The predictors' stretched probabilities are
@@ -14,8 +14,12 @@ with the first weights in each segment, so the score of a document depends on it
 text and the tables alone, not on what it is batched with. Inside a task, all
 segments of a lot advance side by side in NumPy.
 
-Tables have 2**TABLE_BITS slots each whatever the input: they are summed by slot
-range in a shuffle and broadcast (12 MiB). The base score needs exact counts of
+Counts are kept for every pair of a context and its next symbol, by a key of 44
+hash bits of the context and 9 of the symbol (of 10**9 contexts one in 17,000 has
+the bits of another), so they grow with the corpus. Each lot sends its distinct pairs, with their uses in training, to
+their hash range; that sums them over all lots and sends each lot the predictions
+along the code of each of its pairs. Symbols are numbered in the order of their
+codes, so the counts at a node are sums over neighbouring pairs. The base score needs exact counts of
 all training tokens: they are grouped by hash range. Tokens with more than
 N / HEAD occurrences (so fewer than HEAD of them) are broadcast; the other tokens
 of each document go to their hash range and come back as sums, so a frequent
@@ -43,19 +47,20 @@ from pyspark.sql import functions as F
 
 from lapframe.llm.common import id_crc, text_of
 from lapframe.llm.grouping import whole_groups
-from lapframe.llm.packing import pack, split_points, unpack, unpack_all
+from lapframe.llm.packing import gather_runs, pack, split_points, steps, unpack, unpack_all
 from lapframe.session import materialize
 
 SHORT, LONG, CLASSES = 3, 6, 8  # bytes of the contexts; buckets of letters
-PREDICTORS, TABLE_BITS, SLICES = 3, 22, 256
+PREDICTORS = 3
 STEP, SEGMENT = 32, 16_384
 FIRST_WEIGHTS, RATE = (0.4, 0.35, 0.45), 0.008
-SCALE = 16.0  # a table's entry is the stretched probability times this, as int8
+SCALE = 16.0  # a prediction is sent as the stretched probability times this, as int8
 HEAD = 250_000
 END = 256
-_LOT = 2_000_000
+_LOT, _OWN_LOT = 2_000_000, 4_000_000  # bytes; larger lots send fewer pairs
 _END_TOKEN = b" "  # no word can be this: the key of the end token
 _BLOB = "grp long, kind int, blob binary"
+_COUNTS, _ANSWER = 3, 16  # kinds: counts of tokens; this plus a hash range, what the range answers
 
 
 # --- the code and the contexts ---------------------------------------------------------------
@@ -72,18 +77,24 @@ class Code:
             (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
             up[x], up[y] = (node, 0), (node, 1)
             heapq.heappush(heap, (a + b, node, node))
-        nodes, turns, self.length = [], [], np.zeros(len(counts), np.int64)
+        turns, self.length = [], np.zeros(len(counts), np.int64)
         for symbol in range(len(counts)):
             path, at = [], symbol
             while at in up:
                 at, turn = up[at]
-                path.append((at, turn))
+                path.append(turn)
             self.length[symbol] = len(path)
-            nodes += [n for n, _ in reversed(path)]
-            turns += [t for _, t in reversed(path)]
+            turns.append(path[::-1])
         self.start = np.cumsum(self.length) - self.length
-        salt = np.random.default_rng(3).integers(0, 2**32, 2 * len(counts), dtype=np.uint32)
-        self.node_hash, self.turn = salt[np.array(nodes)], np.array(turns, np.int8)
+        self.turn = np.array([t for path in turns for t in path], np.int8)
+        self.in_order = np.array(sorted(range(len(counts)), key=turns.__getitem__), np.int64)
+        self.rank = np.empty(len(counts), np.uint64)
+        self.rank[self.in_order] = np.arange(len(counts), dtype=np.uint64)
+        # turns that the codes of two ranks, the smaller one first, have in common: the least of what neighbours between them have
+        near = [next(k for k, (x, y) in enumerate(zip(turns[a], turns[b], strict=False)) if x != y) for a, b in zip(self.in_order[:-1], self.in_order[1:], strict=True)]
+        self.common = np.zeros((len(counts), len(counts)), np.int32)
+        for k in range(len(near)):
+            self.common[k, k + 1 :] = np.minimum.accumulate(near[k:])
 
 
 def symbols_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +123,8 @@ def classes(symbols: np.ndarray, bounds: np.ndarray, place: np.ndarray) -> np.nd
     return np.where(upto > np.repeat(before_text, np.diff(bounds)), best[upto], np.uint32(0))
 
 
-_BASE = 0x2F0B4C47
-_UP, _DOWN = np.empty(0, np.uint32), np.empty(0, np.uint32)
+_BASE = 0x9E3779B97F4A7C15
+_UP, _DOWN = np.empty(0, np.uint64), np.empty(0, np.uint64)
 
 
 class _Stretches:
@@ -123,53 +134,84 @@ class _Stretches:
         global _UP, _DOWN
         n = len(symbols)
         if len(_UP) <= n:
-            _UP, _DOWN = (np.cumprod(np.r_[np.uint32(1), np.full(n, base, np.uint32)], dtype=np.uint32) for base in (_BASE, pow(_BASE, -1, 2**32)))
-        self.sums = np.zeros(n + 1, np.uint32)
-        np.cumsum(_SYMBOLS[symbols] * _UP[:n], out=self.sums[1:], dtype=np.uint32)
+            _UP, _DOWN = (np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)], dtype=np.uint64) for base in (_BASE, pow(_BASE, -1, 2**64)))
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_SYMBOLS[symbols] * _UP[:n], out=self.sums[1:], dtype=np.uint64)
 
     def before(self, start: np.ndarray) -> np.ndarray:
         """For each symbol: what stands from ``start`` up to it."""
         return (self.sums[:-1] - self.sums[start]) * _DOWN[start]
 
 
-def contexts(symbols: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    """One 32-bit hash per predictor and symbol; nothing before the text's start is seen."""
+def contexts(symbols: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+    """One 64-bit hash per predictor and symbol; nothing before the text's start is seen."""
     n = len(symbols)
     here = np.arange(n, dtype=np.int64)
     opens = np.repeat(bounds[:-1], np.diff(bounds))
-    of_class = classes(symbols, bounds, here - opens) * np.uint32(0x85EBCA77)
+    of_class = classes(symbols, bounds, here - opens).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     stretch = _Stretches(symbols)
-    short = stretch.before(np.maximum(here - SHORT, opens))
-    long = stretch.before(np.maximum(here - LONG, opens))
+    yield _scramble(_scramble(stretch.before(np.maximum(here - SHORT, opens)) + np.uint64(1)) + of_class + np.uint64(0x778))
+    yield _scramble(stretch.before(np.maximum(here - LONG, opens)) + np.uint64(2))
     breaks = (symbols == 32) | ((symbols >= 9) & (symbols <= 13))
     begin = np.zeros(n, np.int64)
     begin[1:] = np.where(breaks[:-1], here[1:], 0)
     begin = np.maximum(np.maximum.accumulate(begin), opens)  # where the current word starts
-    return [_scramble(_scramble(short + np.uint32(1)) + of_class + np.uint32(0x778)), _scramble(long + np.uint32(2)), _scramble(stretch.before(begin) + of_class + np.uint32(0x777))]
+    yield _scramble(_scramble(stretch.before(begin) + np.uint64(3)) + of_class + np.uint64(0x777))
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-    return x ^ (x >> np.uint32(16))
-
-
-_SYMBOLS = _scramble(np.arange(1, 258, dtype=np.uint32) * np.uint32(0x01000193))
-
-
-def decisions(code: Code, symbols: np.ndarray, hashes: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """Turns and each predictor's slots, for some symbols at a time."""
-    for i in range(0, len(symbols), 65_536):
-        part = symbols[i : i + 65_536]
-        length = code.length[part]
-        ends = np.cumsum(length)
-        at = np.arange(int(ends[-1])) + np.repeat(code.start[part] - (ends - length), length)
-        node = code.node_hash[at]
-        slots = []
-        for h in hashes:
-            x = (np.repeat(h[i : i + 65_536], length) ^ node) * np.uint32(0x9E3779B1)
-            slots.append((x >> np.uint32(32 - TABLE_BITS)).astype(np.int64))
-        yield code.turn[at], slots
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+_SYMBOLS = _scramble(np.arange(1, 258, dtype=np.uint64) * np.uint64(0x01000193))
+_NINE = np.uint64(9)
+_PAIRS = [np.uint64, np.uint16, np.uint16, np.uint32]  # steps of the contexts, symbols of each, ranks, uses
+
+
+def distinct_pairs(code: Code, symbols: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys of the distinct pairs of a context and the rank of the next symbol; the symbols' places in the order of their keys, and where each key's start."""
+    key = (context >> np.uint64(20) << _NINE) | code.rank[symbols]
+    order = np.argsort(key)
+    key = key[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[starts], order, starts
+
+
+def predictions(code: Code, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Along the code of each of the sorted, distinct pairs, used ``n`` times: the stretched probabilities of a one; and where each pair's start.
+
+    The uses under a node are those of neighbouring pairs, as far as their context and the turns up to the node agree.
+    """
+    context, rank = keys >> _NINE, (keys & np.uint64(511)).astype(np.int64)
+    symbol = code.in_order[rank]
+    length = code.length[symbol]
+    start = np.cumsum(length) - length
+    out = np.zeros(int(length.sum()), np.int8)
+    common = np.full(len(keys), -1, np.int32)
+    same = np.flatnonzero(context[1:] == context[:-1]) + 1
+    common[same] = code.common[rank[same - 1], rank[same]]
+    live, here = np.arange(len(keys)), None
+    uses = n.astype(np.float64)
+    level = 0
+    while len(live):  # a pair whose code has ended leaves; its neighbours share fewer turns than that with it
+        if here is None:
+            here = _run_sums(common[live] < level, uses[live])
+        below = _run_sums(common[live] <= level, uses[live])
+        turn = code.turn[code.start[symbol[live]] + level]
+        other = here - below
+        stretched = np.log((below + 0.2) / (other + 0.2)) * SCALE
+        out[start[live] + level] = np.rint(np.clip(np.where(turn == 1, stretched, -stretched), -127, 127))
+        level += 1
+        stays = length[live] > level
+        live, here = live[stays], below[stays]
+    return out, start
+
+
+def _run_sums(opens: np.ndarray, n: np.ndarray) -> np.ndarray:
+    starts = np.flatnonzero(opens)
+    return np.repeat(np.add.reduceat(n, starts), np.diff(np.r_[starts, len(n)]))
 
 
 def lots(batch: pa.RecordBatch, size: int = _LOT) -> Iterator[tuple[list, list[bytes]]]:
@@ -266,52 +308,68 @@ def _head(least: int):
     return run
 
 
-def _count_decisions(code: Code):
-    """Counts of zeros and ones per predictor and slot: one table a task, sent by slot range."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = None
-        for batch in batches:
-            for ids, texts in lots(batch):
-                texts = [t for i, t in zip(ids, texts, strict=True) if learns(i)]
-                if not texts:
-                    continue
-                if tables is None:
-                    tables = np.zeros((PREDICTORS, 2 << TABLE_BITS), np.uint32)
-                symbols, bounds = symbols_of(texts)
-                for turn, slots in decisions(code, symbols, contexts(symbols, bounds)):
-                    for table, slot in zip(tables, slots, strict=True):
-                        np.add.at(table, slot * 2 + turn, np.uint32(1))  # this pairing of types is NumPy's fast path
-        if tables is not None:
-            ranges = tables.reshape(PREDICTORS * SLICES, -1)
-            for k, part in enumerate(ranges):
-                at = np.flatnonzero(part)
-                yield _rows([(k, 0, pack([np.diff(at, prepend=0).astype(np.uint32), part[at]], level=1))])
-
-    return run
-
-
-def _sum_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, bounds in whole_groups(batches, ["grp"]):
-        group, blobs = rows.column("grp").to_numpy(), rows.column("blob")
-        for i, j in zip(bounds, [*bounds[1:], rows.num_rows], strict=True):
-            total = np.zeros((2 << TABLE_BITS) // SLICES, np.float64)
-            for k in range(i, j):
-                steps, n = unpack(blobs[int(k)].as_py(), [np.uint32, np.uint32])
-                total[np.cumsum(steps, dtype=np.int64)] += n
-            zeros, ones = total.reshape(-1, 2).T
-            stretched = np.rint(np.clip(np.log((ones + 0.2) / (zeros + 0.2)) * SCALE, -127, 127)).astype(np.int8)
-            yield _rows([(int(group[i]), 0, pack([stretched]))])
+def _requests(code: Code, texts: list[bytes], learned: list[bool], groups: int) -> list[tuple[int, int, bytes]]:
+    """The distinct pairs of a lot by hash range: for each predictor the contexts, the number of symbols of each, their ranks, and how often each pair is used in training."""
+    symbols, bounds = symbols_of(texts)
+    counts = np.repeat(np.array(learned, np.uint32), np.diff(bounds))
+    arrays: list[list[np.ndarray]] = [[] for _ in range(groups)]
+    for context in contexts(symbols, bounds):
+        keys, order, starts = distinct_pairs(code, symbols, context)
+        n = np.add.reduceat(counts[order], starts, dtype=np.uint32)
+        ends = np.searchsorted(_group_of(keys, groups), np.arange(groups + 1, dtype=np.uint64))
+        for g in range(groups):
+            own = keys[ends[g] : ends[g + 1]]
+            context, bounds_in = split_points(own >> _NINE)
+            arrays[g] += [steps(context), np.diff(bounds_in).astype(np.uint16), (own & np.uint64(511)).astype(np.uint16), n[ends[g] : ends[g + 1]]]
+    return [(g, 2, pack(a)) for g, a in enumerate(arrays) if any(map(len, a))]
+
+
+def _group_of(keys: np.ndarray, groups: int) -> np.ndarray:
+    """The hash range of each key: its topmost 31 bits, scaled."""
+    return ((keys >> np.uint64(22)) * np.uint64(groups)) >> np.uint64(31)
+
+
+def _answers(code: Code, group: int, lots_of: list[int], blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Sums of the uses of each pair of a hash range, and for each lot the predictions for its pairs."""
+    asked = [unpack(b, _PAIRS * PREDICTORS) for b in blobs]
+    answers: list[list[np.ndarray]] = [[] for _ in asked]
+    for p in range(PREDICTORS):
+        keys = np.concatenate([np.repeat(np.cumsum(a[4 * p], dtype=np.uint64), a[4 * p + 1]) << _NINE | a[4 * p + 2] for a in asked])
+        n = np.concatenate([a[4 * p + 3] for a in asked])
+        if not len(keys):
+            for a in answers:
+                a.append(np.empty(0, np.int8))
+            continue
+        order = np.argsort(keys)
+        ordered = keys[order]
+        fresh = np.r_[True, ordered[1:] != ordered[:-1]]
+        starts = np.flatnonzero(fresh)
+        which = np.empty(len(keys), np.int64)
+        which[order] = np.cumsum(fresh) - 1
+        found, start = predictions(code, ordered[starts], np.add.reduceat(n[order].astype(np.int64), starts))
+        length = np.diff(np.r_[start, len(found)])
+        ends = np.cumsum([len(a[4 * p + 2]) for a in asked])
+        for a, x, y in zip(answers, np.r_[0, ends[:-1]], ends, strict=True):
+            own = which[x:y]
+            a.append(gather_runs(found, start[own], length[own]))
+    for k in range(0, len(answers), 256):
+        yield _rows([(to, _ANSWER + group, pack(a)) for to, a in zip(lots_of[k : k + 256], answers[k : k + 256], strict=True)])
 
 
 # --- scoring ------------------------------------------------------------------------------------
 
 
-def mix_scores(code: Code, tables: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    """log10 of the probability of each text."""
+def mix_scores(code: Code, answers: list[np.ndarray], texts: list[bytes]) -> np.ndarray:
+    """log10 of the probability of each text, given each predictor's predictions for its distinct pairs."""
     symbols, bounds = symbols_of(texts)
-    parts = [(turn, *[np.take(t, s, mode="clip") for t, s in zip(tables, slots, strict=True)]) for turn, slots in decisions(code, symbols, contexts(symbols, bounds))]
-    turn, *inputs = [np.concatenate(p) for p in zip(*parts, strict=True)]
+    inputs = []
+    for context, found in zip(contexts(symbols, bounds), answers, strict=True):
+        keys, order, starts = distinct_pairs(code, symbols, context)
+        length = code.length[code.in_order[(keys & np.uint64(511)).astype(np.int64)]]
+        at = np.empty(len(symbols), np.int64)
+        at[order] = np.repeat(np.cumsum(length) - length, np.diff(np.r_[starts, len(order)]))
+        inputs.append(_along(code, symbols, found, at))
+    turn = _along(code, symbols, code.turn, code.start[symbols])
     ends = np.cumsum(code.length[symbols])
     first = np.r_[0, ends[bounds[1:-1] - 1]]
     size = np.diff(np.r_[first, ends[-1]])
@@ -326,6 +384,12 @@ def mix_scores(code: Code, tables: np.ndarray, texts: list[bytes]) -> np.ndarray
     return np.bincount(owner, got, minlength=len(texts))
 
 
+def _along(code: Code, symbols: np.ndarray, source: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The entries for the decisions of each symbol, which start at ``at`` in ``source``; some symbols at a time."""
+    parts = range(0, len(symbols), 65_536)
+    return np.concatenate([gather_runs(source, at[i : i + 65_536], code.length[symbols[i : i + 65_536]]) for i in parts])
+
+
 def _advance(start: np.ndarray, count: np.ndarray, turn: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
     """log10 probabilities of segments sorted by falling length; they step side by side, each with its own weights."""
     lanes = len(start)
@@ -362,7 +426,7 @@ def _advance(start: np.ndarray, count: np.ndarray, turn: np.ndarray, inputs: lis
     return total
 
 
-_DOC = [np.int64, np.uint8, np.int64, np.int64, np.float64, np.float64]  # doc_id, null, tokens, known, base, score
+_DOC = [np.int64, np.uint8, np.int64, np.int64, np.float64, np.int64, np.uint8]  # doc_id, null, tokens, known, base, bytes, the texts
 _TAIL = [np.uint64, np.int64, np.int32, np.int32]  # token, lot, row in the lot, times
 _SUM = [np.int32, np.float64, np.int64]  # row in the lot, sum of logarithms, known
 
@@ -391,13 +455,15 @@ def _counted(token: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return token[starts], row[starts], np.diff(np.r_[starts, len(token)]).astype(np.int32)
 
 
-def _score(code: Code, tables, head, groups: int):
+def _gather(code: Code, head, groups: int):
+    """Per lot: its texts with what frequent tokens add (kind 0), its rare tokens (1) and its pairs (2)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         known = _Head(dict(zip(*[a.tolist() for a in head.value], strict=True)))
         number = 0
         for batch in batches:
-            for ids, texts in lots(batch):
+            for ids, texts in lots(batch, _OWN_LOT):
                 lot = (task << 24) + number
                 number += 1
                 n_tokens, n_known, base, tail, tail_row = [], [], [], [], []
@@ -410,46 +476,67 @@ def _score(code: Code, tables, head, groups: int):
                     base.append(float(values.sum() + len(rare)))
                     tail += [words[k] for k in rare]
                     tail_row += [row] * len(rare)
-                scores = mix_scores(code, tables.value, texts)
                 doc = np.array([0 if i is None else i for i in ids], np.int64)
                 null = np.array([i is None for i in ids], np.uint8)
-                rows = [(lot, 0, pack([doc, null, np.array(n_tokens, np.int64), np.array(n_known, np.int64), np.array(base), scores]))]
+                rows = [(-2 - lot, 0, pack([doc, null, np.array(n_tokens, np.int64), np.array(n_known, np.int64), np.array(base), np.array([len(t) for t in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8)]))]
                 h, r, times = _counted(_token_hash(tail), np.array(tail_row, np.int32))
                 rows += _grouped(h, groups, [h, np.full(len(h), lot, np.int64), r, times], 1)
-                yield _rows(rows)
+                rows += _requests(code, texts, [learns(i) for i in ids], groups)
+                out = _rows(rows)
+                yield out.append_column("lot", pa.array(np.full(len(rows), lot, np.int64)))
 
     return run
 
 
-def _tail_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per group of tokens: for each lot the sums of what its rows' rare tokens add."""
-    for rows, bounds in whole_groups(batches, ["grp"]):
-        kinds, blobs = rows.column("kind").to_numpy(), rows.column("blob")
-        for i, j in zip(bounds, [*bounds[1:], rows.num_rows], strict=True):
-            keys, counts = unpack_all([blobs[k].as_py() for k in range(int(i), int(j)) if kinds[k] == 0], [np.uint64, np.int64])
-            h, lot, row, times = unpack_all([blobs[k].as_py() for k in range(int(i), int(j)) if kinds[k] == 1], _TAIL)
-            if not len(h):
-                continue
-            n = np.zeros(len(h), np.int64)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                n = np.where(keys[at] == h, counts[at], 0)
-            order = np.lexsort((row, lot))
-            lot, row, n, times = lot[order], row[order], n[order], times[order]
-            starts = np.flatnonzero(np.r_[True, (lot[1:] != lot[:-1]) | (row[1:] != row[:-1])])
-            sums, seen = np.add.reduceat(np.log10(n + 1) * times, starts), np.add.reduceat((n > 0) * times, starts).astype(np.int64)
-            which, ends = split_points(lot[starts])
-            yield _rows([(int(g), 1, pack([row[starts[a:b]], sums[a:b], seen[a:b]])) for g, a, b in zip(which, ends[:-1], ends[1:], strict=True)])
-
-
-def _finish(train_tokens: int, types: int):
+def _tail_sums(counted: list[bytes], asked: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """For each lot the sums of what its rows' rare tokens of a hash range add."""
+    keys, counts = unpack_all(counted, [np.uint64, np.int64])
+    h, lot, row, times = unpack_all(asked, _TAIL)
+    if not len(h):
+        return
+    n = np.zeros(len(h), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        n = np.where(keys[at] == h, counts[at], 0)
+    order = np.lexsort((row, lot))
+    lot, row, n, times = lot[order], row[order], n[order], times[order]
+    starts = np.flatnonzero(np.r_[True, (lot[1:] != lot[:-1]) | (row[1:] != row[:-1])])
+    sums, seen = np.add.reduceat(np.log10(n + 1) * times, starts), np.add.reduceat((n > 0) * times, starts).astype(np.int64)
+    which, ends = split_points(lot[starts])
+    yield _rows([(int(g), 1, pack([row[starts[a:b]], sums[a:b], seen[a:b]])) for g, a, b in zip(which, ends[:-1], ends[1:], strict=True)])
+
+
+def _serve(code: Code):
+    """What each hash range adds to the lots. The lots' own rows, under negative numbers, pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in whole_groups(batches, ["grp"]):
+            group, kinds, lot, blobs = rows.column("grp").to_numpy(), rows.column("kind").to_numpy(), rows.column("lot").to_numpy(), rows.column("blob")
+            for i, j in zip(bounds, [*bounds[1:], rows.num_rows], strict=True):
+                if group[i] < 0:
+                    yield _rows([(int(lot[k]), 0, blobs[k].as_py()) for k in range(int(i), int(j))])
+                    continue
+                of = {kind: [k for k in range(int(i), int(j)) if kinds[k] == kind] for kind in (1, 2, _COUNTS)}
+                counted, tail, asked = ([blobs[k].as_py() for k in of[kind]] for kind in (_COUNTS, 1, 2))
+                yield from _tail_sums(counted, tail)
+                if asked:
+                    yield from _answers(code, int(group[i]), lot[of[2]].tolist(), asked)
+
+    return run
+
+
+def _finish(code: Code, train_tokens: int, types: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = math.log10(train_tokens + types + 1)
         for rows, bounds in whole_groups(batches, ["grp"]):
             kinds, blobs = rows.column("kind").to_numpy(), rows.column("blob")
             for i, j in zip(bounds, [*bounds[1:], rows.num_rows], strict=True):
-                doc, null, n_tokens, n_known, base, score = (a.copy() for a in unpack_all([blobs[k].as_py() for k in range(int(i), int(j)) if kinds[k] == 0], _DOC))
+                doc, null, n_tokens, n_known, base, size, raw = (a.copy() for a in unpack_all([blobs[k].as_py() for k in range(int(i), int(j)) if kinds[k] == 0], _DOC))
                 row, sums, seen = unpack_all([blobs[k].as_py() for k in range(int(i), int(j)) if kinds[k] == 1], _SUM)
+                by_range = sorted((int(kinds[k]), k) for k in range(int(i), int(j)) if kinds[k] >= _ANSWER)
+                answers = unpack_all([blobs[k].as_py() for _, k in by_range], [np.int8] * PREDICTORS)
+                ends, raw = np.cumsum(size), raw.tobytes()
+                score = mix_scores(code, answers, [raw[b - n : b] for b, n in zip(ends.tolist(), size.tolist(), strict=True)])
                 order = np.lexsort((sums, row))  # a fixed order of addition
                 np.add.at(base, row[order], sums[order])
                 np.add.at(n_known, row, seen)
@@ -475,15 +562,11 @@ def score_documents(docs: DataFrame, group_bytes: int = 8_000_000) -> DataFrame:
     code = Code(unpack(bytes(symbols["blob"]), [np.int64])[0] if symbols else np.zeros(257, np.int64))
     # fewer than HEAD tokens can have more than N / HEAD occurrences each
     head = counts.where("grp >= 0").select("blob").mapInArrow(_head(size["n"] // HEAD), "token long, n long").toPandas()
-    trained = texts.mapInArrow(_count_decisions(code), _BLOB).repartition("grp").sortWithinPartitions("grp").mapInArrow(_sum_tables, _BLOB)
-    tables = np.zeros((PREDICTORS * SLICES, (1 << TABLE_BITS) // SLICES), np.int8)
-    for r in trained.collect():  # PREDICTORS * SLICES rows of a fixed size
-        tables[r["grp"]] = unpack(bytes(r["blob"]), [np.int8])[0]
-    sent = spark.sparkContext.broadcast(tables.reshape(PREDICTORS, -1))
     often = spark.sparkContext.broadcast((head["token"].to_numpy().view(np.uint64), head["n"].to_numpy()))
-    scored = materialize(texts.mapInArrow(_score(code, sent, often, groups), _BLOB), "lm-scored")
-    tail = counts.where("grp >= 0").select("grp", "kind", "blob").unionByName(scored.where("kind = 1"))
-    sums = tail.repartition("grp").sortWithinPartitions("grp").mapInArrow(_tail_sums, _BLOB)
-    final = scored.where("kind = 0").unionByName(sums).repartition("grp").sortWithinPartitions("grp")
+    # a lot is known by its place in its partition of the scan, so a task that runs again gives it the same number
+    gathered = texts.mapInArrow(_gather(code, often, groups), f"{_BLOB}, lot long")
+    known = counts.where("grp >= 0").select("grp", F.lit(_COUNTS).alias("kind"), "blob", F.lit(-1).cast("long").alias("lot"))
+    served = gathered.unionByName(known).repartition("grp").sortWithinPartitions("grp").mapInArrow(_serve(code), _BLOB)
+    final = served.repartition("grp").sortWithinPartitions("grp")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return final.mapInArrow(_finish(size["n"], size["v"]), schema)
+    return final.mapInArrow(_finish(code, size["n"], size["v"]), schema)
