@@ -9,10 +9,10 @@ of letters outside ASCII that has occurred most so far in the text: it tells apa
 languages that share a script. The predictors' stretched probabilities are
 combined by weights: one of two sets, by whether the word's context is known (the
 gate). The weights are refined online, after every ``STEP`` decisions, by the
-gradient of the coding cost. A text of more than ``SEGMENT`` decisions starts anew
-with the first weights in each segment, so the score of a document depends on its
-text and the tables alone, not on what it is batched with. Inside a task, all
-segments of a lot advance side by side in NumPy.
+gradient of the coding cost, and carried through the whole text however long it is.
+Each text starts with the first weights, so the score of a document depends on its
+text and the counts alone, not on what it is batched with. Inside a task, all
+texts of a lot advance side by side in NumPy.
 
 Counts are kept for every pair of a context and its next symbol, by a key of 44
 hash bits of the context and 9 of the symbol (of 10**9 contexts one in 17,000 has
@@ -52,7 +52,7 @@ from lapframe.session import materialize
 
 SHORT, LONG, CLASSES = 3, 6, 8  # bytes of the contexts; buckets of letters
 PREDICTORS = 3
-STEP, SEGMENT = 32, 16_384
+STEP = 32
 FIRST_WEIGHTS, RATE = (0.4, 0.35, 0.45), 0.008
 SCALE = 16.0  # a prediction is sent as the stretched probability times this, as int8
 HEAD = 250_000
@@ -373,15 +373,10 @@ def mix_scores(code: Code, answers: list[np.ndarray], texts: list[bytes]) -> np.
     ends = np.cumsum(code.length[symbols])
     first = np.r_[0, ends[bounds[1:-1] - 1]]
     size = np.diff(np.r_[first, ends[-1]])
-    pieces = -(-size // SEGMENT)
-    owner = np.repeat(np.arange(len(texts)), pieces)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    start = first[owner] + nth * SEGMENT
-    count = np.minimum(size[owner] - nth * SEGMENT, SEGMENT)
-    order = np.argsort(-count, kind="stable")
+    order = np.argsort(-size, kind="stable")
     got = np.zeros(len(order))
-    got[order] = _advance(start[order], count[order], turn, inputs)
-    return np.bincount(owner, got, minlength=len(texts))
+    got[order] = _advance(first[order], size[order], turn, inputs)
+    return got
 
 
 def _along(code: Code, symbols: np.ndarray, source: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -391,38 +386,41 @@ def _along(code: Code, symbols: np.ndarray, source: np.ndarray, at: np.ndarray)
 
 
 def _advance(start: np.ndarray, count: np.ndarray, turn: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
-    """log10 probabilities of segments sorted by falling length; they step side by side, each with its own weights."""
+    """log10 probabilities of texts sorted by falling length; they step side by side, each with its own weights."""
     lanes = len(start)
     weights = np.tile(np.array(FIRST_WEIGHTS, np.float32)[None, :, None], (2, 1, lanes))
     total = np.zeros(lanes)
     within = np.arange(STEP)[:, None]
     last = len(turn) - 1
-    for t in range(0, int(count[0]) if lanes else 0, STEP):
-        live = int(np.searchsorted(-count, -t, side="left"))
+    x = np.empty((PREDICTORS, STEP, lanes), np.float32)
+    lives = np.searchsorted(-count, -np.arange(0, int(count[0]) if lanes else 0, STEP), side="left").tolist()
+    for nth, live in enumerate(lives):
+        t = nth * STEP
         spot = start[:live] + t + within
         ragged = count[live - 1] < t + STEP
         if ragged:
             spot = np.minimum(spot, last)
-        x = [np.take(one, spot).astype(np.float32) * np.float32(1 / SCALE) for one in inputs]
+        if x.shape[2] != live:
+            x = np.empty((PREDICTORS, STEP, live), np.float32)
+        for k, one in enumerate(inputs):
+            x[k] = one[spot]
+        x *= np.float32(1 / SCALE)
         known = x[-1] != 0
         w = weights[:, :, :live]
-        logit = np.where(known, w[1, 0], w[0, 0]) * x[0]
-        for k in range(1, PREDICTORS):
-            logit += np.where(known, w[1, k], w[0, k]) * x[k]
+        logit = (np.where(known, w[1, :, None], w[0, :, None]) * x).sum(axis=0)
         np.clip(logit, -8, 8, out=logit)
-        one = np.take(turn, spot).astype(np.float32)
+        one = turn[spot].astype(np.float32)
         p = np.float32(1) / (np.float32(1) + np.exp(-logit))
-        hit = np.abs(one + p - np.float32(1))
-        error = (one - p) * np.float32(RATE)
+        error = one - p
+        hit = np.float32(1) - np.abs(error)
+        error *= np.float32(RATE)
         if ragged:
             gone = t + within >= count[:live]
             hit[gone], error[gone] = 1, 0
-        total[:live] += np.log10(np.prod(hit, axis=0, dtype=np.float64))
+        total[:live] += np.log10(hit.prod(axis=0, dtype=np.float64))
         of_known = error * known
-        of_other = error - of_known
-        for k in range(PREDICTORS):
-            w[1, k] += (of_known * x[k]).sum(axis=0)
-            w[0, k] += (of_other * x[k]).sum(axis=0)
+        w[1] += (of_known * x).sum(axis=1)
+        w[0] += ((error - of_known) * x).sum(axis=1)
     return total
 
 

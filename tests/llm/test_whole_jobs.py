@@ -74,3 +74,12 @@ def test_op10_counts_are_exact(spark):
     got = {r["doc_id"]: r["score"] for r in context_mixing.score_documents(docs, group_bytes=50_000).collect()}
     for d, score in _plain_scores(texts, list(range(12))).items():
         assert got[d] == pytest.approx(score, rel=1e-4)
+
+
+def test_op10_carries_weights_through_a_long_text(spark):
+    """A text of over 100,000 decisions learns all the way: its score is the plain model's."""
+    texts = _texts(40, 60) | {100: b" ".join(_texts(1, 4000).values())}
+    docs = spark.createDataFrame([(d, t.decode()) for d, t in texts.items()], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in context_mixing.score_documents(docs).collect()}
+    for d, score in _plain_scores(texts, [100, 1, 2]).items():
+        assert got[d] == pytest.approx(score, rel=1e-4)
