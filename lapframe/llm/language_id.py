@@ -15,8 +15,10 @@ grouped in a shuffle; what is collected has one row per piece range.
 In a task, the distinct words of a lot are segmented side by side in NumPy, by
 length, and kept for the next lots; texts are whole, and only letters count.
 
-Defined cases: ``und`` with score 0 if the text is null or has no letter; a run
-of more than 32 letters is scored as runs of 32; ties go to the language first
+Sums over long runs of letters are scaled, per word and language, every ``BLOCK``
+letters. Pieces are as long as the vocabulary has them.
+
+Defined cases: ``und`` with score 0 if the text is null or has no letter; ties go to the language first
 in code-point order; repeated rows and null doc_ids are predicted like any
 other (a null doc_id counts as the empty text in the hold-out rule); with no
 labelled row in training every answer is ``und``; other columns are not read.
@@ -42,7 +44,8 @@ from lapframe.llm.packing import pack, unpack
 from lapframe.session import materialize
 
 MARK = "▁"
-LONGEST_PIECE, LONGEST_WORD = 8, 32
+BLOCK = 16  # letters between scalings; more if pieces are longer
+CELLS = 400_000  # letters of words segmented at once
 FILTER_BITS, SLICES = 22, 16
 LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x100000001B3)
@@ -53,17 +56,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def words_in(text: str) -> list[str]:
-    found = LETTERS.findall(text.lower())
-    if found and len(max(found, key=len)) > LONGEST_WORD:
-        found = [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
-    return found
+    return LETTERS.findall(text.lower())
 
 
 class Pieces:
     """The vocabulary: hashes of pieces, sorted; a piece's number is its place, and one more stands for unknown letters."""
 
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
+    def __init__(self, keys: np.ndarray, longest: int):
+        self.keys, self.longest = keys, longest
         self.maybe = np.zeros(1 << FILTER_BITS, bool)
         self.maybe[keys >> np.uint64(64 - FILTER_BITS)] = True
         self.unknown = len(keys)
@@ -72,8 +72,8 @@ class Pieces:
     def load(cls, path: str) -> Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         usable = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-        lower = {p.lower() for p in usable}
-        return cls(np.unique(np.array([cls.key(p) for p in lower if len(p) <= LONGEST_PIECE and LETTERS.fullmatch(p.lstrip(MARK) or "x")], np.uint64)))
+        lower = {p for p in (p.lower() for p in usable) if LETTERS.fullmatch(p.lstrip(MARK) or "x")}
+        return cls(np.unique(np.array([cls.key(p) for p in lower], np.uint64)), max(map(len, lower)))
 
     @staticmethod
     def key(piece: str) -> int:
@@ -82,47 +82,76 @@ class Pieces:
             h = h * _BASE + np.uint64(ord(c) + 1)
         return int(mix64(h)[0])
 
-    def edges(self, words: list[str]) -> list[tuple[int, int, np.ndarray]]:
-        """For words of one length: (start, end, piece of each word or -1), in order of the end."""
+    def edges(self, words: list[str]) -> Edges:
+        """The pieces of words of one length."""
         n = len(words[0]) + 1
-        code = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64) + np.uint64(1)
-        found: dict[tuple[int, int], np.ndarray] = {}
-        for i in range(n):
-            h = np.zeros(len(words), np.uint64)
-            for j in range(i + 1, min(n, i + LONGEST_PIECE) + 1):
-                h = h * _BASE + code[:, j - 1]
-                key = mix64(h)
-                hits = np.flatnonzero(self.maybe[key >> np.uint64(64 - FILTER_BITS)])
-                piece = np.full(len(words), -1, np.int64)
-                if len(hits):
-                    at = np.minimum(np.searchsorted(self.keys, key[hits]), len(self.keys) - 1)
-                    good = self.keys[at] == key[hits]
-                    piece[hits[good]] = at[good]
-                if j == i + 1:
-                    piece[piece < 0] = self.unknown
-                if (piece >= 0).any():
-                    found[j, i] = piece
-        return [(i, j, p) for (j, i), p in sorted(found.items())]
-
-
-def forward(edges: list, n: int, probs: np.ndarray) -> list[np.ndarray]:
-    """Sums over all segmentations of each prefix: one (words, languages) array per position. ``probs`` ends in a row of zeros."""
-    words = len(edges[0][2])
-    alpha = [np.zeros((words, probs.shape[1])) for _ in range(n + 1)]
-    alpha[0] += 1
-    for i, j, piece in edges:
-        alpha[j] += alpha[i] * probs[piece]
-    return alpha
-
-
-def expected_counts(edges: list, n: int, probs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        code = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), n).T.astype(np.uint64) + np.uint64(1)
+        h = np.zeros_like(code)
+        found = []
+        for size in range(1, min(n, self.longest) + 1):
+            h = h[: n - size + 1] * _BASE + code[size - 1 :]
+            key = mix64(h.ravel())
+            hits = np.flatnonzero(self.maybe[key >> np.uint64(64 - FILTER_BITS)])
+            piece = np.full(len(key), self.unknown if size == 1 else -1, np.int32)
+            if len(hits):
+                at = np.minimum(np.searchsorted(self.keys, key[hits]), len(self.keys) - 1)
+                good = self.keys[at] == key[hits]
+                piece[hits[good]] = at[good]
+            found.append(piece.reshape(h.shape))
+        return Edges(found, max(BLOCK, self.longest))
+
+
+class Edges:
+    """(start, end, piece of each word or -1, whether the end lies in a later block), in order of the end."""
+
+    def __init__(self, found: list[np.ndarray], block: int):
+        self.found, self.block, self.words = found, block, found[0].shape[1]
+        spots = [np.flatnonzero((piece >= 0).any(axis=1)) for piece in found]
+        start = np.concatenate(spots)
+        end = start + np.repeat(np.arange(1, len(found) + 1), [len(x) for x in spots])
+        order = np.lexsort((start, end))
+        self.start, self.end = start[order], end[order]
+
+    def _at(self, k: int) -> tuple[int, int, np.ndarray, bool]:
+        i, j = int(self.start[k]), int(self.end[k])
+        return i, j, self.found[j - i - 1][i], i // self.block != j // self.block
+
+    def __iter__(self):
+        return (self._at(k) for k in range(len(self.end)))
+
+    def __reversed__(self):
+        return (self._at(k) for k in range(len(self.end) - 1, -1, -1))
+
+
+def forward(edges: Edges, n: int, probs: np.ndarray, keep: bool = True) -> tuple[dict[int, np.ndarray], list[np.ndarray], np.ndarray]:
+    """Sums over all segmentations of each prefix, one (words, languages) array per position; the factor at which each block
+    of positions is scaled up against the block before; and the logarithm of the sums over whole words. ``probs`` ends in a
+    row of zeros. Without ``keep`` only the positions that pieces still reach back to are held."""
+    shape = (edges.words, probs.shape[1])
+    alpha, factors, log_scale = {0: np.ones(shape)}, [np.ones(shape)], np.zeros(shape)
+    for i, j, piece, crosses in edges:
+        if j not in alpha:
+            alpha[j] = np.zeros(shape)
+            if j % edges.block == 0:  # all that reaches over this place starts in the block before
+                factors.append(1 / np.maximum(np.max([alpha[k] for k in range(j - edges.block, j)], axis=0), 1e-300))
+                log_scale -= np.log(factors[-1])
+            if not keep:
+                alpha.pop(j - 2 * edges.block, None)
+        step = alpha[i] * probs[piece]
+        alpha[j] += step * factors[j // edges.block] if crosses else step
+    return alpha, factors, np.log(np.maximum(alpha[n], 1e-300)) + log_scale
+
+
+def expected_counts(edges: Edges, n: int, probs: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Expected uses of each piece, given how often each word occurs in each language."""
-    alpha = forward(edges, n, probs)
-    beta = [np.zeros_like(alpha[0]) for _ in range(n + 1)]
+    alpha, factors, _ = forward(edges, n, probs)
+    beta: dict[int, np.ndarray] = defaultdict(lambda: np.zeros_like(alpha[0]))
     beta[n] += counts / np.maximum(alpha[n], 1e-300)
     out = np.zeros_like(probs)
-    for i, j, piece in reversed(edges):
+    for i, j, piece, crosses in reversed(edges):
         step = probs[piece] * beta[j]
+        if crosses:
+            step *= factors[j // edges.block]
         beta[i] += step
         used = alpha[i] * step
         for k in range(probs.shape[1]):
@@ -136,8 +165,8 @@ def by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray, list[str]]]:
     for k, w in enumerate(words):
         groups[len(w)].append(k)
     for n, rows in groups.items():
-        for a in range(0, len(rows), 20_000):
-            part = rows[a : a + 20_000]
+        for a in range(0, len(rows), many := max(1, CELLS // (n + 1))):
+            part = rows[a : a + many]
             yield n + 1, np.array(part), [words[k] for k in part]
 
 
@@ -153,7 +182,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _expect(pieces, probs: np.ndarray, langs: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, total = Pieces(pieces.value), np.zeros_like(probs)
+        vocabulary, total = Pieces(*pieces.value), np.zeros_like(probs)
         place = {lang: k for k, lang in enumerate(langs)}
         for batch in batches:
             number: dict[str, int] = {}
@@ -184,36 +213,37 @@ def normalised(counts: np.ndarray) -> np.ndarray:
 
 
 class LanguageModel:
-    def __init__(self, langs: list[str], keys: np.ndarray, probs: np.ndarray):
-        self.langs, self.keys, self.probs = langs, keys, probs
+    def __init__(self, langs: list[str], pieces: Pieces, probs: np.ndarray):
+        self.langs, self.pieces, self.probs = langs, (pieces.keys, pieces.longest), probs
 
 
 def train(docs: DataFrame, vocabulary_path: str, rows_per_lang: int = 5_000, rounds: int = 3) -> LanguageModel:
     """Learn from ``text`` and non-null ``lang`` of the rows that are not held out."""
     spark = docs.sparkSession
-    keys = Pieces.load(vocabulary_path).keys
+    pieces = Pieces.load(vocabulary_path)
+    keys = pieces.keys
     rows = docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", text_of().alias("text"), F.col("lang").cast("string").alias("lang"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     langs = sorted(sizes)
     if not langs:
-        return LanguageModel([], keys, np.zeros((len(keys) + 2, 0)))
+        return LanguageModel([], pieces, np.zeros((len(keys) + 2, 0)))
     share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, rows_per_lang / n))) for x, n in sizes.items()])
     sample = rows.where(uniform(F.col("doc_id")) < share)
     counted = sample.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long")
     counted = materialize(counted.groupBy("word", "lang").agg(F.sum("n").alias("n")).repartition("word"), "langid-words")
-    sent = spark.sparkContext.broadcast(keys)
+    sent = spark.sparkContext.broadcast((keys, pieces.longest))
     probs = normalised(np.zeros((len(keys) + 2, len(langs))))
     for _ in range(rounds):
         summed = counted.mapInArrow(_expect(sent, probs, langs), "slice int, blob binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(_add_up, "slice int, blob binary")
         parts = {r["slice"]: unpack(bytes(r["blob"]), [np.float64])[0] for r in summed.collect()}  # SLICES rows
         if parts:
             probs = normalised(np.concatenate([parts[k].reshape(-1, len(langs)) for k in range(SLICES)]))
-    return LanguageModel(langs, keys, probs)
+    return LanguageModel(langs, pieces, probs)
 
 
-def _predict(keys, probs, langs: list[str]):
+def _predict(pieces, probs, langs: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, table = Pieces(keys.value), probs.value
+        vocabulary, table = Pieces(*pieces.value), probs.value
         number: dict[str, int] = {}
         known = np.empty((0, len(langs)))
         for batch in batches:
@@ -226,7 +256,7 @@ def _predict(keys, probs, langs: list[str]):
                 if fresh:
                     got = np.empty((len(fresh), len(langs)))
                     for n, at, words in by_length(fresh):
-                        got[at] = np.log(np.maximum(forward(vocabulary.edges(words), n, table)[n], 1e-300))
+                        got[at] = forward(vocabulary.edges(words), n, table, keep=False)[2]
                     known = np.concatenate([known, got])
                 sizes = np.array([len(w) for w in per_text])
                 logp = np.zeros((len(texts), len(langs)))
@@ -249,6 +279,6 @@ def _predict(keys, probs, langs: list[str]):
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row; only doc_id (for held_out) and text are read."""
     context = docs.sparkSession.sparkContext
-    keys, probs = context.broadcast(model.keys), context.broadcast(model.probs)
+    pieces, probs = context.broadcast(model.pieces), context.broadcast(model.probs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return texts.mapInArrow(_predict(keys, probs, model.langs), "doc_id long, held_out boolean, lang_pred string, score double")
+    return texts.mapInArrow(_predict(pieces, probs, model.langs), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -7,9 +7,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from lapframe.llm import context_mixing
+from lapframe.llm import context_mixing, language_id
 
 
 def _contexts(raw: bytes):
@@ -83,3 +84,29 @@ def test_op10_carries_weights_through_a_long_text(spark):
     got = {r["doc_id"]: r["score"] for r in context_mixing.score_documents(docs).collect()}
     for d, score in _plain_scores(texts, [100, 1, 2]).items():
         assert got[d] == pytest.approx(score, rel=1e-4)
+
+
+def test_op1_sums_over_all_segmentations():
+    """Long pieces count, and a long run of letters is one word: sums are those of a plain forward pass in logarithms."""
+    vocabulary = language_id.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    number = {int(k): i for i, k in enumerate(vocabulary.keys)}
+    probs = np.random.default_rng(5).random((len(vocabulary.keys) + 2, 3)) ** 9
+    probs[-1] = 0
+    probs /= probs.sum(axis=0)
+    for word in ("consumption", "septembre", "x", "verantwortung" * 9, "漢字仮名交じり文" * 60):
+        marked = language_id.MARK + word
+        log = [np.zeros(3)]
+        for j in range(1, len(marked) + 1):
+            ways = []
+            for i in range(max(0, j - 40), j):
+                piece = number.get(language_id.Pieces.key(marked[i:j]), vocabulary.unknown if j == i + 1 else None)
+                if piece is not None:
+                    ways.append(log[i] + np.log(probs[piece]))
+            log.append(np.logaddexp.reduce(ways))
+        assert language_id.words_in(word) == [word]
+        edges = vocabulary.edges([word, word])
+        assert language_id.forward(edges, len(marked), probs)[2] == pytest.approx(np.array([log[-1]] * 2), rel=1e-9)
+        assert language_id.forward(edges, len(marked), probs, keep=False)[2] == pytest.approx(np.array([log[-1]] * 2), rel=1e-9)
+        used = language_id.expected_counts(edges, len(marked), probs, np.ones((2, 3)))
+        size = {i: n for n in range(1, len(edges.found) + 1) for i in edges.found[n - 1][edges.found[n - 1] >= 0].ravel().tolist()}
+        assert sum(used[i] * n for i, n in size.items()) == pytest.approx(np.full(3, 2 * len(marked)), rel=1e-6)
