@@ -6,10 +6,13 @@ rule, a cutoff on a fixed grid (steps of 0.001 from 0.02 on) is tested against "
 the good documents lie above it" with the exact binomial tail. Cutoffs of one
 rule are tested from the most lenient on (the tail is monotone, so a fixed
 sequence needs no correction inside), and strata x rules share ``delta`` by
-Bonferroni. The strictest cutoff that holds is used; where none holds (too few
-labels), the rule rejects nothing in that stratum. With probability of at least
-1 - ``delta``, no stratum loses more than ``risk`` of its good documents to the
-five rules together. Labels are read from all labelled documents.
+Bonferroni. The strictest cutoff that holds is used. Strata with too few good
+labels for any cutoff to hold are tested as one, the pool, in place of each alone
+(so there are no more tests than strata x rules); its cutoffs also serve strata
+without labels. Where even the pool has too few, the rules reject nothing there.
+With probability of at least 1 - ``delta``, no stratum with cutoffs of its own, nor
+the pool as a whole, loses more than ``risk`` of its good documents to the five
+rules together. Labels are read from all labelled documents.
 
 Everything is arrays inside the row plus one small aggregate; words never leave
 their row, so neither a very long text nor a hot source needs care.
@@ -23,6 +26,7 @@ or no rows work; other columns are not read. 8-word windows are compared by a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -110,17 +114,21 @@ def log_binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float, delta: float, strata: int | None = None) -> DataFrame:
-    """stratum, rule, cutoff (a ratio above it is rejected), n_good, n_lost: at most one row per stratum and rule."""
+    """stratum (null: the pool), rule, cutoff (a ratio above it is rejected), n_good, n_lost: at most one row per stratum and rule."""
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     own = measured.join(good, "doc_id", "left_semi")
     stacked = own.select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.greatest(F.ceil(F.col(r) * GRID), F.lit(int(LEAST_CUTOFF * GRID))).cast("int").alias("cell")) for r in RULES])).alias("x")).select("stratum", "x.*")
     cells = stacked.groupBy("stratum", "rule", "cell").agg(F.count(F.lit(1)).alias("n"))
     per = Window.partitionBy("stratum", "rule")
+    share = risk / len(RULES)
+    tests = F.size(F.collect_set("stratum").over(Window.partitionBy())) * len(RULES) if strata is None else F.lit(strata * len(RULES))
+    sized = cells.withColumn("tests", tests).withColumn("n_good", F.sum("n").over(per))
+    # even with none lost, so few good documents never pass: known from their number alone, so pooling them leaves the tests exact
+    small = F.col("n_good") * math.log1p(-share) > F.log(F.lit(delta) / F.col("tests"))
+    pooled = sized.withColumn("stratum", F.when(~small, F.col("stratum"))).groupBy("stratum", "rule", "cell").agg(F.sum("n").alias("n"), F.first("tests").alias("tests"))
     # lost to a cutoff at this cell: the good documents in the cells above it
     above = F.coalesce(F.sum("n").over(per.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    tests = F.size(F.collect_set("stratum").over(Window.partitionBy())) * len(RULES) if strata is None else F.lit(strata * len(RULES))
-    tested = cells.withColumn("n_lost", above).withColumn("n_good", F.sum("n").over(per)).withColumn("tests", tests)
-    share = risk / len(RULES)
+    tested = pooled.withColumn("n_lost", above).withColumn("n_good", F.sum("n").over(per))
     worth = F.col("n_lost") <= F.col("n_good") * share  # more lost than that never passes; spares the sum
     tail = F.when(worth, log_binomial_tail(F.col("n_lost"), F.col("n_good"), share))
     passed = tested.withColumn("log_tail", tail).where(F.col("log_tail") <= F.log(F.lit(delta) / F.col("tests")))
@@ -131,8 +139,11 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float =
     """doc_id, n_words and the four counts, base_failed, kept for every row, with the stratum and the ratios."""
     measured = materialize(measures(docs), "quality-measures")
     limits = cutoffs(measured, labels, risk, delta).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
-    limits = limits.withColumnsRenamed({r: f"max_{r}" for r in RULES})
-    judged = measured.join(limits, "stratum", "left")
+    limits = materialize(limits, "quality-limits")
+    own = limits.where(F.col("stratum").isNotNull()).select("stratum", F.lit(True).alias("own"), *[F.col(r).alias(f"own_{r}") for r in RULES])
+    pool = limits.where(F.col("stratum").isNull()).agg(*[F.max(r).alias(f"pool_{r}") for r in RULES])
+    judged = measured.join(own, "stratum", "left").crossJoin(F.broadcast(pool))  # one row
+    judged = judged.withColumns({f"max_{r}": F.when(F.col("own"), F.col(f"own_{r}")).otherwise(F.col(f"pool_{r}")) for r in RULES})
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     over = F.lit(False)
     for r in RULES:

@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from lapframe.llm import context_mixing, language_id
+from lapframe.llm import context_mixing, language_id, quality_rules
 
 
 def _contexts(raw: bytes):
@@ -110,3 +110,13 @@ def test_op1_sums_over_all_segmentations():
         used = language_id.expected_counts(edges, len(marked), probs, np.ones((2, 3)))
         size = {i: n for n in range(1, len(edges.found) + 1) for i in edges.found[n - 1][edges.found[n - 1] >= 0].ravel().tolist()}
         assert sum(used[i] * n for i, n in size.items()) == pytest.approx(np.full(3, 2 * len(marked)), rel=1e-6)
+
+
+def test_op5_small_strata_share_cutoffs(spark):
+    """Two strata with too few labels each, and one without any, get the cutoffs of the pool; a large one keeps its own."""
+    words = " ".join(f"word{k}" for k in range(25))
+    rows = [(k, words, "aa" if k % 2 else "bb") for k in range(1400)] + [(2000 + k, words, "big") for k in range(1500)]
+    rows += [(9000 + k, words.replace("d1", "d1 #### ####"), lang) for k, lang in enumerate(["aa", "bb", "cc", "big"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, 1) for d, *_ in rows if d < 9000], "doc_id long, quality int")
+    assert {r["doc_id"] for r in quality_rules.judge(docs, labels).where("not kept").collect()} == {9000, 9001, 9002, 9003}
