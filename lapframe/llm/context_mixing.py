@@ -1,31 +1,38 @@
 """Language-model scoring by online logistic context mixing.
 
-A text is a sequence of binary decisions: each byte, and the end, by its Huffman
-code over the training bytes. Three predictors look up hashed contexts, each with
-the node of the code, in counts of zeros and ones gathered from all training
-documents: the last three bytes with the text's class, the last six
-bytes, and the current word's beginning with the class. The class is the bucket
-of letters outside ASCII that has occurred most so far in the text: it tells apart
-languages that share a script. The predictors' stretched probabilities are
-combined by weights: one of two sets, by whether the word's context is known (the
-gate). The weights are refined online, after every ``STEP`` decisions, by the
-gradient of the coding cost, and carried through the whole text however long it is.
-Each text starts with the first weights, so the score of a document depends on its
-text and the counts alone, not on what it is batched with. Inside a task, all
-texts of a lot advance side by side in NumPy.
-
-Counts are kept for every pair of a context and its next symbol, by a key of 44
-hash bits of the context and 9 of the symbol (of 10**9 contexts one in 17,000 has
-the bits of another), so they grow with the corpus. Each lot sends its distinct pairs, with their uses in training, to
-their hash range; that sums them over all lots and sends each lot the predictions
-along the code of each of its pairs. Symbols are numbered in the order of their
-codes, so the counts at a node are sums over neighbouring pairs. The base score needs exact counts of
-all training tokens: they are grouped by hash range. Tokens with more than
-N / HEAD occurrences (so fewer than HEAD of them) are broadcast; the other tokens
-of each document go to their hash range and come back as sums, so a frequent
-token is no hot group. Tokens are known by 64-bit hashes.
-
-Defined cases: a null text is empty and scores its end alone; a null doc_id
+A text is a sequence of words; one space between words goes without saying, other
+white space is a word of its own, and an end closes the text. The frequent words
+of the training documents (``HEAD`` at most) have a Huffman code by their counts. Any
+other word is an escape in that code and then its bytes, by a second Huffman code,
+closed by an end. So a text is a sequence of binary decisions from which it can be
+read back, and the score is the model's probability of the whole text.
+
+Three predictors look up hashed contexts of each decision, each with the node of
+the code. For words: the text's class; the class and the first ten bits of the
+last word's code (for the first ten bits of this one's); the last two words. For
+spelled bytes: the last byte with the class; the last three; the last five bytes
+of the word. The class of a text is the bucket of its commonest two-byte letter,
+told first at the cost of one of nine: it tells apart languages that share a
+script. The stretched probabilities are combined by weights from one of four sets
+(the gate): by word or byte, and whether the longest context is known. The
+weights are refined online, after every ``STEP`` decisions, by the gradient of
+the coding cost, and carried through the whole text however long it is. Each text
+starts with the same weights, so the score of a document depends on its text and the
+counts alone, not on what it is batched with. Inside a task, all texts of a lot
+advance side by side in NumPy.
+
+Counts are exact, kept for every pair of a context and its next symbol and over
+all training documents, so they grow with the corpus (as do the bits of a
+context's hash). Each lot sends its distinct pairs, with their uses in training,
+to their hash range; that sums them over all lots and sends each lot the
+predictions along the code of each of its pairs. A lot has a pair once, and the
+symbols of a context are few (1,024 where it is short), so a frequent context is no hot group.
+
+The base score needs exact counts of all training tokens: they are grouped by hash
+range. Frequent tokens (``HEAD`` at most) are broadcast; the other tokens
+of each document go to their hash range and come back as sums. Tokens are known by 64-bit hashes.
+
+Defined cases: a null text is empty and scores its class and end alone; a null doc_id
 counts as the empty text in the hold-out rule; repeated rows are scored each,
 and count each in training; without training documents all counts are 0; other
 columns are not read; no rows give no rows.
@@ -33,10 +40,11 @@ columns are not read; no rows give no rows.
 
 from __future__ import annotations
 
-import heapq
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,176 +53,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lapframe.llm.bit_model import CLASSES, END_OF_WORD, FAMILIES, RANK_BITS, Code, Model, Symbols, classes_of, contexts, distinct_pairs, mix_scores, predictions
 from lapframe.llm.common import id_crc, text_of
-from lapframe.llm.grouping import whole_groups
+from lapframe.llm.jaccard_join import mix64
 from lapframe.llm.packing import gather_runs, pack, split_points, steps, unpack, unpack_all
+from lapframe.llm.suffix_dedup import blob_groups
 from lapframe.session import materialize
 
-SHORT, LONG, CLASSES = 3, 6, 8  # bytes of the contexts; buckets of letters
-PREDICTORS = 3
-STEP = 32
-FIRST_WEIGHTS, RATE = (0.4, 0.35, 0.45), 0.008
-SCALE = 16.0  # a prediction is sent as the stretched probability times this, as int8
-HEAD = 250_000
-END = 256
-_LOT, _OWN_LOT = 2_000_000, 4_000_000  # bytes; larger lots send fewer pairs
+HEAD = 1 << 17
+_LOT = 6_000_000  # bytes; larger lots send fewer pairs
+_KNOWN_WORDS, _COUNTED_WORDS = 300_000, 400_000  # kept by a worker
+_WORDS = re.compile(rb"[^ \t-\r]+|(?: (?=[ \t-\r])|[\t-\r])[ \t-\r]*")  # not the single space between two words
 _END_TOKEN = b" "  # no word can be this: the key of the end token
+_SPACE, _BASE_ONLY = 0xFFFF, 0xFFFE  # tags: white space, which the base score does not count; the end token, which the model has apart
 _BLOB = "grp long, kind int, blob binary"
-_COUNTS, _ANSWER = 3, 16  # kinds: counts of tokens; this plus a hash range, what the range answers
-
-
-# --- the code and the contexts ---------------------------------------------------------------
-
-
-class Code:
-    """A Huffman code of the 256 bytes and the end: per symbol the nodes passed and the turns taken."""
-
-    def __init__(self, counts: np.ndarray):
-        heap = [(int(c) + 1, i, i) for i, c in enumerate(counts)]
-        heapq.heapify(heap)
-        up: dict[int, tuple[int, int]] = {}
-        for node in range(len(counts), 2 * len(counts) - 1):
-            (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-            up[x], up[y] = (node, 0), (node, 1)
-            heapq.heappush(heap, (a + b, node, node))
-        turns, self.length = [], np.zeros(len(counts), np.int64)
-        for symbol in range(len(counts)):
-            path, at = [], symbol
-            while at in up:
-                at, turn = up[at]
-                path.append(turn)
-            self.length[symbol] = len(path)
-            turns.append(path[::-1])
-        self.start = np.cumsum(self.length) - self.length
-        self.turn = np.array([t for path in turns for t in path], np.int8)
-        self.in_order = np.array(sorted(range(len(counts)), key=turns.__getitem__), np.int64)
-        self.rank = np.empty(len(counts), np.uint64)
-        self.rank[self.in_order] = np.arange(len(counts), dtype=np.uint64)
-        # turns that the codes of two ranks, the smaller one first, have in common: the least of what neighbours between them have
-        near = [next(k for k, (x, y) in enumerate(zip(turns[a], turns[b], strict=False)) if x != y) for a, b in zip(self.in_order[:-1], self.in_order[1:], strict=True)]
-        self.common = np.zeros((len(counts), len(counts)), np.int32)
-        for k in range(len(near)):
-            self.common[k, k + 1 :] = np.minimum.accumulate(near[k:])
-
-
-def symbols_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of the texts with an end after each, and where each text starts (with the total)."""
-    size = np.array([len(t) + 1 for t in texts], np.int64)
-    bounds = np.r_[0, np.cumsum(size)]
-    out = np.empty(bounds[-1], np.uint16)
-    is_end = np.zeros(bounds[-1], bool)
-    is_end[bounds[1:] - 1] = True
-    out[is_end], out[~is_end] = END, np.frombuffer(b"".join(texts), np.uint8)
-    return out, bounds
-
-
-def classes(symbols: np.ndarray, bounds: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Before each symbol: the bucket of two-byte letters seen most so far in its text, from 1 (the first of equals); 0 before any."""
-    letter = np.zeros(len(symbols), bool)
-    letter[1:] = (symbols[1:] >= 128) & (symbols[1:] < 192) & (symbols[:-1] >= 192) & (symbols[:-1] < 256) & (place[1:] > 0)
-    at = np.flatnonzero(letter)
-    upto = np.cumsum(letter) - letter  # letters before each symbol
-    before_text = upto[bounds[:-1]]
-    counts = np.zeros((len(at) + 1, CLASSES), np.int32)
-    counts[np.arange(1, len(at) + 1), (symbols[at].astype(np.int64) * 7 + symbols[at - 1].astype(np.int64) * 13) % CLASSES] = 1
-    counts = np.cumsum(counts, axis=0)
-    of_text = np.searchsorted(bounds, at, side="right") - 1
-    best = np.r_[0, (counts[1:] - counts[before_text[of_text]]).argmax(axis=1) + 1].astype(np.uint32)
-    return np.where(upto > np.repeat(before_text, np.diff(bounds)), best[upto], np.uint32(0))
-
-
-_BASE = 0x9E3779B97F4A7C15
-_UP, _DOWN = np.empty(0, np.uint64), np.empty(0, np.uint64)
-
-
-class _Stretches:
-    """Hashes of any stretches of a series of symbols, from one running polynomial sum."""
-
-    def __init__(self, symbols: np.ndarray):
-        global _UP, _DOWN
-        n = len(symbols)
-        if len(_UP) <= n:
-            _UP, _DOWN = (np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)], dtype=np.uint64) for base in (_BASE, pow(_BASE, -1, 2**64)))
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_SYMBOLS[symbols] * _UP[:n], out=self.sums[1:], dtype=np.uint64)
-
-    def before(self, start: np.ndarray) -> np.ndarray:
-        """For each symbol: what stands from ``start`` up to it."""
-        return (self.sums[:-1] - self.sums[start]) * _DOWN[start]
-
-
-def contexts(symbols: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
-    """One 64-bit hash per predictor and symbol; nothing before the text's start is seen."""
-    n = len(symbols)
-    here = np.arange(n, dtype=np.int64)
-    opens = np.repeat(bounds[:-1], np.diff(bounds))
-    of_class = classes(symbols, bounds, here - opens).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    stretch = _Stretches(symbols)
-    yield _scramble(_scramble(stretch.before(np.maximum(here - SHORT, opens)) + np.uint64(1)) + of_class + np.uint64(0x778))
-    yield _scramble(stretch.before(np.maximum(here - LONG, opens)) + np.uint64(2))
-    breaks = (symbols == 32) | ((symbols >= 9) & (symbols <= 13))
-    begin = np.zeros(n, np.int64)
-    begin[1:] = np.where(breaks[:-1], here[1:], 0)
-    begin = np.maximum(np.maximum.accumulate(begin), opens)  # where the current word starts
-    yield _scramble(_scramble(stretch.before(begin) + np.uint64(3)) + of_class + np.uint64(0x777))
-
-
-def _scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-_SYMBOLS = _scramble(np.arange(1, 258, dtype=np.uint64) * np.uint64(0x01000193))
-_NINE = np.uint64(9)
-_PAIRS = [np.uint64, np.uint16, np.uint16, np.uint32]  # steps of the contexts, symbols of each, ranks, uses
-
-
-def distinct_pairs(code: Code, symbols: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys of the distinct pairs of a context and the rank of the next symbol; the symbols' places in the order of their keys, and where each key's start."""
-    key = (context >> np.uint64(20) << _NINE) | code.rank[symbols]
-    order = np.argsort(key)
-    key = key[order]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    return key[starts], order, starts
-
-
-def predictions(code: Code, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Along the code of each of the sorted, distinct pairs, used ``n`` times: the stretched probabilities of a one; and where each pair's start.
-
-    The uses under a node are those of neighbouring pairs, as far as their context and the turns up to the node agree.
-    """
-    context, rank = keys >> _NINE, (keys & np.uint64(511)).astype(np.int64)
-    symbol = code.in_order[rank]
-    length = code.length[symbol]
-    start = np.cumsum(length) - length
-    out = np.zeros(int(length.sum()), np.int8)
-    common = np.full(len(keys), -1, np.int32)
-    same = np.flatnonzero(context[1:] == context[:-1]) + 1
-    common[same] = code.common[rank[same - 1], rank[same]]
-    live, here = np.arange(len(keys)), None
-    uses = n.astype(np.float64)
-    level = 0
-    while len(live):  # a pair whose code has ended leaves; its neighbours share fewer turns than that with it
-        if here is None:
-            here = _run_sums(common[live] < level, uses[live])
-        below = _run_sums(common[live] <= level, uses[live])
-        turn = code.turn[code.start[symbol[live]] + level]
-        other = here - below
-        stretched = np.log((below + 0.2) / (other + 0.2)) * SCALE
-        out[start[live] + level] = np.rint(np.clip(np.where(turn == 1, stretched, -stretched), -127, 127))
-        level += 1
-        stays = length[live] > level
-        live, here = live[stays], below[stays]
-    return out, start
-
-
-def _run_sums(opens: np.ndarray, n: np.ndarray) -> np.ndarray:
-    starts = np.flatnonzero(opens)
-    return np.repeat(np.add.reduceat(n, starts), np.diff(np.r_[starts, len(n)]))
-
-
-def lots(batch: pa.RecordBatch, size: int = _LOT) -> Iterator[tuple[list, list[bytes]]]:
+#: Kinds of rows: a lot's own, its rare tokens, its pairs, counts of tokens; this plus a hash range, what the range answers.
+_OWN, _TAIL_KIND, _PAIR_KIND, _COUNTS, _ANSWER = 0, 1, 2, 3, 16
+_BASE_KIND, _WORD_KIND, _BYTE_KIND = 0, 1, 2  # of merged counts
+_PAIR = [np.uint64, np.uint32, np.uint32, np.uint32]  # steps of the contexts, symbols of each, their numbers, uses
+_BINS = 8  # of counts, to an octave
+
+
+def lots(batch: pa.RecordBatch, size: int = 2_000_000) -> Iterator[tuple[list, list[bytes]]]:
+    """doc_ids and texts of about ``size`` bytes at a time."""
     ids, texts, held = [], [], 0
     for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
         raw = text.as_py()
@@ -227,222 +88,244 @@ def lots(batch: pa.RecordBatch, size: int = _LOT) -> Iterator[tuple[list, list[b
         yield ids, texts
 
 
-# --- what is gathered from the corpus ---------------------------------------------------------
-
-
 def learns(doc_id: int | None) -> bool:
     return id_crc(doc_id) % 7 != 2
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return text.lower().split()  # of bytes: A-Z alone are lower-cased, and ASCII white space alone splits
+def words_of_text(raw: bytes) -> list[bytes]:
+    """Words and white space; single spaces between words are left out, other ones stand for themselves."""
+    found = _WORDS.findall(raw)
+    if raw[:1] == b" " and (not found or found[0][:1] != b" "):
+        found.insert(0, b" ")
+    if raw[-1:] == b" " and len(raw) > 1 and found[-1][-1:] != b" ":
+        found.append(b" ")
+    return found
+
 
+# --- keys of words ---------------------------------------------------------------------------------
 
-def _token_hash(words: list[bytes]) -> np.ndarray:
+
+def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def _keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word in lower case, and a tag that tells its capitals: 0 if it has none."""
+    lower = [w.lower() for w in words]
+    tag = [_SPACE if w[0] <= 32 and (w[0] == 32 or 9 <= w[0] <= 13) else 0 if w == x else 1 + xxhash.xxh32_intdigest(w) % 65_000 for w, x in zip(words, lower, strict=True)]
+    return _hashes(lower), np.array(tag, np.uint16)
+
+
+def _identity(lower: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    return mix64(lower ^ mix64(tag.astype(np.uint64) + np.uint64(1)))
+
+
+# --- what is gathered from the corpus ---------------------------------------------------------------
+
+
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     g, kind, blob = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["grp", "kind", "blob"])
 
 
 def _grouped(key: np.ndarray, groups: int, arrays: list[np.ndarray], kind: int) -> list[tuple[int, int, bytes]]:
-    g = (key % np.uint64(groups)).astype(np.int64)
-    order = np.argsort(g, kind="stable")
-    keys, bounds = split_points(g[order])
-    return [(int(k), kind, pack([a[order[i:j]] for a in arrays])) for k, i, j in zip(keys, bounds[:-1], bounds[1:], strict=True)]
+    """The arrays by the hash range of ``key``, in its order; the first one, the key itself, as differences."""
+    order = np.argsort(key)
+    ranges, bounds = split_points(_range_of(key[order], 64, groups))
+    sent = [a[order] for a in arrays]
+    return [(int(g), kind, pack([steps(key[order[i:j]]), *[a[i:j] for a in sent]])) for g, i, j in zip(ranges, bounds[:-1], bounds[1:], strict=True)]
+
 
+def _range_of(key: np.ndarray, bits: int, groups: int) -> np.ndarray:
+    """The hash range of each key of ``bits`` bits: its topmost 28 bits, scaled."""
+    return (((key >> np.uint64(bits - 28)) * np.uint64(groups)) >> np.uint64(28)).astype(np.int64)
 
-def _count_tokens(groups: int):
+
+def _unsteps(blobs: list[bytes], dtypes: list[type]) -> list[np.ndarray]:
+    """The arrays of several blobs, of which the first holds differences."""
+    parts = [unpack(b, dtypes) for b in blobs]
+    parts = [[np.cumsum(p[0], dtype=np.uint64), *p[1:]] for p in parts]
+    return [np.concatenate([p[k] for p in parts]) if parts else np.empty(0, d) for k, d in enumerate(dtypes)]
+
+
+def _count_words(groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, seen = np.zeros(257, np.int64), Counter()
+        seen = [Counter() for _ in range(CLASSES)]
+        texts_of, of_bytes = np.zeros(CLASSES, np.int64), np.zeros(257, np.int64)
 
         def flush() -> pa.RecordBatch:
-            h, n = _token_hash(list(seen)), np.fromiter(seen.values(), np.int64, len(seen))
-            seen.clear()
-            return _rows(_grouped(h, groups, [h, n], 0))
+            parts = []
+            for of_class, counts in enumerate(seen):
+                if counts:
+                    parts.append((*_keys(list(counts)), np.full(len(counts), of_class, np.uint8), np.fromiter(counts.values(), np.int64, len(counts))))
+                    counts.clear()
+            if not parts:
+                return _rows([])
+            lower, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+            return _rows(_grouped(lower, groups, rest, 0))
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
-                if learns(doc):
-                    raw = text.as_py()
-                    seen.update(tokens(raw))
-                    seen[_END_TOKEN] += 1
-                    symbols[:256] += np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-                    symbols[END] += 1
-                    if len(seen) > 250_000:
-                        yield flush()
+            for ids, texts in lots(batch):
+                for doc, raw, of_class in zip(ids, texts, classes_of(texts).tolist(), strict=True):
+                    if learns(doc):
+                        found = words_of_text(raw)
+                        seen[of_class].update(found)
+                        texts_of[of_class] += 1
+                        of_bytes[:256] += np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+                        of_bytes[END_OF_WORD] += len(found)
+                if sum(map(len, seen)) > _COUNTED_WORDS:
+                    yield flush()
         yield flush()
-        yield _rows([(-1, 1, pack([symbols]))])
+        ends = pack([steps(_hashes([_END_TOKEN])), np.array([_BASE_ONLY], np.uint16), np.zeros(1, np.uint8), texts_of.sum(keepdims=True)])
+        yield _rows([(int(_range_of(_hashes([_END_TOKEN]), 64, groups)[0]), 0, ends), (-1, 0, pack([of_bytes, texts_of]))])
 
     return run
 
 
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key)
+    keys, bounds = split_points(key[order])
+    return keys, np.add.reduceat(n[order], bounds[:-1]) if len(keys) else n[:0]
+
+
 def _merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per group: the tokens' counts, sorted by hash; group -1: the counts of symbols."""
-    for rows, bounds in whole_groups(batches, ["grp"]):
-        group, blobs = rows.column("grp").to_numpy(), rows.column("blob")
-        out = []
-        for i, j in zip(bounds, [*bounds[1:], rows.num_rows], strict=True):
-            own = [blobs[int(k)].as_py() for k in range(i, j)]
-            if group[i] < 0:
-                out.append((-1, 1, pack([sum(unpack(b, [np.int64])[0] for b in own)]), 0, 0))
-            else:
-                h, n = unpack_all(own, [np.uint64, np.int64])
-                keys, which = np.unique(h, return_inverse=True)
-                total = np.zeros(len(keys), np.int64)
-                np.add.at(total, which, n)
-                out.append((int(group[i]), 0, pack([keys, total]), len(keys), int(total.sum())))
+    """Per hash range: the tokens' counts, sorted by hash, and the words' by identity and class; range -1: counts of bytes, and of texts by class."""
+    for group, blobs in blob_groups(batches):
+        if group < 0:
+            parts = [unpack(b, [np.int64, np.int64]) for b in blobs[0]]
+            out = [(-1, _BYTE_KIND, pack([sum(p[0] for p in parts), sum(p[1] for p in parts)]), 0, 0)]
+        else:
+            lower, tag, of_class, n = _unsteps(blobs[0], [np.uint64, np.uint16, np.uint8, np.int64])
+            token = (tag != _SPACE) & (n > 0)
+            keys, total = _summed(lower[token], n[token])
+            out = [(group, _BASE_KIND, pack([keys, total]), len(keys), int(total.sum()))]
+            word = tag != _BASE_ONLY
+            identity = _identity(lower[word], tag[word])
+            order = np.lexsort((of_class[word], identity))
+            identity, of_class, n = identity[order], of_class[word][order], n[word][order]
+            starts = np.flatnonzero(np.r_[True, (identity[1:] != identity[:-1]) | (of_class[1:] != of_class[:-1])]) if len(identity) else np.empty(0, np.int64)
+            out.append((group, _WORD_KIND, pack([identity[starts], of_class[starts], np.add.reduceat(n, starts) if len(starts) else n]), 0, 0))
         g, kind, blob, types, count = zip(*out, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary()), pa.array(types, pa.int64()), pa.array(count, pa.int64())], ["grp", "kind", "blob", "types", "count"])
 
 
-def _head(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, n = unpack_all(batch.column("blob").to_pylist(), [np.uint64, np.int64])
-            often = n > least
-            yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often])], ["token", "n"])
+_WORD_COUNTS = [np.uint64, np.uint8, np.int64]
 
-    return run
 
+def _totals(kind: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if kind == _BASE_KIND:
+        return tuple(unpack(blob, [np.uint64, np.int64]))
+    identity, _, n = unpack(blob, _WORD_COUNTS)
+    return _summed(identity, n)
 
-def _requests(code: Code, texts: list[bytes], learned: list[bool], groups: int) -> list[tuple[int, int, bytes]]:
-    """The distinct pairs of a lot by hash range: for each predictor the contexts, the number of symbols of each, their ranks, and how often each pair is used in training."""
-    symbols, bounds = symbols_of(texts)
-    counts = np.repeat(np.array(learned, np.uint32), np.diff(bounds))
-    arrays: list[list[np.ndarray]] = [[] for _ in range(groups)]
-    for context in contexts(symbols, bounds):
-        keys, order, starts = distinct_pairs(code, symbols, context)
-        n = np.add.reduceat(counts[order], starts, dtype=np.uint32)
-        ends = np.searchsorted(_group_of(keys, groups), np.arange(groups + 1, dtype=np.uint64))
-        for g in range(groups):
-            own = keys[ends[g] : ends[g + 1]]
-            context, bounds_in = split_points(own >> _NINE)
-            arrays[g] += [steps(context), np.diff(bounds_in).astype(np.uint16), (own & np.uint64(511)).astype(np.uint16), n[ends[g] : ends[g + 1]]]
-    return [(g, 2, pack(a)) for g, a in enumerate(arrays) if any(map(len, a))]
 
+def _bin(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(np.maximum(n, 1)) * _BINS).astype(np.int64)
 
-def _group_of(keys: np.ndarray, groups: int) -> np.ndarray:
-    """The hash range of each key: its topmost 31 bits, scaled."""
-    return ((keys >> np.uint64(22)) * np.uint64(groups)) >> np.uint64(31)
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, bin, n): how many tokens and words have counts of each size; under kind 2, the uses of words in each class."""
+    for batch in batches:
+        out = []
+        for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            found = np.bincount(_bin(_totals(kind, blob)[1]))
+            out += [(kind, b, int(found[b])) for b in np.flatnonzero(found).tolist()]
+            if kind == _WORD_KIND:
+                _, of_class, n = unpack(blob, _WORD_COUNTS)
+                uses = np.bincount(of_class, weights=n, minlength=CLASSES)
+                out += [(2, c, int(uses[c])) for c in range(CLASSES)]
+        kind, b, n = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["kind", "bin", "n"])
 
-def _answers(code: Code, group: int, lots_of: list[int], blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """Sums of the uses of each pair of a hash range, and for each lot the predictions for its pairs."""
-    asked = [unpack(b, _PAIRS * PREDICTORS) for b in blobs]
-    answers: list[list[np.ndarray]] = [[] for _ in asked]
-    for p in range(PREDICTORS):
-        keys = np.concatenate([np.repeat(np.cumsum(a[4 * p], dtype=np.uint64), a[4 * p + 1]) << _NINE | a[4 * p + 2] for a in asked])
-        n = np.concatenate([a[4 * p + 3] for a in asked])
-        if not len(keys):
-            for a in answers:
-                a.append(np.empty(0, np.int8))
-            continue
-        order = np.argsort(keys)
-        ordered = keys[order]
-        fresh = np.r_[True, ordered[1:] != ordered[:-1]]
-        starts = np.flatnonzero(fresh)
-        which = np.empty(len(keys), np.int64)
-        which[order] = np.cumsum(fresh) - 1
-        found, start = predictions(code, ordered[starts], np.add.reduceat(n[order].astype(np.int64), starts))
-        length = np.diff(np.r_[start, len(found)])
-        ends = np.cumsum([len(a[4 * p + 2]) for a in asked])
-        for a, x, y in zip(answers, np.r_[0, ends[:-1]], ends, strict=True):
-            own = which[x:y]
-            a.append(gather_runs(found, start[own], length[own]))
-    for k in range(0, len(answers), 256):
-        yield _rows([(to, _ANSWER + group, pack(a)) for to, a in zip(lots_of[k : k + 256], answers[k : k + 256], strict=True)])
-
-
-# --- scoring ------------------------------------------------------------------------------------
-
-
-def mix_scores(code: Code, answers: list[np.ndarray], texts: list[bytes]) -> np.ndarray:
-    """log10 of the probability of each text, given each predictor's predictions for its distinct pairs."""
-    symbols, bounds = symbols_of(texts)
-    inputs = []
-    for context, found in zip(contexts(symbols, bounds), answers, strict=True):
-        keys, order, starts = distinct_pairs(code, symbols, context)
-        length = code.length[code.in_order[(keys & np.uint64(511)).astype(np.int64)]]
-        at = np.empty(len(symbols), np.int64)
-        at[order] = np.repeat(np.cumsum(length) - length, np.diff(np.r_[starts, len(order)]))
-        inputs.append(_along(code, symbols, found, at))
-    turn = _along(code, symbols, code.turn, code.start[symbols])
-    ends = np.cumsum(code.length[symbols])
-    first = np.r_[0, ends[bounds[1:-1] - 1]]
-    size = np.diff(np.r_[first, ends[-1]])
-    order = np.argsort(-size, kind="stable")
-    got = np.zeros(len(order))
-    got[order] = _advance(first[order], size[order], turn, inputs)
-    return got
-
-
-def _along(code: Code, symbols: np.ndarray, source: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The entries for the decisions of each symbol, which start at ``at`` in ``source``; some symbols at a time."""
-    parts = range(0, len(symbols), 65_536)
-    return np.concatenate([gather_runs(source, at[i : i + 65_536], code.length[symbols[i : i + 65_536]]) for i in parts])
-
-
-def _advance(start: np.ndarray, count: np.ndarray, turn: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
-    """log10 probabilities of texts sorted by falling length; they step side by side, each with its own weights."""
-    lanes = len(start)
-    weights = np.tile(np.array(FIRST_WEIGHTS, np.float32)[None, :, None], (2, 1, lanes))
-    total = np.zeros(lanes)
-    within = np.arange(STEP)[:, None]
-    last = len(turn) - 1
-    x = np.empty((PREDICTORS, STEP, lanes), np.float32)
-    lives = np.searchsorted(-count, -np.arange(0, int(count[0]) if lanes else 0, STEP), side="left").tolist()
-    for nth, live in enumerate(lives):
-        t = nth * STEP
-        spot = start[:live] + t + within
-        ragged = count[live - 1] < t + STEP
-        if ragged:
-            spot = np.minimum(spot, last)
-        if x.shape[2] != live:
-            x = np.empty((PREDICTORS, STEP, live), np.float32)
-        for k, one in enumerate(inputs):
-            x[k] = one[spot]
-        x *= np.float32(1 / SCALE)
-        known = x[-1] != 0
-        w = weights[:, :, :live]
-        logit = (np.where(known, w[1, :, None], w[0, :, None]) * x).sum(axis=0)
-        np.clip(logit, -8, 8, out=logit)
-        one = turn[spot].astype(np.float32)
-        p = np.float32(1) / (np.float32(1) + np.exp(-logit))
-        error = one - p
-        hit = np.float32(1) - np.abs(error)
-        error *= np.float32(RATE)
-        if ragged:
-            gone = t + within >= count[:live]
-            hit[gone], error[gone] = 1, 0
-        total[:live] += np.log10(hit.prod(axis=0, dtype=np.float64))
-        of_known = error * known
-        w[1] += (of_known * x).sum(axis=1)
-        w[0] += ((error - of_known) * x).sum(axis=1)
-    return total
-
-
-_DOC = [np.int64, np.uint8, np.int64, np.int64, np.float64, np.int64, np.uint8]  # doc_id, null, tokens, known, base, bytes, the texts
+
+def _frequent(least: dict[int, int]):
+    """The tokens and words whose counts lie in the bin ``least`` of their kind or above."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                keys, total = _totals(kind, blob)
+                keys = keys[(_bin(total) >= least[kind]) & (total > 1)]
+                arrays = unpack(blob, [np.uint64, np.int64] if kind == _BASE_KIND else _WORD_COUNTS)
+                kept = np.isin(arrays[0], keys)
+                if kept.any():
+                    out.append((-1, kind, pack([a[kept] for a in arrays])))
+            yield _rows(out)
+
+    return run
+
+
+def _least_bins(sizes: list[tuple[int, int, int]]) -> dict[int, int]:
+    """Per kind the smallest bin from which on ``HEAD`` entries are at most."""
+    out = {}
+    for kind in (_BASE_KIND, _WORD_KIND):
+        held, out[kind] = 0, 1 << 30
+        for _, b, n in sorted((x for x in sizes if x[0] == kind), reverse=True):
+            held += n
+            if held > HEAD:
+                break
+            out[kind] = b
+    return out
+
+
+def _model(words: list[np.ndarray], uses: np.ndarray, of_bytes: np.ndarray, texts: np.ndarray, bits: int) -> Model:
+    """``words``: identity, class and count of frequent words; ``uses``: of all words by class; ``texts``: by class."""
+    identity, of_class, n = words
+    keys, place = np.unique(identity, return_inverse=True)
+    by_class = np.zeros((CLASSES, len(keys) + 2), np.int64)
+    np.add.at(by_class, (of_class, place), n)
+    by_class[:, -2] = uses - by_class[:, :-2].sum(axis=1)  # escapes
+    by_class[:, -1] = texts  # ends
+    code, number = Code.of_counts(by_class.sum(axis=0))
+    ordered = np.empty_like(by_class)
+    ordered[:, number] = by_class
+    size = by_class.shape[1]
+    along, _ = predictions(code, np.repeat(np.arange(CLASSES), size), np.tile(np.arange(size), CLASSES), ordered.ravel())
+    byte_code, byte_number = Code.of_counts(of_bytes)
+    return Model(keys, number[:-2], code.length.astype(np.uint8), int(number[-2]), int(number[-1]), byte_code.length.astype(np.uint8), byte_number, along.reshape(CLASSES, -1), bits)
+
+
+# --- scoring ------------------------------------------------------------------------------------------
+
+
+_DOC = [np.int64, np.uint8, np.int64, np.int64, np.float64, np.uint8, np.int64, np.uint32, np.uint8, np.int32]  # doc_id, null, tokens, known, base; class, words; numbers, spelled bytes, their sizes
 _TAIL = [np.uint64, np.int64, np.int32, np.int32]  # token, lot, row in the lot, times
 _SUM = [np.int32, np.float64, np.int64]  # row in the lot, sum of logarithms, known
 
 
-class _Head(dict):
-    """log10(count + 1) of frequent words; -1 for others. Emptied when full."""
+class _Words(dict):
+    """Words to their places in arrays: the number in the code, the token's hash, and what it adds to the base score (-1 if rare). Begun anew when full."""
 
-    def __init__(self, counts: dict[int, int]):
+    def __init__(self, model: Model, head: tuple[np.ndarray, np.ndarray]):
         super().__init__()
-        self.counts = counts
-
-    def __missing__(self, word: bytes) -> float:
-        n = self.counts.get(xxhash.xxh3_64_intdigest(word), 0)
-        value = math.log10(n + 1) if n else -1.0
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = value
-        return value
+        self.model, self.head = model, head
+        self.forget()
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+    def forget(self) -> None:
+        self.clear()
+        self.number, self.token, self.value = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0)
+
+    def look_up(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > _KNOWN_WORDS:
+            self.forget()
+        before = len(self)
+        place = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if len(self) > before:
+            fresh = list(islice(self, before, None))
+            lower, tag = _keys(fresh)
+            token, count = self.head
+            at = np.minimum(np.searchsorted(token, lower), max(len(token) - 1, 0))
+            known = token[at] == lower if len(token) else np.zeros(len(lower), bool)
+            value = np.where(known, np.log10((count[at] if len(token) else np.zeros(len(lower))) + 1.0), -1.0)
+            value[tag == _SPACE] = np.nan
+            self.number = np.concatenate([self.number, self.model.number_of(_identity(lower, tag))])
+            self.token, self.value = np.concatenate([self.token, lower]), np.concatenate([self.value, value])
+        return place
 
 
 def _counted(token: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -453,35 +336,89 @@ def _counted(token: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return token[starts], row[starts], np.diff(np.r_[starts, len(token)]).astype(np.int32)
 
 
-def _gather(code: Code, head, groups: int):
-    """Per lot: its texts with what frequent tokens add (kind 0), its rare tokens (1) and its pairs (2)."""
+def _requests(model: Model, s: Symbols, learned: np.ndarray, groups: int) -> list[tuple[int, int, bytes]]:
+    """The distinct pairs of a lot by hash range: per family the contexts, the symbols of each, and how often each pair is used in training."""
+    of_word = np.repeat(learned, s.words).astype(np.uint32)
+    of_byte = np.repeat(of_word[s.number == model.escape], s.spelled_size + 1)
+    arrays: list[list[np.ndarray]] = [[] for _ in range(groups)]
+    for family, (context, number) in enumerate(contexts(model, s)):
+        keys, order, starts = distinct_pairs(context, number)
+        n = np.add.reduceat((of_byte if family > 1 else of_word)[order], starts, dtype=np.uint32) if len(keys) else np.empty(0, np.uint32)
+        context, number = keys >> np.uint64(RANK_BITS), (keys & np.uint64((1 << RANK_BITS) - 1)).astype(np.uint32)
+        ends = np.searchsorted(_range_of(context, model.bits, groups), np.arange(groups + 1))
+        for g in range(groups):
+            a, b = ends[g], ends[g + 1]
+            distinct, bounds = split_points(context[a:b])
+            arrays[g] += [steps(distinct), np.diff(bounds).astype(np.uint32), number[a:b], n[a:b]]
+    return [(g, _PAIR_KIND, pack(a)) for g, a in enumerate(arrays) if any(map(len, a))]
+
+
+def _answers(model: Model, group: int, lots_of: list[int], blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Sums of the uses of each pair of a hash range, and for each lot the predictions for its pairs."""
+    asked = [unpack(b, _PAIR * FAMILIES) for b in blobs]
+    answers: list[list[np.ndarray]] = [[] for _ in asked]
+    for family, code in enumerate(model.codes):
+        own = [a[4 * family : 4 * family + 4] for a in asked]
+        keys = np.concatenate([np.repeat(np.cumsum(c, dtype=np.uint64), m) << np.uint64(RANK_BITS) | r for c, m, r, _ in own])
+        n = np.concatenate([x[3] for x in own])
+        order = np.argsort(keys)
+        ordered = keys[order]
+        fresh = np.r_[True, ordered[1:] != ordered[:-1]][: len(keys)]
+        starts = np.flatnonzero(fresh)
+        which = np.empty(len(keys), np.int64)
+        which[order] = np.cumsum(fresh) - 1
+        distinct = ordered[starts]
+        number = (distinct & np.uint64((1 << RANK_BITS) - 1)).astype(np.int64)
+        found, start = predictions(code, distinct >> np.uint64(RANK_BITS), number, np.add.reduceat(n[order].astype(np.int64), starts) if len(starts) else n)
+        length, at = code.length[number], 0
+        for a, (*_, r, _) in zip(answers, own, strict=True):
+            mine = which[at : at + len(r)]
+            at += len(r)
+            a.append(gather_runs(found, start[mine], length[mine]))
+    for k in range(0, len(answers), 64):
+        yield _rows([(to, _ANSWER + group, pack(a)) for to, a in zip(lots_of[k : k + 64], answers[k : k + 64], strict=True)])
+
+
+def _gather(model, head, groups: int):
+    """Per lot: its symbols with what frequent tokens add (kind 0), its rare tokens (1) and its pairs (2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        known = _Head(dict(zip(*[a.tolist() for a in head.value], strict=True)))
-        number = 0
+        task, known, number = TaskContext.get().partitionId(), _Words(model.value, head.value), 0
+        end, escape = model.value.end, model.value.escape
         for batch in batches:
-            for ids, texts in lots(batch, _OWN_LOT):
+            for ids, texts in lots(batch, _LOT):
                 lot = (task << 24) + number
                 number += 1
-                n_tokens, n_known, base, tail, tail_row = [], [], [], [], []
-                for row, text in enumerate(texts):
-                    words = [*tokens(text), _END_TOKEN]
-                    values = np.array(list(map(known.__getitem__, words)))
-                    rare = np.flatnonzero(values < 0)
-                    n_tokens.append(len(words))
-                    n_known.append(len(words) - len(rare))
-                    base.append(float(values.sum() + len(rare)))
-                    tail += [words[k] for k in rare]
-                    tail_row += [row] * len(rare)
+                found = [words_of_text(t) for t in texts]
+                words = [w for own in found for w in own]
+                place = known.look_up(words)
+                size = np.array([len(own) for own in found], np.int64)
+                row = np.repeat(np.arange(len(texts)), size)
+                value = known.value[place]
+                token = ~np.isnan(value)
+                rare = token & (value < 0)
+                # the end is a token as frequent as training texts, so all lots know it or none does
+                last = known.head[1][known.head[0] == _hashes([_END_TOKEN])[0]]
+                base = np.bincount(row, weights=np.where(token & ~rare, value, 0), minlength=len(texts)) + (math.log10(last[0] + 1) if len(last) else 0)
+                n_tokens = np.bincount(row[token], minlength=len(texts)) + 1
+                n_known = np.bincount(row[token & ~rare], minlength=len(texts)) + len(last)
+                h, r = known.token[place[rare]], row[rare]
+                if not len(last):
+                    h, r = np.r_[h, np.repeat(_hashes([_END_TOKEN]), len(texts))], np.r_[r, np.arange(len(texts))]
+                of_word = known.number[place]
+                coded = np.full(len(of_word) + len(texts), end, np.int64)
+                is_word = np.ones(len(coded), bool)
+                is_word[np.cumsum(size + 1) - 1] = False
+                coded[is_word] = of_word
+                spelled = [words[k] for k in np.flatnonzero(of_word == escape).tolist()]
+                symbols = Symbols(classes_of(texts), size + 1, coded, np.frombuffer(b"".join(spelled), np.uint8), np.array([len(w) for w in spelled], np.int32))
                 doc = np.array([0 if i is None else i for i in ids], np.int64)
                 null = np.array([i is None for i in ids], np.uint8)
-                rows = [(-2 - lot, 0, pack([doc, null, np.array(n_tokens, np.int64), np.array(n_known, np.int64), np.array(base), np.array([len(t) for t in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8)]))]
-                h, r, times = _counted(_token_hash(tail), np.array(tail_row, np.int32))
-                rows += _grouped(h, groups, [h, np.full(len(h), lot, np.int64), r, times], 1)
-                rows += _requests(code, texts, [learns(i) for i in ids], groups)
-                out = _rows(rows)
-                yield out.append_column("lot", pa.array(np.full(len(rows), lot, np.int64)))
+                rows = [(-2 - lot, _OWN, pack([doc, null, n_tokens.astype(np.int64), n_known.astype(np.int64), base, symbols.text_class.astype(np.uint8), symbols.words, coded.astype(np.uint32), symbols.spelled, symbols.spelled_size]))]
+                h, r, times = _counted(h, r.astype(np.int32))
+                rows += _grouped(h, groups, [np.full(len(h), lot, np.int64), r, times], _TAIL_KIND)
+                rows += _requests(model.value, symbols, np.array([learns(i) for i in ids]), groups)
+                yield _rows(rows).append_column("lot", pa.array(np.full(len(rows), lot, np.int64)))
 
     return run
 
@@ -489,7 +426,7 @@ def _gather(code: Code, head, groups: int):
 def _tail_sums(counted: list[bytes], asked: list[bytes]) -> Iterator[pa.RecordBatch]:
     """For each lot the sums of what its rows' rare tokens of a hash range add."""
     keys, counts = unpack_all(counted, [np.uint64, np.int64])
-    h, lot, row, times = unpack_all(asked, _TAIL)
+    h, lot, row, times = _unsteps(asked, _TAIL)
     if not len(h):
         return
     n = np.zeros(len(h), np.int64)
@@ -504,67 +441,81 @@ def _tail_sums(counted: list[bytes], asked: list[bytes]) -> Iterator[pa.RecordBa
     yield _rows([(int(g), 1, pack([row[starts[a:b]], sums[a:b], seen[a:b]])) for g, a, b in zip(which, ends[:-1], ends[1:], strict=True)])
 
 
-def _serve(code: Code):
+def _serve(model):
     """What each hash range adds to the lots. The lots' own rows, under negative numbers, pass."""
 
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
+        now, held = None, []
+        for batch in batches:
+            for g, kind, lot, blob in zip(*[batch.column(c).to_pylist() for c in ("grp", "kind", "lot")], batch.column("blob"), strict=True):
+                if g != now:
+                    if held:
+                        yield now, held
+                    now, held = g, []
+                held.append((kind, lot, blob.as_py()))
+        if held:
+            yield now, held
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, bounds in whole_groups(batches, ["grp"]):
-            group, kinds, lot, blobs = rows.column("grp").to_numpy(), rows.column("kind").to_numpy(), rows.column("lot").to_numpy(), rows.column("blob")
-            for i, j in zip(bounds, [*bounds[1:], rows.num_rows], strict=True):
-                if group[i] < 0:
-                    yield _rows([(int(lot[k]), 0, blobs[k].as_py()) for k in range(int(i), int(j))])
-                    continue
-                of = {kind: [k for k in range(int(i), int(j)) if kinds[k] == kind] for kind in (1, 2, _COUNTS)}
-                counted, tail, asked = ([blobs[k].as_py() for k in of[kind]] for kind in (_COUNTS, 1, 2))
-                yield from _tail_sums(counted, tail)
-                if asked:
-                    yield from _answers(code, int(group[i]), lot[of[2]].tolist(), asked)
+        for g, rows in groups(batches):
+            if g < 0:
+                yield _rows([(lot, kind, blob) for kind, lot, blob in rows])
+                continue
+            counted, tail, asked = ([x for x in rows if x[0] == kind] for kind in (_COUNTS, _TAIL_KIND, _PAIR_KIND))
+            yield from _tail_sums([x[2] for x in counted], [x[2] for x in tail])
+            if asked:
+                yield from _answers(model.value, g, [x[1] for x in asked], [x[2] for x in asked])
 
     return run
 
 
-def _finish(code: Code, train_tokens: int, types: int):
+def _finish(model, train_tokens: int, types: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = math.log10(train_tokens + types + 1)
-        for rows, bounds in whole_groups(batches, ["grp"]):
-            kinds, blobs = rows.column("kind").to_numpy(), rows.column("blob")
-            for i, j in zip(bounds, [*bounds[1:], rows.num_rows], strict=True):
-                doc, null, n_tokens, n_known, base, size, raw = (a.copy() for a in unpack_all([blobs[k].as_py() for k in range(int(i), int(j)) if kinds[k] == 0], _DOC))
-                row, sums, seen = unpack_all([blobs[k].as_py() for k in range(int(i), int(j)) if kinds[k] == 1], _SUM)
-                by_range = sorted((int(kinds[k]), k) for k in range(int(i), int(j)) if kinds[k] >= _ANSWER)
-                answers = unpack_all([blobs[k].as_py() for _, k in by_range], [np.int8] * PREDICTORS)
-                ends, raw = np.cumsum(size), raw.tobytes()
-                score = mix_scores(code, answers, [raw[b - n : b] for b, n in zip(ends.tolist(), size.tolist(), strict=True)])
-                order = np.lexsort((sums, row))  # a fixed order of addition
-                np.add.at(base, row[order], sums[order])
-                np.add.at(n_known, row, seen)
-                ids = [None if gone else int(d) for d, gone in zip(doc, null, strict=True)]
-                held = [not learns(d) for d in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(len(doc), train_tokens, np.int64)), pa.array(base - n_tokens * unit), pa.array(score)],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for _, blobs in blob_groups(batches):
+            doc, null, n_tokens, n_known, base, of_class, words, coded, spelled, sizes = (a.copy() for a in unpack(blobs[_OWN][0], _DOC))
+            row, sums, seen = unpack_all(blobs.get(_TAIL_KIND, []), _SUM)
+            answers = unpack_all([b for kind in sorted(blobs) if kind >= _ANSWER for b in blobs[kind]], [np.int8] * FAMILIES)
+            score = mix_scores(model.value, Symbols(of_class.astype(np.int64), words, coded.astype(np.int64), spelled, sizes), answers)
+            order = np.lexsort((sums, row))  # a fixed order of addition
+            np.add.at(base, row[order], sums[order])
+            np.add.at(n_known, row, seen)
+            ids = [None if gone else int(d) for d, gone in zip(doc, null, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([not learns(d) for d in ids], pa.bool_()), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(len(doc), train_tokens, np.int64)), pa.array(base - n_tokens * unit), pa.array(score)],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return run
 
 
 def score_documents(docs: DataFrame, group_bytes: int = 8_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    groups = max(1, (texts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0) // group_bytes)
-    gathered = texts.mapInArrow(_count_tokens(groups), _BLOB).repartition("grp").sortWithinPartitions("grp")
+    n_bytes = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    groups, bits = max(1, n_bytes // group_bytes), min(44, max(32, n_bytes.bit_length() + 5))
+    gathered = texts.mapInArrow(_count_words(groups), _BLOB).repartition("grp").sortWithinPartitions("grp")
     counts = materialize(gathered.mapInArrow(_merge_counts, f"{_BLOB}, types long, count long"), "lm-tokens")
     size = counts.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("v"), F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()
-    symbols = counts.where("grp = -1").select("blob").first()
-    code = Code(unpack(bytes(symbols["blob"]), [np.int64])[0] if symbols else np.zeros(257, np.int64))
-    # fewer than HEAD tokens can have more than N / HEAD occurrences each
-    head = counts.where("grp >= 0").select("blob").mapInArrow(_head(size["n"] // HEAD), "token long, n long").toPandas()
-    often = spark.sparkContext.broadcast((head["token"].to_numpy().view(np.uint64), head["n"].to_numpy()))
+    merged = counts.where(F.col("kind") != _BYTE_KIND).select("kind", "blob")
+    # some hundreds of bins, whatever the input
+    sizes = [tuple(r) for r in merged.mapInArrow(_sizes, "kind int, bin long, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect()]
+    # HEAD tokens and HEAD words at most
+    often = merged.mapInArrow(_frequent(_least_bins(sizes)), _BLOB).select("kind", "blob").collect()
+    of = {kind: [bytes(r["blob"]) for r in often if r["kind"] == kind] for kind in (_BASE_KIND, _WORD_KIND)}
+    uses = np.zeros(CLASSES, np.int64)
+    for _, c, n in (x for x in sizes if x[0] == 2):
+        uses[c] = n
+    rest = counts.where(F.col("kind") == _BYTE_KIND).select("blob").first()
+    of_bytes, of_texts = unpack(bytes(rest["blob"]), [np.int64, np.int64]) if rest else (np.zeros(257, np.int64), np.zeros(CLASSES, np.int64))
+    model = context.broadcast(_model(unpack_all(of[_WORD_KIND], _WORD_COUNTS), uses, of_bytes, of_texts, bits))
+    tokens, count = unpack_all(of[_BASE_KIND], [np.uint64, np.int64])
+    order = np.argsort(tokens)
+    head = context.broadcast((tokens[order], count[order]))
     # a lot is known by its place in its partition of the scan, so a task that runs again gives it the same number
-    gathered = texts.mapInArrow(_gather(code, often, groups), f"{_BLOB}, lot long")
-    known = counts.where("grp >= 0").select("grp", F.lit(_COUNTS).alias("kind"), "blob", F.lit(-1).cast("long").alias("lot"))
-    served = gathered.unionByName(known).repartition("grp").sortWithinPartitions("grp").mapInArrow(_serve(code), _BLOB)
-    final = served.repartition("grp").sortWithinPartitions("grp")
+    gathered = texts.mapInArrow(_gather(model, head, groups), f"{_BLOB}, lot long")
+    known = counts.where(F.col("kind") == _BASE_KIND).select("grp", F.lit(_COUNTS).alias("kind"), "blob", F.lit(-1).cast("long").alias("lot"))
+    served = gathered.unionByName(known).repartition("grp").sortWithinPartitions("grp").mapInArrow(_serve(model), _BLOB)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return final.mapInArrow(_finish(code, size["n"], size["v"]), schema)
+    return served.repartition("grp").sortWithinPartitions("grp").mapInArrow(_finish(model, size["n"], size["v"]), schema)
