@@ -8,22 +8,23 @@ from dataclasses import dataclass
 import numpy as np
 
 from lapframe.llm.jaccard_join import mix64
+from lapframe.llm.packing import order_of
 
 WIDTH = 48  # bits that hold a code, left-justified
 LEAST_SHARE = 1 << 24  # counts below the total divided by this are raised to it, which bounds the codes' lengths
-UPPER = 10  # bits of the code that the previous word's context predicts
+UPPER = 8  # bits of the code that the previous word's context predicts
 CLASSES = 9  # a text's class: the bucket of its commonest two-byte letter, or none
 END_OF_WORD = 256  # closes a spelled word
-PREDICTORS, STEP = 3, 32
+PREDICTORS, STEP = 3, 64
 #: Weights that each text starts with: for words, then for spelled bytes, with the longest context unknown and known.
 FIRST_WEIGHTS = ((0.85, 0.2, 0.0), (0.5, 0.1, 0.6), (0.35, 0.6, 0.0), (0.1, 0.3, 0.7))
 RATE = 0.01
-SCALE, MOST = 8.0, 63  # a prediction is sent as the stretched probability times this, as int8
+SCALE, MOST = 4.0, 31  # a prediction is sent as the stretched probability times this, as int8
 PRIOR = 0.2
 #: Families of contexts that are looked up: those of words, then those of spelled bytes.
 WORD_FAMILIES, BYTE_FAMILIES = 2, 3
 FAMILIES = WORD_FAMILIES + BYTE_FAMILIES
-RANK_BITS = 18
+RANK_BITS = (9, 18, 9, 9, 9)  # of a symbol's number, by family
 
 
 class Code:
@@ -244,10 +245,10 @@ def contexts(model: Model, s: Symbols) -> Iterator[tuple[np.ndarray, np.ndarray]
     yield mix64((three | back[3] << np.uint64(27) | back[4] << np.uint64(36)) * _B + np.uint64(7)) >> drop, number
 
 
-def distinct_pairs(context: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def distinct_pairs(context: np.ndarray, number: np.ndarray, rank_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted keys of the distinct pairs of a context and a symbol; the symbols' places in that order; and where each key's start."""
-    key = context << np.uint64(RANK_BITS) | number.astype(np.uint64)
-    order = np.argsort(key)
+    key = context << np.uint64(rank_bits) | number.astype(np.uint64)
+    order = order_of(key)
     key = key[order]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
     return key[starts], order, starts
@@ -257,14 +258,15 @@ def distinct_pairs(context: np.ndarray, number: np.ndarray) -> tuple[np.ndarray,
 
 
 def mix_scores(model: Model, s: Symbols, answers: list[np.ndarray]) -> np.ndarray:
-    """log10 of the probability of each text, given each family's predictions for the lot's distinct pairs."""
-    at = []
-    for code, (context, number), found in zip(model.codes, contexts(model, s), answers, strict=True):
-        key, order, starts = distinct_pairs(context, number)
-        length = code.length[(key & np.uint64((1 << RANK_BITS) - 1)).astype(np.int64)]
+    """log10 of the probability of each text, given each family's predictions for the lot's distinct pairs (:func:`shortened`)."""
+    at, sources = [], []
+    for k, (code, (context, number)) in enumerate(zip(model.codes, contexts(model, s), strict=True)):
+        key, order, starts = distinct_pairs(context, number, RANK_BITS[k])
+        length = code.length[(key & np.uint64((1 << RANK_BITS[k]) - 1)).astype(np.int64)]
         own = np.empty(len(number), np.int64)
         own[order] = np.repeat(np.cumsum(length) - length, np.diff(np.r_[starts, len(order)]))
         at.append(own)
+        sources.append(lengthened(answers[2 * k], answers[2 * k + 1], length))
     spelled, _ = spelled_symbols(s)
     byte_length = model.byte_code.length[model.byte_numbers[spelled]]
     word_length = model.word_code.length[s.number]
@@ -279,13 +281,12 @@ def mix_scores(model: Model, s: Symbols, answers: list[np.ndarray]) -> np.ndarra
     first = np.cumsum(length) - length
     total = int(length.sum())
     word_first, byte_first = first[is_word], first[~is_word]
-    inputs = [np.zeros(total, np.int8) for _ in range(PREDICTORS)]
+    inputs = np.zeros((PREDICTORS, total), np.int8)
     table, wide = model.by_class.ravel(), model.by_class.shape[1]
-    _spread(inputs[0], table, s.of_word.astype(np.int64) * wide + model.word_code.start[s.number], word_length, word_first)
-    _spread(inputs[1], answers[0], at[0], model.upper_code.length[model.upper_number[s.number]], word_first)
-    _spread(inputs[2], answers[1], at[1], word_length, word_first)
-    for k in range(BYTE_FAMILIES):
-        _spread(inputs[k], answers[WORD_FAMILIES + k], at[WORD_FAMILIES + k], byte_length, byte_first)
+    in_class = s.of_word.astype(np.int64) * wide + model.word_code.start[s.number]
+    _spread(word_length, word_first, [(inputs[0], table, in_class), (inputs[2], sources[1], at[1])])
+    _spread(model.upper_code.length[model.upper_number[s.number]], word_first, [(inputs[1], sources[0], at[0])])
+    _spread(byte_length, byte_first, [(inputs[k], sources[WORD_FAMILIES + k], at[WORD_FAMILIES + k]) for k in range(BYTE_FAMILIES)])
     of_byte = np.repeat(np.where(is_word, 0, 2).astype(np.int8), length)
     opens = first[event[s.opens]] if len(s.number) else np.empty(0, np.int64)
     size = np.diff(np.r_[opens, total])
@@ -295,53 +296,77 @@ def mix_scores(model: Model, s: Symbols, answers: list[np.ndarray]) -> np.ndarra
     return got - np.log10(CLASSES)  # the class is told first
 
 
-def _spread(out: np.ndarray, source: np.ndarray, start: np.ndarray, length: np.ndarray, to: np.ndarray, many: int = 65_536) -> None:
-    """Copy the runs of ``source`` to their places in ``out``; some runs at a time."""
-    for i in range(0, len(start), many):
-        n = length[i : i + many]
-        ends = np.cumsum(n)
-        index = np.arange(int(ends[-1]), dtype=np.int64) - np.repeat(ends - n, n)
-        out[index + np.repeat(to[i : i + many], n)] = source[index + np.repeat(start[i : i + many], n)]
+VARIED = -128
+
+
+def shortened(found: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Per run of ``found`` the one value it holds, or ``VARIED``."""
+    if not len(start):
+        return np.empty(0, np.int8)
+    low = np.minimum.reduceat(found, start)
+    return np.where(low == np.maximum.reduceat(found, start), low, np.int8(VARIED))
+
+
+def lengthened(value: np.ndarray, varied: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs again, from their values and the varied ones' entries."""
+    out = np.repeat(value, length)
+    out[np.repeat(value == VARIED, length)] = varied
+    return out
 
 
-def advance(start: np.ndarray, count: np.ndarray, kind: np.ndarray, inputs: list[np.ndarray], first=FIRST_WEIGHTS) -> np.ndarray:
+def _spread(length: np.ndarray, to: np.ndarray, copies: list[tuple[np.ndarray, np.ndarray, np.ndarray]], many: int = 65_536) -> None:
+    """Copy runs to their places: of each (out, source, start) the runs ``source[start : start + length]``; some runs at a time."""
+    for i in range(0, len(length), many):
+        n = length[i : i + many]
+        before = np.cumsum(n) - n
+        run = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        at = np.arange(len(run))
+        place = (to[i : i + many] - before).take(run)
+        place += at
+        for out, source, start in copies:
+            spot = (start[i : i + many] - before).take(run)
+            spot += at
+            out[place] = source.take(spot)
+
+
+def advance(start: np.ndarray, count: np.ndarray, kind: np.ndarray, inputs: np.ndarray, first=FIRST_WEIGHTS) -> np.ndarray:
     """log10 probabilities of texts sorted by falling length; they step side by side, each with its own weights.
 
     The predictions favour the turn that is taken, so its probability is the squashed sum, and a weight moves by what is missing to 1.
     """
     lanes, gates = len(start), len(first)
-    weights = np.repeat(np.array(first, np.float32).T[:, :, None], lanes, axis=2)  # predictor, gate, text
+    # per text, gate and predictor, so that the texts still going are the first rows
+    weights = np.tile(np.array(first, np.float32).reshape(1, -1), (lanes, 1))
     total = np.zeros(lanes)
     within = np.arange(STEP)[:, None]
     last = len(kind) - 1
     lives = np.searchsorted(-count, -np.arange(0, int(count[0]) if lanes else 0, STEP), side="left").tolist()
-    x = np.empty((PREDICTORS, STEP, lanes), np.float32)
-    lane = np.arange(lanes, dtype=np.int32)
+    predictor = np.arange(PREDICTORS, dtype=np.int32)[:, None, None]
+    row = np.arange(lanes, dtype=np.int32) * (gates * PREDICTORS)
+    at = start.copy()
     for nth, live in enumerate(lives):
-        t = nth * STEP
-        spot = start[:live] + t + within
-        ragged = count[live - 1] < t + STEP
+        spot = at[:live] + within
+        at[:live] += STEP
+        ragged = count[live - 1] < (nth + 1) * STEP
         if ragged:
-            spot = np.minimum(spot, last)
-        if x.shape[2] != live:
-            x = np.empty((PREDICTORS, STEP, live), np.float32)
-        for k, one in enumerate(inputs):
-            x[k] = one[spot]
-        cell = (kind[spot] + (x[-1] != 0)).astype(np.int32) * live + lane[:live]
+            np.minimum(spot, last, out=spot)
+        found = inputs.take(spot, axis=1)
+        cell = (kind.take(spot) + (found[-1] != 0)).astype(np.int32)
+        cell *= PREDICTORS
+        cell = predictor + (cell + row[:live])
+        x = found.astype(np.float32)
         x *= np.float32(1 / SCALE)
-        own = weights[:, :, :live].reshape(PREDICTORS, gates * live)
-        logit = x[0] * own[0][cell]
-        for k in range(1, PREDICTORS):
-            logit += x[k] * own[k][cell]
-        np.clip(logit, -10, 10, out=logit)
-        hit = np.float32(1) / (np.float32(1) + np.exp(-logit))
-        missing = np.float32(RATE) * (np.float32(1) - hit)
+        own = weights[:live].reshape(-1)
+        logit = np.einsum("kij,kij->ij", x, own.take(cell))
+        np.minimum(np.maximum(logit, -10, out=logit), 10, out=logit)
+        hit = np.exp(-logit)
+        hit += 1
+        np.reciprocal(hit, out=hit)
+        missing = (1 - hit) * np.float32(RATE)
         if ragged:
-            gone = t + within >= count[:live]
+            gone = nth * STEP + within >= count[:live]
             hit[gone], missing[gone] = 1, 0
         total[:live] += np.log10(hit.prod(axis=0, dtype=np.float64))
-        flat = cell.ravel()
-        for k in range(PREDICTORS):
-            weights[k, :, :live] += np.bincount(flat, weights=(missing * x[k]).ravel(), minlength=gates * live).reshape(gates, live)
+        x *= missing
+        own += np.bincount(cell.ravel(), weights=x.ravel(), minlength=len(own))
     return total
-

@@ -8,8 +8,8 @@ closed by an end. So a text is a sequence of binary decisions from which it can
 read back, and the score is the model's probability of the whole text.
 
 Three predictors look up hashed contexts of each decision, each with the node of
-the code. For words: the text's class; the class and the first ten bits of the
-last word's code (for the first ten bits of this one's); the last two words. For
+the code. For words: the text's class; the class and the first eight bits of
+the last word's code (for the first eight bits of this one's); the last two words. For
 spelled bytes: the last byte with the class; the last three; the last five bytes
 of the word. The class of a text is the bucket of its commonest two-byte letter,
 told first at the cost of one of nine: it tells apart languages that share a
@@ -26,7 +26,7 @@ all training documents, so they grow with the corpus (as do the bits of a
 context's hash). Each lot sends its distinct pairs, with their uses in training,
 to their hash range; that sums them over all lots and sends each lot the
 predictions along the code of each of its pairs. A lot has a pair once, and the
-symbols of a context are few (1,024 where it is short), so a frequent context is no hot group.
+symbols of a context are few (256 where it is short), so a frequent context is no hot group.
 
 The base score needs exact counts of all training tokens: they are grouped by hash
 range. Frequent tokens (``HEAD`` at most) are broadcast; the other tokens
@@ -53,17 +53,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapframe.llm.bit_model import CLASSES, END_OF_WORD, FAMILIES, RANK_BITS, Code, Model, Symbols, classes_of, contexts, distinct_pairs, mix_scores, predictions
+from lapframe.llm.bit_model import CLASSES, END_OF_WORD, FAMILIES, RANK_BITS, VARIED, Code, Model, Symbols, classes_of, contexts, distinct_pairs, mix_scores, predictions, shortened
 from lapframe.llm.common import id_crc, text_of
 from lapframe.llm.jaccard_join import mix64
-from lapframe.llm.packing import gather_runs, pack, split_points, steps, unpack, unpack_all
+from lapframe.llm.packing import gather_runs, order_of, pack, split_points, steps, unpack, unpack_all
 from lapframe.llm.suffix_dedup import blob_groups
 from lapframe.session import materialize
 
 HEAD = 1 << 17
-_LOT = 6_000_000  # bytes; larger lots send fewer pairs
-_KNOWN_WORDS, _COUNTED_WORDS = 300_000, 400_000  # kept by a worker
+_LOT = 5_000_000  # bytes; larger lots send fewer pairs
+_KNOWN_WORDS, _COUNTED_WORDS = 400_000, 400_000  # kept by a worker
 _WORDS = re.compile(rb"[^ \t-\r]+|(?: (?=[ \t-\r])|[\t-\r])[ \t-\r]*")  # not the single space between two words
+_UNCOMMON = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\v", b"\f")  # without these, white space is single spaces and line ends between words
 _END_TOKEN = b" "  # no word can be this: the key of the end token
 _SPACE, _BASE_ONLY = 0xFFFF, 0xFFFE  # tags: white space, which the base score does not count; the end token, which the model has apart
 _BLOB = "grp long, kind int, blob binary"
@@ -94,6 +95,8 @@ def learns(doc_id: int | None) -> bool:
 
 def words_of_text(raw: bytes) -> list[bytes]:
     """Words and white space; single spaces between words are left out, other ones stand for themselves."""
+    if raw and not any(x in raw for x in _UNCOMMON) and raw[0] not in b" \n" and raw[-1] not in b" \n":
+        return raw.replace(b"\n", b" \n ").split(b" ")
     found = _WORDS.findall(raw)
     if raw[:1] == b" " and (not found or found[0][:1] != b" "):
         found.insert(0, b" ")
@@ -130,7 +133,7 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def _grouped(key: np.ndarray, groups: int, arrays: list[np.ndarray], kind: int) -> list[tuple[int, int, bytes]]:
     """The arrays by the hash range of ``key``, in its order; the first one, the key itself, as differences."""
-    order = np.argsort(key)
+    order = order_of(key)
     ranges, bounds = split_points(_range_of(key[order], 64, groups))
     sent = [a[order] for a in arrays]
     return [(int(g), kind, pack([steps(key[order[i:j]]), *[a[i:j] for a in sent]])) for g, i, j in zip(ranges, bounds[:-1], bounds[1:], strict=True)]
@@ -183,7 +186,7 @@ def _count_words(groups: int):
 
 
 def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key)
+    order = order_of(key)
     keys, bounds = split_points(key[order])
     return keys, np.add.reduceat(n[order], bounds[:-1]) if len(keys) else n[:0]
 
@@ -330,7 +333,7 @@ class _Words(dict):
 
 def _counted(token: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs and how often each occurs. Pairs are sorted by one mixed number, which is faster than by both."""
-    order = np.argsort(token ^ ((row.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
+    order = order_of(token ^ ((row.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
     token, row = token[order], row[order]
     starts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (row[1:] != row[:-1])]) if len(token) else np.empty(0, np.int64)
     return token[starts], row[starts], np.diff(np.r_[starts, len(token)]).astype(np.int32)
@@ -342,9 +345,9 @@ def _requests(model: Model, s: Symbols, learned: np.ndarray, groups: int) -> lis
     of_byte = np.repeat(of_word[s.number == model.escape], s.spelled_size + 1)
     arrays: list[list[np.ndarray]] = [[] for _ in range(groups)]
     for family, (context, number) in enumerate(contexts(model, s)):
-        keys, order, starts = distinct_pairs(context, number)
+        keys, order, starts = distinct_pairs(context, number, rank_bits := RANK_BITS[family])
         n = np.add.reduceat((of_byte if family > 1 else of_word)[order], starts, dtype=np.uint32) if len(keys) else np.empty(0, np.uint32)
-        context, number = keys >> np.uint64(RANK_BITS), (keys & np.uint64((1 << RANK_BITS) - 1)).astype(np.uint32)
+        context, number = keys >> np.uint64(rank_bits), (keys & np.uint64((1 << rank_bits) - 1)).astype(np.uint32)
         ends = np.searchsorted(_range_of(context, model.bits, groups), np.arange(groups + 1))
         for g in range(groups):
             a, b = ends[g], ends[g + 1]
@@ -357,24 +360,26 @@ def _answers(model: Model, group: int, lots_of: list[int], blobs: list[bytes]) -
     """Sums of the uses of each pair of a hash range, and for each lot the predictions for its pairs."""
     asked = [unpack(b, _PAIR * FAMILIES) for b in blobs]
     answers: list[list[np.ndarray]] = [[] for _ in asked]
-    for family, code in enumerate(model.codes):
+    for family, (code, rank_bits) in enumerate(zip(model.codes, RANK_BITS, strict=True)):
         own = [a[4 * family : 4 * family + 4] for a in asked]
-        keys = np.concatenate([np.repeat(np.cumsum(c, dtype=np.uint64), m) << np.uint64(RANK_BITS) | r for c, m, r, _ in own])
+        keys = np.concatenate([np.repeat(np.cumsum(c, dtype=np.uint64), m) << np.uint64(rank_bits) | r for c, m, r, _ in own])
         n = np.concatenate([x[3] for x in own])
-        order = np.argsort(keys)
+        order = order_of(keys)
         ordered = keys[order]
         fresh = np.r_[True, ordered[1:] != ordered[:-1]][: len(keys)]
         starts = np.flatnonzero(fresh)
         which = np.empty(len(keys), np.int64)
         which[order] = np.cumsum(fresh) - 1
         distinct = ordered[starts]
-        number = (distinct & np.uint64((1 << RANK_BITS) - 1)).astype(np.int64)
-        found, start = predictions(code, distinct >> np.uint64(RANK_BITS), number, np.add.reduceat(n[order].astype(np.int64), starts) if len(starts) else n)
+        number = (distinct & np.uint64((1 << rank_bits) - 1)).astype(np.int64)
+        found, start = predictions(code, distinct >> np.uint64(rank_bits), number, np.add.reduceat(n[order].astype(np.int64), starts) if len(starts) else n)
         length, at = code.length[number], 0
+        value = shortened(found, start, length)
         for a, (*_, r, _) in zip(answers, own, strict=True):
             mine = which[at : at + len(r)]
             at += len(r)
-            a.append(gather_runs(found, start[mine], length[mine]))
+            varied = mine[value[mine] == VARIED]
+            a += [value[mine], gather_runs(found, start[varied], length[varied])]
     for k in range(0, len(answers), 64):
         yield _rows([(to, _ANSWER + group, pack(a)) for to, a in zip(lots_of[k : k + 64], answers[k : k + 64], strict=True)])
 
@@ -475,7 +480,7 @@ def _finish(model, train_tokens: int, types: int):
         for _, blobs in blob_groups(batches):
             doc, null, n_tokens, n_known, base, of_class, words, coded, spelled, sizes = (a.copy() for a in unpack(blobs[_OWN][0], _DOC))
             row, sums, seen = unpack_all(blobs.get(_TAIL_KIND, []), _SUM)
-            answers = unpack_all([b for kind in sorted(blobs) if kind >= _ANSWER for b in blobs[kind]], [np.int8] * FAMILIES)
+            answers = unpack_all([b for kind in sorted(blobs) if kind >= _ANSWER for b in blobs[kind]], [np.int8] * (2 * FAMILIES))
             score = mix_scores(model.value, Symbols(of_class.astype(np.int64), words, coded.astype(np.int64), spelled, sizes), answers)
             order = np.lexsort((sums, row))  # a fixed order of addition
             np.add.at(base, row[order], sums[order])

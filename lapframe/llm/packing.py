@@ -8,7 +8,11 @@ import zstandard
 
 def _planes(a: np.ndarray) -> bytes:
     """The bytes of an array, all first bytes before all second ones: the high bytes of small numbers are then one run of zeros."""
-    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+    size = a.itemsize
+    if size == 1:
+        return a.tobytes()
+    whole = np.ascontiguousarray(a).view(f"u{size}")
+    return b"".join((whole >> whole.dtype.type(8 * k)).astype(np.uint8).tobytes() for k in range(size))
 
 
 def pack(arrays: list[np.ndarray], level: int = 3) -> bytes:
@@ -23,7 +27,12 @@ def unpack(blob: bytes, dtypes: list[type]) -> list[np.ndarray]:
     for n, dtype in zip(np.frombuffer(raw, np.int64, len(dtypes)).tolist(), dtypes, strict=True):
         size = np.dtype(dtype).itemsize
         planes = np.frombuffer(raw, np.uint8, n * size, at)
-        out.append(planes.view(dtype) if size == 1 else np.ascontiguousarray(planes.reshape(size, n).T).view(dtype).ravel())
+        whole = planes[:n].astype(f"u{size}")
+        for k in range(1, size):
+            part = planes[k * n : (k + 1) * n]
+            if part.any():
+                whole |= part.astype(whole.dtype) << whole.dtype.type(8 * k)
+        out.append(whole.view(dtype))
         at += n * size
     return out
 
@@ -46,6 +55,28 @@ def walk(a: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total - np.repeat(before, sizes)
 
 
+def order_of(key: np.ndarray) -> np.ndarray:
+    """The order that sorts unsigned integers, equal ones as they stand: one sort of numbers that hold both the key's first bits and the place.
+
+    Where the first bits leave neighbours undecided, these alone are sorted again.
+    """
+    n = len(key)
+    if n < 2:
+        return np.arange(n)
+    room = (n - 1).bit_length()
+    drop = np.uint64(max(0, int(key.max()).bit_length() + room - 64))
+    both = key >> drop << np.uint64(room) | np.arange(n, dtype=np.uint64)
+    both.sort()
+    order = (both & np.uint64((1 << room) - 1)).astype(np.int64)
+    if drop:
+        found = key[order]
+        if (found[1:] < found[:-1]).any():
+            same = found[1:] >> drop == found[:-1] >> drop
+            at = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
+            order[at] = order[at][np.argsort(found[at], kind="stable")]
+    return order
+
+
 def split_points(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of a sorted array and the bounds of their runs."""
     starts = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.empty(0, np.int64)

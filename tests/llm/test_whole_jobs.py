@@ -4,62 +4,96 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 
-from lapframe.llm import context_mixing, language_id, quality_rules
-
-
-def _contexts(raw: bytes):
-    """Before each byte and the end: the three contexts, as they stand."""
-    letters, word = Counter(), 0
-    for i in range(len(raw) + 1):
-        seen = max(letters, key=lambda k: (letters[k], -k)) + 1 if letters else 0
-        yield ("s", raw[max(0, i - 3) : i], seen), ("l", raw[max(0, i - 6) : i]), ("w", raw[word:i], seen)
-        if i < len(raw):
-            if i and 128 <= raw[i] < 192 <= raw[i - 1]:
-                letters[(raw[i] * 7 + raw[i - 1] * 13) % 8] += 1
-            if raw[i] == 32 or 9 <= raw[i] <= 13:
-                word = i + 1
-
-
-def _paths(code):
-    return [code.turn[a : a + n].tolist() for a, n in zip(code.start, code.length, strict=True)]
-
-
-def _plain_scores(texts: dict[int, bytes], wanted: list[int], first=None) -> dict[int, float]:
-    """Scores by a dictionary of exact counts, one text after the other."""
-    learned = [raw for d, raw in texts.items() if context_mixing.learns(d)]
-    symbols = np.bincount(np.frombuffer(b"".join(learned), np.uint8), minlength=257)
-    symbols[256] = len(learned)
-    paths = _paths(context_mixing.Code(symbols))
-    counts = Counter()
-    for raw in learned:
-        for symbol, own in zip([*raw, 256], _contexts(raw), strict=True):
-            for c in own:
-                counts.update((c, *paths[symbol][: k + 1]) for k in range(len(paths[symbol])))
-    out = {}
-    for d in wanted:
-        x, turns = [], []
-        for symbol, own in zip([*texts[d], 256], _contexts(texts[d]), strict=True):
-            for k, turn in enumerate(paths[symbol]):
-                ones, zeros = ([counts[(c, *paths[symbol][:k], t)] for c in own] for t in (1, 0))
-                x.append([min(127, max(-127, round(math.log((a + 0.2) / (b + 0.2)) * 16))) / 16 for a, b in zip(ones, zeros, strict=True)])
-                turns.append(turn)
-        x, turns, total = np.array(x), np.array(turns), 0.0
-        w = np.tile(np.array(context_mixing.FIRST_WEIGHTS), (2, 1)) if first is None else np.array(first)
-        for t in range(0, len(turns), context_mixing.STEP):
-            part, one = x[t : t + context_mixing.STEP], turns[t : t + context_mixing.STEP]
-            known = (part[:, 2] != 0).astype(int)
-            p = 1 / (1 + np.exp(-np.clip((w[known] * part).sum(axis=1), -8, 8)))
-            total += np.log10(np.where(one, p, 1 - p)).sum()
-            for g in (0, 1):
-                w[g] += (((one - p) * context_mixing.RATE)[:, None] * part)[known == g].sum(axis=0)
-        out[d] = total
-    return out
+from pyspark.sql import functions as F
+
+from lapframe.llm import bit_model, context_mixing, language_id, quality_rules
+
+
+def _class(raw: bytes) -> int:
+    seen = Counter((raw[i] * 7 + raw[i - 1] * 13) % 8 for i in range(1, len(raw)) if 128 <= raw[i] < 192 <= raw[i - 1] < 224)
+    return max(seen, key=lambda k: (seen[k], -k)) + 1 if seen else 0
+
+
+def _words(raw: bytes) -> list[bytes]:
+    """Words and white space, but for single spaces between words."""
+    found = re.findall(rb"[^ \t-\r]+|[ \t-\r]+", raw)
+    return [w for k, w in enumerate(found) if w != b" " or k in (0, len(found) - 1)]
+
+
+class _Plain:
+    """The model by dictionaries of exact counts, one text after the other. ``turns`` are the codes; both come from the operator."""
+
+    def __init__(self, texts: dict[int, bytes]):
+        learned = [raw for d, raw in texts.items() if context_mixing.learns(d)]
+        by_class = Counter((_class(raw), w) for raw in learned for w in _words(raw))
+        total = Counter()
+        for (_, w), n in by_class.items():
+            total[w] += n
+        self.coded = sorted((w for w, n in total.items() if n > 1), key=lambda w: int(self._identity(w)))
+        uses = Counter()
+        for (k, w), n in by_class.items():
+            uses[w if total[w] > 1 else "escape"] += n
+        symbols = [*self.coded, "escape", "end"]
+        uses["end"] = len(learned)
+        code, number = bit_model.Code.of_counts(np.array([uses[x] for x in symbols]))
+        bits = lambda c, r: [int(c.left[r]) >> (bit_model.WIDTH - 1 - k) & 1 for k in range(int(c.length[r]))]
+        self.path = {x: bits(code, number[i]) for i, x in enumerate(symbols)}
+        of_bytes = np.zeros(257, np.int64)
+        for raw in learned:
+            of_bytes[:256] += np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+            of_bytes[256] += len(_words(raw))
+        byte_code, byte_number = bit_model.Code.of_counts(of_bytes)
+        self.byte_path = [bits(byte_code, r) for r in byte_number]
+        self.counts = Counter()
+        for raw in learned:
+            for _, path, own in self.events(raw):
+                for c, reach in own:
+                    self.counts.update((c, *path[: k + 1]) for k in range(min(reach, len(path))))
+
+    @staticmethod
+    def _identity(w: bytes) -> int:
+        return context_mixing._identity(*context_mixing._keys([w]))[0]
+
+    def events(self, raw: bytes):
+        """(0 for a word or 2 for a spelled byte, the turns, the contexts with the number of turns they predict)."""
+        of_class, before = _class(raw), [None, None]
+        for w in [*_words(raw), "end"]:
+            symbol = w if w in self.path else "escape"
+            last = before[-1] if before[-1] in self.path else before[-1] and "escape"
+            short = tuple(self.path[last][: bit_model.UPPER]) if last else None
+            yield 0, self.path[symbol], (((0, of_class), 99), ((1, of_class, short), bit_model.UPPER), ((2, *before[-2:]), 99))
+            before.append(w)
+            if symbol == "escape":
+                for i in range(len(w) + 1):
+                    path = self.byte_path[w[i] if i < len(w) else 256]
+                    yield 2, path, (((3, of_class, w[max(0, i - 1) : i]), 99), ((4, w[max(0, i - 3) : i]), 99), ((5, w[max(0, i - 5) : i]), 99))
+
+    def score(self, raw: bytes) -> float:
+        x, gates = [], []
+        for kind, path, own in self.events(raw):
+            for k, turn in enumerate(path):
+                row = []
+                for c, reach in own:
+                    here, other = (self.counts[(c, *path[:k], t)] for t in (turn, 1 - turn))
+                    s = math.log((here + bit_model.PRIOR) / (other + bit_model.PRIOR)) * bit_model.SCALE
+                    row.append(round(min(bit_model.MOST, max(-bit_model.MOST, s))) / bit_model.SCALE if k < reach else 0.0)
+                x.append(row), gates.append(kind)
+        x, total = np.array(x), -math.log10(bit_model.CLASSES)
+        gates = np.array(gates) + (x[:, 2] != 0)
+        w = np.array(bit_model.FIRST_WEIGHTS)
+        for t in range(0, len(x), bit_model.STEP):
+            part, gate = x[t : t + bit_model.STEP], gates[t : t + bit_model.STEP]
+            p = 1 / (1 + np.exp(-np.clip((w[gate] * part).sum(axis=1), -10, 10)))
+            total += np.log10(p).sum()
+            np.add.at(w, gate, (bit_model.RATE * (1 - p))[:, None] * part)
+        return total
 
 
 def _texts(n: int, words: int) -> dict[int, bytes]:
@@ -68,22 +102,64 @@ def _texts(n: int, words: int) -> dict[int, bytes]:
     return {d: " ".join(r.choice(some) for _ in range(words)).encode() for d in range(n)}
 
 
+def _scored(spark, texts: dict[int, bytes], parts: int, **options) -> dict[int, float]:
+    docs = spark.createDataFrame([(d, t.decode()) for d, t in texts.items()], "doc_id long, text string").repartition(parts)
+    return {r["doc_id"]: r["score"] for r in context_mixing.score_documents(docs, **options).collect()}
+
+
 def test_op10_counts_are_exact(spark):
-    """Hundreds of thousands of pairs, whose nodes do not share counts: the scores are those of a dictionary."""
-    texts = _texts(600, 100)
-    docs = spark.createDataFrame([(d, t.decode()) for d, t in texts.items()], "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: r["score"] for r in context_mixing.score_documents(docs, group_bytes=50_000).collect()}
-    for d, score in _plain_scores(texts, list(range(12))).items():
-        assert got[d] == pytest.approx(score, rel=1e-4)
+    """Hundreds of thousands of pairs, over many hash ranges: the scores are those of a dictionary."""
+    texts = _texts(600, 100) | {1000: b"", 1001: b" ", 1002: b"  two  spaces\n\nand lines \n", 1003: "naïve ünïcode 漢字	".encode(), 1004: b"word"}
+    got, plain = _scored(spark, texts, 5, group_bytes=50_000), _Plain(texts)
+    for d in [*range(12), *range(1000, 1005)]:
+        assert got[d] == pytest.approx(plain.score(texts[d]), rel=1e-4)
 
 
 def test_op10_carries_weights_through_a_long_text(spark):
     """A text of over 100,000 decisions learns all the way: its score is the plain model's."""
     texts = _texts(40, 60) | {100: b" ".join(_texts(1, 4000).values())}
-    docs = spark.createDataFrame([(d, t.decode()) for d, t in texts.items()], "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r["score"] for r in context_mixing.score_documents(docs).collect()}
-    for d, score in _plain_scores(texts, [100, 1, 2]).items():
-        assert got[d] == pytest.approx(score, rel=1e-4)
+    got, plain = _scored(spark, texts, 3), _Plain(texts)
+    for d in (100, 1, 2):
+        assert got[d] == pytest.approx(plain.score(texts[d]), rel=1e-4)
+
+
+def test_op10_probabilities_add_up(spark):
+    """Over all that may follow, the model's probabilities add up to 1: at a node the two turns' predictions are opposite."""
+    texts = _texts(60, 30)
+    plain = _Plain(texts)
+    for paths in (list(plain.path.values()), plain.byte_path):
+        assert sum(0.5 ** len(p) for p in paths) == pytest.approx(1)
+        assert len({tuple(p) for p in paths}) == len(paths)
+    # one word after a fixed beginning: all words that have a code, and the escape
+    w, own = np.array(bit_model.FIRST_WEIGHTS), [(0, 0), (1, 0, None), (2, None, None)]
+    total = 0.0
+    for path in plain.path.values():
+        p = 1.0
+        for k, turn in enumerate(path):
+            row = []
+            for c, reach in zip(own, (99, bit_model.UPPER, 99), strict=True):
+                here, other = (plain.counts[(c, *path[:k], t)] for t in (turn, 1 - turn))
+                row.append(math.log((here + 0.2) / (other + 0.2)) if k < reach else 0.0)
+            p /= 1 + math.exp(-float(w[int(row[2] != 0)] @ np.array(row)))
+        total += p
+    assert total == pytest.approx(1)
+
+
+def test_op10_beats_its_base_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = context_mixing.score_documents(docs).where("held_out").agg(F.sum("score").alias("model"), F.sum("base_score").alias("base")).first()
+    assert got["model"] > got["base"]  # though the model also spells unknown words, capitals and white space
+
+
+def test_op10_words_read_back():
+    """A text is its words, single spaces apart."""
+    r = random.Random(4)
+    for _ in range(500):
+        raw = bytes(r.choice(b"ab  \n\t") for _ in range(r.randrange(12)))
+        found = context_mixing.words_of_text(raw)
+        assert found == _words(raw)
+        space = [w.isspace() for w in found]
+        assert b"".join(b" " * (k > 0 and not space[k] and not space[k - 1]) + w for k, w in enumerate(found)) == raw
 
 
 def test_op1_sums_over_all_segmentations():
