@@ -8,7 +8,8 @@ on: the first shared boundary that is not disturbed by the left chunk's end is
 where they are stitched. Each chunk then encodes the pieces between its two
 stitches, again in parallel, and the parts of a text are put in order. A text
 where some overlap holds no shared boundary (a run longer than the overlap) is
-pre-tokenised whole. Shorter texts are one chunk and need no shuffle.
+cut again with overlaps of half a chunk; one with a run longer than that, which
+is a single piece to encode, is pre-tokenised whole. Shorter texts are one chunk and need no shuffle.
 
 Decoding looks up each id's raw bytes and concatenates them. :func:`encode_decode`
 gives ids and decoded bytes of every row; :func:`decode` takes ids from anywhere.
@@ -170,8 +171,20 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, chunk: int = 32_768,
     """doc_id, ids, decoded for every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     whole = _encode_whole(path, pattern)
-    short = texts.where(F.length("text") <= chunk).mapInArrow(whole, OUT)
+    out = texts.where(F.length("text") <= chunk).mapInArrow(whole, OUT)
     long = materialize(texts.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()), "bpe-long")
+    # a text torn at one overlap is cut anew with a wider one; only a run as long as half a chunk stays whole
+    for wide in (overlap, max(overlap, chunk // 2)):
+        joined, torn = _stitched(long, path, pattern, chunk, wide)
+        out = out.unionByName(joined)
+        long = long.join(torn, "row", "left_semi")
+        if torn.isEmpty():
+            break
+    return out.unionByName(long.select("doc_id", "text").mapInArrow(whole, OUT))
+
+
+def _stitched(long: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, ids, decoded of the texts whose chunks all meet, ``row`` of the others)."""
     last = F.ceil((F.length("text") - overlap) / F.lit(chunk)).cast("int") - 1
     parts = (
         long.withColumn("no", F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)))))
@@ -194,7 +207,6 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, chunk: int = 32_768,
     coded = stitched.mapInArrow(_encode_parts(path, pattern), "row long, doc_id long, no int, ids array<int>, raw binary")
     in_line = coded.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("no", "ids", "raw"))).alias("p"))
     joined = in_line.select(
-        "doc_id", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"), F.aggregate("p", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["raw"])).alias("decoded"),
+        "doc_id", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"), F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["raw"])), "")).alias("decoded"),
     )
-    rest = long.join(ends.where("torn = 1").select("row").distinct(), "row", "left_semi").select("doc_id", "text").mapInArrow(whole, OUT)
-    return short.unionByName(joined).unionByName(rest)
+    return joined, ends.where("torn = 1").select("row").distinct()

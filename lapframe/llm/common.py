@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Each row as one struct ``row``, beside ``keys`` computed from it: no column of the table can clash with theirs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[k.alias(name) for name, k in keys.items()])
+
+
 def text_of(col: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -21,7 +21,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapframe.llm.common import ascii_lower, shuffle_width, text_of
+from lapframe.llm.common import ascii_lower, packed, shuffle_width, text_of
 from lapframe.session import materialize, shared_path
 
 _COLUMNS = "digest STRING, keep_id BIGINT, batch STRING"
@@ -53,8 +53,9 @@ class DigestIndex:
         run again finds its digests present with its own name and gives the same
         decisions, so a job that was cut off after the append can be repeated.
         """
-        keyed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of().alias("digest")), "digests")
-        groups = keyed.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        keyed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of().alias("digest"), F.monotonically_increasing_id().alias("no")), "digests")
+        largest = F.max(F.struct("doc_id", "no"))
+        groups = keyed.groupBy("digest").agg(largest.alias("x"), F.count(F.lit(1)).alias("group_size")).select("digest", F.col("x.doc_id").alias("keep_id"), F.col("x.no").alias("keep_no"), "group_size")
         fresh = groups.join(self.rows().hint("merge"), "digest", "left_anti")
         (
             fresh.select("digest", "keep_id", F.lit(batch).alias("batch"))
@@ -66,13 +67,12 @@ class DigestIndex:
         return self.decide(keyed, groups, batch)
 
     def decide(self, keyed: DataFrame, groups: DataFrame, batch: str) -> DataFrame:
-        # the plain files, not the bucketed table: both sides then have a shuffle that AQE can split for a hot digest
-        known = self.spark.read.schema(_COLUMNS).parquet(self.path).withColumnRenamed("keep_id", "first_id")
-        verdict = groups.select("digest", "group_size").join(known.hint("merge"), "digest")
-        verdict = materialize(verdict, "verdicts")
-        copies = keyed.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
-        out = copies.join(verdict, "digest").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n"))))
-        stays = (F.col("batch") == batch) & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("copy_no") == 1)
+        # one row per digest on either side: the index is read by its buckets, and only the batch's digests move
+        known = self.rows().withColumnRenamed("keep_id", "first_id")
+        verdict = materialize(groups.drop("keep_id").join(known.hint("merge"), "digest"), "verdicts")
+        # rows meet their verdict by a plain join, which Spark can split for a hot digest
+        out = keyed.join(verdict, "digest")
+        stays = (F.col("batch") == batch) & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("no") == F.col("keep_no"))
         return out.select("doc_id", F.col("first_id").alias("keep_id"), "group_size", stays.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
@@ -83,8 +83,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str =
 
 
 def drop_exact_copies(docs: DataFrame, index: DigestIndex | None = None, batch: str = "batch-0") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, index, batch).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    keyed = docs.withColumn("__digest", digest_of())
-    joined = keyed.join(kept, (keyed["doc_id"].eqNullSafe(kept["__id"])) & (keyed["__digest"] == kept["__digest"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    """The rows of ``docs`` that stay, with all their columns; of rows repeated with one doc_id and text, one."""
+    kept = exact_dedup(docs, index, batch).where("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_digest"))
+    keyed = packed(docs, id=F.col("doc_id").cast("long"), digest=digest_of())
+    stays = keyed.join(kept, keyed["id"].eqNullSafe(kept["keep_id"]) & (keyed["digest"] == kept["keep_digest"]), "left_semi")
+    return stays.dropDuplicates(["id", "digest"]).select("row.*")

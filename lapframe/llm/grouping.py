@@ -65,7 +65,7 @@ class Forest:
         return [(i, r) for i in range(len(self.up)) if (r := self.root(i)) != i]
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node) for every node of ``edges`` (a, b).
 
     Each round sends every node the smallest label among its neighbours and itself and then
@@ -74,7 +74,7 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "cc-edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "cc-labels")
-    for _ in range(rounds):
+    while True:  # labels only ever fall, so it ends
         seen = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
         nearer = labels.join(seen, labels["node"] == seen["a"], "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("least"))
         jump = labels.select(F.col("node").alias("__n"), F.col("component").alias("__c"))
@@ -83,4 +83,3 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         labels = moved.select("node", "component")
         if moved.where(F.col("old") != F.col("component")).isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapframe.llm.common import text_of
+from lapframe.llm.common import packed, text_of
 from lapframe.llm.filters import may_be_among
 from lapframe.llm.grouping import Forest, connected_components, whole_groups
 from lapframe.session import materialize
@@ -227,8 +227,13 @@ def runs_needed(threshold: float, levels: int, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - alive))
 
 
-def jaccard_join(docs: DataFrame, words: int = 5, threshold: float = 0.8, bucket: int = 256, levels: int = 3, recall: float = 0.999) -> DataFrame:
-    """doc_id, class_id, rep_id, n_copies, n_links for every row."""
+def jaccard_join(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id, rep_id, n_copies, n_links for every row; the options are those of :func:`classes`."""
+    return classes(docs, **options).select("doc_id", "class_id", "rep_id", "n_copies", "n_links")
+
+
+def classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, bucket: int = 256, levels: int = 3, recall: float = 0.999) -> DataFrame:
+    """doc_id, node (the text's MD5), component (one node of its class), class_id, rep_id, n_copies, n_links for every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     sketched = materialize(texts.mapInArrow(_sketches(words), "doc_id long, node binary, n long, sketch binary"), "join-sketches")
     # a class of equal texts is one node from here on; copies are counted before anything is joined
@@ -249,8 +254,8 @@ def jaccard_join(docs: DataFrame, words: int = 5, threshold: float = 0.8, bucket
     named = nodes.select("node", "rep_id", "n_copies").join(classes, "node", "left").join(links, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep_id").alias("class_id"))
-    named = materialize(named.join(least, "component").select("node", "class_id", "rep_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "join-classes")
-    return sketched.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "rep_id", "n_copies", "n_links")
+    named = materialize(named.join(least, "component").select("node", "component", "class_id", "rep_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "join-classes")
+    return sketched.select("doc_id", "node").join(named, "node").select("doc_id", "node", "component", "class_id", "rep_id", "n_copies", "n_links")
 
 
 def _candidate_stars(nodes: DataFrame, threshold: float, bucket: int, levels: int, runs: int) -> DataFrame:
@@ -279,7 +284,12 @@ def _in_block_pairs(rows: DataFrame, group: str) -> DataFrame:
 
 
 def one_per_class(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each class: the one with the smallest doc_id, once. Rows without a doc_id stay."""
-    keep = jaccard_join(docs, **options).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    return named.join(keep, named["doc_id"].cast("long") == keep["__id"], "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    """``docs`` with one row of each class: that of the smallest doc_id (null last), then of the smallest MD5 of its text.
+
+    A class is known by its texts, so different texts under one doc_id, or none, are each in their own class.
+    """
+    first = classes(docs, **options).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("x"))
+    keep = first.select(F.col("x.doc_id").alias("keep_id"), F.col("x.node").alias("keep_node"))
+    rows = packed(docs, id=F.col("doc_id").cast("long"), node=F.unhex(F.md5(F.encode(text_of(), "UTF-8"))))
+    stays = rows.join(keep, rows["id"].eqNullSafe(keep["keep_id"]) & (rows["node"] == keep["keep_node"]), "left_semi")
+    return stays.dropDuplicates(["id", "node"]).select("row.*")

@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join, within one edit.
 
 A line is dropped if an earlier line (by doc_id, then place) of any document is
-the same or one character edit away; near matches need ``least`` characters.
+the same or one character edit away. ``least`` (1, so none) leaves lines of fewer
+characters out of near matches.
 
 Emitting the deletions of every character of every line would cost the square of
 a line's length, so the deleted place is narrowed in steps that lose nothing. Two
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapframe.llm.common import WORD_RE, text_of
+from lapframe.llm.common import WORD_RE, packed, text_of
 from lapframe.llm.filters import may_be_among
 from lapframe.session import materialize
 
@@ -86,7 +87,7 @@ def _inner() -> Column:
     return F.substring("line", F.col("lo") + 1, F.col("hi") - F.col("lo") + F.col("longer").cast("int"))
 
 
-def near_earlier(docs: DataFrame, least: int = 16) -> tuple[DataFrame, DataFrame]:
+def near_earlier(docs: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
     """(occurrences, verdicts): all lines without their text; and for ids of lines that occur more than once or are near an earlier one, their first occurrence and that line."""
     occurrences = materialize(_lines(docs).select("doc", "text_key", "no", "id"), "line-occurrences")
     spot = F.struct("doc", "text_key", "no")
@@ -118,23 +119,29 @@ def near_earlier(docs: DataFrame, least: int = 16) -> tuple[DataFrame, DataFrame
     return occurrences, first.join(verified, "id", "left").where("n > 1 or earlier is not null").select("id", "first", "earlier")
 
 
-def dedup_lines(docs: DataFrame, least: int = 16) -> DataFrame:
-    """doc_id, n_lines, n_dropped, dropped_lines (places from 0, ascending) for every row."""
+def _dropped(docs: DataFrame, least: int) -> DataFrame:
+    """doc, text_key, rows, places, dropped_lines: one row per document."""
     occurrences, verdicts = near_earlier(docs, least)
     judged = occurrences.join(verdicts, "id", "left")
     # a line without a verdict occurs once and is near no earlier one
     stays = F.col("first").isNull() | (F.struct("doc", "text_key", "no").eqNullSafe(F.col("first")) & F.col("earlier").isNull())
-    per_doc = judged.groupBy("doc", "text_key").agg(
+    return judged.groupBy("doc", "text_key").agg(
         F.collect_set("no").alias("places"), F.sort_array(F.collect_set(F.when(~stays, F.col("no")))).alias("dropped_lines"), F.sum((F.col("no") == 0).cast("int")).cast("int").alias("rows"),
     )
+
+
+def dedup_lines(docs: DataFrame, least: int = 1) -> DataFrame:
+    """doc_id, n_lines, n_dropped, dropped_lines (places from 0, ascending) for every row."""
     doc_id = F.when(F.col("doc") != _LAST, F.col("doc"))
-    out = per_doc.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    out = _dropped(docs, least).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
     return out.select(doc_id.alias("doc_id"), F.size("places").cast("long").alias("n_lines"), F.size("dropped_lines").cast("long").alias("n_dropped"), "dropped_lines")
 
 
-def drop_lines(docs: DataFrame, least: int = 16) -> DataFrame:
-    """``docs`` with the dropped lines taken out of their texts (doc_id must be unique and not null)."""
-    found = dedup_lines(docs, least).select(F.col("doc_id").alias("__id"), F.col("dropped_lines").alias("__dropped"))
-    joined = docs.join(found, docs["doc_id"].cast("long") == F.col("__id"), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda line, no: ~F.coalesce(F.array_contains("__dropped", no), F.lit(False)))
-    return joined.withColumn("text", F.array_join(kept, "\n")).drop("__id", "__dropped")
+def drop_lines(docs: DataFrame, least: int = 1) -> DataFrame:
+    """``docs`` with the dropped lines taken out of their texts; a text without lines left is empty, a null text stays null."""
+    found = _dropped(docs, least).where(F.size("dropped_lines") > 0).select(F.col("doc").alias("at"), F.col("text_key").alias("at_key"), "dropped_lines")
+    rows = packed(docs, doc=F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), text_key=F.xxhash64(text_of()))
+    joined = rows.join(found, (F.col("doc") == F.col("at")) & (F.col("text_key") == F.col("at_key")), "left")
+    kept = F.filter(F.split("row.text", "\n", -1), lambda line, no: ~F.array_contains("dropped_lines", no))
+    text = F.when(F.col("dropped_lines").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -4,7 +4,7 @@ Each source's target is its share by weight of all words, stopped at ``cap``
 times what it has (the excess is shared anew by weight). A source is taken in
 whole epochs first; the rest of its target is a weighted sample without
 replacement: documents by exponential key -ln(u) / quality, smallest first, up
-to the word budget. u depends on doc_id alone, so reruns agree.
+to the word budget. u depends on doc_id alone (on the text where it is null), so reruns agree.
 
 No source is sorted as a whole. Keys fall into ``bins`` bins of equal mass;
 word sums per source and bin show the one bin in which the budget ends, and
@@ -13,7 +13,7 @@ third of all rows puts about 1/bins of them into one task.
 
 Defined cases: a null or blank text has size 0; null is a source of its own,
 last in order; rows repeated with one doc_id share a key and are ordered by
-size; a null doc_id is keyed as such; other columns are not read; no rows give
+size; other columns are not read; no rows give
 no rows; a source without words has target 0 and takes nothing.
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapframe.llm.common import text_of, uniform, words_of
+from lapframe.llm.common import packed, text_of, uniform, words_of
 from lapframe.session import materialize
 
 CAP = 3.0
@@ -48,8 +48,9 @@ def source_targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
     own = totals.withColumn("weight", weight).withColumn("most", F.col("source_size") * cap)
     everything = Window.partitionBy()
     by_level = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
+    from_top = Window.orderBy((F.col("most") / F.col("weight")).desc(), F.col("source").desc_nulls_first())
     full_before = F.coalesce(F.sum("most").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    still_open = F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing))
+    still_open = F.sum("weight").over(from_top.rowsBetween(Window.unboundedPreceding, 0))
     level = (F.sum("source_size").over(everything) - full_before) / still_open
     fits = own.withColumn("level", level).withColumn("fits", F.col("level") * F.col("weight") <= F.col("most"))
     water = F.min_by("level", F.when(F.col("fits"), F.col("most") / F.col("weight"))).over(everything)
@@ -62,7 +63,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
     keyed = materialize(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-            F.size(words_of(text)).cast("long").alias("size"), (-F.log(uniform(F.lit(seed), F.col("doc_id"))) / quality_weight(text)).alias("key"),
+            F.size(words_of(text)).cast("long").alias("size"), (-F.log(uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.encode(text, "UTF-8"))))) / quality_weight(text)).alias("key"),
         ).withColumn("bin", F.floor((1.0 - F.exp(-F.col("key") * 0.9)) * bins).cast("int")),
         "mix-keys",
     )
@@ -88,10 +89,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it (repeats of one doc_id, source and size: all as the one taken most)."""
-    counts = mix(docs, **options)
-    per_id = counts.groupBy("doc_id", "source", "size").agg(F.max("times").alias("__times"))
-    per_id = per_id.withColumnsRenamed({"doc_id": "__id", "source": "__source", "size": "__size"})
-    sized = docs.withColumn("__words", F.size(words_of(text_of())).cast("long"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
-    joined = sized.join(per_id, on).where("__times > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    per_id = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("times").alias("times")).where("times > 0")
+    rows = packed(docs, id=F.col("doc_id").cast("long"), own_source=F.col("source").cast("string"), words=F.size(words_of(text_of())).cast("long"))
+    on = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("own_source").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
+    return rows.join(per_id, on).select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")

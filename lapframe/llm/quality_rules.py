@@ -42,6 +42,8 @@ RULES = ("symbols", "dup_lines", "repeats", "shouting", "marks")
 GRID = 1000
 #: No cutoff lies below this ratio: a single odd character never rejects a text.
 LEAST_CUTOFF = 0.02
+#: Strata whose cutoffs may be broadcast (six numbers each); with more of them they are joined.
+MOST_BROADCAST_STRATA = 50_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -77,15 +79,17 @@ def _covered(hashes: Column) -> Column:
     )["n"]
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the five ratios."""
+def measures(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the five ratios; with ``carry`` also the row itself, as a struct."""
     text = text_of()
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    rest = ["row"] if carry else []
     parts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("stratum"),
+        *row, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("stratum"),
         text.alias("t"), words_of(text).alias("w"), F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD_RE)).alias("lines"),
     )
     counted = parts.select(
-        "doc_id", "stratum", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        *rest, "doc_id", "stratum", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.size("lines").alias("n_lines"),
         repeated_words(F.col("w")).alias("n_repeat_words"),
@@ -96,7 +100,7 @@ def measures(docs: DataFrame) -> DataFrame:
         return F.when(F.col(b) > 0, F.least(F.lit(1.0), F.col(a) / F.col(b))).otherwise(F.lit(0.0))
 
     rules = {"symbols": ratio("n_symbols", "word_chars"), "dup_lines": ratio("n_dup_lines", "n_lines"), "repeats": ratio("n_repeat_words", "n_words"), "shouting": ratio("upper", "word_chars"), "marks": ratio("n_marks", "word_chars")}
-    return counted.select("doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *[rules[r].alias(r) for r in RULES])
+    return counted.select(*rest, "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *[rules[r].alias(r) for r in RULES])
 
 
 def log_binomial_tail(k: Column, n: Column, p: float) -> Column:
@@ -135,25 +139,28 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float, delta: float, s
     return passed.groupBy("stratum", "rule").agg(F.min("cell").alias("cell"), F.min_by("n_good", "cell").alias("n_good"), F.min_by("n_lost", "cell").alias("n_lost")).select("stratum", "rule", (F.col("cell") / GRID).alias("cutoff"), "n_good", "n_lost")
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.1) -> DataFrame:
-    """doc_id, n_words and the four counts, base_failed, kept for every row, with the stratum and the ratios."""
-    measured = materialize(measures(docs), "quality-measures")
+def _judged(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -> DataFrame:
+    """``measured`` with base_failed and kept."""
     limits = cutoffs(measured, labels, risk, delta).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
     limits = materialize(limits, "quality-limits")
     own = limits.where(F.col("stratum").isNotNull()).select("stratum", F.lit(True).alias("own"), *[F.col(r).alias(f"own_{r}") for r in RULES])
+    own = F.broadcast(own) if limits.count() <= MOST_BROADCAST_STRATA else own
     pool = limits.where(F.col("stratum").isNull()).agg(*[F.max(r).alias(f"pool_{r}") for r in RULES])
     judged = measured.join(own, "stratum", "left").crossJoin(F.broadcast(pool))  # one row
-    judged = judged.withColumns({f"max_{r}": F.when(F.col("own"), F.col(f"own_{r}")).otherwise(F.col(f"pool_{r}")) for r in RULES})
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     over = F.lit(False)
     for r in RULES:
-        over = over | F.coalesce(F.ceil(F.col(r) * GRID) > F.round(F.col(f"max_{r}") * GRID), F.lit(False))
-    return judged.withColumn("base_failed", base).withColumn("kept", ~base & ~over).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", *RULES)
+        most = F.when(F.col("own"), F.col(f"own_{r}")).otherwise(F.col(f"pool_{r}"))
+        over = over | F.coalesce(F.ceil(F.col(r) * GRID) > F.round(most * GRID), F.lit(False))
+    return judged.select(*measured.columns, base.alias("base_failed"), (~base & ~over).alias("kept"))
+
+
+def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.1) -> DataFrame:
+    """doc_id, n_words and the four counts, base_failed, kept for every row, with the stratum and the ratios."""
+    judged = _judged(materialize(measures(docs), "quality-measures"), labels, risk, delta)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", *RULES)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.1) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    kept = judge(docs, labels, risk, delta).where("kept").select(F.col("doc_id").alias("__id"), F.col("stratum").alias("__stratum")).distinct()
-    stratum = F.coalesce(docs["lang"].cast("string"), F.lit("und"))
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (stratum == kept["__stratum"]), "left_semi")
+    """The rows of ``docs`` that the rules keep, with all their columns: each row is judged by itself, and no text is shuffled."""
+    return _judged(materialize(measures(docs, carry=True), "quality-rows"), labels, risk, delta).where("kept").select("row.*")

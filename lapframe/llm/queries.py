@@ -88,7 +88,7 @@ ORACLES: dict[str, str] = {
     # exponential keys from the same digest; a source is taken in whole epochs and then by rising key
     "op7_mixing": rf"""
         WITH d AS (SELECT doc_id, source, {_WORDS}::BIGINT AS size, coalesce(text, '') AS t FROM documents),
-        k AS (SELECT doc_id, source, size, -ln((('0x' || left(md5('7|' || coalesce(doc_id::VARCHAR, '~')), 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+        k AS (SELECT doc_id, source, size, -ln((('0x' || left(md5('7|' || coalesce(doc_id::VARCHAR, md5(t))), 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
             / (CASE WHEN length(regexp_replace(t, '\s+', '', 'g')) > 0 THEN 1.0::DOUBLE - 0.5::DOUBLE * length(regexp_replace(t, '[\p{{L}}\s]+', '', 'g')) / length(regexp_replace(t, '\s+', '', 'g')) ELSE 0.5::DOUBLE END) AS key FROM d),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
         w AS (SELECT *, [1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, source_size * 3.0::DOUBLE AS most FROM s),

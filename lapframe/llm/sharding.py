@@ -100,7 +100,7 @@ def minimax_cuts(sums: DataFrame, shards: int, cells: int = 8192, split: int = 6
 def shard_documents(docs: DataFrame, shards: int = 24, rows_per_run: int = 200_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
 
-    Slots: rows of a shard are dealt by a hash of doc_id into runs of about
+    Slots: rows of a shard are dealt by a hash of doc_id and text into runs of about
     ``rows_per_run`` rows, numbered inside each run, and shifted by the sizes of the runs before.
     """
     text = text_of()
@@ -121,7 +121,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, rows_per_run: int = 200_0
     for end in sorted(ends):
         shard = shard + F.when(F.col("digest") > end, 1).otherwise(0)
     runs = max(1, n // (shards * rows_per_run))
-    placed = keyed.withColumn("shard", shard).withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int"))
+    placed = keyed.withColumn("shard", shard).withColumn("run", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(runs)).cast("int"))
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "run").agg(F.count(F.lit(1)).alias("n")).select("shard", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     order = Window.partitionBy("shard", "run").orderBy("doc_id", "digest")

@@ -9,7 +9,10 @@ compared with each other:
    Equal windows have equal grams, so they meet in one bucket. Runs are sent,
    compressed, to the group of buckets that their gram hashes to. A batch sends
    equal runs once, for the smallest document, and marks the others itself: a
-   passage that a third of all documents hold leaves each batch once.
+   passage that a third of all documents hold leaves each batch once. The runs of
+   a gram that a sample finds in very many documents, each among other
+   surroundings, would still fill one bucket: they go window by window, each by the
+   hash of all its bytes. The sample decides only where windows meet.
 2. Refinement. In a group, runs whose gram no other document has are dropped, and
    equal runs are settled as in a batch. The windows left are sorted by the grams of
    8 bytes at two offsets, twice; then they get bucket pointers by sorting: the
@@ -52,6 +55,7 @@ _BASE = 0x9E3779B97F4A7C15
 LEVEL = 5  # of compression, for what is sent in bulk
 _SLICE = 2_000_000  # bytes of text handled at once in a task
 _PART = 2_000_000  # bytes of runs refined at once in a task
+_SAMPLE, _MOST_HOT = 5_000, 10_000  # documents in which hot grams are looked for; and how many are told apart
 _RUN = [np.uint8, np.uint16, np.uint8, np.int64, np.uint32, np.int32]  # bytes, length, place of the gram, step of doc, text key, start
 _MARK = [np.int64, np.uint32, np.int32, np.int32]  # doc, text key, first window, last window
 
@@ -256,7 +260,47 @@ def _lot(lot: list[tuple[bytes, int, int, int]]):
     return list(parts), np.array(doc, np.int64), np.array(key, np.uint32), np.array(at, np.int64)
 
 
-def _send_runs(groups: int):
+def _sampled_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, n): the grams of runs, with the documents of the batch that have them."""
+    for batch in batches:
+        found = []
+        for parts, *_ in _slices(batch):
+            text = np.frombuffer(b"".join(parts), np.uint8)
+            bounds = np.r_[0, np.cumsum([len(p) for p in parts])]
+            starts, _, gram, _ = _runs_of(text, bounds)
+            own = np.searchsorted(bounds, starts, side="right") - 1
+            order = np.lexsort((own, gram))
+            gram, own = gram[order], own[order]
+            found.append(gram[np.r_[True, (gram[1:] != gram[:-1]) | (own[1:] != own[:-1])]] if len(gram) else gram)
+        grams, n = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+
+def hot_grams(texts: DataFrame, rows: int, hot_runs: int) -> np.ndarray:
+    """Grams that by a sample of about ``_SAMPLE`` documents lie in more than ``hot_runs`` of all; ``_MOST_HOT`` at most, the commonest."""
+    if rows <= hot_runs:
+        return np.empty(0, np.uint64)
+    every = max(1, rows // _SAMPLE)
+    sample = texts.where(F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(every)) == 0)
+    counted = sample.mapInArrow(_sampled_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    hot = counted.where(F.col("n") * every > hot_runs).orderBy(F.desc("n"), "gram").limit(_MOST_HOT)
+    return np.sort(np.array([r["gram"] for r in hot.collect()], np.int64).view(np.uint64))
+
+
+def _in_windows(text: np.ndarray, starts: np.ndarray, windows: np.ndarray, gram: np.ndarray, place: np.ndarray, hot: np.ndarray):
+    """The runs, with those of ``hot`` grams cut into their windows."""
+    k = np.flatnonzero(np.isin(gram, hot))
+    rest = np.setdiff1d(np.arange(len(gram)), k)
+    n = windows[k]
+    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at, own = np.repeat(starts[k], n) + inside, np.repeat(gram[k], n)
+    spot = np.repeat(place[k].astype(np.int64), n) - inside
+    for i in np.flatnonzero(spot < 0).tolist():  # the gram stands again further on
+        spot[i] = _first_gram(text, int(at[i]), own[i]) - int(at[i])
+    return np.r_[starts[rest], at], np.r_[windows[rest], np.ones(len(at), windows.dtype)], np.r_[gram[rest], own], np.r_[place[rest], spot.astype(np.uint8)], len(rest)
+
+
+def _send_runs(groups: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for parts, doc, key, at in _slices(batch):
@@ -270,11 +314,15 @@ def _send_runs(groups: int):
                     where_in = [h - s for s, h in zip(rest.tolist(), (_first_gram(text, x, g) for x, g in zip(rest.tolist(), gram[k], strict=True)), strict=True)]
                     starts, windows, gram, place = np.r_[starts, rest], np.r_[windows, windows[k] - 60_000], np.r_[gram, gram[k]], np.r_[place, np.array(where_in, np.uint8)]
                     windows[k] = 60_000
+                starts, windows, gram, place, whole = _in_windows(text, starts, windows, gram, place, hot)
                 own = np.searchsorted(bounds, starts, side="right") - 1
                 lengths = windows + LENGTH - 1
                 known = settle_equal(text, starts, lengths, doc[own])
                 where = (starts - bounds[own] + at[own]).astype(np.int32)
-                group = (mix64(gram) % np.uint64(groups)).astype(np.int64)
+                dealt_by = gram.copy()
+                if whole < len(gram):
+                    dealt_by[whole:] = run_hashes(text, starts[whole:], lengths[whole:])
+                group = (mix64(dealt_by) % np.uint64(groups)).astype(np.int64)
                 rows = []
                 order = np.argsort(group, kind="stable")
                 fresh, settled = order[~known[order]], order[known[order]]
@@ -430,8 +478,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def remove_repeats(docs: DataFrame, group_bytes: int = 4_000_000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) and spans for every row."""
+def remove_repeats(docs: DataFrame, group_bytes: int = 4_000_000, hot_runs: int = 40_000) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) and spans for every row.
+
+    ``hot_runs``: documents with one gram, estimated, from which on its windows are dealt out one by one.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     size = texts.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     groups = max(1, (size["bytes"] or 0) // group_bytes)
@@ -443,7 +494,7 @@ def remove_repeats(docs: DataFrame, group_bytes: int = 4_000_000) -> DataFrame:
     marked = marked.select("doc_id", "text", later.alias("copy"))
     blob = "grp long, kind int, blob binary"
     fresh = marked.where(~F.col("copy")).select("doc_id", "text")
-    runs = fresh.mapInArrow(_send_runs(groups), blob)
+    runs = fresh.mapInArrow(_send_runs(groups, hot_grams(texts, size["rows"], hot_runs)), blob)
     marks = runs.repartition("grp").sortWithinPartitions("grp").mapInArrow(_refine_groups(groups), blob)
     both = marks.unionByName(fresh.mapInArrow(_send_texts(groups), blob))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>"

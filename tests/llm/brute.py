@@ -74,7 +74,7 @@ def within_one_edit(a: str, b: str) -> bool:
     return len(a) == len(b) + 1 and any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
 
 
-def dropped_lines(rows, least: int = 16) -> list[tuple]:
+def dropped_lines(rows, least: int = 1) -> list[tuple]:
     """For rows with one text per doc_id."""
     seen: list[str] = []
     out = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from lapframe.llm.queries import ORACLES, QUERIES
 from tests.compare import close, spark_rows, sql_rows
 
 SF = "/root/testdata/sf0.001"
-CLASHES = ["digest", "key", "node", "shard", "slot", "bin", "size", "words", "n", "target", "kept", "stratum", "component", "grp", "kind", "blob", "ids", "row", "no", "part", "id", "first", "lid", "value", "col"]
+CLASHES = ["digest", "key", "node", "shard", "slot", "bin", "size", "words", "n", "target", "kept", "stratum", "component", "grp", "kind", "blob", "ids", "row", "no", "part", "id", "first", "lid", "value", "col", "__id", "__words", "__digest", "__copy", "__source", "doc", "text_key", "keep_id", "keep_no", "own_source", "times", "at", "dropped_lines", "base_failed", "w", "t", "lines"]
 
 
 def _labels(docs):
@@ -68,15 +70,71 @@ def test_defined_cases(odd):
     assert by[2]["class_id"] == by[3]["class_id"] == 2 and by[2]["n_links"] == 0
 
 
+def _kept(rows, n: int = 5) -> dict[str, list]:
+    """What each stage keeps of ``rows`` (doc_id, text, lang, source), taken plainly, as (doc_id, text) pairs."""
+    from tests.llm import brute
+
+    lower = lambda t: (t or "").translate(brute.ASCII_UPPER)
+    rank = lambda d: -1 if d is None else d
+    largest: dict[str, tuple] = {}
+    for d, t, *_ in rows:
+        largest[lower(t)] = max(largest.get(lower(t), (-2, "")), (rank(d), t or ""))
+    up: dict[str, str] = {t or "": t or "" for _, t, *_ in rows}
+    sets = {t: {tuple(brute.words(t)[i : i + n]) for i in range(max(1, len(brute.words(t)) - n + 1))} if brute.words(t) else set() for t in up}
+    root = lambda t: t if up[t] == t else root(up[t])
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                up[root(a)] = root(b)
+    first: dict[str, tuple] = {}
+    for d, t, *_ in rows:
+        own = (d is None, rank(d), t or "")
+        first[root(t or "")] = min(first.get(root(t or ""), (2, 0, "")), own, key=lambda x: (x[0], x[1], hashlib.md5(x[2].encode()).digest()))
+    return {
+        "quality_rules": [(d, t) for d, t, *_ in rows if not brute.quality_counts(t)[-1]],
+        "exact_dedup": [(None if d == -1 else d, t) for d, t in largest.values()],
+        "jaccard_join": [(None if none else d, t) for none, d, t in first.values()],
+    }
+
+
+@pytest.mark.parametrize("name", ["quality_rules", "exact_dedup", "jaccard_join", "mixing"])
+def test_stage_keeps_exactly_its_rows(spark, odd, tmp_path, name):
+    """Repeated and null doc_ids, two texts under one doc_id, and columns with the names that stages might use."""
+    _labels(odd.where("doc_id is not null")).write.parquet(str(tmp_path / "labels.parquet"))
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got = stage(spark, odd, str(tmp_path))
+    assert got.columns == odd.columns
+    assert all(r[c] == "x" for r in got.select(*CLASHES).collect() for c in CLASHES)
+    pairs = lambda found: sorted((str(d), t or "") for d, t in found)
+    rows = [tuple(r) for r in odd.select("doc_id", "text", "lang", "source").collect()]
+    kept = [tuple(r) for r in got.select("doc_id", "text").collect()]
+    if name == "mixing":
+        times = {}
+        for r in mixing.mix(odd).collect():
+            key = (r["doc_id"], r["source"], r["size"])
+            times[key] = max(times.get(key, 0), r["times"])
+        want = [(d, t) for d, t, _, s in rows for _ in range(times[d, s, len((t or "").split())])]
+    else:
+        want = _kept(rows)[name]
+    assert pairs(kept) == pairs(want)
+
+
 def test_stages(spark, odd, tmp_path):
     _labels(odd.where("doc_id is not null")).write.parquet(str(tmp_path / "labels.parquet"))
-    for docs in (odd, odd.where("false")):
-        for name, stage in corpus_pipeline.STAGES:
-            got = stage(spark, docs, str(tmp_path))
-            rows = got.count()
-            if name != "byte_bpe":
-                assert got.columns == odd.columns
-            assert rows > 0 or docs is not odd
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd.where("false"), str(tmp_path))
+        assert got.count() == 0 and (name == "byte_bpe" or got.columns == odd.columns)
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, str(tmp_path)).count() == odd.count()
+
+
+def test_dropped_lines_of_any_rows(odd):
+    """A document is known by doc_id and text: the earliest one keeps a line, whatever its doc_id."""
+    left = line_dedup.drop_lines(odd)
+    assert left.columns == odd.columns and left.count() == odd.count()
+    texts = [(str(r["doc_id"]), r["lang"], r["text"]) for r in left.select("doc_id", "lang", "text").collect()]
+    line = "The quick brown fox jumps over the lazy dog again and again, and then it sleeps for a long time under a tree."
+    assert sum(line in (t or "") for _, _, t in texts) == 2  # the first document, which is there twice
+    assert ("None", None, None) in texts and ("None", None, "") in texts
 
 
 def test_pipeline_against_its_parts(spark):
