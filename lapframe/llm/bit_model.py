@@ -276,20 +276,25 @@ def mix_scores(model: Model, s: Symbols, answers: list[np.ndarray]) -> np.ndarra
     event = np.cumsum(follow + 1) - (follow + 1)
     is_word = np.zeros(len(s.number) + len(spelled), bool)
     is_word[event] = True
-    length = np.empty(len(is_word), np.int64)
-    length[is_word], length[~is_word] = word_length, byte_length
+    spell = np.flatnonzero(~is_word)
+
+    def in_line(words: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        out = np.empty(len(is_word), np.int64)
+        out[event], out[spell] = words, spelled
+        return out
+
+    length = in_line(word_length, byte_length)
     first = np.cumsum(length) - length
-    total = int(length.sum())
-    word_first, byte_first = first[is_word], first[~is_word]
-    inputs = np.zeros((PREDICTORS, total), np.int8)
-    table, wide = model.by_class.ravel(), model.by_class.shape[1]
-    in_class = s.of_word.astype(np.int64) * wide + model.word_code.start[s.number]
-    _spread(word_length, word_first, [(inputs[0], table, in_class), (inputs[2], sources[1], at[1])])
-    _spread(model.upper_code.length[model.upper_number[s.number]], word_first, [(inputs[1], sources[0], at[0])])
-    _spread(byte_length, byte_first, [(inputs[k], sources[WORD_FAMILIES + k], at[WORD_FAMILIES + k]) for k in range(BYTE_FAMILIES)])
+    inputs = np.zeros((PREDICTORS, int(length.sum())), np.int8)
+    in_class = s.of_word.astype(np.int64) * model.by_class.shape[1] + model.word_code.start[s.number]
+    for k, words, start in ((0, model.by_class.ravel(), in_class), (2, sources[1], at[1])):
+        _line_up(inputs[k], np.concatenate([words, sources[WORD_FAMILIES + k]]), in_line(start, at[WORD_FAMILIES + k] + len(words)), length)
+    upper = model.upper_code.length[model.upper_number[s.number]]
+    _spread(inputs[1], sources[0], at[0], upper, first[event])
+    _spread(inputs[1], sources[WORD_FAMILIES + 1], at[WORD_FAMILIES + 1], byte_length, first[spell])
     of_byte = np.repeat(np.where(is_word, 0, 2).astype(np.int8), length)
     opens = first[event[s.opens]] if len(s.number) else np.empty(0, np.int64)
-    size = np.diff(np.r_[opens, total])
+    size = np.diff(np.r_[opens, inputs.shape[1]])
     order = np.argsort(-size, kind="stable")
     got = np.zeros(len(order))
     got[order] = advance(opens[order], size[order], of_byte, inputs)
@@ -314,19 +319,31 @@ def lengthened(value: np.ndarray, varied: np.ndarray, length: np.ndarray) -> np.
     return out
 
 
-def _spread(length: np.ndarray, to: np.ndarray, copies: list[tuple[np.ndarray, np.ndarray, np.ndarray]], many: int = 65_536) -> None:
-    """Copy runs to their places: of each (out, source, start) the runs ``source[start : start + length]``; some runs at a time."""
+def _runs(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The run of each entry, the entries, and the entries before each run."""
+    run = np.repeat(np.arange(len(length)), length)
+    return run, np.arange(len(run)), np.cumsum(length) - length
+
+
+def _line_up(out: np.ndarray, source: np.ndarray, start: np.ndarray, length: np.ndarray, many: int = 65_536) -> None:
+    """The runs ``source[start : start + length]`` one after the other; some runs at a time."""
+    done = 0
+    for i in range(0, len(length), many):
+        run, at, before = _runs(length[i : i + many])
+        spot = (start[i : i + many] - before).take(run, mode="clip")
+        spot += at
+        source.take(spot, out=out[done : done + len(at)], mode="clip")
+        done += len(at)
+
+
+def _spread(out: np.ndarray, source: np.ndarray, start: np.ndarray, length: np.ndarray, to: np.ndarray, many: int = 65_536) -> None:
+    """The runs ``source[start : start + length]``, each from its place ``to`` on."""
     for i in range(0, len(length), many):
-        n = length[i : i + many]
-        before = np.cumsum(n) - n
-        run = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        at = np.arange(len(run))
-        place = (to[i : i + many] - before).take(run)
+        run, at, before = _runs(length[i : i + many])
+        place, spot = ((x[i : i + many] - before).take(run, mode="clip") for x in (to, start))
         place += at
-        for out, source, start in copies:
-            spot = (start[i : i + many] - before).take(run)
-            spot += at
-            out[place] = source.take(spot)
+        spot += at
+        out[place] = source.take(spot, mode="clip")
 
 
 def advance(start: np.ndarray, count: np.ndarray, kind: np.ndarray, inputs: np.ndarray, first=FIRST_WEIGHTS) -> np.ndarray:
@@ -338,35 +355,36 @@ def advance(start: np.ndarray, count: np.ndarray, kind: np.ndarray, inputs: np.n
     # per text, gate and predictor, so that the texts still going are the first rows
     weights = np.tile(np.array(first, np.float32).reshape(1, -1), (lanes, 1))
     total = np.zeros(lanes)
-    within = np.arange(STEP)[:, None]
+    within = np.arange(STEP)
     last = len(kind) - 1
     lives = np.searchsorted(-count, -np.arange(0, int(count[0]) if lanes else 0, STEP), side="left").tolist()
-    predictor = np.arange(PREDICTORS, dtype=np.int32)[:, None, None]
-    row = np.arange(lanes, dtype=np.int32) * (gates * PREDICTORS)
-    at = start.copy()
+    predictor = np.arange(PREDICTORS)[:, None, None]
+    row = (np.arange(lanes) * (gates * PREDICTORS))[:, None]
+    at = start.astype(np.int64)[:, None]
     for nth, live in enumerate(lives):
         spot = at[:live] + within
         at[:live] += STEP
         ragged = count[live - 1] < (nth + 1) * STEP
         if ragged:
             np.minimum(spot, last, out=spot)
-        found = inputs.take(spot, axis=1)
-        cell = (kind.take(spot) + (found[-1] != 0)).astype(np.int32)
+        found = inputs.take(spot, axis=1, mode="clip")
+        cell = (kind.take(spot, mode="clip") + (found[-1] != 0)).astype(np.int64)
         cell *= PREDICTORS
-        cell = predictor + (cell + row[:live])
+        cell += row[:live]
+        cell = predictor + cell
         x = found.astype(np.float32)
         x *= np.float32(1 / SCALE)
         own = weights[:live].reshape(-1)
-        logit = np.einsum("kij,kij->ij", x, own.take(cell))
+        logit = np.einsum("kij,kij->ij", x, own.take(cell, mode="clip"))
         np.minimum(np.maximum(logit, -10, out=logit), 10, out=logit)
-        hit = np.exp(-logit)
+        hit = np.exp(np.negative(logit, out=logit), out=logit)
         hit += 1
         np.reciprocal(hit, out=hit)
         missing = (1 - hit) * np.float32(RATE)
         if ragged:
-            gone = nth * STEP + within >= count[:live]
+            gone = nth * STEP + within >= count[:live, None]
             hit[gone], missing[gone] = 1, 0
-        total[:live] += np.log10(hit.prod(axis=0, dtype=np.float64))
+        total[:live] += np.log10(hit.prod(axis=1, dtype=np.float64))
         x *= missing
         own += np.bincount(cell.ravel(), weights=x.ravel(), minlength=len(own))
     return total

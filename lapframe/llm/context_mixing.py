@@ -29,7 +29,7 @@ predictions along the code of each of its pairs. A lot has a pair once, and the
 symbols of a context are few (256 where it is short), so a frequent context is no hot group.
 
 The base score needs exact counts of all training tokens: they are grouped by hash
-range. Frequent tokens (``HEAD`` at most) are broadcast; the other tokens
+range. Frequent tokens (``BASE_HEAD`` at most) are broadcast; the other tokens
 of each document go to their hash range and come back as sums. Tokens are known by 64-bit hashes.
 
 Defined cases: a null text is empty and scores its class and end alone; a null doc_id
@@ -54,14 +54,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapframe.llm.bit_model import CLASSES, END_OF_WORD, FAMILIES, RANK_BITS, VARIED, Code, Model, Symbols, classes_of, contexts, distinct_pairs, mix_scores, predictions, shortened
-from lapframe.llm.common import id_crc, text_of
+from lapframe.llm.common import id_crc, shuffle_width, text_of
 from lapframe.llm.jaccard_join import mix64
 from lapframe.llm.packing import gather_runs, order_of, pack, split_points, steps, unpack, unpack_all
 from lapframe.llm.suffix_dedup import blob_groups
 from lapframe.session import materialize
 
-HEAD = 1 << 17
-_LOT = 5_000_000  # bytes; larger lots send fewer pairs
+HEAD, BASE_HEAD = 1 << 17, 1 << 18  # words that have a code, and tokens whose counts all tasks know
+_LOT = 6_000_000  # bytes; larger lots send fewer pairs
 _KNOWN_WORDS, _COUNTED_WORDS = 400_000, 400_000  # kept by a worker
 _WORDS = re.compile(rb"[^ \t-\r]+|(?: (?=[ \t-\r])|[\t-\r])[ \t-\r]*")  # not the single space between two words
 _UNCOMMON = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\v", b"\f")  # without these, white space is single spaces and line ends between words
@@ -201,24 +201,24 @@ def _merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             lower, tag, of_class, n = _unsteps(blobs[0], [np.uint64, np.uint16, np.uint8, np.int64])
             token = (tag != _SPACE) & (n > 0)
             keys, total = _summed(lower[token], n[token])
-            out = [(group, _BASE_KIND, pack([keys, total]), len(keys), int(total.sum()))]
+            out = [(group, _BASE_KIND, pack([steps(keys), total]), len(keys), int(total.sum()))]
             word = tag != _BASE_ONLY
             identity = _identity(lower[word], tag[word])
             order = np.lexsort((of_class[word], identity))
             identity, of_class, n = identity[order], of_class[word][order], n[word][order]
             starts = np.flatnonzero(np.r_[True, (identity[1:] != identity[:-1]) | (of_class[1:] != of_class[:-1])]) if len(identity) else np.empty(0, np.int64)
-            out.append((group, _WORD_KIND, pack([identity[starts], of_class[starts], np.add.reduceat(n, starts) if len(starts) else n]), 0, 0))
+            out.append((group, _WORD_KIND, pack([steps(identity[starts]), of_class[starts], np.add.reduceat(n, starts) if len(starts) else n]), 0, 0))
         g, kind, blob, types, count = zip(*out, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary()), pa.array(types, pa.int64()), pa.array(count, pa.int64())], ["grp", "kind", "blob", "types", "count"])
 
 
-_WORD_COUNTS = [np.uint64, np.uint8, np.int64]
+_TOKEN_COUNTS, _WORD_COUNTS = [np.uint64, np.int64], [np.uint64, np.uint8, np.int64]
 
 
 def _totals(kind: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     if kind == _BASE_KIND:
-        return tuple(unpack(blob, [np.uint64, np.int64]))
-    identity, _, n = unpack(blob, _WORD_COUNTS)
+        return tuple(_unsteps([blob], _TOKEN_COUNTS))
+    identity, _, n = _unsteps([blob], _WORD_COUNTS)
     return _summed(identity, n)
 
 
@@ -234,7 +234,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = np.bincount(_bin(_totals(kind, blob)[1]))
             out += [(kind, b, int(found[b])) for b in np.flatnonzero(found).tolist()]
             if kind == _WORD_KIND:
-                _, of_class, n = unpack(blob, _WORD_COUNTS)
+                _, of_class, n = _unsteps([blob], _WORD_COUNTS)
                 uses = np.bincount(of_class, weights=n, minlength=CLASSES)
                 out += [(2, c, int(uses[c])) for c in range(CLASSES)]
         kind, b, n = zip(*out, strict=True) if out else ((), (), ())
@@ -250,7 +250,7 @@ def _frequent(least: dict[int, int]):
             for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 keys, total = _totals(kind, blob)
                 keys = keys[(_bin(total) >= least[kind]) & (total > 1)]
-                arrays = unpack(blob, [np.uint64, np.int64] if kind == _BASE_KIND else _WORD_COUNTS)
+                arrays = _unsteps([blob], _TOKEN_COUNTS if kind == _BASE_KIND else _WORD_COUNTS)
                 kept = np.isin(arrays[0], keys)
                 if kept.any():
                     out.append((-1, kind, pack([a[kept] for a in arrays])))
@@ -260,13 +260,13 @@ def _frequent(least: dict[int, int]):
 
 
 def _least_bins(sizes: list[tuple[int, int, int]]) -> dict[int, int]:
-    """Per kind the smallest bin from which on ``HEAD`` entries are at most."""
+    """Per kind the smallest bin from which on no more entries lie than may be broadcast."""
     out = {}
-    for kind in (_BASE_KIND, _WORD_KIND):
+    for kind, most in ((_BASE_KIND, BASE_HEAD), (_WORD_KIND, HEAD)):
         held, out[kind] = 0, 1 << 30
         for _, b, n in sorted((x for x in sizes if x[0] == kind), reverse=True):
             held += n
-            if held > HEAD:
+            if held > most:
                 break
             out[kind] = b
     return out
@@ -430,7 +430,7 @@ def _gather(model, head, groups: int):
 
 def _tail_sums(counted: list[bytes], asked: list[bytes]) -> Iterator[pa.RecordBatch]:
     """For each lot the sums of what its rows' rare tokens of a hash range add."""
-    keys, counts = unpack_all(counted, [np.uint64, np.int64])
+    keys, counts = _unsteps(counted, _TOKEN_COUNTS)
     h, lot, row, times = _unsteps(asked, _TAIL)
     if not len(h):
         return
@@ -506,7 +506,7 @@ def score_documents(docs: DataFrame, group_bytes: int = 8_000_000) -> DataFrame:
     merged = counts.where(F.col("kind") != _BYTE_KIND).select("kind", "blob")
     # some hundreds of bins, whatever the input
     sizes = [tuple(r) for r in merged.mapInArrow(_sizes, "kind int, bin long, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect()]
-    # HEAD tokens and HEAD words at most
+    # BASE_HEAD tokens and HEAD words at most
     often = merged.mapInArrow(_frequent(_least_bins(sizes)), _BLOB).select("kind", "blob").collect()
     of = {kind: [bytes(r["blob"]) for r in often if r["kind"] == kind] for kind in (_BASE_KIND, _WORD_KIND)}
     uses = np.zeros(CLASSES, np.int64)
@@ -521,6 +521,7 @@ def score_documents(docs: DataFrame, group_bytes: int = 8_000_000) -> DataFrame:
     # a lot is known by its place in its partition of the scan, so a task that runs again gives it the same number
     gathered = texts.mapInArrow(_gather(model, head, groups), f"{_BLOB}, lot long")
     known = counts.where(F.col("kind") == _BASE_KIND).select("grp", F.lit(_COUNTS).alias("kind"), "blob", F.lit(-1).cast("long").alias("lot"))
-    served = gathered.unionByName(known).repartition("grp").sortWithinPartitions("grp").mapInArrow(_serve(model), _BLOB)
+    parts = max(shuffle_width(docs.sparkSession), groups // 4)
+    served = gathered.unionByName(known).repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_serve(model), _BLOB)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return served.repartition("grp").sortWithinPartitions("grp").mapInArrow(_finish(model, size["n"], size["v"]), schema)
+    return served.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_finish(model, size["n"], size["v"]), schema)
