@@ -52,7 +52,7 @@ def interpolate(knots: DataFrame, grid: DataFrame, run: str = RUN, left_clamp: b
     Linear between the neighbouring knots; the nearest knot's value outside (before the first knot
     only with ``left_clamp``, else NULL). Of knots at one time the last in order of value decides.
     """
-    channels = knots.select(run, "channel").distinct()
+    channels = knots.where("channel is not null").select(run, "channel").distinct()
     asked = grid.join(channels, run).select(run, "channel", "time_s", F.lit(None).cast("double").alias("value"), F.lit(1).alias("is_grid"), "seq")
     given = knots.select(run, "channel", "time_s", "value", F.lit(0).alias("is_grid"), F.lit(None).cast("long").alias("seq")).where("value is not null")
     both = asked.unionByName(given)

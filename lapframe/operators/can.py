@@ -1,8 +1,10 @@
 """CAN frames: from log lines to frames, without repeated payloads, to signals in long or wide form.
 
-All of it is column expressions. A definition database is a small file, so its
-messages are a table of at most ``MOST_MESSAGES`` rows that is broadcast; a
-signal's bits are picked from the payload's bytes by shifts and masks.
+All of it is column expressions. A payload is read once, as words of 64 bits, and a
+signal's bits are picked from them by shifts and masks. The signals of a small
+definition database are plain expressions; those of a larger one (over
+``UNROLLED`` signals) are looked up in a broadcast table of at most
+``MOST_MESSAGES`` messages.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 MOST_MESSAGES = 65_536
 MAX_ID, MAX_BITS = 0x1FFFFFFF, 512
+#: So many signals are written out as expressions.
+UNROLLED = 120
 
 # The forms of a log line.
 LINE = r"^\s*(?:\((-?\d+(?:\.\d+)?)\)\s+)?(?:(\S+)\s+)?"
@@ -34,20 +38,17 @@ class Signal:
     name: str
     start_bit: int
     bit_length: int
-    little_endian: bool = True
+    little_endian: bool = False
     signed: bool = False
     factor: float = 1.0
     offset: float = 0.0
     unit: str = ""
 
-
     def __post_init__(self):
-        if not self.name or self.bit_length < 1 or self.start_bit < 0 or self.start_bit >= MAX_BITS:
+        if not self.name or not 1 <= self.bit_length <= MAX_BITS or not 0 <= self.start_bit < MAX_BITS:
             raise DefinitionError(f"signal {self.name!r}: bad name or bit range")
-        if self.little_endian and self.start_bit + self.bit_length > MAX_BITS or max(self.bytes_used()) >= MAX_BITS // 8:
-            raise DefinitionError(f"signal {self.name!r}: more than {MAX_BITS} bits")
-        if self.bit_length > 64:
-            raise DefinitionError(f"signal {self.name!r}: more than 64 bits wide")
+        if max(self.bytes_used()) >= MAX_BITS // 8:
+            raise DefinitionError(f"signal {self.name!r}: its bits go past {MAX_BITS}")
         if not (math.isfinite(self.factor) and math.isfinite(self.offset)):
             raise DefinitionError(f"signal {self.name!r}: factor and offset must be finite")
 
@@ -84,11 +85,37 @@ class Message:
         return max((s.bytes_used()[-1] + 1 for s in self.signals), default=0)
 
 
-def _number(text, what: str) -> int:
+def _field(held: dict, key: str, kinds: type | tuple[type, ...], what: str, default=None):
+    """A field of the right kind: numbers are no texts, and truth values are no numbers."""
+    value = held.get(key, default)
+    if value is None and key not in held:
+        raise DefinitionError(f"{what}: {key} is missing")
+    if not isinstance(value, kinds) or isinstance(value, bool) and kinds is not bool:
+        raise DefinitionError(f"{what}: {key} is {value!r}")
+    return value
+
+
+def _text(held: dict, key: str, what: str) -> str:
+    value = _field(held, key, str, what)
+    if not value.strip():
+        raise DefinitionError(f"{what}: {key} is empty")
+    return value
+
+
+def _identifier(held: dict, what: str) -> int:
+    value = _field(held, "canId", (int, str), what)
+    if isinstance(value, int):
+        return value
     try:
-        return int(text, 0) if isinstance(text, str) else int(text)
-    except (TypeError, ValueError):
-        raise DefinitionError(f"{what}: not a number: {text!r}") from None
+        return int(value, 0)
+    except ValueError:
+        raise DefinitionError(f"{what}: canId is {value!r}") from None
+
+
+def _object(value, what: str) -> dict:
+    if not isinstance(value, dict):
+        raise DefinitionError(f"{what}: not an object")
+    return value
 
 
 def read_definitions(path: str) -> list[Message]:
@@ -101,32 +128,37 @@ def read_definitions(path: str) -> list[Message]:
 
 
 def parse_definitions(found: dict) -> list[Message]:
-    params = found.get("params")
-    if not isinstance(params, list):
-        raise DefinitionError("a definition file holds a list named params")
+    """Messages of a definition document. Without ``isLittleEndian`` a signal has Motorola order; names and identifiers are unique."""
     out: list[Message] = []
-    for p in params:
-        can_id = _number(p.get("canId"), "canId")
-        extended = bool(p.get("isExtendedFrame", can_id > 0x7FF))
+    for k, held in enumerate(_field(_object(found, "the document"), "params", list, "the document")):
+        p = _object(held, f"params[{k}]")
+        can_id, name = _identifier(p, f"params[{k}]"), _text(p, "name", f"params[{k}]")
+        extended = _field(p, "isExtendedFrame", bool, name, can_id > 0x7FF)
         if not 0 <= can_id <= (MAX_ID if extended else 0x7FF):
             raise DefinitionError(f"identifier {can_id:#x} is out of range")
-        signals = tuple(
-            Signal(
-                s.get("name", ""), _number(s.get("startBit"), "startBit"), _number(s.get("bitLength"), "bitLength"), bool(s.get("isLittleEndian", True)),
-                bool(s.get("isSigned", False)), float(s.get("factor", 1.0)), float(s.get("offset", 0.0)), str(s.get("postfixMetric") or ""),
-            )
-            for s in p.get("signals", [])
-        )
+        signals = tuple(_signal(_object(x, f"{name}.signals"), name) for x in _field(p, "signals", list, name))
         if len({s.name for s in signals}) < len(signals):
-            raise DefinitionError(f"message {p.get('name')!r} names a signal twice")
-        out.append(Message(can_id, str(p.get("name", "")), extended, signals))
+            raise DefinitionError(f"message {name!r} names a signal twice")
+        out.append(Message(can_id, name, extended, signals))
     if len({(m.can_id, m.extended) for m in out}) < len(out):
         raise DefinitionError("an identifier is defined twice")
+    if len({m.name for m in out}) < len(out):
+        raise DefinitionError("two messages have one name")
     if len(out) > MOST_MESSAGES:
         raise DefinitionError(f"more than {MOST_MESSAGES} messages")
     return out
 
 
+def _signal(s: dict, message: str) -> Signal:
+    name = _text(s, "name", message)
+    what = f"{message}.{name}"
+    number = lambda key, default: float(_field(s, key, (int, float), what, default))
+    return Signal(
+        name, _field(s, "startBit", int, what), _field(s, "bitLength", int, what), _field(s, "isLittleEndian", bool, what, False), _field(s, "isSigned", bool, what, False),
+        number("factor", 1), number("offset", 0), _field(s, "postfixMetric", str, what, ""),
+    )
+
+
 # --- frames ------------------------------------------------------------------------------------
 
 
@@ -198,33 +230,73 @@ def known_frames(frames: DataFrame, messages: list[Message]) -> DataFrame:
     return frames.join(F.broadcast(message_table(frames.sparkSession, messages).select("can_id", "is_extended")), ["can_id", "is_extended"], "left_semi")
 
 
-_SHARE = "struct<byte:int,low:int,mask:bigint,place:int>"
+_SHARE = "struct<word:int,shift:int,mask:bigint,place:int>"
 _SIGNAL = f"struct<signal:string,column:string,unit:string,factor:double,offset:double,signed:boolean,bits:int,shares:array<{_SHARE}>>"
+_WORD_BYTES = 8
+
+
+def _parts(s: Signal) -> list[tuple[int, int, int, int]]:
+    """(word, shift, mask, place) of each byte's part, the bytes of a word from its top."""
+    return [(byte // _WORD_BYTES, 8 * (_WORD_BYTES - 1 - byte % _WORD_BYTES) + low, mask, place) for byte, low, mask, place in s.shares()]
 
 
 def message_table(spark: SparkSession, messages: list[Message], names: dict[tuple[str, str], str] | None = None) -> DataFrame:
     """can_id, is_extended, message, bytes_needed, signals: at most ``MOST_MESSAGES`` rows."""
     rows = []
     for m in messages:
-        own = [(s.name, (names or {}).get((m.name, s.name), s.name), s.unit, float(s.factor), float(s.offset), s.signed, s.bit_length, s.shares()) for s in m.signals]
+        own = [(s.name, (names or {}).get((m.name, s.name), s.name), s.unit, float(s.factor), float(s.offset), s.signed, s.bit_length, _parts(s)) for s in m.signals]
         rows.append((m.can_id, m.extended, m.name, m.bytes_needed(), own))
     return spark.createDataFrame(rows, f"can_id bigint, is_extended boolean, message string, bytes_needed int, signals array<{_SIGNAL}>")
 
 
-def signal_value(text: Column, signal: Column) -> Column:
-    """A signal's value from the payload in hexadecimal: each byte's part is masked and shifted into its place."""
+def _word(text: Column, k: Column | int) -> Column:
+    """The ``k``-th 64 bits of a payload in hexadecimal, filled up with zeros, as a number with sign."""
+    start = k * 16 + 1 if isinstance(k, Column) else F.lit(16 * k + 1)
+    return F.conv(F.rpad(F.substring(text, start, F.lit(16)), 16, "0"), 16, -10).cast("bigint")
+
+
+def _shift(name: str, value: Column, by: Column | int) -> Column:
+    return F.call_function(name, value, by if isinstance(by, Column) else F.lit(by))
 
-    def add(total: Column, part: Column) -> Column:
-        byte = F.conv(F.substring(text, part["byte"] * 2 + 1, F.lit(2)), 16, 10).cast("bigint")
-        return total.bitwiseOR(F.call_function("shiftleft", F.call_function("shiftright", byte, part["low"]).bitwiseAND(part["mask"]), part["place"]))
+
+def signal_value(words: Column, signal: Column) -> Column:
+    """A signal's value from the payload's words: each byte's part is masked and shifted into its place. Beyond 64 bits in doubles."""
+    def part(x: Column) -> Column:
+        return _shift("shiftright", F.get(words, x["word"]), x["shift"]).bitwiseAND(x["mask"])
 
     def number(raw: Column) -> Column:
-        turn = F.call_function("shiftleft", F.lit(1).cast("bigint"), signal["bits"])
-        negative = signal["signed"] & (signal["bits"] < 64) & (raw >= F.call_function("shiftleft", F.lit(1).cast("bigint"), signal["bits"] - 1))
+        negative = signal["signed"] & (signal["bits"] < 64) & (raw >= _shift("shiftleft", F.lit(1).cast("bigint"), signal["bits"] - 1))
         wrapped = ~signal["signed"] & (raw < 0)
+        turn = _shift("shiftleft", F.lit(1).cast("bigint"), signal["bits"])
         return F.when(negative, (raw - turn).cast("double")).when(wrapped, raw.cast("double") + F.lit(2.0**64)).otherwise(raw.cast("double"))
 
-    return F.aggregate(signal["shares"], F.lit(0).cast("bigint"), add, number) * signal["factor"] + signal["offset"]
+    def sum_of(value: Callable[[Column], Column]) -> Column:
+        return F.aggregate(signal["shares"], F.lit(0.0), lambda total, x: total + value(x).cast("double") * F.pow(F.lit(2.0), x["place"]))
+
+    exact = F.aggregate(signal["shares"], F.lit(0).cast("bigint"), lambda total, x: total.bitwiseOR(_shift("shiftleft", part(x), x["place"])), number)
+    top = F.exists(signal["shares"], lambda x: (x["place"] + F.bit_count(x["mask"]) == signal["bits"]) & (part(x) * 2 > x["mask"]))
+    wide = F.when(signal["signed"] & top, -1.0 - sum_of(lambda x: x["mask"] - part(x))).otherwise(sum_of(part))
+    return F.when(signal["bits"] <= 64, exact).otherwise(wide) * signal["factor"] + signal["offset"]
+
+
+def plain_value(s: Signal, words: list[Column]) -> Column:
+    """The same for one known signal: shifts and masks alone."""
+    parts = [(_shift("shiftright", words[word], shift).bitwiseAND(F.lit(mask)), mask, place) for word, shift, mask, place in _parts(s)]
+    if s.bit_length > 64:
+        raw = sum((x.cast("double") * F.lit(2.0**place) for x, _, place in parts), F.lit(0.0))
+        if s.signed:  # a negative number by its complement, which keeps small ones exact
+            head, mask, _ = max(parts, key=lambda part: part[2])
+            raw = F.when(head * 2 > mask, -1.0 - sum(((F.lit(m) - x).cast("double") * F.lit(2.0**place) for x, m, place in parts), F.lit(0.0))).otherwise(raw)
+    else:
+        total = None
+        for x, _, place in parts:
+            moved = _shift("shiftleft", x.cast("bigint"), place) if place else x.cast("bigint")
+            total = moved if total is None else total.bitwiseOR(moved)
+        if s.signed and s.bit_length < 64:
+            total = _shift("shiftright", _shift("shiftleft", total, 64 - s.bit_length), 64 - s.bit_length)
+        raw = total.cast("double")
+        raw = F.when(total < 0, raw + F.lit(2.0**64)).otherwise(raw) if not s.signed and s.bit_length == 64 else raw
+    return raw * F.lit(float(s.factor)) + F.lit(float(s.offset))
 
 
 def changed_frames(frames: DataFrame, run: str = "run_id", order: tuple[str, ...] = ("line_no",)) -> DataFrame:
@@ -251,10 +323,38 @@ def _checked(frames: DataFrame, messages: list[Message], names: dict[tuple[str,
     return known.withColumn("__hex", text).drop("bytes_needed")
 
 
+def _unrolled(messages: list[Message]) -> bool:
+    return 0 < sum(len(m.signals) for m in messages) <= UNROLLED
+
+
+def _with_words(rows: DataFrame, messages: list[Message]) -> tuple[DataFrame, list[Column]]:
+    """``rows`` with a column for each word of the payload that the messages need."""
+    n = -(-max(m.bytes_needed() for m in messages) // _WORD_BYTES)
+    held = rows.withColumns({f"__w{k}": _word(F.col("__hex"), k) for k in range(n)})
+    return held, [F.col(f"__w{k}") for k in range(n)]
+
+
+def _all_words(rows: DataFrame) -> DataFrame:
+    last = F.greatest(F.ceil(F.length("__hex") / 16).cast("int") - 1, F.lit(0))
+    return rows.withColumn("__words", F.transform(F.sequence(F.lit(0), last), lambda k: _word(F.col("__hex"), k)))
+
+
+def _is(m: Message) -> Column:
+    return (F.col("can_id") == F.lit(m.can_id)) & (F.col("is_extended") == F.lit(m.extended))
+
+
 def decode_long(frames: DataFrame, messages: list[Message]) -> DataFrame:
     """``frames`` with message, signal, value and unit: a row per signal."""
-    rows = _checked(frames, messages).withColumn("__s", F.explode("signals"))
-    return rows.select("*", F.col("__s.signal").alias("signal"), signal_value(F.col("__hex"), F.col("__s")).alias("value"), F.col("__s.unit").alias("unit")).drop("__s", "__hex", "signals")
+    rows = _checked(frames, messages)
+    if _unrolled(messages):
+        held, words = _with_words(rows.drop("signals"), messages)
+        cases = [(_is(m), F.array(*[F.struct(F.lit(s.name).alias("signal"), plain_value(s, words).alias("value"), F.lit(s.unit).alias("unit")) for s in m.signals])) for m in messages if m.signals]
+        found = F.when(*cases[0])
+        for case in cases[1:]:
+            found = found.when(*case)
+        return held.withColumn("__s", F.explode(found)).select(*frames.columns, "message", "__s.signal", "__s.value", "__s.unit")
+    rows = _all_words(rows).withColumn("__s", F.explode("signals"))
+    return rows.select(*frames.columns, "message", F.col("__s.signal").alias("signal"), signal_value(F.col("__words"), F.col("__s")).alias("value"), F.col("__s.unit").alias("unit"))
 
 
 def column_names(messages: list[Message], reserved: tuple[str, ...] = ()) -> dict[tuple[str, str], str]:
@@ -273,8 +373,11 @@ def decode_wide(frames: DataFrame, messages: list[Message]) -> DataFrame:
     """``frames`` with a column per signal, filled where the frame carries it: no shuffle."""
     names = column_names(messages, tuple(frames.columns))
     rows = _checked(frames, messages, names)
-    values = F.map_from_arrays(F.transform("signals", lambda x: x["column"]), F.transform("signals", lambda x: signal_value(F.col("__hex"), x)))
-    held = rows.withColumn("__v", values)
+    if _unrolled(messages):
+        held, words = _with_words(rows, messages)
+        return held.select(*frames.columns, *[F.when(_is(m), plain_value(s, words)).alias(names[m.name, s.name]) for m in messages for s in m.signals])
+    values = F.map_from_arrays(F.transform("signals", lambda x: x["column"]), F.transform("signals", lambda x: signal_value(F.col("__words"), x)))
+    held = _all_words(rows).withColumn("__v", values)
     return held.select(*frames.columns, *[F.try_element_at("__v", F.lit(n)).alias(n) for n in names.values()])
 
 

@@ -560,8 +560,9 @@ def cornering_stiffness(spark, sf_dir):
 CAN_MESSAGES = {
     "params": [
         {"canId": 0x100 + k, "name": name, "signals": [
-            {"name": "value", "startBit": 0, "bitLength": 16, "factor": 0.01, "postfixMetric": "m"}, {"name": "shade", "startBit": 16, "bitLength": 8, "isSigned": True},
-            {"name": "user", "startBit": 31, "bitLength": 16, "isLittleEndian": False}]}
+            {"name": "value", "startBit": 0, "bitLength": 16, "isLittleEndian": True, "factor": 0.01, "postfixMetric": "m"},
+            {"name": "shade", "startBit": 16, "bitLength": 8, "isLittleEndian": True, "isSigned": True},
+            {"name": "user", "startBit": 31, "bitLength": 16}]}
         for k, name in enumerate(CHANNELS)
     ]
 }

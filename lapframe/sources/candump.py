@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapframe.operators.can import changed_frames, decode_long, frames_of, known_frames, read_definitions
-from lapframe.sources.files import run_name
+from lapframe.operators.can import changed_frames, decode_long, frames_of, known_frames, last_times, read_definitions
+from lapframe.sources.files import numbered, run_name
 
 
 def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
@@ -20,13 +20,12 @@ def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
         F.col("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("no"),
     )
-    w = Window.partitionBy("path").orderBy("block", "no")
     # all bytes of a file are its lines and their ends: one byte less means the last line has no end
     sums = rows.groupBy("path").agg(F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    numbered = rows.select("path", "value", F.row_number().over(w).alias("line_no")).join(sums, "path")
+    placed = numbered(rows.select("path", "block", "no", "value")).select("path", "value", (F.col("place") + 1).alias("line_no")).join(sums, "path")
     # the text itself depends on the test, so that no check of a line can run before it
     whole = (F.col("line_no") < F.col("n")) | (F.col("bytes") <= F.col("size"))
-    return numbered.select(run_name(F.col("path")).alias("run_id"), "line_no", F.when(whole, F.regexp_replace("value", "\r$", "")).alias("line")).where("line is not null")
+    return placed.select(run_name(F.col("path")).alias("run_id"), "line_no", F.when(whole, F.regexp_replace("value", "\r$", "")).alias("line")).where("line is not null")
 
 
 def read_frames(spark: SparkSession, paths: list[str] | str, strict: bool = True) -> DataFrame:
@@ -35,10 +34,21 @@ def read_frames(spark: SparkSession, paths: list[str] | str, strict: bool = True
 
 
 def read_long(spark: SparkSession, paths: list[str] | str, definitions: str, keep_repeated: bool = False) -> DataFrame:
-    """run_id, seq, time_s, channel, value of the signals that change (all of them with ``keep_repeated``)."""
+    """run_id, seq, time_s, channel, value of the signals that change (all of them with ``keep_repeated``).
+
+    Every frame that is decoded must have a time. Where a run's last frames repeat what came before, a row with the
+    last time alone (its channel and value are NULL) keeps the run's length.
+    """
     messages = read_definitions(definitions)
     frames = known_frames(read_frames(spark, paths), messages)
-    frames = frames if keep_repeated else changed_frames(frames)
-    decoded = decode_long(frames, messages)
+    told = F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": a decoded frame needs a time"))
+    frames = frames.withColumn("ts", F.when(F.col("ts").isNull(), F.raise_error(told).cast("double")).otherwise(F.col("ts")))
+    fresh = frames if keep_repeated else changed_frames(frames)
+    decoded = decode_long(fresh, messages)
     channel = F.concat_ws(".", "message", "signal")
-    return decoded.select("run_id", F.col("line_no").cast("long").alias("seq"), F.col("ts").alias("time_s"), channel.alias("channel"), "value")
+    rows = decoded.select("run_id", F.col("line_no").cast("long").alias("seq"), F.col("ts").alias("time_s"), channel.alias("channel"), "value")
+    if keep_repeated:
+        return rows
+    kept = last_times(fresh).select("run_id", F.col("ts").alias("kept"))
+    ends = last_times(frames).join(frames.groupBy("run_id").agg(F.max("line_no").cast("long").alias("seq")), "run_id").join(kept, "run_id")
+    return rows.unionByName(ends.where("ts > kept").select("run_id", "seq", F.col("ts").alias("time_s"), F.lit(None).cast("string").alias("channel"), F.lit(None).cast("double").alias("value")))

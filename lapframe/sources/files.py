@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The kinds of logs by suffix.
@@ -25,8 +25,29 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
     return named.where("kind is not null")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``place``, from 0: their place in their file, from path, block (where the row's split begins) and no (rising in a split).
+
+    Rows are counted inside their split; only the splits' sizes are summed up, a few numbers for each file.
+    """
+    sizes = rows.groupBy("path", "block").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("path", "block", before.alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("path", "block").orderBy("no"))
+    return rows.withColumn("__in", inside).join(starts, ["path", "block"]).withColumn("place", (F.col("__start") + F.col("__in") - 1).cast("long")).drop("__in", "__start")
+
+
+def _whole_files(got: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of the files without a problem, problems): a file that fails midway is left out as a whole."""
+    problems = got.where("problem is not null").select("path", "problem")
+    return got.where("problem is null").join(problems.select("path").distinct(), "path", "left_anti"), problems
+
+
 def read_folder(spark: SparkSession, folder: str, topics: list[str] | None = None, definitions: str | None = None) -> tuple[DataFrame | None, DataFrame]:
-    """(long table of all readable logs or None, table of files with a problem). A CSV file that can't be read is an error."""
+    """(long table of all readable logs or None, table of files with a problem). A CSV file that can't be read is an error.
+
+    CAN logs need ``definitions``; without them they are files with a problem.
+    """
     from lapframe.sources import candump, csv_logs, mat, mcap
 
     files = discover(spark, folder).orderBy("natural_key").collect()  # names alone
@@ -37,24 +58,28 @@ def read_folder(spark: SparkSession, folder: str, topics: list[str] | None = Non
     if paths := by_kind.get("csv"):
         parts.append(csv_logs.read_long(spark, paths))
     if paths := by_kind.get("mat"):
-        got = mat.read_mat(spark, paths)
-        parts.append(got.where("problem is null").drop("problem", "path"))
-        problems.append(got.where("problem is not null").select("path", "problem"))
+        good, bad = _whole_files(mat.read_mat(spark, paths))
+        parts.append(good)
+        problems.append(bad)
     if paths := by_kind.get("mcap"):
         mcap.register(spark)
-        got = mcap.read_mcap(spark, paths, topics)
-        parts.append(got.where("problem is null").select("run_id", F.monotonically_increasing_id().alias("seq"), "time_s", "channel", "value"))
-        problems.append(got.where("problem is not null").select("path", "problem"))
-    if (paths := by_kind.get("candump")) and definitions:
-        parts.append(candump.read_long(spark, paths, definitions))
-    empty = spark.createDataFrame([], "path string, problem string")
+        good, bad = _whole_files(mcap.read_mcap(spark, paths, topics))
+        in_order = Window.partitionBy("path").orderBy("log_time_ns", "chunk_offset", "message_offset", "channel")
+        parts.append(good.withColumn("seq", (F.row_number().over(in_order) - 1).cast("long")))
+        problems.append(bad)
+    if paths := by_kind.get("candump"):
+        if definitions:
+            parts.append(candump.read_long(spark, paths, definitions))
+        else:
+            problems.append(spark.createDataFrame([(p, "a CAN log needs definitions") for p in paths], "path string, problem string"))
+    found = spark.createDataFrame([], "path string, problem string")
     for p in problems:
-        empty = empty.unionByName(p)
+        found = found.unionByName(p)
     whole = None
     for p in parts:
         p = p.select("run_id", "seq", "time_s", "channel", "value")
         whole = p if whole is None else whole.unionByName(p)
-    return whole, empty
+    return whole, found
 
 
 def run_name(path: Column) -> Column:

@@ -8,6 +8,7 @@ the byte ranges of its own chunks. Files are opened by URI, local or remote.
 from __future__ import annotations
 
 import json
+import logging
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +24,8 @@ SCHEMA = "path string, run_id string, channel string, time_s double, value doubl
 TASK_BYTES = 32 << 20
 _ROWS = 20_000
 
+log = logging.getLogger(__name__)
+
 # The format's magic and record kinds.
 MAGIC = b"\x89MCAP0\r\n"
 FOOTER, SCHEMA_RECORD, CHANNEL, MESSAGE, CHUNK, CHUNK_INDEX, DATA_END = 0x02, 0x03, 0x04, 0x05, 0x06, 0x08, 0x0F
@@ -75,6 +78,24 @@ def records(raw: bytes, at: int = 0) -> Iterator[tuple[int, int, bytes]]:
         at += 9 + size
 
 
+def streamed(f, at: int, end: int, step: int = 8 << 20) -> Iterator[tuple[int, int, bytes]]:
+    """The same over a file's bytes from ``at`` to ``end``, some at a time: a record and what was read with it are held."""
+    held, first = b"", at  # ``held``: the bytes from ``first`` on
+    while at + 9 <= end:
+        here = at - first
+        need = 9 + struct.unpack_from("<Q", held, here + 1)[0] if here + 9 <= len(held) else 9
+        if at + need > end:
+            raise ValueError("a record goes past the end")
+        if here + need > len(held):
+            rest = held[here:]
+            held, first = rest + f.read_at(min(max(step, need - len(rest)), end - at - len(rest)), at + len(rest)), at
+            if len(held) < need and at + len(held) < end:
+                raise ValueError("the file ends early")
+            continue
+        yield held[here], at, held[here + 9 : here + need]
+        at += need
+
+
 def _learn(kind: int, body: bytes, schemas: dict, channels: dict) -> None:
     c = Cursor(body)
     if kind == SCHEMA_RECORD:
@@ -174,12 +195,12 @@ class McapReader(DataSourceReader):
         schemas, channels = {}, {}
         readers: dict = {}
 
-        def messages(raw: bytes, chunk: int, at: int = 0):
-            for kind, offset, body in records(raw, at):
+        def messages(found: Iterator[tuple[int, int, bytes]], chunk: int):
+            for kind, offset, body in found:
                 if kind in (SCHEMA_RECORD, CHANNEL) and not partition.channels:
                     _learn(kind, body, schemas, channels)
                 elif kind == CHUNK:
-                    yield from messages(unpacked(body), offset)
+                    yield from messages(records(unpacked(body)), offset)
                 elif kind == MESSAGE:
                     ident, _, time, _ = struct.unpack_from("<HIQQ", body)
                     if partition.channels:
@@ -194,8 +215,9 @@ class McapReader(DataSourceReader):
                         readers[ident] = (root, definitions(root, text))
                     try:
                         yield topic, time, chunk, offset, list(leaves(decode(body[22:], *readers[ident]), ""))
-                    except (ValueError, struct.error, StopIteration, KeyError, IndexError):
-                        continue  # a message that can't be decoded is skipped
+                    except (ValueError, struct.error, StopIteration, KeyError, IndexError) as e:
+                        log.warning("%s: skipped a message of %s at %d: %r", partition.path, topic, offset, e)
+                        continue
                 elif kind == DATA_END:
                     return
 
@@ -203,11 +225,11 @@ class McapReader(DataSourceReader):
             if not partition.ranges:
                 if f.read_at(8, 0) != MAGIC:
                     raise ValueError("not an MCAP file")
-                yield from messages(f.read_at(f.size() - 8, 0), 0, 8)
+                yield from messages(streamed(f, 8, f.size() - 8), 0)
                 return
             for offset, length in partition.ranges:
                 (kind, _, body), *_ = records(f.read_at(length, offset))
-                yield from messages(unpacked(body), offset)
+                yield from messages(records(unpacked(body)), offset)
 
 
 def _arrow_schema() -> pa.Schema:

@@ -121,3 +121,10 @@ def test_magic_formula():
     assert np.abs(magic_formula(slip, *found) - force).max() < 30
     h = 1e-6
     assert np.allclose(magic_formula_slope(slip, 10, 1.6, 7000, 0.5), (magic_formula(slip + h, 10, 1.6, 7000, 0.5) - magic_formula(slip - h, 10, 1.6, 7000, 0.5)) / (2 * h), rtol=1e-4)
+
+
+def test_window_starts_by_definition(rng):
+    for n in (1, 2, 3, 8, 130):
+        x = np.cumsum(rng.normal(size=n)) * 0.01
+        want = [next(k for k in range(i + 1) if k == i or np.ptp(x[k : i + 1]) < 0.02) for i in range(n)]
+        assert window_starts(x, 0.02).tolist() == want

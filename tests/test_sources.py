@@ -11,13 +11,15 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from lapframe.operators import can
 from lapframe.operators.can import (
     DefinitionError, Signal, changed_frames, column_names, decode_long, decode_wide, frames_of, last_times, long_table, parse_definitions, parse_lines,
 )
 from lapframe.profiles import read_profiles, select_profile, unify
 from lapframe.sources import mcap
 from lapframe.sources.candump import read_lines, read_long
-from lapframe.sources.csv_logs import read_wide
+from lapframe.sources.csv_logs import read_laps, read_wide
+from lapframe.sources.csv_logs import read_long as csv_long
 from lapframe.sources.files import discover, read_folder
 from lapframe.sources.mat import arrays_of, read_mat
 from lapframe.sources.ros_messages import decode, definitions, leaves
@@ -29,10 +31,12 @@ from lapframe.sources.trajectory import Trajectory, parse_spec, read_trajectory
 
 
 def test_bits_of_signals():
-    assert Signal("a", 4, 8).bits()[:5] == [(0, 4), (0, 5), (0, 6), (0, 7), (1, 0)]
+    assert Signal("a", 4, 8, little_endian=True).bits()[:5] == [(0, 4), (0, 5), (0, 6), (0, 7), (1, 0)]
     assert Signal("a", 7, 12, little_endian=False).bits() == [(1, b) for b in range(4, 8)] + [(0, b) for b in range(8)]
-    with pytest.raises(DefinitionError):
-        Signal("a", 510, 8)
+    assert Signal("a", 7, 512).bits()[-1] == (0, 7)  # Motorola order unless told otherwise, up to a whole FD payload
+    for start, bits, little in ((510, 8, True), (504, 9, False), (0, 513, True), (-1, 1, True), (0, 0, True)):
+        with pytest.raises(DefinitionError):
+            Signal("a", start, bits, little)
     with pytest.raises(DefinitionError):
         Signal("a", 0, 8, factor=float("inf"))
 
@@ -40,6 +44,15 @@ def test_bits_of_signals():
 def test_definitions_are_checked():
     one = {"canId": "0x10", "name": "m", "signals": []}
     assert parse_definitions({"params": [one]})[0].can_id == 16
+    x = {"name": "x", "startBit": 7, "bitLength": 8}
+    plain = parse_definitions({"params": [one | {"signals": [x]}]})[0].signals[0]
+    assert (plain.little_endian, plain.signed, plain.factor, plain.offset, plain.unit) == (False, False, 1.0, 0.0, "")
+    for wrong in ({"isSigned": "false"}, {"isLittleEndian": 1}, {"startBit": "7"}, {"bitLength": True}, {"factor": "2"}, {"name": " "}, {"postfixMetric": 3}, {"offset": float("nan")}):
+        with pytest.raises(DefinitionError):
+            parse_definitions({"params": [one | {"signals": [x | wrong]}]})
+    for bad in (3, {"params": [3]}, {"params": [{"canId": 1, "name": "m"}]}, {"params": [one, one | {"canId": 2}]}, {"params": [one | {"signals": [x, x]}]}, {"params": [one | {"isExtendedFrame": "no"}]}):
+        with pytest.raises(DefinitionError):
+            parse_definitions(bad)
     for bad in ({}, {"params": [one, one]}, {"params": [one | {"canId": 0x2FFFFFFF}]}, {"params": [one | {"canId": "x"}]}, {"params": [one | {"isExtendedFrame": False, "canId": 0x800}]}):
         with pytest.raises(DefinitionError):
             parse_definitions(bad)
@@ -70,17 +83,20 @@ def _pack(signal: Signal, raw: int, size: int) -> bytes:
     return bytes(data)
 
 
-def test_decode_round_trip(spark):
+@pytest.mark.parametrize("unrolled", [True, False])
+def test_decode_round_trip(spark, monkeypatch, unrolled):
+    monkeypatch.setattr(can, "UNROLLED", 10_000 if unrolled else 0)
     rng = np.random.default_rng(1)
-    signals = [(0, 1, True), (3, 13, True), (0, 64, True), (7, 16, False), (12, 7, False), (7, 64, False), (20, 33, True)]
+    signals = [(0, 1, True), (3, 13, True), (0, 64, True), (7, 16, False), (12, 7, False), (7, 64, False), (20, 33, True), (63, 80, True), (71, 100, False), (130, 40, True)]
     lines, want, params = [], [], []
     for k, (start, bits, little) in enumerate(signals):
         for signed in (False, True):
             ident = 0x100 + 2 * k + signed
             params.append({"canId": ident, "name": f"m{ident}", "signals": [{"name": "x", "startBit": start, "bitLength": bits, "isLittleEndian": little, "isSigned": signed, "factor": 0.5, "offset": 1}]})
             for raw in (0, (1 << bits) - 1, 1 << (bits - 1), int(rng.integers(0, 2**62)) % (1 << bits)):
-                data = _pack(Signal("x", start, bits, little, signed), raw, 8)
-                lines.append(f"(1.0) can0 {ident:03X}#{data.hex().upper()}")
+                signal = Signal("x", start, bits, little, signed)
+                data = _pack(signal, raw, max(8, signal.bytes_used()[-1] + 1))
+                lines.append(f"(1.0) can0 {ident:03X}{'#' if len(data) == 8 else '##0'}{data.hex().upper()}")
                 want.append((raw - (1 << bits) if signed and raw >> (bits - 1) else raw) * 0.5 + 1)
     messages = parse_definitions({"params": params})
     frames = frames_of(_lines(spark, lines))
@@ -111,11 +127,83 @@ def test_candump_file(spark, tmp_path):
     (tmp_path / "b.log").write_bytes(b"(1) can0 001#07\n")
     got = sorted((r["run_id"], r["line_no"], r["line"]) for r in read_lines(spark, str(tmp_path)).collect())
     assert got == [("a", 1, "(1) can0 001#05"), ("a", 2, ""), ("a", 3, "(2) can0 001#06"), ("b", 1, "(1) can0 001#07")]
-    (tmp_path / "d.json").write_text(json.dumps({"params": [{"canId": 1, "name": "m", "signals": [{"name": "x", "startBit": 0, "bitLength": 8}]}]}))
+    (tmp_path / "d.json").write_text(json.dumps({"params": [{"canId": 1, "name": "m", "signals": [{"name": "x", "startBit": 7, "bitLength": 8}]}]}))
     rows = read_long(spark, [str(tmp_path / "a.log"), str(tmp_path / "b.log")], str(tmp_path / "d.json")).collect()
     assert sorted((r["run_id"], r["channel"], r["value"]) for r in rows) == [("a", "m.x", 5.0), ("a", "m.x", 6.0), ("b", "m.x", 7.0)]
 
 
+def test_candump_ends_and_times(spark, tmp_path):
+    (tmp_path / "d.json").write_text(json.dumps({"params": [{"canId": 1, "name": "m", "signals": [{"name": "x", "startBit": 7, "bitLength": 8}]}]}))
+    (tmp_path / "a.log").write_bytes(b"(1) can0 001#05\n(2) can0 001#06\n(3) can0 001#06\n(9) can0 002#06\n(5) can0 001#06\n")
+    (tmp_path / "b.log").write_bytes(b"(1) can0 001#05\n(2) can0 001#06\n")
+    rows = read_long(spark, [str(tmp_path / "a.log"), str(tmp_path / "b.log")], str(tmp_path / "d.json")).collect()
+    # a run whose last frames repeat keeps its length by a row with a time alone; frames that are not decoded don't count
+    assert sorted((r["run_id"], r["time_s"], str(r["channel"]), r["value"] or 0.0) for r in rows) == [("a", 1.0, "m.x", 5.0), ("a", 2.0, "m.x", 6.0), ("a", 5.0, "None", 0.0), ("b", 1.0, "m.x", 5.0), ("b", 2.0, "m.x", 6.0)]
+    (tmp_path / "c.log").write_bytes(b"can0 002#05\ncan0 001#05\n")
+    with pytest.raises(Exception, match="line 2: a decoded frame needs a time"):
+        read_long(spark, str(tmp_path / "c.log"), str(tmp_path / "d.json")).collect()
+    rows, problems = read_folder(spark, str(tmp_path))
+    assert rows is None and {r["path"].rsplit("/", 1)[-1] for r in problems.collect()} == {"a.log", "b.log", "c.log"}
+
+
+def test_line_numbers_across_splits(spark, tmp_path):
+    (tmp_path / "a.log").write_text("".join(f"line {k}\n" for k in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = read_lines(spark, str(tmp_path / "a.log"))
+        assert lines.rdd.getNumPartitions() >= 1
+        assert sorted((r["line_no"], r["line"]) for r in lines.collect()) == [(k + 1, f"line {k}") for k in range(5000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_csv_text_and_both_separators(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("time_s,driver,v\n0.0,ann,1\n0.1,ann,x\n")
+    (tmp_path / "b.csv").write_text("time_s\tv,w\n0.5\t2,3\n0.6,4\t5\n")
+    got = read_wide(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    assert dict(got.dtypes)["driver"] == "string" and dict(got.dtypes)["v"] == "double"
+    rows = sorted((r["run_id"], r["seq"], r["time_s"], r["driver"], r["v"], r["w"]) for r in got.collect())
+    assert rows == [("a", 0, 0.0, "ann", 1.0, None), ("a", 1, 0.1, "ann", None, None), ("b", 0, 0.5, None, 2.0, 3.0), ("b", 1, 0.6, None, 4.0, 5.0)]
+    assert {r["channel"] for r in csv_long(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()} == {"v", "w"}
+
+
+def test_lap_files_for_the_report(spark, tmp_path):
+    (tmp_path / "laps").mkdir()
+    for name, rows in (("lap_10.csv", "5.0,1\n5.5,2\n"), ("lap_2.csv", "7.0,3\n7.25,4\n"), ("lap_9.csv", "")):
+        (tmp_path / "laps" / name).write_text("time_s,v\n" + rows)
+    got = read_laps(spark, str(tmp_path))
+    # numbered in natural order; the empty file keeps its number
+    assert sorted((r["n_lap"], r["seq"], r["time_s"], r["v"]) for r in got.collect()) == [(1, 0, 0.0, 3.0), (1, 1, 0.25, 4.0), (3, 0, 0.0, 1.0), (3, 1, 0.5, 2.0)]
+    with pytest.raises(Exception):
+        read_laps(spark, str(tmp_path / "laps")).collect()
+
+
+def test_damaged_mcap_is_left_out_whole(spark, tmp_path):
+    topics = {"/a": [(k, _float(float(k))) for k in range(300)]}
+    (tmp_path / "good.mcap").write_bytes(_mcap(topics, indexed=False))
+    (tmp_path / "cut.mcap").write_bytes(_mcap(topics, indexed=False)[:-200])
+    rows, problems = read_folder(spark, str(tmp_path))
+    got = rows.orderBy("seq").collect()
+    assert {r["run_id"] for r in got} == {"good"} and [r["value"] for r in got] == [float(k) for k in range(300)]
+    assert [r["seq"] for r in got] == list(range(300))
+    assert [r["path"].rsplit("/", 1)[-1] for r in problems.collect()] == ["cut.mcap"]
+
+
+def test_records_are_read_some_at_a_time():
+    class File:
+        def __init__(self, raw: bytes):
+            self.raw = raw
+
+        def read_at(self, n: int, at: int) -> bytes:
+            return self.raw[at : at + n]
+
+    raw = mcap.MAGIC + b"".join(_record(k % 14 + 1, bytes(n)) for k, n in enumerate([0, 1, 700, 5, 3000, 0, 40]))
+    for step in (1, 64, 1 << 20):
+        assert list(mcap.streamed(File(raw), 8, len(raw), step)) == list(mcap.records(raw, 8))
+    with pytest.raises(ValueError, match="past the end"):
+        list(mcap.streamed(File(raw), 8, len(raw) - 10, 64))
+
+
 # --- MCAP ----------------------------------------------------------------------------------------
 
 
@@ -229,7 +317,7 @@ def test_csv(spark, tmp_path):
     (tmp_path / "r2.csv").write_text("time_s,vx_mps,empty,name\n0.0,1.5,,a\n0.1,x,,b\n")
     (tmp_path / "r10.csv").write_text("time_s\tvx_mps\textra\n0.0\t3\t4\n")
     got = read_wide(spark, [str(tmp_path / "r2.csv"), str(tmp_path / "r10.csv")])
-    assert set(got.columns) == {"run_id", "seq", "time_s", "vx_mps", "extra"}
+    assert set(got.columns) == {"run_id", "seq", "time_s", "vx_mps", "extra", "name"}
     assert sorted(tuple(r) for r in got.select("run_id", "seq", "time_s", "vx_mps").collect()) == [("r10", 0, 0.0, 3.0), ("r2", 0, 0.0, 1.5), ("r2", 1, 0.1, None)]
     (tmp_path / "notes.txt").write_text("no log")
     assert [r["run_id"] for r in discover(spark, str(tmp_path)).orderBy("natural_key").collect()] == ["r2", "r10"]
