@@ -225,9 +225,16 @@ def frames_of(lines: DataFrame, strict: bool = True) -> DataFrame:
     return parsed.drop("problem", "line")
 
 
+def _same_message(frames: DataFrame, known: DataFrame) -> Column:
+    """The join condition. It is NULL-safe, though no key of ``known`` is NULL: else Spark would test the frames' keys for
+    NULL before the join, and so parse each line once more for every such test."""
+    return frames["can_id"].eqNullSafe(known["can_id"]) & frames["is_extended"].eqNullSafe(known["is_extended"])
+
+
 def known_frames(frames: DataFrame, messages: list[Message]) -> DataFrame:
     """The frames that the definitions name."""
-    return frames.join(F.broadcast(message_table(frames.sparkSession, messages).select("can_id", "is_extended")), ["can_id", "is_extended"], "left_semi")
+    known = message_table(frames.sparkSession, messages).select("can_id", "is_extended")
+    return frames.join(F.broadcast(known), _same_message(frames, known), "left_semi")
 
 
 _SHARE = "struct<word:int,shift:int,mask:bigint,place:int>"
@@ -317,7 +324,8 @@ def last_times(frames: DataFrame, run: str = "run_id") -> DataFrame:
 
 def _checked(frames: DataFrame, messages: list[Message], names: dict[tuple[str, str], str] | None = None) -> DataFrame:
     """Known frames with message, signals and ``__hex``. A payload too short for its message fails the job."""
-    known = frames.join(F.broadcast(message_table(frames.sparkSession, messages, names)), ["can_id", "is_extended"])
+    table = message_table(frames.sparkSession, messages, names)
+    known = frames.join(F.broadcast(table), _same_message(frames, table)).select(*[frames[c] for c in frames.columns], "message", "bytes_needed", "signals")
     told = F.concat(F.lit("payload too short for message "), F.col("message"))
     text = F.when(F.length("data") < F.col("bytes_needed"), F.raise_error(told).cast("string")).otherwise(F.hex("data"))
     return known.withColumn("__hex", text).drop("bytes_needed")

@@ -12,11 +12,11 @@ from lapframe.functions.series import (
     centered_mean, diff, direction_segments, forward_quantile, gradient, ordered, sample_rates, so_far, trailing_mean, with_islands,
 )
 from lapframe.operators import report
-from lapframe.operators.align import align_series, interpolate, keep_first, mend_lap_starts, time_grid, to_wide
+from lapframe.operators.align import align_series, interpolate, keep_first, mend_lap_starts, resample, time_grid, to_wide
 from lapframe.operators.derive import derive
 from lapframe.operators.laps import covered_laps, lap_table, slice_laps, track_lengths, trimmed_laps, valid_laps
 from lapframe.operators.smooth import smooth
-from lapframe.plans.telemetry import CHANNELS, KNOTS, LAP_TABLE, LAPS, RUNS, knots, runs, table
+from lapframe.plans.telemetry import CHANNELS, KNOTS, LAP_TABLE, LAPS, RUNS, circuits, knots, runs, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -270,12 +270,15 @@ def derive_all(spark, sf_dir):
 # --- alignment -------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {KNOTS}, e AS (SELECT run_id, min(time_s) AS a, max(time_s) AS b FROM knots GROUP BY run_id),
+_GRID = f"""WITH {KNOTS}, e AS (SELECT run_id, min(time_s) AS a, max(time_s) AS b FROM knots GROUP BY run_id),
   g AS (SELECT run_id, a + i / 0.25 AS time_s, i AS seq FROM e, range(100000) t(i) WHERE i < ceil((b - a) * 0.25)),
   q AS (SELECT g.run_id, c.channel, g.seq, g.time_s FROM g JOIN (SELECT DISTINCT run_id, channel FROM knots) c USING (run_id)),
   lo AS (SELECT q.*, k.time_s AS ta, k.value AS va FROM q ASOF LEFT JOIN knots k ON q.run_id = k.run_id AND q.channel = k.channel AND q.time_s >= k.time_s),
-  hi AS (SELECT lo.*, k.time_s AS tb, k.value AS vb FROM lo ASOF LEFT JOIN knots k ON lo.run_id = k.run_id AND lo.channel = k.channel AND lo.time_s <= k.time_s)
-  SELECT run_id, channel, seq, {_r('CASE WHEN ta IS NULL THEN vb WHEN tb IS NULL OR ta = time_s THEN va ELSE va + (vb - va) / (tb - ta) * (time_s - ta) END AS value', places=5)} FROM hi""")
+  hi AS (SELECT lo.*, k.time_s AS tb, k.value AS vb FROM lo ASOF LEFT JOIN knots k ON lo.run_id = k.run_id AND lo.channel = k.channel AND lo.time_s <= k.time_s),
+  v AS (SELECT run_id, channel, seq, time_s, CASE WHEN ta IS NULL THEN vb WHEN tb IS NULL OR ta = time_s THEN va ELSE va + (vb - va) / (tb - ta) * (time_s - ta) END AS value FROM hi)"""
+
+
+@query(f"{_GRID} SELECT run_id, channel, seq, {_r('value', places=5)} FROM v")
 def resample_interp(spark, sf_dir):
     k = knots(spark, sf_dir)
     return _rounded(interpolate(k, time_grid(k, 0.25)).select("run_id", "channel", "seq", "value"), 5)
@@ -293,11 +296,18 @@ def channel_pivot(spark, sf_dir):
     return to_wide(knots(spark, sf_dir), CHANNELS, ["run_id", "seq"])
 
 
-@query()
+@query(f"{_GRID} SELECT run_id, seq, round(seq / 0.25, 6) AS time_s, " + ", ".join(f"round(max(CASE WHEN channel = '{c}' THEN value END), 5) + 0.0::DOUBLE AS \"{c}\"" for c in CHANNELS) + " FROM v GROUP BY run_id, seq")
+def resample_wide(spark, sf_dir):
+    """Rows that hold one channel each, onto a grid with all channels in every row."""
+    rows = to_wide(knots(spark, sf_dir), CHANNELS, ["run_id", "seq", "time_s"])
+    return _rounded(resample(rows, CHANNELS, 0.25), 5)
+
+
+@query(f"""{_GRID.replace("i < ceil((b - a) * 0.25)", "i <= ceil((b - a) * 0.25)").replace("FROM q ASOF LEFT JOIN knots k", "FROM q ASOF LEFT JOIN k1 k").replace("FROM lo ASOF LEFT JOIN knots k", "FROM lo ASOF LEFT JOIN k1 k").replace("  q AS (", "  k1 AS (SELECT * FROM knots QUALIFY row_number() OVER (PARTITION BY run_id, channel, time_s ORDER BY seq) = 1), q AS (").replace("CASE WHEN ta IS NULL THEN vb", "CASE WHEN ta IS NULL THEN NULL")}
+  SELECT run_id, channel, seq, {_r('time_s', 'value', places=5)} FROM v""")
 def series_alignment(spark, sf_dir):
     """Series with clocks of their own on one grid per run, without values before a series begins."""
-    k = knots(spark, sf_dir)
-    return align_series(k, 0.25)
+    return _rounded(align_series(knots(spark, sf_dir), 0.25), 5)
 
 
 @query(f"""WITH {KNOTS}, b AS (SELECT *, lag(floor(value / 100)) OVER (PARTITION BY run_id, channel ORDER BY time_s, seq) AS before, row_number() OVER (PARTITION BY run_id, channel ORDER BY time_s, seq) AS no FROM knots)
@@ -474,21 +484,27 @@ def knn3_distance(spark, sf_dir):
     return _rounded(nearest_distance(df, reference, 3, cell_m=5.0).select("run_id", "seq", "s_norm_m"), 4)
 
 
-@query(f"""WITH {RUNS}, c AS (SELECT run_id, seq, pos_x_m AS x, pos_y_m AS y, lag(pos_x_m) OVER w AS px, lag(pos_y_m) OVER w AS py FROM runs {_W}),
-  d AS (SELECT *, (x - px) * 0.0 - (y - py) * 60.0 AS cr FROM c), k AS (SELECT *, ((60.0 - px) * 0.0 - (0.05 - py) * 60.0) / cr AS along, ((60.0 - px) * (y - py) - (0.05 - py) * (x - px)) / cr AS across FROM d WHERE abs(cr) > 1e-12)
-  SELECT run_id, seq, CAST(sign(cr) AS INT) AS direction FROM k WHERE along BETWEEN 0 AND 1 AND across BETWEEN 0 AND 1""")
+_CROSSED = f"""WITH {RUNS}, c AS (SELECT run_id, seq, pos_x_m AS x, pos_y_m AS y, lag(pos_x_m) OVER w AS px, lag(pos_y_m) OVER w AS py FROM runs {_W}),
+  d AS (SELECT *, (x - px) * 0.0 - (y - py) * 60.0 AS cr FROM c), k AS (SELECT *, ((60.0 - px) * 0.0 - (0.05 - py) * 60.0) / cr AS along, ((60.0 - px) * (y - py) - (0.05 - py) * (x - px)) / cr AS across FROM d WHERE abs(cr) > 1e-12)"""
+
+
+@query(f"{_CROSSED} SELECT run_id, seq, CAST(sign(cr) AS INT) AS direction FROM k WHERE along BETWEEN 0 AND 1 AND across BETWEEN 0 AND 1")
 def line_crossings(spark, sf_dir):
     from lapframe.operators.distance import line_crossings as crossings
 
     return crossings(runs(spark, sf_dir), ((60.0, 0.05), (120.0, 0.05))).select("run_id", "seq", "direction")
 
 
-@query()
+@query(f"""{_CROSSED}, x AS (SELECT run_id, seq, CAST(sign(cr) AS INT) AS direction FROM k WHERE along BETWEEN 0 AND 1 AND across BETWEEN 0 AND 1),
+  n AS (SELECT run_id, direction, count(*) AS n FROM x GROUP BY run_id, direction QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY n DESC, direction) = 1),
+  p AS (SELECT run_id, seq, coalesce(sqrt(power(x - px, 2) + power(y - py, 2)), 0) AS step FROM c), f AS (SELECT *, sum(step) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS far FROM p),
+  m AS (SELECT f.*, n.n >= 2 AS usable, x.seq IS NOT NULL AS crossed FROM f LEFT JOIN n ON f.run_id = n.run_id LEFT JOIN x ON f.run_id = x.run_id AND f.seq = x.seq AND x.direction = n.direction)
+  SELECT run_id, seq, CASE WHEN usable THEN round(far - max(CASE WHEN crossed THEN far ELSE 0 END) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 5) + 0.0::DOUBLE END AS s_m FROM m""")
 def start_line_laps(spark, sf_dir):
-    """Distance since the start line from positions alone, with debounced crossings."""
+    """Distance since the start line from positions alone, with debounced crossings (a lap here takes 14 s, so all crossings count)."""
     from lapframe.operators.distance import path_distance
 
-    return path_distance(runs(spark, sf_dir).drop("s_m"), ((60.0, 0.05), (120.0, 0.05))).select("run_id", "seq", "s_m")
+    return _rounded(path_distance(runs(spark, sf_dir).drop("s_m"), ((60.0, 0.05), (120.0, 0.05))).select("run_id", "seq", "s_m"), 5)
 
 
 # --- corners and stiffness -----------------------------------------------------------------------------
@@ -532,25 +548,20 @@ def decel_points(spark, sf_dir):
     return deceleration_points(laps, "ratio", falls_below=0.2)
 
 
-def _smooth_laps(spark, sf_dir):
-    df = slice_laps(derive(runs(spark, sf_dir), only={"speed", "body_slip", "radius", "curvature", "r_cos_phi"}))
-    return smooth(df, {"ay_mps2": 3.0, "r_cos_phi": 3.0}, rate_hz=10.0)
-
-
 @query()
 def corner_labels(spark, sf_dir):
-    """Corner name, speed class and phase of every row."""
+    """Corner name, speed class and phase of every row of laps around a track with two bends."""
     from lapframe.operators.corners import label_corners
 
-    return label_corners(_smooth_laps(spark, sf_dir)).select("run_id", "seq", "n_lap", "corner_name", "corner_speed", "corner_phase")
+    return label_corners(circuits(spark, sf_dir)).select("run_id", "seq", "n_lap", "corner_name", "corner_speed", "corner_phase")
 
 
 @query()
 def cornering_stiffness(spark, sf_dir):
-    """Local slopes of the axles' forces over their slip angles, with the ratio to the linear region."""
+    """Local slopes of the axles' forces over their slip angles around the same track, with the ratio to the linear region."""
     from lapframe.operators.stiffness import estimate_stiffness
 
-    df = derive(runs(spark, sf_dir)).select("run_id", "seq", "time_s", "alpha_f_rad", "alpha_r_rad", "fy_f_N", "fy_r_N")
+    df = circuits(spark, sf_dir).select("run_id", "seq", "time_s", "alpha_f_rad", "alpha_r_rad", "fy_f_N", "fy_r_N")
     return estimate_stiffness(df).select("run_id", "seq", "cs_f_Nprad", "cs_r_Nprad", "cs_ratio_f", "cs_ratio_r")
 
 
@@ -639,6 +650,25 @@ def stream_windows(spark, sf_dir):
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("""WITH w AS (SELECT time_bucket(INTERVAL 6 HOURS, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
+  SELECT start, start + INTERVAL 6 HOURS AS "end", event_type, n, total FROM w WHERE start + INTERVAL 6 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 2 HOURS""")
+def stream_closed_windows(spark, sf_dir):
+    """Only windows that the watermark has closed: each is given once, and what would come later for it is dropped."""
+    from lapframe.streaming.live import run_to_end, windowed_values
+
+    got = run_to_end(windowed_values(_event_stream(spark, sf_dir), "6 hours", late="2 hours"), "closed")
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH b AS (SELECT event_id, user_id, value * 10 AS s_m, lag(value * 10) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
+  SELECT user_id, event_id, round(s_m, 6) AS s_m, CAST(1 + sum(CASE WHEN s_m - before < -300 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS INTEGER) AS n_lap FROM b""")
+def stream_lap_counter(spark, sf_dir):
+    from lapframe.streaming.live import lap_counter, run_to_end
+
+    samples = _event_stream(spark, sf_dir).select("user_id", "event_id", (F.col("value") * 10).alias("s_m"))
+    return _rounded(run_to_end(lap_counter(samples, "user_id", "event_id"), "laps"))
+
+
 @query("""WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 8 HOURS THEN 1 ELSE 0 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
   SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 8 HOURS AS "end", count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, no""")
 def stream_sessions(spark, sf_dir):
@@ -738,7 +768,6 @@ def scatter_points(spark, sf_dir):
 
 
 
-
 @query(f"""WITH {RUNS}, {LAPS}, q AS (SELECT run_id, n_lap, row_number() OVER (PARTITION BY run_id, n_lap ORDER BY seq) - 1 AS pos, round(ax_mps2 / 2, 6) AS r FROM laps), k0 AS (SELECT DISTINCT run_id, n_lap, 0 AS zero FROM q),
   p1 AS (SELECT k0.run_id, k0.n_lap, coalesce(max(CASE WHEN q.r < -0.97 THEN q.pos END), 0) AS phase1 FROM k0 JOIN q USING (run_id, n_lap) GROUP BY k0.run_id, k0.n_lap),
   p2 AS (SELECT p1.run_id, p1.n_lap, phase1, coalesce(max(CASE WHEN q.pos >= phase1 AND q.r < -0.3 THEN q.pos END), phase1) AS phase2 FROM p1 JOIN q USING (run_id, n_lap) GROUP BY p1.run_id, p1.n_lap, phase1),

@@ -1,11 +1,14 @@
 """Telemetry views over the driver's tables, and the same views as SQL.
 
 ``runs`` makes each supplier's line items one run of a car on a track of 1000 m;
-``knots`` makes each user's events the sparse channels of one run.
+``knots`` makes each user's events the sparse channels of one run; ``circuits`` drives
+each supplier around a track with two bends.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +50,28 @@ def knots(spark: SparkSession, sf_dir: str) -> DataFrame:
 KNOTS = "knots AS (SELECT user_id AS run_id, event_type AS channel, (epoch_us(ts) - 1704067200000000) / 3.6e9 AS time_s, value, event_id AS seq FROM events)"
 CHANNELS = ["click", "error", "purchase", "signup", "view"]
 
+#: Rows of a lap and metres between rows; half the length of a bend, and where the bends of a lap lie.
+LAP_ROWS, STEP_M, BEND_M, BENDS = 600, 2.0, 150.0, ((420.0, 0.02), (900.0, -0.012))
+
+
+def circuits(spark: SparkSession, sf_dir: str, laps: int = 2) -> DataFrame:
+    """Laps with a shape, one run for each supplier: two bends of raised-cosine curvature, slower there, with braking before each; the front tyre follows a tyre curve."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("run_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(laps * LAP_ROWS - 1).cast("long"))).alias("seq"))
+    s = (F.col("seq") % LAP_ROWS) * STEP_M
+    shift = (F.col("run_id") % 7) * 4.0
+    curvature, braking = F.lit(0.0), F.lit(0.9)
+    for at, height in BENDS:
+        from_apex = s - shift - at
+        curvature = curvature + F.when(F.abs(from_apex) < BEND_M, height * 0.5 * (1.0 + F.cos(from_apex * (math.pi / BEND_M)))).otherwise(0.0)
+        braking = braking - 1.9 * F.exp(-F.pow((from_apex + 130.0) / 40.0, 2))
+    placed = rows.select("run_id", "seq", (F.floor(F.col("seq") / LAP_ROWS) + 1).cast("int").alias("n_lap"), s.alias("s_m"), curvature.alias("curvature_smoothed"), braking.alias("r_cos_phi_smoothed"))
+    speed = 45.0 - 1100.0 * F.abs("curvature_smoothed")
+    moved = placed.withColumns({"v_mps": speed, "time_s": F.col("seq") * 0.05}).withColumn("ay_mps2_smoothed", F.col("v_mps") * F.col("v_mps") * F.col("curvature_smoothed"))
+    slip = F.col("ay_mps2_smoothed") / 150.0 + F.sin(F.col("seq") * 0.21) * 0.002
+    tyre = lambda x: 8000.0 * F.sin(1.9 * F.atan(12.0 * x))
+    return moved.withColumns({"alpha_f_rad": slip, "alpha_r_rad": slip * 0.8}).withColumns({"fy_f_N": tyre(F.col("alpha_f_rad")), "fy_r_N": tyre(F.col("alpha_r_rad")) * 1.1})
+
+
 LAPS = """marked AS (SELECT *, coalesce(s_m - lag(s_m) OVER w < -300, false) AS fall FROM runs WINDOW w AS (PARTITION BY run_id ORDER BY seq)),
 falls AS (SELECT run_id, seq, lead(seq) OVER (PARTITION BY run_id ORDER BY seq) AS next_seq FROM marked WHERE fall),
 begins AS (SELECT run_id, seq FROM falls WHERE next_seq IS NULL OR next_seq - seq >= 100),
