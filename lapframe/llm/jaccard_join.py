@@ -186,6 +186,18 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def smallest_linked(linked: np.ndarray) -> np.ndarray:
+    """The smallest member that links connect each member to."""
+    label = np.arange(len(linked), dtype=np.int32)
+    while True:
+        near = np.where(linked, label[None, :], np.int32(len(linked))).min(axis=1)
+        least = np.minimum(label, near)
+        least = np.minimum(least, least[least])
+        if (least == label).all():
+            return label
+        label = least
+
+
 def _verify(threshold: float):
     """Per group of one or two blocks: each member's links that this group answers for, and a star per cluster."""
 
@@ -205,11 +217,9 @@ def _verify(threshold: float):
                 np.fill_diagonal(linked, False)
                 if lo[i] != hi[i]:  # pairs inside one block belong to that block's own group
                     linked &= block[i:j, None] != block[None, i:j]
-                forest = Forest(j - i)
-                for x, y in zip(*np.nonzero(np.triu(linked)), strict=True):
-                    forest.join(int(x), int(y))
                 out += [(node[i + k], None, int(d)) for k, d in enumerate(linked.sum(axis=1)) if d]
-                out += [(node[i + member], node[i + root], 0) for member, root in forest.stars()]
+                first = smallest_linked(linked)
+                out += [(node[i + k], node[i + int(first[k])], 0) for k in np.flatnonzero(first != np.arange(j - i)).tolist()]
             a, b, d = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(d, pa.int64())], ["a", "b", "degree"])
 
@@ -217,14 +227,25 @@ def _verify(threshold: float):
 
 
 def runs_needed(threshold: float, levels: int, recall: float) -> int:
-    """Runs after which a pair at the threshold is missed with probability below 1 - ``recall``.
+    """Runs after which a pair at the threshold is missed with probability of at most 1 - ``recall``.
 
-    The branches two sets share form a branching process with a Poisson(1) number of children.
+    Two sketches share a binomial number of entries, the same in all runs. Given that number, the branches that the
+    sets share form a branching process with a Poisson number of children. A pair whose sketches agree in too few
+    entries for the slack is missed by all runs.
     """
-    alive = 1.0
-    for _ in range(levels):
-        alive = 1 - math.exp(-alive)
-    return math.ceil(math.log(1 - recall) / math.log(1 - alive))
+    weight, miss = [], []
+    for shared in range(HASHES + 1):
+        weight.append(math.comb(HASHES, shared) * threshold**shared * (1 - threshold) ** (HASHES - shared))
+        alive, children = 1.0, shared / (threshold * HASHES)
+        for _ in range(levels):
+            alive = 1 - math.exp(-children * alive)
+        miss.append(1 - alive if shared >= (threshold - SLACK) * HASHES else 1.0)
+    if sum(w for w, m in zip(weight, miss, strict=True) if m == 1.0) > 1 - recall:
+        raise ValueError("no number of runs reaches that recall with so few hashes")
+    runs = 1
+    while sum(w * m**runs for w, m in zip(weight, miss, strict=True)) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def jaccard_join(docs: DataFrame, **options) -> DataFrame:
@@ -242,7 +263,9 @@ def classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, bucket: int
     found = connected_components(stars)
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     placed = found.join(sizes, "component").join(nodes.select("node", "rep_id"), "node")
-    placed = materialize(placed.select(F.col("node").alias("key"), "rep_id", "component", F.ceil(F.col("members") / bucket).cast("int").alias("blocks")), "join-placed")
+    # each block meets each other one, so what is sent falls with their size; the largest components have larger ones
+    block = F.when(F.col("members") > 64 * bucket, 8 * bucket).otherwise(bucket)
+    placed = materialize(placed.select(F.col("node").alias("key"), "rep_id", "component", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "join-placed")
     keyed = texts.withColumn("node", F.unhex(F.md5(F.encode("text", "UTF-8"))))
     keyed = may_be_among(keyed, F.xxhash64("doc_id", "node"), placed, F.xxhash64("rep_id", "key"))
     wanted = keyed.join(placed, keyed["doc_id"].eqNullSafe(placed["rep_id"]) & (keyed["node"] == placed["key"])).select("node", "component", "blocks", "text")
