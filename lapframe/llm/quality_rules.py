@@ -1,18 +1,22 @@
 """Quality rules with risk-controlled thresholds.
 
-Five rules each give a document a ratio in [0, 1], high meaning bad. Labelled
-good documents (quality 1) are the holdout: for each stratum (language) and
-rule, a cutoff on a fixed grid (steps of 0.001 from 0.02 on) is tested against "more than ``risk`` / rules of
-the good documents lie above it" with the exact binomial tail. Cutoffs of one
-rule are tested from the most lenient on (the tail is monotone, so a fixed
-sequence needs no correction inside), and strata x rules share ``delta`` by
-Bonferroni. The strictest cutoff that holds is used. Strata with too few good
-labels for any cutoff to hold are tested as one, the pool, in place of each alone
-(so there are no more tests than strata x rules); its cutoffs also serve strata
-without labels. Where even the pool has too few, the rules reject nothing there.
-With probability of at least 1 - ``delta``, no stratum with cutoffs of its own, nor
-the pool as a whole, loses more than ``risk`` of its good documents to the five
-rules together. Labels are read from all labelled documents.
+Five rules each give a document a ratio in [0, 1], high meaning bad; a document that
+exceeds the cutoff of any rule is rejected. Labelled good documents (quality 1) are
+the holdout, of which a digest of doc_id gives a quarter to propose and the rest to
+test. The quarter of a stratum (language) proposes: per rule the ``TOP`` quantile of its
+ratios, times the factors of ``STEPS`` from lenient to strict, makes a path of cutoffs
+for all rules together. The rest tests each step of the path against "more than ``risk`` of the good
+documents are rejected" with the exact binomial tail. More is rejected with each
+step, so a fixed sequence of tests needs no correction inside a stratum; the strata
+share ``delta`` by Bonferroni. The strictest step that holds is used.
+
+Strata with too few good labels for any step to hold are tested as one, the pool, in
+place of each alone (so there are no more tests than strata); its cutoffs also serve
+strata without labels. Where even the pool has too few (with four strata under about
+185 that test, so 245 in all), the rules reject nothing there. With probability of at
+least 1 - ``delta``, no stratum with cutoffs of its own, nor the pool as a whole,
+loses more than ``risk`` of its good documents to the five rules together. Labels
+are read from all labelled documents.
 
 Everything is arrays inside the row plus one small aggregate; words never leave
 their row, so neither a very long text nor a hot source needs care.
@@ -40,6 +44,8 @@ MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = r"[#*$%&|<>]"
 RULES = ("symbols", "dup_lines", "repeats", "shouting", "marks")
 GRID = 1000
+#: What a quarter of the holdout proposes, from lenient to strict.
+TOP, STEPS = 0.998, (8.0, 4.0, 2.0, 1.5, 1.25, 1.0)
 #: No cutoff lies below this ratio: a single odd character never rejects a text.
 LEAST_CUTOFF = 0.02
 #: Strata whose cutoffs may be broadcast (six numbers each); with more of them they are joined.
@@ -117,32 +123,51 @@ def log_binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(steps, F.struct(first.alias("term"), first.alias("total")), step)["total"]
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, risk: float, delta: float, strata: int | None = None) -> DataFrame:
-    """stratum (null: the pool), rule, cutoff (a ratio above it is rejected), n_good, n_lost: at most one row per stratum and rule."""
+def _cell(ratio: Column) -> Column:
+    """A ratio on the grid, no lower than the least cutoff."""
+    return F.greatest(F.ceil(ratio * GRID), F.lit(int(LEAST_CUTOFF * GRID))).cast("int")
+
+
+def tests_part(doc_id: str = "doc_id") -> Column:
+    """Whether a labelled document belongs to the three quarters that test."""
+    return F.conv(F.substring(F.md5(F.col(doc_id).cast("string")), 1, 1), 16, 10).cast("int") >= 4
+
+
+def cutoffs(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -> DataFrame:
+    """stratum (null: the pool), step, n_good, n_lost and a cutoff per rule (a ratio above it is rejected): at most one row per stratum."""
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    own = measured.join(good, "doc_id", "left_semi")
-    stacked = own.select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.greatest(F.ceil(F.col(r) * GRID), F.lit(int(LEAST_CUTOFF * GRID))).cast("int").alias("cell")) for r in RULES])).alias("x")).select("stratum", "x.*")
-    cells = stacked.groupBy("stratum", "rule", "cell").agg(F.count(F.lit(1)).alias("n"))
-    per = Window.partitionBy("stratum", "rule")
-    share = risk / len(RULES)
-    tests = F.size(F.collect_set("stratum").over(Window.partitionBy())) * len(RULES) if strata is None else F.lit(strata * len(RULES))
-    sized = cells.withColumn("tests", tests).withColumn("n_good", F.sum("n").over(per))
+    own = measured.join(good, "doc_id", "left_semi").select("stratum", tests_part().alias("tests"), *[_cell(F.col(r)).alias(r) for r in RULES])
+    own = materialize(own, "quality-labelled")
     # even with none lost, so few good documents never pass: known from their number alone, so pooling them leaves the tests exact
-    small = F.col("n_good") * math.log1p(-share) > F.log(F.lit(delta) / F.col("tests"))
-    pooled = sized.withColumn("stratum", F.when(~small, F.col("stratum"))).groupBy("stratum", "rule", "cell").agg(F.sum("n").alias("n"), F.first("tests").alias("tests"))
-    # lost to a cutoff at this cell: the good documents in the cells above it
-    above = F.coalesce(F.sum("n").over(per.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    tested = pooled.withColumn("n_lost", above).withColumn("n_good", F.sum("n").over(per))
-    worth = F.col("n_lost") <= F.col("n_good") * share  # more lost than that never passes; spares the sum
-    tail = F.when(worth, log_binomial_tail(F.col("n_lost"), F.col("n_good"), share))
-    passed = tested.withColumn("log_tail", tail).where(F.col("log_tail") <= F.log(F.lit(delta) / F.col("tests")))
-    return passed.groupBy("stratum", "rule").agg(F.min("cell").alias("cell"), F.min_by("n_good", "cell").alias("n_good"), F.min_by("n_lost", "cell").alias("n_lost")).select("stratum", "rule", (F.col("cell") / GRID).alias("cutoff"), "n_good", "n_lost")
+    sizes = own.groupBy("stratum").agg(F.count_if("tests").alias("n")).withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()))
+    level = F.log(F.lit(delta) / F.col("strata"))
+    groups = sizes.select("stratum", F.when(F.col("n") * math.log1p(-risk) <= level, F.col("stratum")).alias("group"), level.alias("level"))
+    placed = own.join(groups, "stratum")
+    tops = placed.where(~F.col("tests")).groupBy("group").agg(*[F.expr(f"percentile_disc({TOP}) WITHIN GROUP (ORDER BY {r})").alias(f"top_{r}") for r in RULES])
+    tops = tops.withColumnRenamed("group", "of")
+    tested = placed.where("tests").join(tops, F.col("group").eqNullSafe(F.col("of")))
+
+    def cutoff(rule: str, step: float) -> Column:
+        return F.least(F.ceil(F.col(f"top_{rule}") * step), F.lit(GRID)).cast("int")
+
+    def lost(step: float) -> Column:
+        over = F.lit(False)
+        for r in RULES:
+            over = over | (F.col(r) > cutoff(r, step))
+        return F.count_if(over)
+
+    each = tested.groupBy("group").agg(F.count(F.lit(1)).alias("n_good"), F.first("level").alias("level"), *[F.first(f"top_{r}").alias(f"top_{r}") for r in RULES], *[lost(x).alias(f"lost_{k}") for k, x in enumerate(STEPS)])
+    path = F.array(*[F.struct(F.lit(k).alias("step"), F.col(f"lost_{k}").alias("n_lost"), *[cutoff(r, x).alias(r) for r in RULES]) for k, x in enumerate(STEPS)])
+    steps = each.select("group", "n_good", "level", F.explode(path).alias("x")).select("group", "n_good", "level", "x.*")
+    worth = F.col("n_lost") <= F.col("n_good") * risk  # more lost than that never passes; spares the sum
+    tail = F.when(worth, log_binomial_tail(F.col("n_lost"), F.col("n_good"), risk))
+    passed = steps.where(tail <= F.col("level")).groupBy("group").agg(F.max(F.struct("step", "n_good", "n_lost", *RULES)).alias("x"))
+    return passed.select(F.col("group").alias("stratum"), "x.step", "x.n_good", "x.n_lost", *[(F.col(f"x.{r}") / GRID).alias(r) for r in RULES])
 
 
 def _judged(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -> DataFrame:
     """``measured`` with base_failed and kept."""
-    limits = cutoffs(measured, labels, risk, delta).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
-    limits = materialize(limits, "quality-limits")
+    limits = materialize(cutoffs(measured, labels, risk, delta), "quality-limits")
     own = limits.where(F.col("stratum").isNotNull()).select("stratum", F.lit(True).alias("own"), *[F.col(r).alias(f"own_{r}") for r in RULES])
     own = F.broadcast(own) if limits.count() <= MOST_BROADCAST_STRATA else own
     pool = limits.where(F.col("stratum").isNull()).agg(*[F.max(r).alias(f"pool_{r}") for r in RULES])

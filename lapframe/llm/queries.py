@@ -78,9 +78,46 @@ QUERIES: dict[str, Query] = {
     "op10_context_mixing": op10_context_mixing,
 }
 
+_RULES = ("symbols", "dup_lines", "repeats", "shouting", "marks")
+
+
+def _quality_sql(risk: float = 0.02, delta: float = 0.1) -> str:
+    """Counts by list functions and windows; cutoffs by the holdout's two parts and the exact binomial tail."""
+    share = lambda a, b: f"CASE WHEN {b} > 0 THEN least(1.0::DOUBLE, {a}::DOUBLE / {b}) ELSE 0.0::DOUBLE END"
+    cut = lambda r: f"least(ceil(top_{r} * factor), 1000)"
+    return rf"""
+        WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        i AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8), h AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS h FROM i),
+        f AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, h) AS n FROM h) WHERE n > 1),
+        r AS (SELECT doc_id, sum(n)::BIGINT AS n FROM (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS n FROM f) GROUP BY doc_id),
+        c AS (SELECT d.doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+            list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+            length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS upper_chars, length(regexp_replace(t, '[^!?|]+', '', 'g')) AS n_marks FROM d LEFT JOIN r ON d.doc_id = r.doc_id),
+        m AS (SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
+        q AS (SELECT *, {share('n_symbols', 'word_chars')} AS r_symbols, {share('n_dup_lines', 'len(lines)')} AS r_dup_lines, {share('n_repeat_words', 'n_words')} AS r_repeats,
+            {share('upper_chars', 'word_chars')} AS r_shouting, {share('n_marks', 'word_chars')} AS r_marks FROM m),
+        x AS (SELECT *, {', '.join(f'greatest(ceil(r_{r} * 1000), 20) AS {r}' for r in _RULES)} FROM q),
+        l AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+        o AS (SELECT x.*, left(md5(doc_id::VARCHAR), 1) NOT IN ('0', '1', '2', '3') AS tests FROM x WHERE doc_id IN (SELECT doc_id FROM l)),
+        z AS (SELECT stratum, count(*) FILTER (tests) AS n, ln({delta} / count(*) OVER ()) AS level FROM o GROUP BY stratum),
+        g AS (SELECT stratum, level, CASE WHEN n * ln(1 - {risk}) <= level THEN stratum END AS grp FROM z),
+        p AS (SELECT o.*, grp, level FROM o JOIN g USING (stratum)),
+        a AS (SELECT grp, {', '.join(f'quantile_disc({r}, 0.998) AS top_{r}' for r in _RULES)} FROM p WHERE NOT tests GROUP BY grp),
+        k AS (SELECT step, factor FROM (VALUES (0, 8.0), (1, 4.0), (2, 2.0), (3, 1.5), (4, 1.25), (5, 1.0)) v(step, factor)),
+        e AS (SELECT a.grp, step, {', '.join(f'{cut(r)} AS cut_{r}' for r in _RULES)} FROM a, k),
+        b AS (SELECT e.grp, step, any_value(level) AS level, count(*) AS n, count(*) FILTER ({' OR '.join(f'{r} > cut_{r}' for r in _RULES)}) AS lost, {', '.join(f'any_value(cut_{r}) AS cut_{r}' for r in _RULES)}
+            FROM p JOIN e ON p.grp IS NOT DISTINCT FROM e.grp WHERE tests GROUP BY e.grp, step),
+        y AS (SELECT *, list_sum(list_transform(range(lost + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk}) + (n - j) * ln(1 - {risk})))) AS tail FROM b WHERE lost <= n * {risk}),
+        s AS (SELECT * FROM y WHERE ln(tail) <= level QUALIFY row_number() OVER (PARTITION BY grp ORDER BY step DESC) = 1),
+        u AS (SELECT x.*, coalesce(own.grp, '') = x.stratum AS has_own, own, pool FROM x LEFT JOIN s own ON own.grp = x.stratum LEFT JOIN s pool ON pool.grp IS NULL)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND NOT ({' OR '.join(f'coalesce({r} > CASE WHEN has_own THEN own.cut_{r} ELSE pool.cut_{r} END, false)' for r in _RULES)}) AS kept FROM u"""
+
+
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 ORACLES: dict[str, str] = {
+    "op5_quality_rules": _quality_sql(),
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256

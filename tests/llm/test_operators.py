@@ -135,18 +135,52 @@ def test_op5_counts(docs, rows):
     assert [(d, got[d], brute.quality_counts(t)) for d, t, *_ in rows if got[d] != brute.quality_counts(t)] == []
 
 
+def _plain_cutoffs(rows, risk: float, delta: float) -> dict:
+    """(step, lost, cutoffs in thousandths) per stratum, and under None of the pool; ``rows``: doc_id, stratum, five ratios of good documents."""
+    cells = [(s, int(hashlib.md5(str(d).encode()).hexdigest()[0], 16) >= 4, [max(math.ceil(x * 1000), 20) for x in ratios]) for d, s, ratios in rows]
+    strata = {s for s, *_ in cells}
+    level = delta / len(strata)
+    least = {s for s in strata if (1 - risk) ** sum(t and x == s for x, t, _ in cells) <= level}
+    out = {}
+    for group in [*least, None]:
+        fit, test = ([c for s, t, c in cells if t == half and (s == group if group else s not in least)] for half in (False, True))
+        if not fit or not test:
+            continue
+        top = [sorted(c[k] for c in fit)[math.ceil(quality_rules.TOP * len(fit)) - 1] for k in range(5)]
+        for step, factor in enumerate(quality_rules.STEPS):
+            cut = [min(math.ceil(x * factor), 1000) for x in top]
+            lost = sum(any(x > y for x, y in zip(c, cut, strict=True)) for c in test)
+            if brute.binomial_tail(lost, len(test), risk) <= level:
+                out[group] = (step, lost, cut)
+    return out
+
+
 def test_op5_cutoffs_are_the_strictest_that_hold(spark):
     r = random.Random(2)
-    made = [(k, "aa" if k % 3 else "bb", r.random() ** 4 * 0.2) for k in range(6000)]
-    measured = spark.createDataFrame(made, "doc_id long, stratum string, symbols double").withColumns({x: F.lit(0.0) for x in quality_rules.RULES[1:]})
-    labels = spark.createDataFrame([(k, int(k % 10 > 1)) for k in range(6000)], "doc_id long, quality int")
-    risk, delta = 0.05, 0.1
-    got = {(x["stratum"], x["rule"]): x for x in quality_rules.cutoffs(measured, labels, risk, delta).collect()}
-    for stratum in ("aa", "bb"):
-        cells = [max(math.ceil(v * 1000), 20) for k, s, v in made if s == stratum and k % 10 > 1]
-        good = [c for c in sorted(set(cells)) if brute.binomial_tail(sum(x > c for x in cells), len(cells), risk / 5) <= delta / 10]
-        assert got[stratum, "symbols"]["cutoff"] == good[0] / 1000
-        assert got[stratum, "symbols"]["n_good"] == len(cells)
+    made = [(k, "aa" if k < 3000 else "bb" if k < 5000 else f"s{k % 5}", [r.random() ** 4 * 0.2, r.random() ** 9, 0.0, r.random() * 0.1, 0.001]) for k in range(6200)]
+    measured = spark.createDataFrame([(d, s, *x) for d, s, x in made], "doc_id long, stratum string, " + ", ".join(f"{x} double" for x in quality_rules.RULES))
+    labels = spark.createDataFrame([(k, int(k % 10 > 1)) for k in range(6200)], "doc_id long, quality int")
+    risk, delta = 0.02, 0.1
+    want = _plain_cutoffs([x for x in made if x[0] % 10 > 1], risk, delta)
+    got = {x["stratum"]: (x["step"], x["n_lost"], [round(x[rule] * 1000) for rule in quality_rules.RULES]) for x in quality_rules.cutoffs(measured, labels, risk, delta).collect()}
+    assert got == want and set(got) == {"aa", "bb", None}
+
+
+def test_op5_verdicts(spark):
+    """On the tables of the correctness check: what the base rule leaves is judged by cutoffs that exist, and bad documents go."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    judged = {x["doc_id"]: x for x in quality_rules.judge(docs, labels).collect()}
+    quality = {x["doc_id"]: x["quality"] for x in labels.collect()}
+    good = [(d, x["stratum"], [x[rule] for rule in quality_rules.RULES]) for d, x in judged.items() if quality.get(d) == 1]
+    limits = _plain_cutoffs(good, 0.02, 0.1)
+    assert limits
+    for d, x in judged.items():
+        _, _, cut = limits.get(x["stratum"], limits.get(None, (0, 0, [1000] * 5)))
+        assert x["kept"] == (not x["base_failed"] and all(math.ceil(x[rule] * 1000) <= c for rule, c in zip(quality_rules.RULES, cut, strict=True)))
+    passed = [d for d, x in judged.items() if not x["base_failed"]]
+    bad, fine = ([d for d in passed if quality.get(d) == q] for q in (0, 1))
+    assert sum(not judged[d]["kept"] for d in bad) > 0.6 * len(bad) and sum(judged[d]["kept"] for d in fine) > 0.97 * len(fine)
 
 
 def test_op6_lines(spark, docs, rows):

@@ -191,7 +191,7 @@ def test_op1_sums_over_all_segmentations():
 def test_op5_small_strata_share_cutoffs(spark):
     """Two strata with too few labels each, and one without any, get the cutoffs of the pool; a large one keeps its own."""
     words = " ".join(f"word{k}" for k in range(25))
-    rows = [(k, words, "aa" if k % 2 else "bb") for k in range(1400)] + [(2000 + k, words, "big") for k in range(1500)]
+    rows = [(k, words, "aa" if k % 2 else "bb") for k in range(360)] + [(2000 + k, words, "big") for k in range(600)]
     rows += [(9000 + k, words.replace("d1", "d1 #### ####"), lang) for k, lang in enumerate(["aa", "bb", "cc", "big"])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(d, 1) for d, *_ in rows if d < 9000], "doc_id long, quality int")
