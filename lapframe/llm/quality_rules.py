@@ -7,16 +7,16 @@ test. The quarter of a stratum (language) proposes: per rule the ``TOP`` quantil
 ratios, times the factors of ``STEPS`` from lenient to strict, makes a path of cutoffs
 for all rules together. The rest tests each step of the path against "more than ``risk`` of the good
 documents are rejected" with the exact binomial tail. More is rejected with each
-step, so a fixed sequence of tests needs no correction inside a stratum; the strata
-share ``delta`` by Bonferroni. The strictest step that holds is used.
+step, so a fixed sequence of tests needs no correction inside a stratum. The strata, and
+all of them together as a pool, share ``delta`` by Bonferroni. The strictest step that
+holds is used.
 
-Strata with too few good labels for any step to hold are tested as one, the pool, in
-place of each alone (so there are no more tests than strata); its cutoffs also serve
-strata without labels. Where even the pool has too few (with four strata under about
-185 that test, so 245 in all), the rules reject nothing there. With probability of at
-least 1 - ``delta``, no stratum with cutoffs of its own, nor the pool as a whole,
-loses more than ``risk`` of its good documents to the five rules together. Labels
-are read from all labelled documents.
+The pool's cutoffs serve the strata in which no step holds: those with too few good
+labels (with four strata under about 195 that test, so 260 in all) and those without
+labels. Where the pool has too few, the rules reject nothing there. With probability
+of at least 1 - ``delta``, no stratum by cutoffs of its own, nor all strata together by
+the pool's, lose more than ``risk`` of their good documents to the five rules
+together. Labels are read from all labelled documents.
 
 Everything is arrays inside the row plus one small aggregate; words never leave
 their row, so neither a very long text nor a hot source needs care.
@@ -138,11 +138,13 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     own = measured.join(good, "doc_id", "left_semi").select("stratum", tests_part().alias("tests"), *[_cell(F.col(r)).alias(r) for r in RULES])
     own = materialize(own, "quality-labelled")
-    # even with none lost, so few good documents never pass: known from their number alone, so pooling them leaves the tests exact
     sizes = own.groupBy("stratum").agg(F.count_if("tests").alias("n")).withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()))
-    level = F.log(F.lit(delta) / F.col("strata"))
-    groups = sizes.select("stratum", F.when(F.col("n") * math.log1p(-risk) <= level, F.col("stratum")).alias("group"), level.alias("level"))
-    placed = own.join(groups, "stratum")
+    level = F.log(F.lit(delta) / (F.col("strata") + 1))
+    levels = sizes.select(F.col("stratum").alias("of"), "n", level.alias("level"))
+    labelled = own.join(levels, F.col("stratum") == F.col("of")).drop("of")
+    # even with none lost, fewer good documents never pass: their own test is spared
+    alone = labelled.where(F.col("n") * math.log1p(-risk) <= F.col("level")).withColumn("group", F.col("stratum"))
+    placed = alone.unionByName(labelled.withColumn("group", F.lit(None).cast("string")))
     tops = placed.where(~F.col("tests")).groupBy("group").agg(*[F.expr(f"percentile_disc({TOP}) WITHIN GROUP (ORDER BY {r})").alias(f"top_{r}") for r in RULES])
     tops = tops.withColumnRenamed("group", "of")
     tested = placed.where("tests").join(tops, F.col("group").eqNullSafe(F.col("of")))

@@ -99,9 +99,8 @@ def _quality_sql(risk: float = 0.02, delta: float = 0.1) -> str:
         x AS (SELECT *, {', '.join(f'greatest(ceil(r_{r} * 1000), 20) AS {r}' for r in _RULES)} FROM q),
         l AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
         o AS (SELECT x.*, left(md5(doc_id::VARCHAR), 1) NOT IN ('0', '1', '2', '3') AS tests FROM x WHERE doc_id IN (SELECT doc_id FROM l)),
-        z AS (SELECT stratum, count(*) FILTER (tests) AS n, ln({delta} / count(*) OVER ()) AS level FROM o GROUP BY stratum),
-        g AS (SELECT stratum, level, CASE WHEN n * ln(1 - {risk}) <= level THEN stratum END AS grp FROM z),
-        p AS (SELECT o.*, grp, level FROM o JOIN g USING (stratum)),
+        z AS (SELECT stratum, count(*) FILTER (tests) AS n, ln({delta} / (1 + count(*) OVER ())) AS level FROM o GROUP BY stratum),
+        p AS (SELECT o.*, stratum AS grp, level FROM o JOIN z USING (stratum) WHERE n * ln(1 - {risk}) <= level UNION ALL SELECT o.*, NULL, level FROM o JOIN z USING (stratum)),
         a AS (SELECT grp, {', '.join(f'quantile_disc({r}, 0.998) AS top_{r}' for r in _RULES)} FROM p WHERE NOT tests GROUP BY grp),
         k AS (SELECT step, factor FROM (VALUES (0, 8.0), (1, 4.0), (2, 2.0), (3, 1.5), (4, 1.25), (5, 1.0)) v(step, factor)),
         e AS (SELECT a.grp, step, {', '.join(f'{cut(r)} AS cut_{r}' for r in _RULES)} FROM a, k),

@@ -136,14 +136,14 @@ def test_op5_counts(docs, rows):
 
 
 def _plain_cutoffs(rows, risk: float, delta: float) -> dict:
-    """(step, lost, cutoffs in thousandths) per stratum, and under None of the pool; ``rows``: doc_id, stratum, five ratios of good documents."""
+    """(step, lost, cutoffs in thousandths) per stratum, and under None of all together; ``rows``: doc_id, stratum, five ratios of good documents."""
     cells = [(s, int(hashlib.md5(str(d).encode()).hexdigest()[0], 16) >= 4, [max(math.ceil(x * 1000), 20) for x in ratios]) for d, s, ratios in rows]
     strata = {s for s, *_ in cells}
-    level = delta / len(strata)
+    level = delta / (len(strata) + 1)
     least = {s for s in strata if (1 - risk) ** sum(t and x == s for x, t, _ in cells) <= level}
     out = {}
     for group in [*least, None]:
-        fit, test = ([c for s, t, c in cells if t == half and (s == group if group else s not in least)] for half in (False, True))
+        fit, test = ([c for s, t, c in cells if t == half and group in (s, None)] for half in (False, True))
         if not fit or not test:
             continue
         top = [sorted(c[k] for c in fit)[math.ceil(quality_rules.TOP * len(fit)) - 1] for k in range(5)]
