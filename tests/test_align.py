@@ -183,3 +183,18 @@ def test_report_texts(spark):
     assert [r[0] for r in df.select(report.lap_time_text(F.col("t"))).collect()] == ["1:00.0", "1:01.0", "--", "--"]
     df = spark.createDataFrame([(5.0,), (12000.0,), (1.5,)], "t double")
     assert [r[0] for r in df.select(report.scaled_time(F.col("t"))).collect()] == pytest.approx([0.05, 12.0, 1.5])
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from lapframe.session import materialize, scratch
+
+    def paths(df):
+        return {p.removeprefix("file:").removeprefix("//") for p in df.inputFiles()}
+
+    with scratch(spark):
+        gone = paths(materialize(spark.range(3), "gone"))
+        kept = paths(materialize(spark.range(3), "kept", keep=True))
+        assert all(map(os.path.exists, gone | kept))
+    assert not any(map(os.path.exists, gone)) and all(map(os.path.exists, kept))
