@@ -7,8 +7,10 @@ columns of ``documents``; the last returns doc_id, n_tokens, ids_sha256 and
 decoded_sha256 for every row that the mix takes (a document that it takes twice
 is two rows).
 
-Defined cases: those of the operators. Rows with a null doc_id pass all stages;
-extra columns are carried along; empty ``documents`` give no rows.
+Defined cases: those of the operators. A row with a null doc_id is a document like
+any other; where one of several is kept by doc_id it ranks last. Different texts under
+one doc_id are different documents. Extra columns are carried along, whatever their
+names; empty ``documents`` give no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from lapframe.llm.exact_dedup import drop_exact_copies
 from lapframe.llm.jaccard_join import one_per_class
 from lapframe.llm.mixing import apply_mix
 from lapframe.llm.quality_rules import keep_good
-from lapframe.session import materialize
+from lapframe.session import materialize, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -69,5 +71,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):  # what the stage itself has written goes once its result is there
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return docs

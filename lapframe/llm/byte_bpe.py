@@ -46,7 +46,8 @@ class ByteBPE:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {i: raw for raw, i in ranks.items()}
         self.split = regex.compile(pattern)
-        self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        # pieces are split off before: this encoding takes each one as it is
+        self.merge = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.cache = _Pieces(self)
 
     def pieces(self, text: str) -> list[str]:

@@ -78,8 +78,13 @@ class DigestIndex:
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str = "batch-0") -> DataFrame:
     """Decisions for ``docs`` as one batch; without ``index`` a new one is made in the shared folder."""
-    spark = docs.sparkSession
-    return (index or DigestIndex(spark, shared_path(spark, "digest-index"))).add(docs, batch)
+    if index is not None:
+        return index.add(docs, batch)
+    own = DigestIndex(docs.sparkSession, shared_path(docs.sparkSession, "digest-index"))
+    try:
+        return own.add(docs, batch)
+    finally:  # the decisions no longer read it; its files stay
+        docs.sparkSession.sql(f"DROP TABLE {own.name}")
 
 
 def drop_exact_copies(docs: DataFrame, index: DigestIndex | None = None, batch: str = "batch-0") -> DataFrame:

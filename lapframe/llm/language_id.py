@@ -180,8 +180,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
 
-def _expect(pieces, probs: np.ndarray, langs: list[str]):
+def _expect(pieces, table, langs: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probs = table.value
         vocabulary, total = Pieces(*pieces.value), np.zeros_like(probs)
         place = {lang: k for k, lang in enumerate(langs)}
         for batch in batches:
@@ -234,7 +235,7 @@ def train(docs: DataFrame, vocabulary_path: str, rows_per_lang: int = 5_000, rou
     sent = spark.sparkContext.broadcast((keys, pieces.longest))
     probs = normalised(np.zeros((len(keys) + 2, len(langs))))
     for _ in range(rounds):
-        summed = counted.mapInArrow(_expect(sent, probs, langs), "slice int, blob binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(_add_up, "slice int, blob binary")
+        summed = counted.mapInArrow(_expect(sent, spark.sparkContext.broadcast(probs), langs), "slice int, blob binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(_add_up, "slice int, blob binary")
         parts = {r["slice"]: unpack(bytes(r["blob"]), [np.float64])[0] for r in summed.collect()}  # SLICES rows
         if parts:
             probs = normalised(np.concatenate([parts[k].reshape(-1, len(langs)) for k in range(SLICES)]))
