@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lapframe.llm import centroids, periodic_runs
 from lapframe.llm.byte_bpe import digests, encode_decode
 from lapframe.llm.common import table
 from lapframe.llm.context_mixing import score_documents
@@ -18,6 +19,7 @@ from lapframe.llm.mixing import mix
 from lapframe.llm.quality_rules import judge
 from lapframe.llm.sharding import shard_documents
 from lapframe.llm.suffix_dedup import remove_repeats
+from lapframe.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +67,19 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_digest(centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, salt="3:"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periodic_runs.digests(periodic_runs.periodic_runs(docs, least=6, folds=4, change=periodic_runs.repeat_tail))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -76,6 +91,9 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_context_mixing": op10_context_mixing,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_token_counts": op12_token_counts,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _RULES = ("symbols", "dup_lines", "repeats", "shouting", "marks")
@@ -113,10 +131,31 @@ def _quality_sql(risk: float = 0.02, delta: float = 0.1) -> str:
             NOT base_failed AND NOT ({' OR '.join(f'coalesce({r} > CASE WHEN has_own THEN own.cut_{r} ELSE pool.cut_{r} END, false)' for r in _RULES)}) AS kept FROM u"""
 
 
+def _clustering_sql(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """Lloyd's rounds in whole numbers, each one written out; every centroid is compared."""
+    away = "list_sum(list_transform(list_zip(v.c, m.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT v.r, any_value(v.c) AS c, arg_min(m.k, {{'d': {away}, 'k': m.k}}) AS k, min({away}) AS d FROM v, m{i} m GROUP BY v.r)")
+        if i < rounds:
+            sums = f"SELECT k, at, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT k, unnest(c) AS x, unnest(range(1, {dims + 1})) AS at FROM a{i}) GROUP BY k, at"
+            steps.append(f"s{i} AS MATERIALIZED (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY at) AS c FROM ({sums}) GROUP BY k)")
+            steps.append(f"m{i + 1} AS MATERIALIZED (SELECT m.k, coalesce(s.c, m.c) AS c FROM m{i} m LEFT JOIN s{i} s ON m.k = s.k)")
+    return f"""
+        WITH e AS (SELECT vec_id, embedding, row_number() OVER () AS r FROM embeddings
+            WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(x) >= 4503599627370496)) = 0),
+        v AS MATERIALIZED (SELECT vec_id, embedding, r, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS c FROM e),
+        m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, embedding) - 1 AS k, c FROM (SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h, embedding, c FROM v ORDER BY h, embedding LIMIT {k})),
+        {", ".join(steps)}
+        SELECT v.vec_id, a.k::INTEGER AS cluster, a.d AS distance, sum(a.d) OVER (PARTITION BY a.k)::BIGINT AS cluster_inertia, sum(a.d) OVER ()::BIGINT AS inertia,
+            sha256(array_to_string(m.c, ',')) AS centroid_sha256 FROM v JOIN a{rounds} a USING (r) JOIN m{rounds} m ON m.k = a.k"""
+
+
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 ORACLES: dict[str, str] = {
     "op5_quality_rules": _quality_sql(),
+    "op11_centroid_clustering": _clustering_sql(),
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
