@@ -10,13 +10,16 @@ match, and matches are reused:
 * going down the stack, from the match of each place with the one above it: if two
   matches differ, the third is the shorter one; only if they are equal, words beyond
   them are compared;
+* inside the match that went farthest, from the same pair one shift to the left, unless
+  it runs up to the end of that match, from where it is extended;
 * for each distance r - l, from how far the text was last found to repeat at it: a
   later pair at that distance inside that stretch matches up to its end, so a run
   is compared once and not once for each of its periods.
 
 The root of a run is the longest Lyndon word at its place in one of two orders,
 the alphabet's and its reverse, so two passes find every run: a closed pair whose
-match goes far enough is extended to the left, once for each period and end.
+match goes far enough is extended to the left, once for each period and end. The
+number of comparisons per word does not grow with the text (a test counts them).
 
 Defined cases: a null text has no words. Rows repeated give a result each; columns
 besides doc_id and text are not read; no rows give no rows. A document is one
@@ -52,6 +55,8 @@ def _pass(t: Words, less: Callable[[bytes, bytes], bool], least: int, folds: int
     n = len(t)
     open_at, matches = [0], [0]  # the stack, and the match of each place with the one below it
     reach = [0] * n  # by distance d: t[x] == t[x - d] from the place last compared at that distance up to here
+    begin = far = shift = 0  # the match that went farthest: t[x] == t[x - shift] from begin to far
+    closer, closed, opener, opened = [-1] * n, [0] * n, [-1] * n, [0] * n  # by place: which place closed it and their match; which it stayed above and theirs
     ends: set[tuple[int, int]] = set()
     for r in range(1, n):
         here, l = t[r], r - 1  # noqa: E741
@@ -68,12 +73,16 @@ def _pass(t: Words, less: Callable[[bytes, bytes], bool], least: int, folds: int
                 while r + m < n and t[r + m] == here:
                     m += 1
                 reach[1] = r + m
+                if r + m > far:
+                    begin, far, shift = r, r + m, 1
         while True:
             end = r + m
             if end < n and less(t[l + m], t[end]):
                 break
             del open_at[-1]
             below = matches.pop()
+            if m:
+                closer[l], closed[l] = r, m
             if m > (folds - 2) * (r - l):
                 _extend(t, l, r, m, least, folds, ends, found)
             if not open_at:
@@ -85,10 +94,21 @@ def _pass(t: Words, less: Callable[[bytes, bytes], bool], least: int, folds: int
                 continue
             d = r - l
             m = max(m, reach[d] - r)
+            if begin <= l and r + m < far:
+                a, b = l - shift, r - shift
+                known = closed[a] if closer[a] == b else opened[b] if opener[b] == a else -1
+                if known >= 0 and r + known < far:  # as there, so here
+                    m = known
+                    continue
+                m = max(m, min(known, far - r))
             if r + m > reach[d]:
                 while r + m < n and t[l + m] == t[r + m]:
                     m += 1
                 reach[d] = r + m
+                if r + m > far:
+                    begin, far, shift = r, r + m, d
+        if m:
+            opener[r], opened[r] = open_at[-1], m
         open_at.append(r)
         matches.append(m)
 
