@@ -1,19 +1,21 @@
 """Instantaneous cornering stiffness of an axle: local slopes of force over slip angle.
 
-The low-pass filter is a recursion and the windows have variable lengths, so an axle
-of a run is one series in one task; both axles of all runs go side by side. All
-sums over windows and sections come from running sums, in linear time.
+A run goes in chunks of rows: slip and force are filtered by :func:`lowpass`, and each
+chunk sees the rows before it that its windows reach (:func:`with_lookback`). All sums over
+windows and sections come from running sums, in linear time. The last stiffness of the
+linear region, which the ratio refers to, is carried from chunk to chunk by one row of each.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapframe.functions.kernels import Line, butterworth_lowpass, s_curve, segment_labels, window_starts, zero_phase
-from lapframe.functions.series import RUN, SEQ
+from lapframe.functions.series import RUN, SEQ, ordered, sample_rates, so_far
+from lapframe.operators.chunks import CHUNK_ROWS, lowpass, with_lookback
 
 CUTOFF_HZ, FILTER_ORDER = 2.0, 4
 SPAN_RAD, SECTION_ORDER, OVERALL_ORDER = 0.02, 4, 1
@@ -56,17 +58,21 @@ def section_slopes(x: np.ndarray, line: Line, starts: np.ndarray) -> np.ndarray:
         return np.where(sums[1] == 0, np.nan, sums[0] / sums[1])
 
 
-def stiffness(slip: np.ndarray, force: np.ndarray, rate_hz: float) -> tuple[np.ndarray, np.ndarray]:
-    """(stiffness in N/rad, its ratio to the last one of the linear region, at most 1)."""
-    x, y = filtered(slip, rate_hz), filtered(force, rate_hz)
+def window_values(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of filtered slip and force: (stiffness in N/rad, whether the window lies in the linear region)."""
     starts, end = window_starts(x, SPAN_RAD), np.arange(len(x))
     line = Line(x, y)
     slope, r2 = line.fit(starts, end)
     weight = s_curve(r2, 0.0, 1.0, OVERALL_ORDER)
     value = weight * slope + (1 - weight) * section_slopes(x, line, starts)
     # a window's largest deflection is at one of its extremes, and those lie within SPAN_RAD of its end
-    linear = _largest(np.abs(x), starts) < LINEAR_RAD
-    held = np.maximum.accumulate(np.where(linear, end, -1))
+    return value, _largest(np.abs(x), starts) < LINEAR_RAD
+
+
+def stiffness(slip: np.ndarray, force: np.ndarray, rate_hz: float) -> tuple[np.ndarray, np.ndarray]:
+    """One series in one pass: (stiffness, its ratio to the last one of the linear region, at most 1)."""
+    value, linear = window_values(filtered(slip, rate_hz), filtered(force, rate_hz))
+    held = np.maximum.accumulate(np.where(linear, np.arange(len(value)), -1))
     base = np.where(held >= 0, value[np.maximum(held, 0)], np.nan)
     with np.errstate(divide="ignore", invalid="ignore"):
         return value, np.minimum(value / base, 1.0)
@@ -88,30 +94,36 @@ def _largest(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def estimate_stiffness(df: DataFrame, run: str = RUN, seq: str = SEQ, rate_hz: float | None = None) -> DataFrame:
+def estimate_stiffness(df: DataFrame, run: str = RUN, seq: str = SEQ, rate_hz: float | None = None, rows: int = CHUNK_ROWS) -> DataFrame:
     """``df`` with cs_f_Nprad, cs_r_Nprad, cs_ratio_f and cs_ratio_r; NULL where a run is too short or has gaps.
 
-    ``rate_hz``: the sampling rate of all runs; else each run's own, from its times.
+    ``rate_hz``: the sampling rate of all runs; else each run's own, from its times. ``rows``: the size of a chunk, by ``seq``.
     """
+    kinds, keys = dict(df.dtypes), [run, "axle"]
     axles = F.array(*[F.struct(F.lit(a).alias("axle"), F.col(f"alpha_{a}_rad").alias("slip"), F.col(f"fy_{a}_N").alias("force")) for a in "fr"])
-    long = df.select(run, seq, "time_s", F.explode(axles).alias("x")).select(run, seq, "time_s", "x.*")
-    kinds = dict(df.dtypes)
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(seq)
-        time = rows["time_s"].to_numpy(float)
-        n = len(rows)
-        cs = ratio = np.full(n, np.nan)
-        rate = rate_hz or ((n - 1) / (time[-1] - time[0]) if n > 1 and time[-1] > time[0] else 0.0)
-        slip, force = rows["slip"].to_numpy(float), rows["force"].to_numpy(float)
-        if n > 3 * (FILTER_ORDER + 1) and rate > 2 * CUTOFF_HZ and not (np.isnan(slip).any() or np.isnan(force).any()):
-            cs, ratio = stiffness(slip, force, rate)
-        return pd.DataFrame({run: rows[run], seq: rows[seq], "axle": rows["axle"], "cs": cs, "ratio": ratio})
-
-    found = long.groupBy(run, "axle").applyInPandas(one, f"`{run}` {kinds[run]}, `{seq}` {kinds[seq]}, axle string, cs double, ratio double")
-    nan_free = found.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("cs", "ratio")})
-    wide = nan_free.groupBy(run, seq).agg(*[F.first(F.when(F.col("axle") == a, F.col(c)), ignorenulls=True).alias(n) for a in "fr" for c, n in (("cs", f"cs_{a}_Nprad"), ("ratio", f"cs_ratio_{a}"))])
-    return df.join(wide, [run, seq], "left")
+    rated = df.withColumn("rate", F.lit(float(rate_hz))) if rate_hz else df.join(sample_rates(df, run=run).withColumnRenamed("sample_hz", "rate"), run)
+    long = rated.select(run, seq, "rate", F.explode(axles).alias("x")).select(run, seq, "rate", "x.*")
+    smooth = lowpass(long, ["slip", "force"], keys, "rate", CUTOFF_HZ, FILTER_ORDER, seq, rows)
+    whole = smooth.where(F.col("slip").isNotNull() & F.col("force").isNotNull())
+
+    def of_chunk(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(seq)
+        value, linear = window_values(part["slip"].to_numpy(float), part["force"].to_numpy(float))
+        return pd.DataFrame({run: part[run], "axle": part["axle"], "chunk": part["chunk"], seq: part[seq], "value": value, "linear": linear})[part["own"].to_numpy()]
+
+    found = with_lookback(whole, "slip", SPAN_RAD, keys, seq).groupBy(*keys, "chunk")
+    found = found.applyInPandas(of_chunk, f"`{run}` {kinds[run]}, axle string, chunk long, `{seq}` {kinds[seq]}, value double, linear boolean")
+    found = found.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    # a stiffness of the linear region that is unknown is held as such: the struct around it is not null
+    held = F.when(F.col("linear"), F.struct("value"))
+    ends = found.groupBy(*keys, "chunk").agg(F.max_by(held, F.when(F.col("linear"), F.col(seq))).alias("end"))
+    brought = F.last("end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*keys, "chunk", brought.alias("brought"))
+    here = F.last(held, ignorenulls=True).over(so_far(ordered([*keys, "chunk"], seq)))
+    ratio = F.try_divide("value", F.coalesce("here", "brought")["value"])
+    rated = found.withColumn("here", here).join(ends, [*keys, "chunk"]).withColumn("ratio", F.when(ratio > 1, 1.0).otherwise(ratio))
+    columns = [F.first(F.when(F.col("axle") == a, F.col(c)), ignorenulls=True).alias(n) for a in "fr" for c, n in (("value", f"cs_{a}_Nprad"), ("ratio", f"cs_ratio_{a}"))]
+    return df.join(rated.groupBy(run, seq).agg(*columns), [run, seq], "left")
 
 
 def magic_formula(slip: np.ndarray, b: float, c: float, d: float, e: float) -> np.ndarray:
