@@ -1,18 +1,19 @@
 """Corners: apices of the curvature, the points around them, and labels for every row.
 
-A lap is a bounded series (one round of a track), so the label of its rows is one
-small task; all laps of all runs go side by side. The point lists alone are also
-plain queries (:func:`sign_changes`, :func:`deceleration_points`).
+Everything is JVM expressions and joins on (run, lap). A lap's rows are windows; its
+curvature is one array, in which a peak's surroundings are looked at; its few characteristic points are
+windows over the points laid out twice, so that searching backward and forward wraps around the
+lap's ends; its corners are one array, which each row looks itself up in.
+
+Defined cases: a NULL takes part in no comparison. A lap without apices, or of under three
+rows, has no corners. Where corners overlap the one with the larger number holds.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapframe.functions.kernels import find_peaks
 from lapframe.functions.series import RUN, SEQ, diff, forward_quantile, gradient, ordered, so_far, with_position
 
 INPUTS = ("n_lap", "s_m", "curvature_smoothed", "ay_mps2_smoothed", "v_mps", "r_cos_phi_smoothed")
@@ -72,98 +73,129 @@ def deceleration_points(laps: DataFrame, r_cos_phi: str = "r_cos_phi_smoothed",
     return _grouped(points, DECEL_GAP_M, run, "last")
 
 
-# --- labels of a lap ---------------------------------------------------------------------------
-
-
-def _stretches(at: np.ndarray, s: np.ndarray, gap: float) -> list[np.ndarray]:
-    return np.split(at, np.flatnonzero(np.diff(s[at]) >= gap) + 1) if len(at) else []
-
-
-def _forward_quantile(x: np.ndarray) -> np.ndarray:
-    return pd.Series(x[::-1]).rolling(DECEL_ROWS, min_periods=1).quantile(DECEL_QUANTILE).to_numpy()[::-1]
-
-
-def _points(s: np.ndarray, curvature: np.ndarray, lateral: np.ndarray, ratio: np.ndarray) -> list[tuple[int, str]]:
-    """All characteristic points of a lap in order."""
-    apices = find_peaks(np.abs(curvature), **APEX)
-    apices = apices[np.abs(lateral[apices]) > APEX_LATERAL]
-    if not len(apices):
-        return []
-    crossing = lambda x: np.diff(np.sign(x)) != 0
-    changes = [int(np.median(g)) for g in _stretches(np.flatnonzero(crossing(lateral)), s, SIGN_GAP_M)]
-    straight = np.abs(curvature[1:]) < STRAIGHT
-    low = np.sort(np.concatenate([np.flatnonzero(crossing(lateral - level) & straight) for level in (LOW_LATERAL, -LOW_LATERAL)]))
-    lows = [int(np.median(g)) for g in _stretches(low, s, LOW_GAP_M)]
-    turning = (np.gradient(np.sign(ratio - DECEL_LEVEL)) != 0) & (_forward_quantile(np.gradient(ratio)) < 0)
-    brakes = [int(g[-1]) for g in _stretches(np.flatnonzero(turning), s, DECEL_GAP_M)]
-    near = np.array(changes)
-    lows = [p for p in lows if not len(near) or np.abs(near - p).min() > NEAR_ROWS]
-    return sorted([*((int(p), "apex") for p in apices), *((p, "deceleration") for p in brakes), *((p, "lat_accel_change") for p in changes), *((p, "low_lat_accel") for p in lows)])
-
-
-def _bounds(points: list[tuple[int, str]], apex: int) -> tuple[int, int]:
-    """(start, end) of the corner around the ``apex``-th point; both wrap around the lap's ends."""
-    n, far = len(points), None
-    k = (apex - 1) % n
-    for _ in range(n):
-        kind = points[k][1]
-        if kind == "deceleration":
-            start = points[k][0]
-            break
-        if kind == "apex":
-            start = points[far if far is not None else apex][0]
-            break
-        far = k if far is None else far
-        k = (k - 1) % n
-    after = (apex + 1) % n
-    return start, points[apex if points[after][1] == "apex" else after][0]
-
-
-def _phases(ratio: np.ndarray) -> list[str]:
-    """Each phase begins at the last row, from the phase before on, that lies under its level."""
-    at, counts = 0, np.zeros(len(ratio), int)
-    for level in PHASE_LEVELS:
-        under = np.flatnonzero(ratio[at:] < level)
-        at += int(under[-1]) if len(under) else 0
-        counts[at] += 1
-    return [PHASES[k] for k in np.cumsum(counts)]
-
-
-def label_lap(s: np.ndarray, curvature: np.ndarray, lateral: np.ndarray, speed: np.ndarray, ratio: np.ndarray) -> tuple[list[str], list[str], list[str]]:
-    """corner_name, corner_speed and corner_phase of each row; ``-`` outside corners."""
-    n = len(s)
-    name, pace, phase = [NONE] * n, [NONE] * n, [NONE] * n
-    points = _points(s, curvature, lateral, ratio) if n > 2 else []
-    apices = [k for k, (_, kind) in enumerate(points) if kind == "apex"]
-    for number, k in enumerate(apices, 1):
-        start, end = _bounds(points, k)
-        v = speed[points[k][0]]
-        kind = "Low Speed" if v < 25 else "Medium Speed" if v < 40 else "High Speed"
-        length = (end - start) % n or n  # a corner that ends where it starts is the whole lap
-        for at in (start + np.arange(length)) % n:
-            name[at], pace[at] = f"T{number}", kind
-    names = np.array(name)
-    for corner in set(name) - {NONE}:
-        rows = np.flatnonzero(names == corner)
-        for at, what in zip(rows.tolist(), _phases(ratio[rows]), strict=True):
-            phase[at] = what
-    return name, pace, phase
+# --- peaks -------------------------------------------------------------------------------------
+
+
+def local_maxima(placed: DataFrame, x: str, keys: list[str]) -> DataFrame:
+    """keys, pos, x: places strictly above both sides; of a plateau its middle, rounded down. A series' ends are none. ``placed`` has pos."""
+    w = ordered(keys, "pos")
+    level = placed.select(*keys, "pos", F.col(x).alias("x")).withColumns({"before": F.lag("x").over(w), "size": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+    starts = level.where(~F.col("x").eqNullSafe(F.col("before")) | (F.col("pos") == 0))
+    ends = F.coalesce(F.lead("pos").over(w), F.col("size")) - 1
+    plateaus = starts.withColumns({"after": F.lead("x").over(w), "end": ends, "before": F.lag("x").over(w)})
+    tops = plateaus.where((F.col("before") < F.col("x")) & (F.col("after") < F.col("x")))
+    return tops.select(*keys, F.floor((F.col("pos") + F.col("end")) / 2).cast("long").alias("pos"), "x")
+
+
+def _spaced(distance: int) -> Column:
+    """Of an array ``tops`` of (x, pos), highest first, what no higher one lies closer to than ``distance``; of equals the later one is first."""
+    apart = lambda kept, p: F.forall(kept, lambda q: F.abs(q["pos"] - p["pos"]) >= distance)
+    none = F.filter("tops", lambda p: F.lit(False))
+    return F.aggregate("tops", none, lambda kept, p: F.when(apart(kept, p), F.concat(kept, F.array(p))).otherwise(kept))
+
+
+def _lower_part(side: Column, top: Column) -> Column:
+    """The stretch of ``side`` (from the peak away) before anything above the peak."""
+    higher = F.array_position(F.transform(side, lambda v: v > top), True).cast("int")
+    return F.when(higher > 0, F.slice(side, F.lit(1), F.greatest(higher - 1, F.lit(1)))).otherwise(side)
+
+
+def _crossing(side: Column, level: Column) -> Column:
+    """How far from the peak ``side`` comes down to ``level``, linear between samples."""
+    at = F.array_position(F.transform(side, lambda v: v <= level), True).cast("int")  # from 1, and the peak itself is above
+    here, before = F.get(side, at - 1), F.get(side, at - 2)
+    return F.when(here < level, at - 1 - (level - here) / (before - here)).otherwise(at - 1.0)
+
+
+def peaks(placed: DataFrame, x: str, keys: list[str], height: float, distance: int, least_prominence: float, least_width: float) -> DataFrame:
+    """keys, pos, prominence, width: local maxima by height, then spacing, then prominence, then width at half of it."""
+    tops = local_maxima(placed, x, keys).where(F.col("x") >= height)
+    spaced = tops.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "pos")), asc=False).alias("tops")).select(*keys, F.explode(_spaced(distance)).alias("p")).select(*keys, "p.*")
+    series = placed.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.col(x).alias("v")))), lambda r: r["v"]).alias("all"))
+    found = spaced.withColumnRenamed("x", "top").join(series.join(tops.select(*keys).distinct(), keys, "left_semi"), keys)
+    at = F.col("pos").cast("int")
+    sides = {"left": F.reverse(F.slice("all", F.lit(1), at + 1)), "right": F.slice("all", at + 1, F.size("all") - at)}
+    found = found.withColumns({s: _lower_part(c, F.col("top")) for s, c in sides.items()}).drop("all")
+    # from the peak down to the nearest of the lowest points on either side
+    found = found.withColumns({s: F.slice(s, F.lit(1), F.array_position(s, F.array_min(s)).cast("int")) for s in sides})
+    found = found.withColumn("prominence", F.col("top") - F.greatest(F.element_at("left", -1), F.element_at("right", -1)))
+    level = F.col("top") - F.col("prominence") / 2.0
+    wide = found.withColumn("width", _crossing(F.col("left"), level) + _crossing(F.col("right"), level))
+    return wide.where((F.col("prominence") >= least_prominence) & (F.col("width") >= least_width)).select(*keys, "pos", "prominence", "width")
+
+
+# --- characteristic points and corners -----------------------------------------------------------
+
+
+def characteristic_points(laps: DataFrame, run: str = RUN, seq: str = SEQ) -> DataFrame:
+    """run_id, n_lap, pos, kind of the laps that have an apex: apex, deceleration, lat_accel_change, low_lat_accel."""
+    keys = [run, "n_lap"]
+    placed = with_position(laps.select(*keys, seq, F.abs("curvature_smoothed").alias("bend"), F.abs("ay_mps2_smoothed").alias("lateral")), keys, seq)
+    apices = peaks(placed, "bend", keys, **APEX).join(placed.select(*keys, "pos", "lateral"), [*keys, "pos"]).where(F.col("lateral") > APEX_LATERAL)
+    changes = sign_changes(laps, "ay_mps2_smoothed", run=run, seq=seq)
+    lows = without_near_changes(low_acceleration_points(laps, run=run, seq=seq), changes, run=run)
+    brakes = deceleration_points(laps, run=run, seq=seq)
+    kinds = {"apex": apices, "deceleration": brakes, "lat_accel_change": changes, "low_lat_accel": lows}
+    points = None
+    for kind, found in kinds.items():
+        own = found.select(*keys, F.col("pos").cast("long").alias("pos"), F.lit(kind).alias("kind"))
+        points = own if points is None else points.unionByName(own)
+    w = Window.partitionBy(*keys)
+    return points.withColumn("apices", F.count_if(F.col("kind") == "apex").over(w)).where("apices > 0").drop("apices")
+
+
+def corner_bounds(points: DataFrame, run: str = RUN) -> DataFrame:
+    """run_id, n_lap, corner_no, apex, start, end: of each apex the places where its corner begins and ends, around the lap's ends.
+
+    Back from an apex the nearest deceleration or apex decides: a deceleration is the start; before
+    another apex it is the point next to our apex, if any lies between, else the apex itself. The next point is the end, or the apex itself
+    if that is another apex.
+    """
+    keys = [run, "n_lap"]
+    w = Window.partitionBy(*keys).orderBy("pos", "kind")
+    numbered = points.withColumns({"no": F.row_number().over(w), "m": F.count(F.lit(1)).over(Window.partitionBy(*keys)), "corner_no": F.sum((F.col("kind") == "apex").cast("int")).over(so_far(w))})
+    thrice = numbered.withColumn("round", F.explode(F.array(*[F.lit(k) for k in range(3)]))).withColumn("at", F.col("no") + F.col("round") * F.col("m"))
+    around = Window.partitionBy(*keys).orderBy("at")
+    stops = F.when(F.col("kind").isin("apex", "deceleration"), F.struct("at", "pos", "kind"))
+    laid = thrice.withColumns({
+        "stop": F.last(stops, ignorenulls=True).over(around.rowsBetween(Window.unboundedPreceding, -1)), "previous": F.lag("pos").over(around),
+        "next_pos": F.lead("pos").over(around), "next_kind": F.lead("kind").over(around),
+    })
+    own = laid.where((F.col("round") == 1) & (F.col("kind") == "apex"))
+    alone = F.col("stop.at") == F.col("at") - 1
+    start = F.when(F.col("stop.kind") == "deceleration", F.col("stop.pos")).when(alone, F.col("pos")).otherwise(F.col("previous"))
+    end = F.when(F.col("next_kind") == "apex", F.col("pos")).otherwise(F.col("next_pos"))
+    return own.select(*keys, F.col("corner_no").cast("int").alias("corner_no"), F.col("pos").alias("apex"), start.alias("start"), end.alias("end"))
 
 
 def label_corners(df: DataFrame, run: str = RUN, seq: str = SEQ) -> DataFrame:
-    """``df`` with corner_name, corner_speed and corner_phase. A missing input channel is an error."""
+    """``df`` with corner_name, corner_speed and corner_phase; ``-`` outside corners. A missing input channel is an error."""
     if lacking := [c for c in INPUTS if c not in df.columns]:
         raise ValueError(f"corners need the channels {', '.join(lacking)}")
-    kinds = dict(df.dtypes)
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(seq)
-        x = [rows[c].to_numpy(float) for c in INPUTS[1:]]
-        name, pace, phase = label_lap(*x)
-        return pd.DataFrame({run: rows[run], seq: rows[seq], "corner_name": name, "corner_speed": pace, "corner_phase": phase})
-
-    narrow = df.select(run, seq, *INPUTS)
-    labels = narrow.groupBy(run, "n_lap").applyInPandas(one, f"`{run}` {kinds[run]}, `{seq}` {kinds[seq]}, corner_name string, corner_speed string, corner_phase string")
+    keys = [run, "n_lap"]
+    laps = df.select(run, seq, *INPUTS)
+    placed = with_position(laps.select(*keys, seq, "v_mps", "r_cos_phi_smoothed"), keys, seq)
+    placed = placed.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    bounds = corner_bounds(characteristic_points(laps, run, seq), run)
+    at_apex = placed.select(*keys, F.col("pos").alias("apex"), F.col("v_mps").alias("apex_speed"))
+    corners = bounds.join(at_apex, [*keys, "apex"]).groupBy(*keys).agg(F.collect_list(F.struct("corner_no", "start", "end", "apex_speed")).alias("corners"))
+    held = placed.join(corners, keys, "left")
+    # a corner that ends where it starts is the whole lap
+    inside = lambda c: F.pmod(F.col("pos") - c["start"], F.col("size")) < F.coalesce(F.nullif(F.pmod(c["end"] - c["start"], F.col("size")), F.lit(0)), F.col("size"))
+    held = held.withColumn("corner", F.array_max(F.filter("corners", inside))).drop("corners")
+    no = F.col("corner.corner_no")
+    own = Window.partitionBy(*keys, "no")
+    at = F.min("pos").over(own)
+    starts = {}
+    for k, level in enumerate(PHASE_LEVELS, 1):  # each phase begins at the last row under its level, or where the one before does
+        at = F.coalesce(F.max(F.when(F.col("r_cos_phi_smoothed") < level, F.col("pos"))).over(own), F.col(f"from_{k - 1}"))
+        starts[f"from_{k}"] = at
+    held = held.withColumn("no", no).withColumn("from_0", F.min("pos").over(own))
+    for name, column in starts.items():
+        held = held.withColumn(name, column)
+    phase = F.element_at(F.array(*[F.lit(p) for p in PHASES]), sum(((F.col("pos") >= F.col(f"from_{k}")).cast("int") for k in range(1, len(PHASES))), F.lit(1)))
+    named = lambda c: F.when(F.col("no").isNotNull(), c).otherwise(NONE)
+    labels = held.select(run, seq, named(F.concat(F.lit("T"), no)).alias("corner_name"), named(speed_class("corner.apex_speed")).alias("corner_speed"), named(phase).alias("corner_phase"))
     return df.join(labels, [run, seq], "left")
 
 

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 
 from lapframe.functions.kernels import (
-    Line, butterworth_lowpass, find_peaks, local_maxima, prominence, s_curve, segment_labels, window_starts, zero_phase,
+    Line, butterworth_lowpass, s_curve, segment_labels, window_starts, zero_phase,
 )
+from tests.plain_corners import find_peaks, local_maxima, prominence
 from lapframe.operators.stiffness import SECTION_ORDER, SPAN_RAD, _largest, fit_magic_formula, magic_formula, magic_formula_slope, section_slopes, stiffness
 
 
