@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapframe.llm.common import packed, text_of, uniform, words_of
+from lapframe.llm.common import text_of, uniform, words_of
 from lapframe.session import materialize
 
 CAP = 3.0
@@ -57,16 +57,25 @@ def source_targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
     return fits.withColumn("target", F.least(F.col("most"), F.coalesce(water, F.lit(float("inf"))) * F.col("weight"))).select("source", "source_size", "target")
 
 
+def _keyed(docs: DataFrame, bins: int, seed: int, carry: bool = False) -> DataFrame:
+    """doc_id, source, size, key, bin, from each row alone; with ``carry`` also the row itself, as a struct."""
+    text = text_of()
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    u = uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.encode(text, "UTF-8"))))
+    return docs.select(
+        *row, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        F.size(words_of(text)).cast("long").alias("size"), (-F.log(u) / quality_weight(text)).alias("key"),
+    ).withColumn("bin", F.floor((1.0 - F.exp(-F.col("key") * 0.9)) * bins).cast("int"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, bins: int = 1024, seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target, times (whole copies to take), taken for every row."""
-    text = text_of()
-    keyed = materialize(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-            F.size(words_of(text)).cast("long").alias("size"), (-F.log(uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.encode(text, "UTF-8"))))) / quality_weight(text)).alias("key"),
-        ).withColumn("bin", F.floor((1.0 - F.exp(-F.col("key") * 0.9)) * bins).cast("int")),
-        "mix-keys",
-    )
+    keyed = materialize(_keyed(docs, bins, seed), "mix-keys")
+    return _taken(keyed, keyed, weights, cap)
+
+
+def _taken(keyed: DataFrame, carried: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
+    """What the mix takes of the rows of ``carried``, whose keys are those of ``keyed``."""
     cells = materialize(keyed.groupBy("source", "bin").agg(F.sum("size").alias("words")), "mix-cells")
     targets = source_targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
     plan = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -77,19 +86,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
     whole, none = F.col("upto") <= F.col("rest"), F.col("upto") - F.col("words") >= F.col("rest")
     edges = edges.withColumn("part", F.when(whole, "whole").when(none, "none").otherwise("edge")).withColumn("room", F.col("rest") - (F.col("upto") - F.col("words")))
     edges = edges.withColumnRenamed("source", "__source").withColumnRenamed("bin", "__bin")
-    rows = keyed.join(edges, F.col("source").eqNullSafe(F.col("__source")) & (F.col("bin") == F.col("__bin")))
-    narrow = ["doc_id", "source", "size", "source_size", "target", "epochs"]
+    rows = carried.join(edges, F.col("source").eqNullSafe(F.col("__source")) & (F.col("bin") == F.col("__bin")))
+    narrow = [c for c in carried.columns if c not in ("key", "bin")] + ["source_size", "target", "epochs"]
     settled = rows.where("part <> 'edge'").select(*narrow, F.when(F.col("part") == "whole", 1).otherwise(0).alias("extra"))
     at_edge = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     mid = F.sum("size").over(at_edge) - F.col("size") / 2
     edge = rows.where("part = 'edge'").select(*narrow, F.when(mid <= F.col("room"), 1).otherwise(0).alias("extra"))
     times = (F.col("epochs") + F.col("extra")).cast("long")
-    return settled.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
+    return settled.unionByName(edge).select(*narrow[:-1], times.alias("times"), (F.col("size") * times).alias("taken"))
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with every row repeated as often as the mix takes it (repeats of one doc_id, source and size: all as the one taken most)."""
-    per_id = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("times").alias("times")).where("times > 0")
-    rows = packed(docs, id=F.col("doc_id").cast("long"), own_source=F.col("source").cast("string"), words=F.size(words_of(text_of())).cast("long"))
-    on = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("own_source").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
-    return rows.join(per_id, on).select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
+def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, bins: int = 1024, seed: int = 7) -> DataFrame:
+    """``docs`` with every row repeated as often as the mix takes this very row: the row rides along to where that is decided."""
+    keyed = materialize(_keyed(docs, bins, seed), "mix-keys")
+    taken = _taken(keyed, _keyed(docs, bins, seed, carry=True), weights, cap).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
