@@ -7,16 +7,17 @@ test. The quarter of a stratum (language) proposes: per rule the ``TOP`` quantil
 ratios, times the factors of ``STEPS`` from lenient to strict, makes a path of cutoffs
 for all rules together. The rest tests each step of the path against "more than ``risk`` of the good
 documents are rejected" with the exact binomial tail. More is rejected with each
-step, so a fixed sequence of tests needs no correction inside a stratum. The strata, and
-all of them together as a pool, share ``delta`` by Bonferroni. The strictest step that
-holds is used.
-
-The pool's cutoffs serve the strata in which no step holds: those with too few good
-labels (with four strata under about 195 that test, so 260 in all) and those without
-labels. Where the pool has too few, the rules reject nothing there. With probability
-of at least 1 - ``delta``, no stratum by cutoffs of its own, nor all strata together by
-the pool's, lose more than ``risk`` of their good documents to the five rules
-together. Labels are read from all labelled documents.
+step, so a fixed sequence of tests needs no correction inside a stratum. The strata and
+the pool share ``delta`` by Bonferroni. The strictest step that holds is used; where none
+does, the rules reject nothing.
+
+Strata with too few good labels to pass any test (with four strata under about 195 that
+test, so 260 in all) form the pool, which proposes and tests like a stratum. Its cutoffs
+serve those of its strata whose own labelled good documents don't speak against them: no more
+than ``risk`` of them may be lost. A stratum without labelled good documents has no cutoffs.
+So with probability of at least 1 - ``delta``, no stratum with enough labels, nor the small ones taken
+together, lose more than ``risk`` of their good documents to the five rules together, and
+no small stratum is served against its own labels. Labels are read from all labelled documents.
 
 Everything is arrays inside the row plus one small aggregate; words never leave
 their row, so neither a very long text nor a hot source needs care.
@@ -134,20 +135,24 @@ def tests_part(doc_id: str = "doc_id") -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -> DataFrame:
-    """stratum (null: the pool), step, n_good, n_lost and a cutoff per rule (a ratio above it is rejected): at most one row per stratum."""
+    """stratum, step, n_good, n_lost and a cutoff per rule (a ratio above it is rejected): a row for each stratum that has cutoffs.
+
+    ``n_good`` and ``n_lost`` are those of the test, for a stratum served by the pool those of its own labels.
+    """
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     own = measured.join(good, "doc_id", "left_semi").select("stratum", tests_part().alias("tests"), *[_cell(F.col(r)).alias(r) for r in RULES])
     own = materialize(own, "quality-labelled")
     sizes = own.groupBy("stratum").agg(F.count_if("tests").alias("n")).withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()))
     level = F.log(F.lit(delta) / (F.col("strata") + 1))
-    levels = sizes.select(F.col("stratum").alias("of"), "n", level.alias("level"))
-    labelled = own.join(levels, F.col("stratum") == F.col("of")).drop("of")
-    # even with none lost, fewer good documents never pass: their own test is spared
-    alone = labelled.where(F.col("n") * math.log1p(-risk) <= F.col("level")).withColumn("group", F.col("stratum"))
-    placed = alone.unionByName(labelled.withColumn("group", F.lit(None).cast("string")))
+    levels = materialize(sizes.select(F.col("stratum").alias("of"), "n", level.alias("level")), "quality-strata")
+    few_strata = levels.count() <= MOST_BROADCAST_STRATA
+    small = lambda df: F.broadcast(df) if few_strata else df
+    labelled = own.join(small(levels), F.col("stratum") == F.col("of")).drop("of")
+    # even with none lost, fewer good documents never pass: they are the pool, group null
+    alone = F.col("n") * math.log1p(-risk) <= F.col("level")
+    placed = labelled.withColumn("group", F.when(alone, F.col("stratum")))
     tops = placed.where(~F.col("tests")).groupBy("group").agg(*[F.expr(f"percentile_disc({TOP}) WITHIN GROUP (ORDER BY {r})").alias(f"top_{r}") for r in RULES])
-    tops = tops.withColumnRenamed("group", "of")
-    tested = placed.where("tests").join(tops, F.col("group").eqNullSafe(F.col("of")))
+    tested = placed.where("tests").join(small(tops.withColumnRenamed("group", "of")), F.col("group").eqNullSafe(F.col("of")))
 
     def cutoff(rule: str, step: float) -> Column:
         return F.least(F.ceil(F.col(f"top_{rule}") * step), F.lit(GRID)).cast("int")
@@ -164,21 +169,28 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -
     worth = F.col("n_lost") <= F.col("n_good") * risk  # more lost than that never passes; spares the sum
     tail = F.when(worth, log_binomial_tail(F.col("n_lost"), F.col("n_good"), risk))
     passed = steps.where(tail <= F.col("level")).groupBy("group").agg(F.max(F.struct("step", "n_good", "n_lost", *RULES)).alias("x"))
-    return passed.select(F.col("group").alias("stratum"), "x.step", "x.n_good", "x.n_lost", *[(F.col(f"x.{r}") / GRID).alias(r) for r in RULES])
+    passed = materialize(passed.select(F.col("group").alias("of"), "x.*"), "quality-passed")
+    pool = F.broadcast(passed.where("of IS NULL").select("step", *[F.col(r).alias(f"cut_{r}") for r in RULES]))  # one row
+    over = F.lit(False)
+    for r in RULES:
+        over = over | (F.col(r) > F.col(f"cut_{r}"))
+    cuts = ["step", *[f"cut_{r}" for r in RULES]]
+    against = placed.where("group IS NULL").join(pool).groupBy("stratum").agg(F.count(F.lit(1)).alias("n_good"), F.count_if(over).alias("n_lost"), *[F.first(c).alias(c) for c in cuts])
+    served = against.where(F.col("n_lost") <= F.col("n_good") * risk)
+    out = passed.where("of IS NOT NULL").select(F.col("of").alias("stratum"), "step", "n_good", "n_lost", *[(F.col(r) / GRID).alias(r) for r in RULES])
+    return out.unionByName(served.select("stratum", "step", "n_good", "n_lost", *[(F.col(f"cut_{r}") / GRID).alias(r) for r in RULES]))
 
 
 def _judged(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -> DataFrame:
     """``measured`` with base_failed and kept."""
     limits = materialize(cutoffs(measured, labels, risk, delta), "quality-limits")
-    own = limits.where(F.col("stratum").isNotNull()).select("stratum", F.lit(True).alias("own"), *[F.col(r).alias(f"own_{r}") for r in RULES])
+    own = limits.select("stratum", *[F.col(r).alias(f"most_{r}") for r in RULES])
     own = F.broadcast(own) if limits.count() <= MOST_BROADCAST_STRATA else own
-    pool = limits.where(F.col("stratum").isNull()).agg(*[F.max(r).alias(f"pool_{r}") for r in RULES])
-    judged = measured.join(own, "stratum", "left").crossJoin(F.broadcast(pool))  # one row
+    judged = measured.join(own, "stratum", "left")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     over = F.lit(False)
     for r in RULES:
-        most = F.when(F.col("own"), F.col(f"own_{r}")).otherwise(F.col(f"pool_{r}"))
-        over = over | F.coalesce(F.ceil(F.col(r) * GRID) > F.round(most * GRID), F.lit(False))
+        over = over | F.coalesce(F.ceil(F.col(r) * GRID) > F.round(F.col(f"most_{r}") * GRID), F.lit(False))
     return judged.select(*measured.columns, base.alias("base_failed"), (~base & ~over).alias("kept"))
 
 
