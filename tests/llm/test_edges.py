@@ -108,17 +108,30 @@ def test_stage_keeps_exactly_its_rows(spark, odd, tmp_path, name):
     pairs = lambda found: sorted((str(d), t or "") for d, t in found)
     rows = [tuple(r) for r in odd.select("doc_id", "text", "lang", "source").collect()]
     kept = [tuple(r) for r in got.select("doc_id", "text").collect()]
-    if name == "mixing":
-        times = {}
+    if name == "mixing":  # rows with one doc_id, source and size may be taken differently; together as often as the mix says
+        from collections import Counter
+
+        times = Counter()
         for r in mixing.mix(odd).collect():
-            key = (r["doc_id"], r["source"], r["size"])
-            times[key] = max(times.get(key, 0), r["times"])
-        want = [(d, t) for d, t, _, s in rows for _ in range(times[d, s, len((t or "").split())])]
-    else:
-        want = _kept(rows)[name]
+            times[r["doc_id"], r["source"], r["size"]] += r["times"]
+        found = Counter((r["doc_id"], r["source"], len((r["text"] or "").split())) for r in got.collect())
+        assert found == +times
+        return
+    want = _kept(rows)[name]
     assert pairs(kept) == pairs(want)
 
 
+def test_mixed_rows_meet_their_targets(spark):
+    """Null and repeated doc_ids: each source's taken words come within a document of its target, row by row as the mix says."""
+    rows = [(None if k % 3 else k % 7, " ".join(["w"] * (5 + k % 11) + [f"x{k}"]), "ab"[k % 2]) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r["source"]: r["target"] for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    for source in "ab":
+        own = [len(r["text"].split()) for r in mixing.apply_mix(docs).where(f"source = '{source}'").collect()]
+        assert abs(sum(own) - want[source]) <= 16
+    assert sorted(want) == ["a", "b"]
+
+
 def test_stages(spark, odd, tmp_path):
     _labels(odd.where("doc_id is not null")).write.parquet(str(tmp_path / "labels.parquet"))
     for name, stage in corpus_pipeline.STAGES:

@@ -189,10 +189,21 @@ def test_op1_sums_over_all_segmentations():
 
 
 def test_op5_small_strata_share_cutoffs(spark):
-    """Two strata with too few labels each, and one without any, get the cutoffs of the pool; a large one keeps its own."""
+    """Strata with too few labels each get the cutoffs of their pool; a large one keeps its own, one without labels has none."""
     words = " ".join(f"word{k}" for k in range(25))
     rows = [(k, words, "aa" if k % 2 else "bb") for k in range(360)] + [(2000 + k, words, "big") for k in range(600)]
     rows += [(9000 + k, words.replace("d1", "d1 #### ####"), lang) for k, lang in enumerate(["aa", "bb", "cc", "big"])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(d, 1) for d, *_ in rows if d < 9000], "doc_id long, quality int")
-    assert {r["doc_id"] for r in quality_rules.judge(docs, labels).where("not kept").collect()} == {9000, 9001, 9002, 9003}
+    assert {r["doc_id"] for r in quality_rules.judge(docs, labels).where("not kept").collect()} == {9000, 9001, 9003}
+
+
+def test_op5_no_stratum_is_judged_against_its_own_labels(spark):
+    """Good documents of a small stratum that look bad elsewhere stay, beside a large stratum and a pool that would reject them."""
+    words = " ".join(f"word{k}" for k in range(25))
+    code = words.replace("d1", "d1 #### ####")
+    rows = [(k, words, "en") for k in range(7000)] + [(8000 + k, words, "aa" if k % 2 else "bb") for k in range(500)] + [(9000 + k, code, "code") for k in range(100)]
+    docs = spark.createDataFrame(rows + [(9900, code, "aa"), (9901, code, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, 1) for d, *_ in rows], "doc_id long, quality int")
+    rejected = {r["doc_id"] for r in quality_rules.judge(docs, labels).where("not kept").collect()}
+    assert 9901 in rejected and not rejected & set(range(9000, 9100))
