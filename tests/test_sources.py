@@ -260,6 +260,110 @@ def test_mcap_damage(spark, tmp_path):
     assert [r["value"] for r in rows if r["run_id"] == "good"] == [1.0]  # the cut message is skipped
 
 
+def _busy_mcap(n: int, indexed: bool, chunked: bool = True, mangled: bool = False, later: int = 0) -> bytes:
+    """Two topics side by side, ``n`` messages each; in chunks of 50 with message indexes, or without chunks. ``mangled``: the second topic's records are too long."""
+    kind = lambda k: (_record(mcap.SCHEMA_RECORD, struct.pack("<H", k) + _text("std_msgs/msg/Float64") + _text("ros2msg") + _text("float64 data")), _record(mcap.CHANNEL, struct.pack("<HH", k, k) + _text(f"/t{k}") + _text("cdr") + struct.pack("<I", 0)))
+    out, index, held, places, known = mcap.MAGIC + _record(0x01, _text("ros2") + _text("test")), b"", b"", {}, set()
+
+    def close():
+        nonlocal out, index, held, places
+        chunk = _record(mcap.CHUNK, struct.pack("<QQQI", 0, n, len(held), 0) + _text("") + struct.pack("<Q", len(held)) + held)
+        at, own, offsets = len(out), b"", b""
+        for k, entries in places.items():
+            offsets += struct.pack("<HQ", k, at + len(chunk) + len(own))
+            own += _record(mcap.MESSAGE_INDEX, struct.pack("<HI", k, 16 * len(entries)) + b"".join(struct.pack("<QQ", *e) for e in entries))
+        index += _record(mcap.CHUNK_INDEX, struct.pack("<QQQQ", 0, n, at, len(chunk)) + struct.pack("<I", len(offsets)) + offsets + struct.pack("<Q", len(own)) + _text("") + struct.pack("<QQ", len(held), len(held)))
+        out, held, places = out + chunk + own, b"", {}
+
+    for i in range(n):
+        for k in (1, 2):
+            record = b"".join(kind(k)) if k not in known else b""
+            known.add(k)
+            at = len(held) + len(record)
+            record += _record(mcap.MESSAGE, struct.pack("<HIQQ", k, i, i, i) + _float(i * 10.0 + k))
+            if mangled and k == 2:
+                record = record[: at - len(held) + 1] + struct.pack("<Q", 10**9) + record[at - len(held) + 9 :]
+            if chunked:
+                places.setdefault(k, []).append((i, at))
+                held += record
+            else:
+                out += record
+        if chunked and i % 50 == 49:
+            close()
+    if held:
+        close()
+    if later:
+        return out[:later]
+    out += _record(mcap.DATA_END, struct.pack("<I", 0))
+    start = len(out) if indexed else 0
+    if indexed:
+        out += b"".join(b"".join(kind(k)) for k in (1, 2)) + index
+    return out + _record(mcap.FOOTER, struct.pack("<QQI", start, 0, 0)) + mcap.MAGIC
+
+
+def test_message_index_touches_wanted_messages_only(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "a.mcap")
+    (tmp_path / "a.mcap").write_bytes(_busy_mcap(120, indexed=True))
+    touched = []
+    monkeypatch.setattr(mcap, "decode", lambda raw, *types, f=mcap.decode: touched.append(raw) or f(raw, *types))
+    walked = []
+    monkeypatch.setattr(mcap, "records", lambda raw, at=0, f=mcap.records: (walked.append(x[0]) or x for x in f(raw, at)))
+    (unit,) = mcap.plan_file(path, {"/t1"})
+    walked.clear()
+    rows = [r for b in mcap.read_unit(unit, {"/t1"}) for r in b.to_pylist()]
+    assert [r["value"] for r in rows] == [i * 10.0 + 1 for i in range(120)] and len(touched) == 120
+    assert walked.count(mcap.MESSAGE) == 0 and walked.count(mcap.MESSAGE_INDEX) == 6  # chunks are not walked, their indexes are
+    monkeypatch.undo()
+    (tmp_path / "a.mcap").write_bytes(_busy_mcap(120, indexed=True, mangled=True))  # walking such a chunk would fail
+    got = mcap.read_mcap(spark, path, ["/t1"])
+    assert sorted(r["value"] for r in got.collect()) == [i * 10.0 + 1 for i in range(120)]
+    assert mcap.read_mcap(spark, path).where("problem IS NOT NULL").count() == 1
+
+
+@pytest.mark.parametrize("chunked", [True, False])
+def test_files_without_index_are_read_in_ranges(spark, tmp_path, chunked):
+    path = str(tmp_path / "a.mcap")
+    (tmp_path / "a.mcap").write_bytes(_busy_mcap(1000, indexed=False, chunked=chunked))
+    units = list(mcap.plan_file(path, None, target=8_000))
+    assert len(units) > 5 and all(u.channels for u in units[1:]) and not any(u.problem for u in units)
+    ends = [(u.ranges[0][0], sum(u.ranges[0][:2])) for u in units]
+    assert all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
+    got = mcap.read_mcap(spark, path, target=8_000)
+    assert got.rdd.getNumPartitions() == len(units)
+    rows = got.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["channel"], r["value"]) for r in rows) == sorted((f"/t{k}/data", i * 10.0 + k) for i in range(1000) for k in (1, 2))
+    assert len({r["task"] for r in rows}) > 3 and len({(r["chunk_offset"], r["message_offset"]) for r in rows}) == 2000
+    one = mcap.read_mcap(spark, path)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_mcap_stream_gives_each_chunk_once(spark, tmp_path):
+    """A file that grows and one that comes later, some bytes at a time, over restarts from the checkpoint."""
+    mcap.register(spark)
+    (tmp_path / "in").mkdir()
+    whole = _busy_mcap(1000, indexed=True)
+
+    def go(**options):
+        stream = spark.readStream.format("mcap").options(progress=str(tmp_path / "progress"), **options).load(str(tmp_path / "in"))
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="0 seconds").start()
+        query.processAllAvailable()
+        sizes = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+        query.stop()
+        return sizes
+
+    (tmp_path / "in" / "a.mcap").write_bytes(whole[: len(whole) // 3])
+    first = go(maxBytesPerTrigger=10_000)
+    assert len(first) > 2 and max(first) < 400
+    (tmp_path / "in" / "a.mcap").write_bytes(whole)
+    (tmp_path / "in" / "b.mcap").write_bytes(_busy_mcap(100, indexed=False, chunked=False))
+    second = go(maxBytesPerTrigger=10_000)
+    assert len(second) > 4 and max(second) < 400
+    assert go() == []
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    want = [("a", f"/t{k}/data", i * 10.0 + k) for i in range(1000) for k in (1, 2)] + [("b", f"/t{k}/data", i * 10.0 + k) for i in range(100) for k in (1, 2)]
+    assert sorted((r["run_id"], r["channel"], r["value"]) for r in rows) == sorted(want)
+
+
 def test_chunk_groups():
     chunks = [(0, 10, 0, 5, 20), (10, 20, 5, 5, 20), (21, 30, 10, 5, 20), (31, 40, 15, 5, 20)]
     assert mcap.groups_of(chunks, 20) == [[(0, 5), (5, 5)], [(10, 5)], [(15, 5)]]
