@@ -660,13 +660,25 @@ def stream_closed_windows(spark, sf_dir):
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("""WITH b AS (SELECT event_id, user_id, value * 10 AS s_m, lag(value * 10) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
-  SELECT user_id, event_id, round(s_m, 6) AS s_m, CAST(1 + sum(CASE WHEN s_m - before < -300 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS INTEGER) AS n_lap FROM b""")
+def _told(spark, rows, time, name, days=2):
+    """``rows`` as a stream: files of rows, and then one that tells a time some days after the last row, so that all keys end."""
+    from lapframe.session import shared_path
+
+    path = shared_path(spark, name)
+    rows.write.parquet(path)
+    written = spark.read.schema(rows.schema).parquet(path)
+    end = written.agg((F.max(time) + F.make_dt_interval(F.lit(days))).alias(time))
+    end.select(*[F.col(time) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(path)
+
+
+@query(f"WITH {RUNS}, {LAPS} SELECT run_id, seq, {_r('s_m')}, n_lap FROM laps")
 def stream_lap_counter(spark, sf_dir):
+    """Laps of all runs as their samples come, by the rule of the batch query."""
     from lapframe.streaming.live import lap_counter, run_to_end
 
-    samples = _event_stream(spark, sf_dir).select("user_id", "event_id", (F.col("value") * 10).alias("s_m"))
-    return _rounded(run_to_end(lap_counter(samples, "user_id", "event_id"), "laps"))
+    samples = runs(spark, sf_dir).select("run_id", "seq", "s_m", F.timestamp_micros((F.col("time_s") * 1e6).cast("long") + 1704067200000000).alias("ts"))
+    return _rounded(run_to_end(lap_counter(_told(spark, samples, "ts", "samples"), late="1 hour"), "laps"))
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 8 HOURS THEN 1 ELSE 0 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
@@ -682,8 +694,9 @@ def stream_sessions(spark, sf_dir):
 def stream_changes(spark, sf_dir):
     from lapframe.streaming.live import changed_payloads, run_to_end
 
-    frames = _event_stream(spark, sf_dir).select("event_id", "user_id", F.floor(F.col("value") / 50).cast("string").cast("binary").alias("data"))
-    return run_to_end(changed_payloads(frames, "user_id", "event_id"), "changes").select("event_id", "user_id")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_id").alias("order"), F.timestamp_seconds(F.col("event_id") + 1704067200).alias("ts"), F.floor(F.col("value") / 50).cast("string").cast("binary").alias("data"))
+    got = changed_payloads(_told(spark, events, "ts", "frames", 4000), "user_id", "event_id", late="1000 days", idle="1000 days")
+    return run_to_end(got, "changes").select("event_id", "user_id")
 
 
 # --- more of the report and the plots -----------------------------------------------------------------

@@ -1,18 +1,38 @@
-"""Streams: live CAN lines, a running lap counter, and windows over events.
+"""Streams: live CAN lines, changed payloads, a lap counter, and windows over events.
 
-The state of a key is a few values, whatever the length of the stream.
+What depends on the order of a key's rows takes them by event time (:class:`InOrder`): a row waits in
+the key's state until the watermark has passed it, rows that come later than that are dropped by Spark, and a
+key without rows for ``idle`` is closed and leaves the state. A row without a key or a place in the order only tells the time,
+so that keys can end when nothing else comes. These operators need the RocksDB state
+store (:func:`rocksdb_state`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
-from lapframe.operators.laps import JUMP_M
+from lapframe.operators.laps import JUMP_M, SETTLE_ROWS
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
 
 
 def candump_stream(spark: SparkSession, folder: str, files_per_batch: int = 16) -> DataFrame:
@@ -20,43 +40,159 @@ def candump_stream(spark: SparkSession, folder: str, files_per_batch: int = 16)
     return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"))
 
 
-def changed_payloads(frames: DataFrame, key: str = "can_id", order: str = "ts", payload: str = "data") -> DataFrame:
-    """Rows of a stream whose payload differs from the last one with their key; state: that payload."""
-    kinds = dict(frames.dtypes)
-
-    def step(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-        keep = []
-        for value in rows[payload]:
-            value = bytes(value) if value is not None else b""
-            keep.append(value != last)
+class InOrder(StatefulProcessor):
+    """A key's rows in the order of event time, then ``order``; subclasses say what comes of them.
+
+    Rows are tuples whose first values are event time (microseconds) and order.
+    """
+
+    #: The columns of the key's own state.
+    OWN: str
+
+    def __init__(self, columns: list[str], schema: StructType, idle_ms: int):
+        self.columns, self.schema, self.idle_ms = columns, schema, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting, self.held = handle.getListState("waiting", self.schema), handle.getListState("held", self.schema)
+        self.own = handle.getValueState("own", self.OWN)
+
+    def step(self, rows: list[tuple]) -> list[tuple]:
+        """What ``rows``, which follow those given before, yield."""
+        raise NotImplementedError
+
+    def finish(self) -> list[tuple]:
+        """What the end of the key's rows yields."""
+        return []
+
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self.key = key[0]
+        fresh = [r for part in rows for r in part[self.columns].itertuples(index=False, name=None)]
+        return self._advance([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in fresh], timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.key = key[0]
+        return self._advance([], timerValues)
+
+    def _advance(self, fresh: list[tuple], timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        known = sorted([*(tuple(r) for r in self.waiting.get()), *fresh], key=lambda r: r[:2])
+        ready = [r for r in known if r[0] <= now * 1000]
+        out = self.step(ready) if ready else []
+        if rest := known[len(ready) :]:
+            self.waiting.put(rest)
+            self.handle.registerTimer(-(-rest[0][0] // 1000))
+        else:
+            self.waiting.clear()
+            if ready:
+                self.ends = ready[-1][0] // 1000 + self.idle_ms
+            if not ready or self.ends <= now:
+                out += self.finish()
+                self.held.clear()
+                self.own.clear()
+            else:
+                self.handle.registerTimer(self.ends)
+        if out:
+            yield self.frame(out)
+
+
+def _in_order(rows: DataFrame, key: str, time: str, order: str, values: list[str], late: str, kind: type[InOrder], idle: str, out: str) -> DataFrame:
+    told = rows.select(
+        key, F.col(time).alias("event_time"), F.unix_micros(time).alias("event_us"), F.col(order).cast("long").alias("event_order"),
+        (F.col(order).isNotNull() & F.col(key).isNotNull()).alias("event_is_row"), *values,
+    ).withWatermark("event_time", late)
+    # the condition names the event time, so it stays behind the watermark, which also counts what it drops
+    told = told.where(F.when(F.col("event_time").isNotNull(), F.col("event_is_row")).otherwise(F.lit(False)))
+    columns = ["event_us", "event_order", *values]
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    return told.groupBy(key).transformWithStateInPandas(kind(columns, told.select(*columns).schema, idle_ms), out, "Append", "EventTime")
+
+
+class _Changes(InOrder):
+    """Rows whose payload differs from that of the row before."""
+
+    OWN = "last binary"
+
+    def step(self, rows: list[tuple]) -> list[tuple]:
+        got = self.own.get()
+        last = None if got is None else bytes(got[0])
+        out = []
+        for r in rows:
+            value = bytes(r[2]) if r[2] is not None else b""
+            if value != last:
+                out.append(r)
             last = value
-        state.update((last,))
-        yield rows[keep]
-
-    schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items())
-    return frames.groupBy(key).applyInPandasWithState(step, schema, "last binary", "append", GroupStateTimeout.NoTimeout)
-
-
-def lap_counter(samples: DataFrame, run: str = "run_id", order: str = "seq") -> DataFrame:
-    """run_id, seq, s_m, n_lap as samples arrive: a fall of over 300 m begins a lap; state: the lap and the last distance."""
-    kinds = dict(samples.dtypes)
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        lap, last = state.get if state.exists else (1, None)
-        rows = pd.concat(list(batches)).sort_values(order)
-        laps = []
-        for s in rows["s_m"]:
-            if last is not None and s is not None and s - last < -JUMP_M:
-                lap += 1
-            laps.append(lap)
-            last = s
-        state.update((lap, float(last) if last is not None else None))
-        yield pd.DataFrame({run: rows[run], order: rows[order], "s_m": rows["s_m"], "n_lap": laps})
-
-    schema = f"`{run}` {kinds[run]}, `{order}` {kinds[order]}, s_m double, n_lap int"
-    return samples.groupBy(run).applyInPandasWithState(step, schema, "lap int, last double", "append", GroupStateTimeout.NoTimeout)
+        self.own.update((last,))
+        return out
+
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({"key": [self.key] * len(rows), "order": [r[1] for r in rows], "data": [r[2] for r in rows]})
+
+
+def changed_payloads(frames: DataFrame, key: str = "can_id", order: str = "line_no", time: str = "ts", payload: str = "data", late: str = "10 seconds", idle: str = "10 minutes") -> DataFrame:
+    """key, order, payload of the frames whose payload differs from the one before with their key; after a pause of ``idle`` a key begins anew."""
+    kind = dict(frames.dtypes)[key]
+    got = _in_order(frames, key, time, order, [payload], late, _Changes, idle, f"key {kind}, order long, data binary")
+    return got.select(F.col("key").alias(key), F.col("order").alias(order), F.col("data").alias(payload))
+
+
+class _Laps(InOrder):
+    """Laps by the rule of :func:`slice_laps`: of falls less than 100 rows apart the last one begins a lap.
+
+    Rows since a fall that is not settled are held, fewer than 100 of them.
+    """
+
+    OWN = "lap int, last double, place long, fall long"
+
+    def _load(self) -> None:
+        got = self.own.get()
+        self.lap, self.last, self.place, self.fall = (1, None, 0, -1) if got is None else tuple(got)
+
+    def step(self, rows: list[tuple]) -> list[tuple]:
+        self._load()
+        pending = [tuple(r) for r in self.held.get()] if self.fall >= 0 else []
+        out = []
+        for r in rows:
+            s = r[2]
+            if self.last is not None and s is not None and s - self.last < -JUMP_M:
+                out += [(*p, self.lap) for p in pending]  # the fall before did not count
+                pending, self.fall = [r], self.place
+            elif self.fall >= 0:
+                pending.append(r)
+            else:
+                out.append((*r, self.lap))
+            if self.fall >= 0 and self.place - self.fall >= SETTLE_ROWS - 1:
+                self.lap += 1
+                out += [(*p, self.lap) for p in pending]
+                pending, self.fall = [], -1
+            self.last = s
+            self.place += 1
+        self.own.update((self.lap, self.last, self.place, self.fall))
+        self.held.put(pending) if pending else self.held.clear()
+        return out
+
+    def finish(self) -> list[tuple]:
+        self._load()
+        return [(*tuple(p), self.lap + 1) for p in self.held.get()] if self.fall >= 0 else []
+
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({"key": [self.key] * len(rows), "order": [r[1] for r in rows], "s_m": [r[2] for r in rows], "n_lap": [r[3] for r in rows]})
+
+
+def lap_counter(samples: DataFrame, run: str = "run_id", order: str = "seq", time: str = "ts", late: str = "10 seconds", idle: str = "10 minutes") -> DataFrame:
+    """run_id, seq, s_m, n_lap as samples arrive, once each row's lap is certain.
+
+    A run without samples for ``idle`` has ended: its last fall counts.
+    """
+    kind = dict(samples.dtypes)[run]
+    keyed = samples.withColumn("s_m", F.col("s_m").cast("double"))
+    got = _in_order(keyed, run, time, order, ["s_m"], late, _Laps, idle, f"key {kind}, order long, s_m double, n_lap int")
+    return got.select(F.col("key").alias(run), F.col("order").alias(order), "s_m", "n_lap")
 
 
 def windowed_values(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -79,7 +215,8 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     spark = stream.sparkSession
     base = shared_path(spark, f"stream-{name}")
     if mode == "append":
-        query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        with rocksdb_state(spark):
+            query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
         query.awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
