@@ -69,8 +69,8 @@ def lowpass(df: DataFrame, columns: list[str], keys: list[str], rate: str, cutof
     by_key = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     filters, m = _Filters(order, cutoff_hz), len(columns)
 
-    def own_keys(rows_: pd.DataFrame, names: list[str]) -> dict:
-        return {k: [rows_[k].iloc[0]] for k in names}
+    def own_keys(rows_: pd.DataFrame, n: int = 1) -> dict:
+        return {k: [rows_[k].iloc[0]] * n for k in group}
 
     def alone(rows_: pd.DataFrame) -> pd.DataFrame:
         rows_ = rows_.sort_values(seq)
@@ -85,7 +85,7 @@ def lowpass(df: DataFrame, columns: list[str], keys: list[str], rate: str, cutof
             tails.append(x[-r.pad - 1 :].tolist())
             ahead.append(end.tolist())
             back.append(r.run(y[::-1], np.zeros(r.order))[1].tolist())
-        return pd.DataFrame(own_keys(rows_, group) | {"n": [len(rows_)], "rate": [rows_["rate"].iloc[0]], "heads": [heads], "tails": [tails], "ahead": [ahead], "back": [back]})
+        return pd.DataFrame(own_keys(rows_) | {"n": [len(rows_)], "rate": [rows_["rate"].iloc[0]], "heads": [heads], "tails": [tails], "ahead": [ahead], "back": [back]})
 
     def entered(found: pd.DataFrame) -> pd.DataFrame:
         found = found.sort_values("chunk")
@@ -95,11 +95,11 @@ def lowpass(df: DataFrame, columns: list[str], keys: list[str], rate: str, cutof
         both = [_entries(found, k, r) for k in range(m)]
         left = [[both[k][0][i].tolist() for k in range(m)] for i in range(len(found))]
         right = [[both[k][1][i].tolist() for k in range(m)] for i in range(len(found))]
-        return pd.DataFrame({k: found[k] for k in group} | {"left": left, "right": right})
+        return pd.DataFrame(own_keys(found, len(found)) | {"chunk": found["chunk"].tolist(), "left": left, "right": right})
 
     def through(rows_: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
         rows_ = rows_.sort_values(seq)
-        out = {k: rows_[k] for k in [*group, seq]}
+        out = own_keys(rows_, len(rows_)) | {seq: rows_[seq].to_numpy()}
         r = filters.at(rows_["rate"].iloc[0]) if len(states) else None
         for k, c in enumerate(columns):
             out[c] = np.nan
@@ -140,7 +140,9 @@ def with_lookback(df: DataFrame, value: str, span: float, keys: list[str], seq:
                 lo, hi = min(lo, low[k]), max(hi, high[k])
                 k -= 1
             wanted += [(chunk[j], number[j], chunk[at]) for j in range(max(k - 1, 0), at)]
-        lists = dict(zip(("chunk", "block", "for_chunk"), zip(*wanted, strict=True) if wanted else ([], [], []), strict=True))
+        if not wanted:
+            return pd.DataFrame(columns=[*keys, "chunk", "block", "for_chunk"])
+        lists = dict(zip(("chunk", "block", "for_chunk"), zip(*wanted, strict=True), strict=True))
         return pd.DataFrame({k: [found[k].iloc[0]] * len(wanted) for k in keys} | lists)
 
     need = blocks.groupBy(*keys).applyInPandas(reach, f"{by_key}, chunk long, block long, for_chunk long")

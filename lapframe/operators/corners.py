@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapframe.functions.series import RUN, SEQ, diff, forward_quantile, gradient, ordered, so_far, with_position
+from lapframe.functions.series import RUN, SEQ, diff, forward_quantile, gradient, let, ordered, so_far, with_position
+from lapframe.session import materialize
 
 INPUTS = ("n_lap", "s_m", "curvature_smoothed", "ay_mps2_smoothed", "v_mps", "r_cos_phi_smoothed")
 NONE = "-"
@@ -94,17 +95,32 @@ def _spaced(distance: int) -> Column:
     return F.aggregate("tops", none, lambda kept, p: F.when(apart(kept, p), F.concat(kept, F.array(p))).otherwise(kept))
 
 
-def _lower_part(side: Column, top: Column) -> Column:
-    """The stretch of ``side`` (from the peak away) before anything above the peak."""
-    higher = F.array_position(F.transform(side, lambda v: v > top), True).cast("int")
-    return F.when(higher > 0, F.slice(side, F.lit(1), F.greatest(higher - 1, F.lit(1)))).otherwise(side)
+def _foot(side: Column, top: Column) -> Column:
+    """Of ``side`` (from the peak away) the part down to the nearest of the lowest values before anything above the peak."""
+    place = lambda a, x: F.array_position(a, x).cast("int")
+    before = lambda a: let(place(F.transform(a, lambda v: v > top), F.lit(True)), lambda k: F.when(k > 1, F.slice(a, F.lit(1), k - 1)).otherwise(a))
+    return let(side, lambda a: let(before(a), lambda part: F.slice(part, F.lit(1), place(part, F.array_min(part)))))
 
 
 def _crossing(side: Column, level: Column) -> Column:
     """How far from the peak ``side`` comes down to ``level``, linear between samples."""
-    at = F.array_position(F.transform(side, lambda v: v <= level), True).cast("int")  # from 1, and the peak itself is above
-    here, before = F.get(side, at - 1), F.get(side, at - 2)
-    return F.when(here < level, at - 1 - (level - here) / (before - here)).otherwise(at - 1.0)
+    def at(k: Column) -> Column:
+        here, before = F.get(side, k - 1), F.get(side, k - 2)
+        return F.when(here < level, k - 1 - (level - here) / (before - here)).otherwise(k - 1.0)
+
+    return let(F.array_position(F.transform(side, lambda v: v <= level), True).cast("int"), at)  # from 1, and the peak itself is above
+
+
+def _shape(series: Column, at: Column, top: Column) -> Column:
+    """(prominence, width at half of it) of the peak at place ``at`` of an array."""
+    def of(feet: Column) -> Column:
+        left, right = feet["left"], feet["right"]
+        high = top - F.greatest(F.element_at(left, -1), F.element_at(right, -1))
+        return let(high, lambda p: F.struct(p.alias("prominence"), (_crossing(left, top - p / 2.0) + _crossing(right, top - p / 2.0)).alias("width")))
+
+    left = _foot(F.reverse(F.slice(series, F.lit(1), at + 1)), top)
+    right = _foot(F.slice(series, at + 1, F.size(series) - at), top)
+    return let(F.struct(left.alias("left"), right.alias("right")), of)
 
 
 def peaks(placed: DataFrame, x: str, keys: list[str], height: float, distance: int, least_prominence: float, least_width: float) -> DataFrame:
@@ -113,15 +129,9 @@ def peaks(placed: DataFrame, x: str, keys: list[str], height: float, distance: i
     spaced = tops.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "pos")), asc=False).alias("tops")).select(*keys, F.explode(_spaced(distance)).alias("p")).select(*keys, "p.*")
     series = placed.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.col(x).alias("v")))), lambda r: r["v"]).alias("all"))
     found = spaced.withColumnRenamed("x", "top").join(series.join(tops.select(*keys).distinct(), keys, "left_semi"), keys)
-    at = F.col("pos").cast("int")
-    sides = {"left": F.reverse(F.slice("all", F.lit(1), at + 1)), "right": F.slice("all", at + 1, F.size("all") - at)}
-    found = found.withColumns({s: _lower_part(c, F.col("top")) for s, c in sides.items()}).drop("all")
-    # from the peak down to the nearest of the lowest points on either side
-    found = found.withColumns({s: F.slice(s, F.lit(1), F.array_position(s, F.array_min(s)).cast("int")) for s in sides})
-    found = found.withColumn("prominence", F.col("top") - F.greatest(F.element_at("left", -1), F.element_at("right", -1)))
-    level = F.col("top") - F.col("prominence") / 2.0
-    wide = found.withColumn("width", _crossing(F.col("left"), level) + _crossing(F.col("right"), level))
-    return wide.where((F.col("prominence") >= least_prominence) & (F.col("width") >= least_width)).select(*keys, "pos", "prominence", "width")
+    # exploded, so that what follows reads it and does not compute it again
+    shaped = found.select(*keys, "pos", F.explode(F.array(_shape(F.col("all"), F.col("pos").cast("int"), F.col("top")))).alias("shape")).select(*keys, "pos", "shape.*")
+    return shaped.where((F.col("prominence") >= least_prominence) & (F.col("width") >= least_width))
 
 
 # --- characteristic points and corners -----------------------------------------------------------
@@ -173,10 +183,10 @@ def label_corners(df: DataFrame, run: str = RUN, seq: str = SEQ) -> DataFrame:
     if lacking := [c for c in INPUTS if c not in df.columns]:
         raise ValueError(f"corners need the channels {', '.join(lacking)}")
     keys = [run, "n_lap"]
-    laps = df.select(run, seq, *INPUTS)
+    laps = materialize(df.select(run, seq, *INPUTS), "corner-inputs")  # each step reads its own few columns of it
     placed = with_position(laps.select(*keys, seq, "v_mps", "r_cos_phi_smoothed"), keys, seq)
     placed = placed.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    bounds = corner_bounds(characteristic_points(laps, run, seq), run)
+    bounds = materialize(corner_bounds(characteristic_points(laps, run, seq), run), "corner-bounds")
     at_apex = placed.select(*keys, F.col("pos").alias("apex"), F.col("v_mps").alias("apex_speed"))
     corners = bounds.join(at_apex, [*keys, "apex"]).groupBy(*keys).agg(F.collect_list(F.struct("corner_no", "start", "end", "apex_speed")).alias("corners"))
     held = placed.join(corners, keys, "left")

@@ -109,7 +109,9 @@ def estimate_stiffness(df: DataFrame, run: str = RUN, seq: str = SEQ, rate_hz: f
     def of_chunk(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(seq)
         value, linear = window_values(part["slip"].to_numpy(float), part["force"].to_numpy(float))
-        return pd.DataFrame({run: part[run], "axle": part["axle"], "chunk": part["chunk"], seq: part[seq], "value": value, "linear": linear})[part["own"].to_numpy()]
+        own = part["own"].to_numpy()
+        same = {c: [part[c].iloc[0]] * int(own.sum()) for c in (run, "axle", "chunk")}
+        return pd.DataFrame(same | {seq: part[seq].to_numpy()[own], "value": value[own], "linear": linear[own]})
 
     found = with_lookback(whole, "slip", SPAN_RAD, keys, seq).groupBy(*keys, "chunk")
     found = found.applyInPandas(of_chunk, f"`{run}` {kinds[run]}, axle string, chunk long, `{seq}` {kinds[seq]}, value double, linear boolean")

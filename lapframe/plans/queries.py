@@ -16,7 +16,7 @@ from lapframe.operators.align import align_series, interpolate, keep_first, mend
 from lapframe.operators.derive import derive
 from lapframe.operators.laps import covered_laps, lap_table, slice_laps, track_lengths, trimmed_laps, valid_laps
 from lapframe.operators.smooth import smooth
-from lapframe.plans.telemetry import CHANNELS, KNOTS, LAP_TABLE, LAPS, RUNS, circuits, knots, runs, table
+from lapframe.plans.telemetry import CHANNELS, CIRCUITS, KNOTS, LAP_TABLE, LAPS, RUNS, circuits, knots, runs, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -548,14 +548,62 @@ def decel_points(spark, sf_dir):
     return deceleration_points(laps, "ratio", falls_below=0.2)
 
 
-@query()
+_LAP = "PARTITION BY run_id, n_lap ORDER BY"
+_PEAKS = f"""level AS (SELECT run_id, n_lap, pos, size, abs(curvature) AS x, lag(abs(curvature)) OVER ({_LAP} pos) AS before FROM circuits), edge AS (SELECT * FROM level WHERE pos = 0 OR x IS DISTINCT FROM before),
+  plateau AS (SELECT *, lag(x) OVER ({_LAP} pos) AS b, lead(x) OVER ({_LAP} pos) AS a, coalesce(lead(pos) OVER ({_LAP} pos), size) - 1 AS e FROM edge),
+  top AS (SELECT run_id, n_lap, (pos + e) // 2 AS pos, x, row_number() OVER (PARTITION BY run_id, n_lap ORDER BY x DESC, (pos + e) // 2 DESC) AS rk FROM plateau WHERE b < x AND a < x AND x >= 0.002),
+  spaced AS (SELECT DISTINCT run_id, n_lap, 0::BIGINT AS rk, []::BIGINT[] AS kept FROM top UNION ALL
+    SELECT s.run_id, s.n_lap, t.rk, CASE WHEN len(list_filter(s.kept, lambda k: abs(k - t.pos) < 100)) = 0 THEN list_append(s.kept, t.pos) ELSE s.kept END FROM spaced s JOIN top t ON t.run_id = s.run_id AND t.n_lap = s.n_lap AND t.rk = s.rk + 1),
+  far AS (SELECT run_id, n_lap, unnest(arg_max(kept, rk)) AS pos FROM spaced GROUP BY run_id, n_lap), pk AS (SELECT far.*, top.x FROM far JOIN top USING (run_id, n_lap, pos)),
+  rng AS (SELECT k.run_id, k.n_lap, k.pos, k.x, coalesce(max(r.pos) FILTER (r.pos < k.pos AND r.x > k.x) + 1, 0) AS i, coalesce(min(r.pos) FILTER (r.pos > k.pos AND r.x > k.x) - 1, max(r.pos)) AS j FROM pk k JOIN level r USING (run_id, n_lap) GROUP BY ALL),
+  low AS (SELECT k.*, min(r.x) FILTER (r.pos BETWEEN k.i AND k.pos) AS lmin, min(r.x) FILTER (r.pos BETWEEN k.pos AND k.j) AS rmin FROM rng k JOIN level r ON r.run_id = k.run_id AND r.n_lap = k.n_lap GROUP BY ALL),
+  foot AS (SELECT k.*, max(r.pos) FILTER (r.pos BETWEEN k.i AND k.pos AND r.x = k.lmin) AS lfoot, min(r.pos) FILTER (r.pos BETWEEN k.pos AND k.j AND r.x = k.rmin) AS rfoot, k.x - greatest(k.lmin, k.rmin) AS prom FROM low k JOIN level r ON r.run_id = k.run_id AND r.n_lap = k.n_lap GROUP BY ALL),
+  half AS (SELECT k.*, max(r.pos) FILTER (r.pos BETWEEN k.lfoot AND k.pos AND r.x <= k.x - k.prom / 2) AS c, min(r.pos) FILTER (r.pos BETWEEN k.pos AND k.rfoot AND r.x <= k.x - k.prom / 2) AS d FROM foot k JOIN level r ON r.run_id = k.run_id AND r.n_lap = k.n_lap GROUP BY ALL),
+  wide AS (SELECT h.run_id, h.n_lap, h.pos, h.d - CASE WHEN d0.x < x - prom / 2 THEN (x - prom / 2 - d0.x) / (d1.x - d0.x) ELSE 0 END - h.c - CASE WHEN c0.x < h.x - prom / 2 THEN (h.x - prom / 2 - c0.x) / (c1.x - c0.x) ELSE 0 END AS width
+    FROM (SELECT run_id, n_lap, pos, x, prom, c, d FROM half WHERE prom >= 0.001) h JOIN level c0 ON (c0.run_id, c0.n_lap, c0.pos) = (h.run_id, h.n_lap, h.c) JOIN level c1 ON (c1.run_id, c1.n_lap, c1.pos) = (h.run_id, h.n_lap, h.c + 1)
+    JOIN level d0 ON (d0.run_id, d0.n_lap, d0.pos) = (h.run_id, h.n_lap, h.d) JOIN level d1 ON (d1.run_id, d1.n_lap, d1.pos) = (h.run_id, h.n_lap, h.d - 1))""".replace("d0.x < x -", "d0.x < h.x -").replace("(x - prom / 2 - d0.x)", "(h.x - prom / 2 - d0.x)")
+_POINTS = f"""ahead AS (SELECT *, sign(ay) AS sg, lead(ay) OVER w AS nay, lead(abs(curvature)) OVER w AS nc, {"{}"} AS slope, {"{}"} AS turn FROM (SELECT *, sign(ratio + 0.15) AS rs FROM circuits) WINDOW w AS ({_LAP} seq)),
+  falls AS (SELECT *, quantile_cont(slope, 0.75) OVER ({_LAP} seq ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS q FROM ahead),
+  raw AS (SELECT run_id, n_lap, s_m, pos, 0 AS way, 'lat_accel_change' AS kind, 50 AS gap FROM ahead WHERE sign(nay) <> sg UNION ALL SELECT run_id, n_lap, s_m, pos, 0, 'low_lat_accel', 20 FROM ahead WHERE sign(nay - 2.5) <> sign(ay - 2.5) AND nc < 0.002
+    UNION ALL SELECT run_id, n_lap, s_m, pos, 1, 'low_lat_accel', 20 FROM ahead WHERE sign(nay + 2.5) <> sign(ay + 2.5) AND nc < 0.002 UNION ALL SELECT run_id, n_lap, s_m, pos, 0, 'deceleration', 50 FROM falls WHERE turn <> 0 AND q < 0),
+  fresh AS (SELECT *, CASE WHEN s_m - lag(s_m) OVER (PARTITION BY run_id, n_lap, kind ORDER BY pos, way) >= gap THEN 1 ELSE 0 END AS f FROM raw), stretch AS (SELECT *, sum(f) OVER (PARTITION BY run_id, n_lap, kind ORDER BY pos, way ROWS UNBOUNDED PRECEDING) AS g FROM fresh),
+  grouped AS (SELECT run_id, n_lap, kind, CAST(CASE WHEN kind = 'deceleration' THEN max(pos) ELSE floor(quantile_cont(pos, 0.5)) END AS BIGINT) AS pos FROM stretch GROUP BY run_id, n_lap, kind, g),
+  apex AS (SELECT w.run_id, w.n_lap, 'apex' AS kind, w.pos FROM wide w JOIN circuits c USING (run_id, n_lap, pos) WHERE w.width >= 50 AND abs(c.ay) > 5),
+  points AS (SELECT * FROM apex UNION ALL SELECT * FROM grouped g WHERE (run_id, n_lap) IN (SELECT (run_id, n_lap) FROM apex)
+    AND NOT (kind = 'low_lat_accel' AND EXISTS (SELECT 1 FROM grouped o WHERE o.kind = 'lat_accel_change' AND o.run_id = g.run_id AND o.n_lap = g.n_lap AND abs(o.pos - g.pos) <= 30)))"""
+_CORNERS = f"""numbered AS (SELECT *, row_number() OVER ({_LAP} pos, kind) AS no, count(*) OVER (PARTITION BY run_id, n_lap) AS m FROM points),
+  back AS (SELECT run_id, n_lap, no AS apex_no, pos AS apex, m, 1 AS steps, NULL::BIGINT AS start FROM numbered WHERE kind = 'apex' UNION ALL
+    SELECT b.run_id, b.n_lap, b.apex_no, b.apex, b.m, b.steps + 1, CASE p.kind WHEN 'deceleration' THEN p.pos WHEN 'apex' THEN CASE WHEN b.steps = 1 THEN b.apex ELSE n.pos END END
+    FROM back b JOIN numbered p ON p.run_id = b.run_id AND p.n_lap = b.n_lap AND p.no = (b.apex_no - 1 - b.steps + 2 * b.m) % b.m + 1 JOIN numbered n ON n.run_id = b.run_id AND n.n_lap = b.n_lap AND n.no = (b.apex_no - 2 + b.m) % b.m + 1 WHERE b.start IS NULL AND b.steps <= b.m),
+  bounds AS (SELECT b.run_id, b.n_lap, row_number() OVER (PARTITION BY b.run_id, b.n_lap ORDER BY b.apex_no) AS corner_no, b.apex, b.start, CASE WHEN x.kind = 'apex' THEN b.apex ELSE x.pos END AS e
+    FROM back b JOIN numbered x ON x.run_id = b.run_id AND x.n_lap = b.n_lap AND x.no = b.apex_no % b.m + 1 WHERE b.start IS NOT NULL),
+  painted AS (SELECT c.run_id, c.seq, c.n_lap, c.pos, c.ratio, max(b.corner_no) AS corner_no FROM circuits c LEFT JOIN bounds b ON b.run_id = c.run_id AND b.n_lap = c.n_lap
+    AND (c.pos - b.start + c.size) % c.size < CASE WHEN (b.e - b.start + c.size) % c.size = 0 THEN c.size ELSE (b.e - b.start + c.size) % c.size END GROUP BY ALL),
+  p0 AS (SELECT *, min(pos) OVER w AS f0, max(CASE WHEN ratio < -0.97 THEN pos END) OVER w AS a, max(CASE WHEN ratio < -0.3 THEN pos END) OVER w AS b, max(CASE WHEN ratio < 0.1 THEN pos END) OVER w AS c FROM painted WINDOW w AS (PARTITION BY run_id, n_lap, corner_no)),
+  p1 AS (SELECT *, (pos >= coalesce(a, f0))::INT + (pos >= coalesce(b, a, f0))::INT + (pos >= coalesce(c, b, a, f0))::INT AS phase FROM p0)
+  SELECT p.run_id, p.seq, p.n_lap, CASE WHEN p.corner_no IS NULL THEN '-' ELSE 'T' || p.corner_no END AS corner_name, CASE WHEN p.corner_no IS NULL THEN '-' WHEN s.v < 25 THEN 'Low Speed' WHEN s.v < 40 THEN 'Medium Speed' ELSE 'High Speed' END AS corner_speed,
+    CASE WHEN p.corner_no IS NULL THEN '-' ELSE ['Braking', 'Entry', 'Mid', 'Exit'][phase + 1] END AS corner_phase
+  FROM p1 p LEFT JOIN bounds b ON b.run_id = p.run_id AND b.n_lap = p.n_lap AND b.corner_no = p.corner_no LEFT JOIN circuits s ON s.run_id = b.run_id AND s.n_lap = b.n_lap AND s.pos = b.apex"""
+
+
+@query(f"WITH RECURSIVE {CIRCUITS}, {_PEAKS}, {_POINTS.format(_GR.format(x='ratio'), _GR.format(x='rs'))}, {_CORNERS}")
 def corner_labels(spark, sf_dir):
-    """Corner name, speed class and phase of every row of laps around a track with two bends."""
+    """Corner name, speed class and phase of every row of laps whose bends line items shape."""
     from lapframe.operators.corners import label_corners
 
     return label_corners(circuits(spark, sf_dir)).select("run_id", "seq", "n_lap", "corner_name", "corner_speed", "corner_phase")
 
 
+@query()
+def lowpass_channels(spark, sf_dir):
+    """Two channels of all runs without what is faster than 1 Hz, forward and backward, in chunks of 256 rows."""
+    from lapframe.operators.chunks import lowpass
+
+    df = runs(spark, sf_dir)
+    rated = df.join(sample_rates(df), "run_id")
+    return _rounded(lowpass(rated, ["vx_mps", "ay_mps2"], ["run_id"], "sample_hz", 1.0, rows=256).drop("chunk"))
+
+
 @query()
 def cornering_stiffness(spark, sf_dir):
     """Local slopes of the axles' forces over their slip angles around the same track, with the ratio to the linear region."""

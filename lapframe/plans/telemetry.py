@@ -1,14 +1,12 @@
 """Telemetry views over the driver's tables, and the same views as SQL.
 
 ``runs`` makes each supplier's line items one run of a car on a track of 1000 m;
-``knots`` makes each user's events the sparse channels of one run; ``circuits`` drives
-each supplier around a track with two bends.
+``knots`` makes each user's events the sparse channels of one run; ``circuits`` makes each
+supplier's line items one run around a track whose bends their quantities shape.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,27 +48,43 @@ def knots(spark: SparkSession, sf_dir: str) -> DataFrame:
 KNOTS = "knots AS (SELECT user_id AS run_id, event_type AS channel, (epoch_us(ts) - 1704067200000000) / 3.6e9 AS time_s, value, event_id AS seq FROM events)"
 CHANNELS = ["click", "error", "purchase", "signup", "view"]
 
-#: Rows of a lap and metres between rows; half the length of a bend, and where the bends of a lap lie.
-LAP_ROWS, STEP_M, BEND_M, BENDS = 600, 2.0, 150.0, ((420.0, 0.02), (900.0, -0.012))
-
-
-def circuits(spark: SparkSession, sf_dir: str, laps: int = 2) -> DataFrame:
-    """Laps with a shape, one run for each supplier: two bends of raised-cosine curvature, slower there, with braking before each; the front tyre follows a tyre curve."""
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("run_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(laps * LAP_ROWS - 1).cast("long"))).alias("seq"))
-    s = (F.col("seq") % LAP_ROWS) * STEP_M
-    shift = (F.col("run_id") % 7) * 4.0
-    curvature, braking = F.lit(0.0), F.lit(0.9)
-    for at, height in BENDS:
-        from_apex = s - shift - at
-        curvature = curvature + F.when(F.abs(from_apex) < BEND_M, height * 0.5 * (1.0 + F.cos(from_apex * (math.pi / BEND_M)))).otherwise(0.0)
-        braking = braking - 1.9 * F.exp(-F.pow((from_apex + 130.0) / 40.0, 2))
-    placed = rows.select("run_id", "seq", (F.floor(F.col("seq") / LAP_ROWS) + 1).cast("int").alias("n_lap"), s.alias("s_m"), curvature.alias("curvature_smoothed"), braking.alias("r_cos_phi_smoothed"))
-    speed = 45.0 - 1100.0 * F.abs("curvature_smoothed")
-    moved = placed.withColumns({"v_mps": speed, "time_s": F.col("seq") * 0.05}).withColumn("ay_mps2_smoothed", F.col("v_mps") * F.col("v_mps") * F.col("curvature_smoothed"))
-    slip = F.col("ay_mps2_smoothed") / 150.0 + F.sin(F.col("seq") * 0.21) * 0.002
+#: Rows for each line item, line items for each bend, rows of a lap, metres between rows.
+ITEM_ROWS, BEND_ITEMS, LAP_ROWS, STEP_M = 2, 75, 600, 2.0
+
+
+def circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laps with a shape: 75 line items are a bend, as sharp as their quantities say, with braking before it; the tyres follow a tyre curve."""
+    li = table(spark, sf_dir, "lineitem")
+    no = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*ORDER)).cast("long") - 1
+    items = li.select(F.col("l_suppkey").alias("run_id"), "l_quantity", "l_tax", no.alias("no")).withColumn("bend", F.floor(F.col("no") / BEND_ITEMS))
+    items = items.withColumn("weight", F.sum("l_quantity").over(Window.partitionBy("run_id", "bend")))
+    rows = items.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(ITEM_ROWS)]))).withColumn("seq", F.col("no") * ITEM_ROWS + F.col("k"))
+    length = ITEM_ROWS * BEND_ITEMS
+    hump = lambda t: 16.0 * t * t * (1.0 - t) * (1.0 - t)
+    t, u = (F.col("seq") % length) / float(length), ((F.col("seq") + 95) % length) / float(length)
+    curvature = (F.col("weight") % 7.0 - 3.0) / 3.0 * 0.02 * hump(t)
+    braking = F.round(0.9 - (1.8 + F.col("weight") % 5.0 * 0.05) * hump(u), 6)
+    placed = rows.select(
+        "run_id", "seq", (F.floor(F.col("seq") / LAP_ROWS) + 1).cast("int").alias("n_lap"), (F.col("seq") % LAP_ROWS * STEP_M).alias("s_m"), (F.col("seq") * 0.05).alias("time_s"),
+        curvature.alias("curvature_smoothed"), braking.alias("r_cos_phi_smoothed"), "l_quantity", "l_tax",
+    )
+    moved = placed.withColumn("v_mps", 45.0 - 1100.0 * F.abs("curvature_smoothed") + (F.col("l_quantity") - 25.0) * 0.002).withColumn("ay_mps2_smoothed", F.col("v_mps") * F.col("v_mps") * F.col("curvature_smoothed"))
+    slip = F.col("ay_mps2_smoothed") / 150.0 + (F.col("l_tax") - 0.04) * 0.05
     tyre = lambda x: 8000.0 * F.sin(1.9 * F.atan(12.0 * x))
-    return moved.withColumns({"alpha_f_rad": slip, "alpha_r_rad": slip * 0.8}).withColumns({"fy_f_N": tyre(F.col("alpha_f_rad")), "fy_r_N": tyre(F.col("alpha_r_rad")) * 1.1})
+    return moved.withColumns({"alpha_f_rad": slip, "alpha_r_rad": slip * 0.8}).withColumns({"fy_f_N": tyre(F.col("alpha_f_rad")), "fy_r_N": tyre(F.col("alpha_r_rad")) * 1.1}).drop("l_quantity", "l_tax")
+
+
+def _hump(t: str) -> str:
+    return f"16.0::DOUBLE * ({t}) * ({t}) * (1.0::DOUBLE - ({t})) * (1.0::DOUBLE - ({t}))"
+
 
+_T, _U = f"(seq % {ITEM_ROWS * BEND_ITEMS}) / {ITEM_ROWS * BEND_ITEMS}.0::DOUBLE", f"((seq + 95) % {ITEM_ROWS * BEND_ITEMS}) / {ITEM_ROWS * BEND_ITEMS}.0::DOUBLE"
+CIRCUITS = f"""items AS (SELECT l_suppkey AS run_id, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY {", ".join(ORDER)}) - 1 AS no FROM lineitem),
+bent AS (SELECT *, sum(l_quantity) OVER (PARTITION BY run_id, no // {BEND_ITEMS}) AS weight FROM items), spread AS (SELECT *, no * {ITEM_ROWS} + unnest(range({ITEM_ROWS})) AS seq FROM bent),
+placed AS (SELECT run_id, seq, CAST(seq // {LAP_ROWS} + 1 AS INTEGER) AS n_lap, seq % {LAP_ROWS} * {STEP_M}::DOUBLE AS s_m, l_quantity,
+  (weight % 7.0::DOUBLE - 3.0::DOUBLE) / 3.0::DOUBLE * 0.02::DOUBLE * ({_hump(_T)}) AS curvature, round(0.9::DOUBLE - (1.8::DOUBLE + weight % 5.0::DOUBLE * 0.05::DOUBLE) * ({_hump(_U)}), 6) AS ratio FROM spread),
+driven AS (SELECT *, 45.0::DOUBLE - 1100.0::DOUBLE * abs(curvature) + (l_quantity - 25.0::DOUBLE) * 0.002::DOUBLE AS v FROM placed),
+circuits AS (SELECT *, v * v * curvature AS ay, row_number() OVER (PARTITION BY run_id, n_lap ORDER BY seq) - 1 AS pos, count(*) OVER (PARTITION BY run_id, n_lap) AS size FROM driven)"""
 
 LAPS = """marked AS (SELECT *, coalesce(s_m - lag(s_m) OVER w < -300, false) AS fall FROM runs WINDOW w AS (PARTITION BY run_id ORDER BY seq)),
 falls AS (SELECT run_id, seq, lead(seq) OVER (PARTITION BY run_id ORDER BY seq) AS next_seq FROM marked WHERE fall),

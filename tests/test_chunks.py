@@ -97,7 +97,7 @@ def test_stiffness_in_chunks(spark):
             rate = (n - 1) / t[-1]
             want[run] = stiffness(slip, force, rate), stiffness(slip * 0.7, force * 1.1, rate)
     df = spark.createDataFrame(pd.concat(parts))
-    for rows in (300, 1024):
+    for rows in (300, 1024, 1 << 16):
         got = estimate_stiffness(df, rows=rows).toPandas().sort_values("seq")
         assert len(got) == len(pd.concat(parts)) and set(got.note) == {"kept"}
         for run, axles in want.items():
