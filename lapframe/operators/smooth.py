@@ -1,22 +1,15 @@
 """Smoothing by centred means, of widths in seconds.
 
-Runs whose rates give the same widths share one branch of window frames. With more
-than ``BRANCHES`` different sets of widths, each run's means come from running sums
-over its rows, in one pass for any number of rates; the results agree.
+All runs go together, whatever their rates: the place in the run over the run's own width is a scale on which the
+window has the same size everywhere, so it is one range frame for each width in seconds.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapframe.functions.series import RUN, SEQ, centered_mean, ordered, sample_rates
-
-BRANCHES = 16
+from lapframe.functions.series import RUN, SEQ, centered_mean, ordered, sample_rates, with_position
 
 
 def widths(filters: dict[str, float], rate_hz: float, columns: list[str]) -> dict[str, int]:
@@ -31,52 +24,28 @@ def smooth_at(df: DataFrame, filters: dict[str, float], rate_hz: float, run: str
     return df.withColumns({f"{s}_smoothed": centered_mean(s, n, w) for s, n in widths(filters, rate_hz, df.columns).items()})
 
 
-def smooth(df: DataFrame, filters: dict[str, float], run: str = RUN, seq: str = SEQ, rate_hz: float | None = None, branches: int = BRANCHES) -> DataFrame:
-    """Like :func:`smooth_at`, with each run's own rate (to 0.01 Hz) where none is given."""
+def smooth(df: DataFrame, filters: dict[str, float], run: str = RUN, seq: str = SEQ, rate_hz: float | None = None) -> DataFrame:
+    """``df`` with ``<signal>_smoothed`` for each filter whose signal is there, at each run's own rate (to 0.01 Hz) where none is given.
+
+    Where a filter is under one row of a run its mean is NULL there; the columns depend on ``df`` and ``filters`` alone.
+    """
     if rate_hz is not None:
         return smooth_at(df, filters, rate_hz, run, seq)
-    present = [s for s in filters if s in df.columns]
+    present = {s: float(seconds) for s, seconds in filters.items() if s in df.columns}
     if not present:
         return df
+    names = {seconds: f"__width{k}" for k, seconds in enumerate(sorted(set(present.values())))}
     rate = F.coalesce(F.round("sample_hz", 2), F.lit(0.0))
-    wide = F.array(*[F.rint(F.lit(float(filters[s])) * rate).cast("int") for s in present])
-    rated = sample_rates(df, run=run).select(run, wide.alias("__widths"))
-    found = [r["__widths"] for r in rated.select("__widths").distinct().limit(branches + 1).collect()]
-    if len(found) > branches:
-        return _by_running_sums(df.join(rated, run), df, present, run, seq)
-    parts = []
-    for own in found:
-        held = df.join(rated.where(F.col("__widths") == F.array(*[F.lit(n) for n in own])), run).drop("__widths")
-        parts.append(held.withColumns({f"{s}_smoothed": centered_mean(s, n, ordered(run, seq)) if n >= 1 else F.lit(None).cast("double") for s, n in zip(present, own, strict=True)}))
-    out = reduce(lambda a, b: a.unionByName(b), parts) if parts else df
-    used = [s for k, s in enumerate(present) if any(own[k] >= 1 for own in found)]
-    return out.select(*df.columns, *[f"{s}_smoothed" for s in used])
-
-
-def running_mean(x: np.ndarray, rows: int) -> np.ndarray:
-    """Mean of ``rows`` values around each, fewer at the ends; NaN counts as missing."""
-    known = ~np.isnan(x)
-    total, count = (np.r_[0.0, np.cumsum(v)] for v in (np.where(known, x, 0.0), known))
-    at = np.arange(len(x))
-    a, b = np.maximum(at - rows // 2, 0), np.minimum(at + rows - rows // 2, len(x))
-    n = count[b] - count[a]
-    return np.where(n > 0, (total[b] - total[a]) / np.maximum(n, 1), np.nan)
-
-
-def _by_running_sums(rated: DataFrame, df: DataFrame, present: list[str], run: str, seq: str) -> DataFrame:
-    kinds = dict(df.dtypes)
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(seq)
-        out = {run: rows[run], seq: rows[seq]}
-        for s, n in zip(present, rows["__widths"].iloc[0], strict=True):
-            out[f"{s}_smoothed"] = running_mean(rows[s].to_numpy(float), int(n)) if n >= 1 else np.nan
-        return pd.DataFrame(out)
-
-    schema = ", ".join([f"`{run}` {kinds[run]}", f"`{seq}` {kinds[seq]}", *[f"`{s}_smoothed` double" for s in present]])
-    means = rated.select(run, seq, "__widths", *present).groupBy(run).applyInPandas(one, schema)
-    clean = means.select(run, seq, *[F.when(~F.isnan(f"{s}_smoothed"), F.col(f"{s}_smoothed")).alias(f"{s}_smoothed") for s in present])
-    return df.join(clean, [run, seq], "left")
+    rated = sample_rates(df, run=run).select(run, *[F.rint(F.lit(seconds) * rate).cast("int").alias(n) for seconds, n in names.items()])
+    widest = rated.agg(F.max(F.greatest(F.lit(1), *names.values()))).first()[0] or 1
+    slack = 0.25 / widest  # of a row, on the scale of the widest window; even widths have one row more behind
+    placed = with_position(df, run, seq, "__pos").join(rated, run)
+    means = {}
+    for s, seconds in present.items():
+        n = names[seconds]
+        frame = f"OVER (PARTITION BY `{run}` ORDER BY __pos / greatest({n}, 1) RANGE BETWEEN {0.5 + slack!r}D PRECEDING AND {0.5 - slack!r}D FOLLOWING)"
+        means[f"{s}_smoothed"] = F.when(F.col(n) >= 1, F.expr(f"avg(`{s}`) {frame}"))
+    return placed.withColumns(means).select(*df.columns, *means)
 
 
 def read_filters(path: str) -> dict[str, float]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lapframe.plans.queries import ORACLES, QUERIES
 from tests.compare import close, spark_rows, sql_rows
@@ -60,17 +61,28 @@ def test_lowpass_query(spark):
         assert np.allclose(got[got.run_id == run].vx_mps, want, atol=1e-6)
 
 
-def test_smoothing_with_any_number_of_rates(spark):
-    """Many runs, each at its own rate: the pass by running sums gives what the window frames give."""
-    from pyspark.sql import functions as F
+@pytest.mark.parametrize("n_runs", [1, 2, 25])
+def test_smoothing_with_any_number_of_rates(spark, n_runs):
+    """Runs at rates of their own, odd and even widths, missing values: the mean of the rows around each; the same columns whatever the rates."""
+    import math
 
     from lapframe.operators.smooth import smooth
 
-    rows = [(run, k, k / (40.0 + run), float((k * 7 + run) % 23) if k % 11 else None) for run in range(20) for k in range(120)]
-    df = spark.createDataFrame(rows, "run_id int, seq int, time_s double, x double")
-    filters = {"x": 0.5, "time_s": 0.01, "gone": 1.0}
-    few, many = (smooth(df, filters, branches=n).select("run_id", "seq", F.round("x_smoothed", 9).alias("m")).orderBy("run_id", "seq").collect() for n in (100, 4))
-    assert few == many and len(few) == len(rows) and any(r["m"] is not None for r in few)
+    rows = [(run, k, k / (40.0 + 3 * run), float((k * 7 + run) % 23) if k % 11 else None) for run in range(n_runs) for k in range(150)]
+    df = spark.createDataFrame(rows, "run_id int, seq int, time_s double, x double").withColumn("y", F.col("x") * 2)
+    filters = {"x": 0.5, "y": 0.13, "time_s": 0.001, "gone": 1.0}
+    got = smooth(df, filters)
+    assert got.columns == [*df.columns, "x_smoothed", "y_smoothed", "time_s_smoothed"]
+    found = {(r["run_id"], r["seq"]): r for r in got.collect()}
+    assert len(found) == len(rows)
+    for run in range(n_runs):
+        own = [x for r, _, _, x in rows if r == run]
+        for column, seconds, scale in (("x", 0.5, 1), ("y", 0.13, 2)):
+            n = round(seconds * (40.0 + 3 * run))
+            for k in range(150):
+                near = [x * scale for x in own[max(0, k - n // 2) : k + n - n // 2] if x is not None]
+                assert math.isclose(found[run, k][f"{column}_smoothed"], sum(near) / len(near), rel_tol=1e-12)
+    assert all(r["time_s_smoothed"] is None for r in found.values())
 
 
 def test_dropped_can_logs_as_a_stream(spark, tmp_path):
