@@ -237,6 +237,15 @@ def known_frames(frames: DataFrame, messages: list[Message]) -> DataFrame:
     return frames.join(F.broadcast(known), _same_message(frames, known), "left_semi")
 
 
+def known_problems(parsed: DataFrame, messages: list[Message]) -> DataFrame:
+    """run_id, line_no, problem of parsed lines that can't be decoded: malformed ones, and frames that the definitions name without a time or with too short a payload."""
+    known = message_table(parsed.sparkSession, messages).select("can_id", "is_extended", "bytes_needed")
+    joined = parsed.join(F.broadcast(known), _same_message(parsed, known), "left")
+    named = F.col("bytes_needed").isNotNull()
+    problem = F.coalesce(F.col("problem"), F.when(named & F.col("ts").isNull(), "a decoded frame needs a time"), F.when(named & (F.length("data") < F.col("bytes_needed")), "the payload is too short"))
+    return joined.select("run_id", "line_no", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 _SHARE = "struct<word:int,shift:int,mask:bigint,place:int>"
 _SIGNAL = f"struct<signal:string,column:string,unit:string,factor:double,offset:double,signed:boolean,bits:int,shares:array<{_SHARE}>>"
 _WORD_BYTES = 8

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapframe.operators.can import changed_frames, decode_long, frames_of, known_frames, last_times, read_definitions
+from lapframe.operators.can import changed_frames, decode_long, frames_of, known_frames, known_problems, last_times, parse_lines, read_definitions
+from lapframe.session import materialize
 from lapframe.sources.files import numbered, run_name
 
 
@@ -33,14 +34,26 @@ def read_frames(spark: SparkSession, paths: list[str] | str, strict: bool = True
     return frames_of(read_lines(spark, paths), strict)
 
 
-def read_long(spark: SparkSession, paths: list[str] | str, definitions: str, keep_repeated: bool = False) -> DataFrame:
+def problems(spark: SparkSession, paths: list[str], definitions: str) -> DataFrame:
+    """run_id, path, problem of the logs that :func:`read_long` would fail on: the first malformed line, decoded frame without a time or payload that is too short."""
+    lines = read_lines(spark, paths)
+    parsed = parse_lines(lines.where(F.trim("line") != "")).select("run_id", "line_no", "ts", "can_id", "is_extended", "data", "problem")
+    bad = known_problems(parsed, read_definitions(definitions)).groupBy("run_id").agg(F.min_by(F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": "), F.col("problem")), "line_no").alias("problem"))
+    names = spark.createDataFrame([(p,) for p in paths], "path string").select("path", run_name(F.col("path")).alias("run_id"))
+    return materialize(bad.join(names, "run_id").select("run_id", "path", "problem"), "candump-problems")
+
+
+def read_long(spark: SparkSession, paths: list[str] | str, definitions: str, keep_repeated: bool = False, without: DataFrame | None = None) -> DataFrame:
     """run_id, seq, time_s, channel, value of the signals that change (all of them with ``keep_repeated``).
 
+    The runs of ``without`` (run_id) are left out.
+
     Every frame that is decoded must have a time. Where a run's last frames repeat what came before, a row with the
     last time alone (its channel and value are NULL) keeps the run's length.
     """
     messages = read_definitions(definitions)
-    frames = known_frames(read_frames(spark, paths), messages)
+    lines = read_lines(spark, paths)
+    frames = known_frames(frames_of(lines if without is None else lines.join(without.select("run_id"), "run_id", "left_anti")), messages)
     told = F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": a decoded frame needs a time"))
     frames = frames.withColumn("ts", F.when(F.col("ts").isNull(), F.raise_error(told).cast("double")).otherwise(F.col("ts")))
     fresh = frames if keep_repeated else changed_frames(frames)

@@ -3,30 +3,71 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lapframe.functions.nulls import finite
-from lapframe.sources.files import natural_key, numbered, run_name
+from lapframe.sources.files import natural_key, numbered, open_file, run_name
 
 
 #: A header with tabs and commas is split at both.
 BOTH = "[\t,]"
-MOST_BROADCAST_FILES = 100_000
+MOST_BROADCAST_FILES, MOST_HEAD_TASKS = 100_000, 1_000
+
+
+_HEAD_BYTES = 1 << 16
+
+
+def heads(spark: SparkSession, paths: list[str]) -> dict[str, str | None]:
+    """The first line of each file, None for an empty one. One job opens the files and reads up to the first line's end."""
+
+    def first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for path in batch["path"]:
+                with open_file(path) as f:
+                    raw, size = b"", f.size()
+                    while b"\n" not in raw and len(raw) < size:
+                        raw += f.read_at(min(_HEAD_BYTES, size - len(raw)), len(raw))
+                found.append(raw.split(b"\n")[0].decode("utf-8-sig", "replace").rstrip("\r") if raw else None)
+            yield pd.DataFrame({"path": list(batch["path"]), "head": pd.Series(found, dtype=object)})
+
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), MOST_HEAD_TASKS)))
+    return {r["path"]: r["head"] for r in listed.mapInPandas(first_lines, "path string, head string").collect()}  # a line per file
+
+
+def _columns(head: str) -> tuple[str, tuple[str, ...]]:
+    """(separator, columns) of a header. One with tabs and commas is split at both."""
+    seps = [x for x in "\t," if x in head] or [","]
+    sep = seps[0] if len(seps) == 1 else BOTH
+    return sep, tuple(c.strip().strip('"') for c in re.split(sep, head))
+
+
+def header_problems(found: dict[str, str | None]) -> dict[str, str]:
+    """Files whose header names no columns, or one twice."""
+    out = {}
+    for path, head in found.items():
+        columns = [c for c in _columns(head)[1] if c] if head else []
+        if not columns:
+            out[path] = "no header"
+        elif len({c.lower() for c in columns}) < len(columns):
+            out[path] = "a column occurs twice"
+    return out
 
 
 def headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[tuple[str, str]]]:
-    """Files (path, separator) by their columns. One job reads the first line of each file. A header with tabs and commas is split at both."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("no"))
-    first = lines.where("block = 0").groupBy("path").agg(F.min_by("value", "no").alias("head")).collect()  # a line per file
+    """Files (path, separator) by their columns."""
+    found = heads(spark, paths)
+    if bad := header_problems(found):
+        raise ValueError("; ".join(f"{path}: {problem}" for path, problem in sorted(bad.items())))
     out: dict[tuple[str, ...], list[tuple[str, str]]] = {}
-    for r in first:
-        seps = [x for x in "\t," if x in r["head"]] or [","]
-        sep = seps[0] if len(seps) == 1 else BOTH
-        columns = tuple(c.strip().strip('"') for c in re.split(sep, r["head"]))
-        out.setdefault(columns, []).append((r["path"], sep))
+    for path, head in found.items():
+        sep, columns = _columns(head)
+        out.setdefault(columns, []).append((path, sep))
     return out
 
 

@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 KINDS = {".csv": "csv", ".mat": "mat", ".mcap": "mcap", ".log": "candump", ".candump": "candump"}
 
 
+def open_file(path: str):
+    from pyarrow import fs
+
+    if "://" not in path:
+        path = path.removeprefix("file:")
+        return fs.LocalFileSystem().open_input_file(path)
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
 def natural_key(name: Column) -> Column:
     """A key under which numbers inside names sort by value."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
@@ -44,9 +54,10 @@ def _whole_files(got: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_folder(spark: SparkSession, folder: str, topics: list[str] | None = None, definitions: str | None = None) -> tuple[DataFrame | None, DataFrame]:
-    """(long table of all readable logs or None, table of files with a problem). A CSV file that can't be read is an error.
+    """(long table of all readable logs or None, table of files with a problem).
 
-    CAN logs need ``definitions``; without them they are files with a problem.
+    A file that can't be read is left out as a whole, whatever its kind, and the others are read. CAN logs need
+    ``definitions``; without them they are files with a problem.
     """
     from lapframe.sources import candump, csv_logs, mat, mcap
 
@@ -55,8 +66,12 @@ def read_folder(spark: SparkSession, folder: str, topics: list[str] | None = Non
     for f in files:
         by_kind.setdefault(f["kind"], []).append(f["path"])
     parts, problems = [], []
+    told = lambda rows: spark.createDataFrame(rows, "path string, problem string")
     if paths := by_kind.get("csv"):
-        parts.append(csv_logs.read_long(spark, paths))
+        bad = csv_logs.header_problems(csv_logs.heads(spark, paths))
+        problems.append(told(sorted(bad.items())))
+        if good := [p for p in paths if p not in bad]:
+            parts.append(csv_logs.read_long(spark, good))
     if paths := by_kind.get("mat"):
         good, bad = _whole_files(mat.read_mat(spark, paths))
         parts.append(good)
@@ -69,10 +84,12 @@ def read_folder(spark: SparkSession, folder: str, topics: list[str] | None = Non
         problems.append(bad)
     if paths := by_kind.get("candump"):
         if definitions:
-            parts.append(candump.read_long(spark, paths, definitions))
+            bad = candump.problems(spark, paths, definitions)
+            parts.append(candump.read_long(spark, paths, definitions, without=bad))
+            problems.append(bad.select("path", "problem"))
         else:
-            problems.append(spark.createDataFrame([(p, "a CAN log needs definitions") for p in paths], "path string, problem string"))
-    found = spark.createDataFrame([], "path string, problem string")
+            problems.append(told([(p, "a CAN log needs definitions") for p in paths]))
+    found = told([])
     for p in problems:
         found = found.unionByName(p)
     whole = None

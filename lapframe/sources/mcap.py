@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from lapframe.session import materialize
+from lapframe.sources.files import open_file
 from lapframe.sources.ros_messages import decode, definitions, leaves
 
 SCHEMA = "path string, run_id string, channel string, time_s double, value double, log_time_ns long, chunk_offset long, message_offset long, problem string"
@@ -52,16 +53,6 @@ class Unit(InputPartition):
     problem: str | None = None
 
 
-def open_file(path: str):
-    from pyarrow import fs
-
-    if "://" not in path:
-        path = path.removeprefix("file:")
-        return fs.LocalFileSystem().open_input_file(path)
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_file(inner)
-
-
 class Cursor:
     def __init__(self, raw: bytes, at: int = 0):
         self.raw, self.at = raw, at

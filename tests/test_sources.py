@@ -189,6 +189,27 @@ def test_damaged_mcap_is_left_out_whole(spark, tmp_path):
     assert [r["path"].rsplit("/", 1)[-1] for r in problems.collect()] == ["cut.mcap"]
 
 
+def test_bad_files_are_left_out_whole(spark, tmp_path):
+    """One good and several bad files of each text kind: the good ones are read, each bad one is told with its first problem."""
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (tmp_path / "d.json").write_text(json.dumps({"params": [{"canId": 1, "name": "m", "signals": [{"name": "x", "startBit": 7, "bitLength": 16}]}]}))
+    (folder / "good.csv").write_text("time_s,a\n0,1\n1,2\n")
+    (folder / "blank.csv").write_text("\n1,2\n")
+    (folder / "twice.csv").write_text("time_s,a,a\n0,1,2\n")
+    (folder / "good.log").write_bytes(b"(1) can0 001#0005\n\n(2) can0 001#0006\ncan0 002#00\n")
+    (folder / "line.log").write_bytes(b"(1) can0 001#0005\n(2) nonsense\n(3) more\n")
+    (folder / "short.log").write_bytes(b"(1) can0 001#0005\n(2) can0 001#06\n")
+    (folder / "time.log").write_bytes(b"can0 001#0005\n")
+    rows, problems = read_folder(spark, str(folder), definitions=str(tmp_path / "d.json"))
+    assert sorted((r["run_id"], r["time_s"], r["value"]) for r in rows.collect()) == [("good", 0.0, 1.0), ("good", 1.0, 2.0), ("good", 1.0, 5.0), ("good", 2.0, 6.0)]
+    told = {r["path"].rsplit("/", 1)[-1]: r["problem"] for r in problems.collect()}
+    assert told.keys() == {"blank.csv", "twice.csv", "line.log", "short.log", "time.log"}
+    assert told["line.log"].startswith("line 2: ") and "short" in told["short.log"] and "time" in told["time.log"] and told["blank.csv"] == "no header"
+    with pytest.raises(ValueError, match="twice.csv: a column occurs twice"):
+        read_wide(spark, [str(folder / "good.csv"), str(folder / "twice.csv")])
+
+
 def test_records_are_read_some_at_a_time():
     class File:
         def __init__(self, raw: bytes):
