@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapframe.functions.kernels import Line, butterworth_lowpass, s_curve, segment_labels, window_starts, zero_phase
 from lapframe.functions.series import RUN, SEQ, ordered, sample_rates, so_far
 from lapframe.operators.chunks import CHUNK_ROWS, lowpass, with_lookback
+from lapframe.session import materialize
 
 CUTOFF_HZ, FILTER_ORDER = 2.0, 4
 SPAN_RAD, SECTION_ORDER, OVERALL_ORDER = 0.02, 4, 1
@@ -167,3 +168,67 @@ def fit_magic_formula(slip: np.ndarray, force: np.ndarray, start: tuple[float, .
         else:
             damp *= 4
     return p
+
+
+def _normal_terms(slip: Column, force: Column, p: Column) -> dict[str, Column]:
+    """Of one sample at parameters ``p`` (an array): the products of derivatives and residual that the normal equations sum up, and the squared residual."""
+    b, c, d, e = (F.get(p, F.lit(k)) for k in range(4))
+    bx = b * slip
+    bend = F.atan(bx)
+    inner = bx - e * (bx - bend)
+    angle = F.atan(inner)
+    wave, slope = F.sin(c * angle), d * F.cos(c * angle)
+    steep = slope * c / (1.0 + inner * inner)
+    parts = [steep * (slip * (1.0 - e) + e * slip / (1.0 + bx * bx)), slope * angle, wave, -steep * (bx - bend), d * wave - force]
+    return {f"s{i}{j}": F.sum(parts[i] * parts[j]) for i in range(5) for j in range(i, 5)}
+
+
+def _next_try(found: pd.DataFrame, tolerance: float) -> pd.DataFrame:
+    """Of each fit: whether what was tried is better, and what to try next."""
+    out = found[[c for c in found.columns if not (len(c) == 3 and c[0] == "s" and c[1:].isdigit())]].copy()
+    for row, r in enumerate(found.to_dict("records")):
+        if r["done"]:
+            continue
+        sums = np.array([[r[f"s{min(i, j)}{max(i, j)}"] for j in range(5)] for i in range(5)])
+        if np.isfinite(sums).all() and not sums[4, 4] >= r["cost"]:  # the first cost is NaN
+            gain, r["best"], r["cost"], r["sums"], r["damp"] = r["cost"] - sums[4, 4], list(r["tried"]), sums[4, 4], sums.ravel().tolist(), r["damp"] / 3
+            r["done"] = bool(gain < tolerance * max(sums[4, 4], 1.0))
+        else:
+            r["damp"] *= 4
+            r["done"] = bool(r["damp"] > 1e9 or r["sums"] is None)
+        if not r["done"]:
+            normal = np.array(r["sums"]).reshape(5, 5)
+            move = np.linalg.solve(normal[:4, :4] + r["damp"] * np.diag(np.diag(normal[:4, :4]) + 1e-12), -normal[:4, 4])
+            r["tried"] = (np.array(r["best"]) + move).tolist()
+        for c in ("tried", "best", "cost", "sums", "damp", "done"):
+            out.at[out.index[row], c] = r[c]
+    return out
+
+
+def fit_tyre_curves(df: DataFrame, keys: list[str], slip: str = "slip", force: str = "force", rounds: int = 60, tolerance: float = 1e-10) -> DataFrame:
+    """keys, b, c, d, e, n, rmse: the tyre curve of each series by damped Gauss-Newton steps.
+
+    A round is one pass over the samples: Spark sums up the normal equations at what each series tries, 15 numbers for each;
+    only these meet NumPy. Series that have settled drop out. A series without samples has no row.
+    """
+    kinds = dict(df.dtypes)
+    rows = materialize(df.where(F.col(slip).isNotNull() & F.col(force).isNotNull()).select(*keys, F.col(slip).cast("double").alias("slip"), F.col(force).cast("double").alias("force")), "tyre-rows")
+    first = F.array(*[F.lit(float(x)) for x in MAGIC_START])
+    fits = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(
+        *keys, "n", first.alias("tried"), first.alias("best"), F.lit(float("nan")).alias("cost"), F.lit(None).cast("array<double>").alias("sums"), F.lit(1e-2).alias("damp"), F.lit(False).alias("done"),
+    )
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "n long, tried array<double>, best array<double>, cost double, sums array<double>, damp double, done boolean"])
+
+    def advance(batches):
+        for part in batches:
+            yield _next_try(part.astype({"tried": object, "best": object, "sums": object}), tolerance)
+
+    fits = materialize(fits, "tyre-fits")
+    for _ in range(rounds):
+        tried = fits.where("NOT done").select(*keys, "tried")
+        summed = rows.join(tried, keys).groupBy(*keys).agg(*[v.alias(k) for k, v in _normal_terms(F.col("slip"), F.col("force"), F.col("tried")).items()])
+        fits = materialize(fits.withColumn("cost", F.coalesce("cost", F.lit(float("nan")))).join(summed, keys, "left").mapInPandas(advance, schema), "tyre-fits")
+        if fits.where("NOT done").isEmpty():
+            break
+    named = [F.get("best", F.lit(k)).alias(x) for k, x in enumerate("bcde")]
+    return fits.select(*keys, *named, "n", F.sqrt(F.col("cost") / F.col("n")).alias("rmse"))

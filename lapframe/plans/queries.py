@@ -613,6 +613,16 @@ def cornering_stiffness(spark, sf_dir):
     return estimate_stiffness(df).select("run_id", "seq", "cs_f_Nprad", "cs_r_Nprad", "cs_ratio_f", "cs_ratio_r")
 
 
+@query()
+def tyre_curves(spark, sf_dir):
+    """The parameters of each run's tyre curves, front and rear, from its slip angles and forces."""
+    from lapframe.operators.stiffness import fit_tyre_curves
+
+    axles = F.array(*[F.struct(F.lit(a).alias("axle"), F.col(f"alpha_{a}_rad").alias("slip"), F.col(f"fy_{a}_N").alias("force")) for a in "fr"])
+    long = circuits(spark, sf_dir).select("run_id", F.explode(axles).alias("x")).select("run_id", "x.*")
+    return _rounded(fit_tyre_curves(long, ["run_id", "axle"]), 2, ("run_id", "n"))
+
+
 # --- CAN ---------------------------------------------------------------------------------------------
 
 #: One message per event type: the value in hundredths, the property k, and the user across two bytes in Motorola order.
