@@ -25,6 +25,11 @@ def chunk_of(seq: str = SEQ, rows: int = CHUNK_ROWS):
     return F.floor(F.col(seq) / rows).cast("long")
 
 
+def grouped(df: DataFrame, *keys: str):
+    """``df`` grouped by ``keys`` over all shuffle partitions: groups cost time whatever their bytes, so small ones are not put into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys)
+
+
 class _Filters:
     """One recursion per sampling rate, in each worker; None where the rate is too low."""
 
@@ -32,6 +37,7 @@ class _Filters:
         self.order, self.cutoff_hz, self.known = order, cutoff_hz, {}
 
     def at(self, rate_hz: float | None) -> Recursion | None:
+        rate_hz = rate_hz if rate_hz is None else float(f"{rate_hz:.9g}")  # runs of one rate share a filter
         if rate_hz not in self.known:
             fits = rate_hz is not None and rate_hz > 2 * self.cutoff_hz
             self.known[rate_hz] = Recursion(*butterworth_lowpass(self.order, self.cutoff_hz / (rate_hz / 2.0))) if fits else None
@@ -109,10 +115,10 @@ def lowpass(df: DataFrame, columns: list[str], keys: list[str], rate: str, cutof
         return pd.DataFrame(out)
 
     lists = ", ".join(f"{c} array<array<double>>" for c in ("heads", "tails", "ahead", "back"))
-    summary = parts.groupBy(*group).applyInPandas(alone, f"{by_key}, chunk long, n long, rate double, {lists}")
-    states = summary.groupBy(*keys).applyInPandas(entered, f"{by_key}, chunk long, left array<array<double>>, right array<array<double>>")
+    summary = grouped(parts, *group).applyInPandas(alone, f"{by_key}, chunk long, n long, rate double, {lists}")
+    states = grouped(summary, *keys).applyInPandas(entered, f"{by_key}, chunk long, left array<array<double>>, right array<array<double>>")
     schema = f"{by_key}, chunk long, `{seq}` {kinds[seq]}, " + ", ".join(f"`{c}` double" for c in columns)
-    done = parts.groupBy(*group).cogroup(states.groupBy(*group)).applyInPandas(through, schema)
+    done = grouped(parts, *group).cogroup(grouped(states, *group)).applyInPandas(through, schema)
     return done.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
 
 
@@ -145,6 +151,6 @@ def with_lookback(df: DataFrame, value: str, span: float, keys: list[str], seq:
         lists = dict(zip(("chunk", "block", "for_chunk"), zip(*wanted, strict=True), strict=True))
         return pd.DataFrame({k: [found[k].iloc[0]] * len(wanted) for k in keys} | lists)
 
-    need = blocks.groupBy(*keys).applyInPandas(reach, f"{by_key}, chunk long, block long, for_chunk long")
+    need = grouped(blocks, *keys).applyInPandas(reach, f"{by_key}, chunk long, block long, for_chunk long")
     back = placed.join(need, [*keys, "chunk", "block"]).withColumn("chunk", F.col("for_chunk")).withColumn("own", F.lit(False))
     return df.withColumn("own", F.lit(True)).unionByName(back.select(*df.columns, "own"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lapframe.functions.kernels import Line, butterworth_lowpass, s_curve, segment_labels, window_starts, zero_phase
 from lapframe.functions.series import RUN, SEQ, ordered, sample_rates, so_far
-from lapframe.operators.chunks import CHUNK_ROWS, lowpass, with_lookback
+from lapframe.operators.chunks import CHUNK_ROWS, grouped, lowpass, with_lookback
 from lapframe.session import materialize
 
 CUTOFF_HZ, FILTER_ORDER = 2.0, 4
@@ -104,7 +104,7 @@ def estimate_stiffness(df: DataFrame, run: str = RUN, seq: str = SEQ, rate_hz: f
     axles = F.array(*[F.struct(F.lit(a).alias("axle"), F.col(f"alpha_{a}_rad").alias("slip"), F.col(f"fy_{a}_N").alias("force")) for a in "fr"])
     rated = df.withColumn("rate", F.lit(float(rate_hz))) if rate_hz else df.join(sample_rates(df, run=run).withColumnRenamed("sample_hz", "rate"), run)
     long = rated.select(run, seq, "rate", F.explode(axles).alias("x")).select(run, seq, "rate", "x.*")
-    smooth = lowpass(long, ["slip", "force"], keys, "rate", CUTOFF_HZ, FILTER_ORDER, seq, rows)
+    smooth = materialize(lowpass(long, ["slip", "force"], keys, "rate", CUTOFF_HZ, FILTER_ORDER, seq, rows), "stiffness-filtered")  # read twice
     whole = smooth.where(F.col("slip").isNotNull() & F.col("force").isNotNull())
 
     def of_chunk(part: pd.DataFrame) -> pd.DataFrame:
@@ -114,7 +114,7 @@ def estimate_stiffness(df: DataFrame, run: str = RUN, seq: str = SEQ, rate_hz: f
         same = {c: [part[c].iloc[0]] * int(own.sum()) for c in (run, "axle", "chunk")}
         return pd.DataFrame(same | {seq: part[seq].to_numpy()[own], "value": value[own], "linear": linear[own]})
 
-    found = with_lookback(whole, "slip", SPAN_RAD, keys, seq).groupBy(*keys, "chunk")
+    found = grouped(with_lookback(whole, "slip", SPAN_RAD, keys, seq), *keys, "chunk")
     found = found.applyInPandas(of_chunk, f"`{run}` {kinds[run]}, axle string, chunk long, `{seq}` {kinds[seq]}, value double, linear boolean")
     found = found.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
     # a stiffness of the linear region that is unknown is held as such: the struct around it is not null
