@@ -7,17 +7,15 @@ test. The quarter of a stratum (language) proposes: per rule the ``TOP`` quantil
 ratios, times the factors of ``STEPS`` from lenient to strict, makes a path of cutoffs
 for all rules together. The rest tests each step of the path against "more than ``risk`` of the good
 documents are rejected" with the exact binomial tail. More is rejected with each
-step, so a fixed sequence of tests needs no correction inside a stratum. The strata and
-the pool share ``delta`` by Bonferroni. The strictest step that holds is used; where none
-does, the rules reject nothing.
-
-Strata with too few good labels to pass any test (with four strata under about 195 that
-test, so 260 in all) form the pool, which proposes and tests like a stratum. Its cutoffs
-serve those of its strata whose own labelled good documents don't speak against them: no more
-than ``risk`` of them may be lost. A stratum without labelled good documents has no cutoffs.
-So with probability of at least 1 - ``delta``, no stratum with enough labels, nor the small ones taken
-together, lose more than ``risk`` of their good documents to the five rules together, and
-no small stratum is served against its own labels. Labels are read from all labelled documents.
+step, so a fixed sequence of tests needs no correction inside a stratum. The strata, and
+all of them together as a pool, share ``delta`` by Bonferroni. The strictest step that holds is used.
+
+The pool's cutoffs serve a stratum in which no step holds (with four strata, any with under
+about 195 labels that test, so 260 in all), but never against its own labels: of all its labelled good documents
+no more than ``risk`` may be lost. A stratum without labelled good documents, or that the pool can't serve, has no cutoffs.
+So with probability of at least 1 - ``delta`` no stratum by cutoffs of its own, nor all strata together by
+the pool's, lose more than ``risk`` of their good documents to the five rules together; a stratum served by the pool
+has that from the pool and from its own labels' share, which for few labels says little. Labels are read from all labelled documents.
 
 Everything is arrays inside the row plus one small aggregate; words never leave
 their row, so neither a very long text nor a hot source needs care.
@@ -148,9 +146,9 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -
     few_strata = levels.count() <= MOST_BROADCAST_STRATA
     small = lambda df: F.broadcast(df) if few_strata else df
     labelled = own.join(small(levels), F.col("stratum") == F.col("of")).drop("of")
-    # even with none lost, fewer good documents never pass: they are the pool, group null
-    alone = F.col("n") * math.log1p(-risk) <= F.col("level")
-    placed = labelled.withColumn("group", F.when(alone, F.col("stratum")))
+    # even with none lost, fewer good documents never pass: their own test is spared; group null is the pool
+    alone = labelled.where(F.col("n") * math.log1p(-risk) <= F.col("level")).withColumn("group", F.col("stratum"))
+    placed = alone.unionByName(labelled.withColumn("group", F.lit(None).cast("string")))
     tops = placed.where(~F.col("tests")).groupBy("group").agg(*[F.expr(f"percentile_disc({TOP}) WITHIN GROUP (ORDER BY {r})").alias(f"top_{r}") for r in RULES])
     tested = placed.where("tests").join(small(tops.withColumnRenamed("group", "of")), F.col("group").eqNullSafe(F.col("of")))
 
@@ -176,7 +174,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -
         over = over | (F.col(r) > F.col(f"cut_{r}"))
     cuts = ["step", *[f"cut_{r}" for r in RULES]]
     against = placed.where("group IS NULL").join(pool).groupBy("stratum").agg(F.count(F.lit(1)).alias("n_good"), F.count_if(over).alias("n_lost"), *[F.first(c).alias(c) for c in cuts])
-    served = against.where(F.col("n_lost") <= F.col("n_good") * risk)
+    served = against.where(F.col("n_lost") <= F.col("n_good") * risk).join(small(passed.select(F.col("of").alias("stratum"))), "stratum", "left_anti")
     out = passed.where("of IS NOT NULL").select(F.col("of").alias("stratum"), "step", "n_good", "n_lost", *[(F.col(r) / GRID).alias(r) for r in RULES])
     return out.unionByName(served.select("stratum", "step", "n_good", "n_lost", *[(F.col(f"cut_{r}") / GRID).alias(r) for r in RULES]))
 

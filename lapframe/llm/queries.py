@@ -118,7 +118,7 @@ def _quality_sql(risk: float = 0.02, delta: float = 0.1) -> str:
         l AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
         o AS (SELECT x.*, left(md5(doc_id::VARCHAR), 1) NOT IN ('0', '1', '2', '3') AS tests FROM x WHERE doc_id IN (SELECT doc_id FROM l)),
         z AS (SELECT stratum, count(*) FILTER (tests) AS n, ln({delta} / (1 + count(*) OVER ())) AS level FROM o GROUP BY stratum),
-        p AS (SELECT o.*, CASE WHEN n * ln(1 - {risk}) <= level THEN stratum END AS grp, level FROM o JOIN z USING (stratum)),
+        p AS (SELECT o.*, stratum AS grp, level FROM o JOIN z USING (stratum) WHERE n * ln(1 - {risk}) <= level UNION ALL SELECT o.*, NULL, level FROM o JOIN z USING (stratum)),
         a AS (SELECT grp, {', '.join(f'quantile_disc({r}, 0.998) AS top_{r}' for r in _RULES)} FROM p WHERE NOT tests GROUP BY grp),
         k AS (SELECT step, factor FROM (VALUES (0, 8.0), (1, 4.0), (2, 2.0), (3, 1.5), (4, 1.25), (5, 1.0)) v(step, factor)),
         e AS (SELECT a.grp, step, {', '.join(f'{cut(r)} AS cut_{r}' for r in _RULES)} FROM a, k),
@@ -126,7 +126,7 @@ def _quality_sql(risk: float = 0.02, delta: float = 0.1) -> str:
             FROM p JOIN e ON p.grp IS NOT DISTINCT FROM e.grp WHERE tests GROUP BY e.grp, step),
         y AS (SELECT *, list_sum(list_transform(range(lost + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk}) + (n - j) * ln(1 - {risk})))) AS tail FROM b WHERE lost <= n * {risk}),
         s AS (SELECT * FROM y WHERE ln(tail) <= level QUALIFY row_number() OVER (PARTITION BY grp ORDER BY step DESC) = 1),
-        g AS (SELECT p.stratum, {', '.join(f'any_value(cut_{r}) AS cut_{r}' for r in _RULES)} FROM p JOIN s ON s.grp IS NULL WHERE p.grp IS NULL
+        g AS (SELECT p.stratum, {', '.join(f'any_value(cut_{r}) AS cut_{r}' for r in _RULES)} FROM p JOIN s ON s.grp IS NULL WHERE p.grp IS NULL AND p.stratum NOT IN (SELECT grp FROM s WHERE grp IS NOT NULL)
             GROUP BY p.stratum HAVING count(*) FILTER ({' OR '.join(f'{r} > cut_{r}' for r in _RULES)}) <= count(*) * {risk}),
         u AS (SELECT grp AS stratum, {', '.join(f'cut_{r}' for r in _RULES)} FROM s WHERE grp IS NOT NULL UNION ALL SELECT * FROM g)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

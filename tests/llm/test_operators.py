@@ -168,7 +168,7 @@ def test_op5_counts(docs, rows):
 def _plain_cutoffs(rows, risk: float, delta: float) -> dict:
     """(step, lost, cutoffs in thousandths) per stratum that has cutoffs; ``rows``: doc_id, stratum, five ratios of good documents.
 
-    A stratum that can pass a test has its own; the others are tested together, and served where their own labels agree.
+    A stratum that passes a test has its own; all are tested together as well, which serves the others where their own labels agree.
     """
     cells = [(s, int(hashlib.md5(str(d).encode()).hexdigest()[0], 16) >= 4, [max(math.ceil(x * 1000), 20) for x in ratios]) for d, s, ratios in rows]
     strata = {s for s, *_ in cells}
@@ -176,7 +176,7 @@ def _plain_cutoffs(rows, risk: float, delta: float) -> dict:
     least = {s for s in strata if (1 - risk) ** sum(t and x == s for x, t, _ in cells) <= level}
     out = {}
     for group in [*least, None]:
-        member = lambda s: s == group if group else s not in least  # noqa: B023, E731
+        member = lambda s: group in (s, None)  # noqa: B023, E731
         fit, test = ([c for s, t, c in cells if t == half and member(s)] for half in (False, True))
         if not fit or not test:
             continue
@@ -187,7 +187,7 @@ def _plain_cutoffs(rows, risk: float, delta: float) -> dict:
             if brute.binomial_tail(lost, len(test), risk) <= level:
                 out[group] = (step, lost, cut)
     step, _, cut = out.pop(None, (0, 0, None))
-    for s in strata - least if cut else ():
+    for s in strata - set(out) if cut else ():
         own = [any(x > y for x, y in zip(c, cut, strict=True)) for x, _, c in cells if x == s]
         if sum(own) <= risk * len(own):
             out[s] = (step, sum(own), cut)
