@@ -35,7 +35,7 @@ from lapframe.llm.common import text_of
 from lapframe.session import materialize
 
 #: White space by any reading of it: no boundary follows one of these.
-_ANY_SPACE = r"\s\x1c-\x1f\x85᠎​⁠﻿"
+_ANY_SPACE = r"\s\x1c-\x1f\x85\u180e\u200b\u2060\ufeff"
 SAFE = re.compile(rf"(?<=[^{_ANY_SPACE}])(?=[ \t-\r])")
 BATCH_BYTES = 1 << 18
 LOT_BYTES = 1 << 21
