@@ -10,8 +10,11 @@ n alone. Then every chunk is filtered from its states. The result is that of one
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +28,73 @@ def chunk_of(seq: str = SEQ, rows: int = CHUNK_ROWS):
     return F.floor(F.col(seq) / rows).cast("long")
 
 
-def grouped(df: DataFrame, *keys: str):
-    """``df`` grouped by ``keys`` over all shuffle partitions: groups cost time whatever their bytes, so small ones are not put into few tasks."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys)
+_TYPES = {"double": pa.float64(), "long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<array<double>>": pa.list_(pa.list_(pa.float64()))}
+_BATCH_ROWS = 10_000
+
+
+def _same_key(a: pa.RecordBatch, i: int, b: pa.RecordBatch, j: int, keys: list[str]) -> bool:
+    return all(a.column(k)[i].as_py() == b.column(k)[j].as_py() for k in keys)
+
+
+def _key_starts(batch: pa.RecordBatch, keys: list[str]) -> list[int]:
+    """The places, but for the first, at which one of ``keys`` differs from the row before; NULL equals NULL."""
+    n, changed = batch.num_rows, np.zeros(max(batch.num_rows - 1, 0), bool)
+    for k in keys:
+        before, after = batch.column(k).slice(0, n - 1), batch.column(k).slice(1)
+        differ = pc.fill_null(pc.not_equal(before, after), False).to_numpy(zero_copy_only=False)
+        changed |= differ | (before.is_null().to_numpy(zero_copy_only=False) != after.is_null().to_numpy(zero_copy_only=False))
+    return (np.flatnonzero(changed) + 1).tolist()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of sorted batches, one after the other; a group may go over several batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and not _same_key(held[-1], held[-1].num_rows - 1, batch, 0, keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        cuts = [0, *_key_starts(batch, keys), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if a:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def numbers(group: pa.Table, column: str) -> np.ndarray:
+    """A column of numbers as an array; NULL among doubles is NaN."""
+    return group.column(column).to_numpy()
+
+
+def by_series(df: DataFrame, keys: list[str], order: list[str], f: Callable[[pa.Table], dict | None], columns: dict[str, str]) -> DataFrame:
+    """keys and ``columns`` (name -> type) that ``f`` makes of each group of ``keys``, its rows sorted by ``order``; None gives no rows.
+
+    A task holds one group at a time, and its batches carry many small groups, each of
+    which would cost more on its way to Python and back than in ``f`` if sent by itself.
+    """
+    spark, kinds = df.sparkSession, dict(df.dtypes)
+    dealt = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, rows = [], 0
+        for group in _groups(batches, keys):
+            out = f(group)
+            n = len(next(iter(out.values()))) if out else 0
+            if not n:
+                continue
+            made.append(pa.table([pa.repeat(group.column(k)[0], n) for k in keys] + [pa.array(out[c], _TYPES[t], from_pandas=True) for c, t in columns.items()], [*keys, *columns]))
+            rows += n
+            if rows >= _BATCH_ROWS:
+                yield from pa.concat_tables(made).combine_chunks().to_batches()
+                made, rows = [], 0
+        if made:
+            yield from pa.concat_tables(made).combine_chunks().to_batches()
+
+    return dealt.mapInArrow(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], *[f"`{c}` {t}" for c, t in columns.items()]]))
 
 
 class _Filters:
@@ -44,22 +111,21 @@ class _Filters:
         return self.known[rate_hz]
 
 
-def _entries(parts: pd.DataFrame, k: int, r: Recursion) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _entries(sizes: list[int], heads: list, tails: list, ahead: list, back: list, r: Recursion) -> tuple[list[list[float]], list[list[float]]]:
     """For one column: the states from the left and from the right with which each of a run's chunks begins."""
-    head = np.concatenate([np.asarray(h[k], float) for h in parts["heads"]][: r.pad + 1])[: r.pad + 1]
-    tail = np.concatenate([np.asarray(t[k], float) for t in parts["tails"]][-r.pad - 1 :])[-r.pad - 1 :]
+    head = np.concatenate(heads)[: r.pad + 1]
+    tail = np.concatenate(tails)[-r.pad - 1 :]
     before, after = mirrored_ends(head, tail, r.pad)
-    sizes = parts["n"].tolist()
     state, left = r.run(before, r.settled * before[0])[1], []
-    for n, c in zip(sizes, parts["ahead"], strict=True):
+    for n, c in zip(sizes, ahead, strict=True):
         left.append(state)
-        state = r.power(n) @ state + np.asarray(c[k], float)
+        state = r.power(n) @ state + np.asarray(c, float)
     once = r.run(after, state)[0][::-1]
     state, right = r.run(once, r.settled * once[0])[1], []
-    for n, c, entered in zip(sizes[::-1], parts["back"].tolist()[::-1], left[::-1], strict=True):
+    for n, c, entered in zip(sizes[::-1], back[::-1], left[::-1], strict=True):
         right.append(state)
-        state = r.power(n) @ state + np.asarray(c[k], float) + r.echo(n) @ entered
-    return left, right[::-1]
+        state = r.power(n) @ state + np.asarray(c, float) + r.echo(n) @ entered
+    return [x.tolist() for x in left], [x.tolist() for x in right[::-1]]
 
 
 def lowpass(df: DataFrame, columns: list[str], keys: list[str], rate: str, cutoff_hz: float, order: int = 4, seq: str = SEQ, rows: int = CHUNK_ROWS) -> DataFrame:
@@ -69,56 +135,49 @@ def lowpass(df: DataFrame, columns: list[str], keys: list[str], rate: str, cutof
     which it has a NULL, or that has no more than three filter lengths of samples, or whose rate is at
     most twice ``cutoff_hz``.
     """
-    kinds = dict(df.dtypes)
+    kind = dict(df.dtypes)[seq]
     group = [*keys, "chunk"]
     parts = df.select(*keys, chunk_of(seq, rows).alias("chunk"), seq, F.col(rate).cast("double").alias("rate"), *[F.col(c).cast("double").alias(c) for c in columns])
-    by_key = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     filters, m = _Filters(order, cutoff_hz), len(columns)
 
-    def own_keys(rows_: pd.DataFrame, n: int = 1) -> dict:
-        return {k: [rows_[k].iloc[0]] * n for k in group}
-
-    def alone(rows_: pd.DataFrame) -> pd.DataFrame:
-        rows_ = rows_.sort_values(seq)
-        r = filters.at(rows_["rate"].iloc[0])
+    def alone(rows_: pa.Table) -> dict | None:
+        rate_hz = rows_.column("rate")[0].as_py()
+        r = filters.at(rate_hz)
         if r is None:
-            return pd.DataFrame(columns=[*group, "n", "rate", "heads", "tails", "ahead", "back"])
-        heads, tails, ahead, back = [], [], [], []
-        for c in columns:
-            x = rows_[c].to_numpy(float)
-            y, end = r.run(x, np.zeros(r.order))
-            heads.append(x[: r.pad + 1].tolist())
-            tails.append(x[-r.pad - 1 :].tolist())
-            ahead.append(end.tolist())
-            back.append(r.run(y[::-1], np.zeros(r.order))[1].tolist())
-        return pd.DataFrame(own_keys(rows_) | {"n": [len(rows_)], "rate": [rows_["rate"].iloc[0]], "heads": [heads], "tails": [tails], "ahead": [ahead], "back": [back]})
-
-    def entered(found: pd.DataFrame) -> pd.DataFrame:
-        found = found.sort_values("chunk")
-        r = filters.at(found["rate"].iloc[0])
-        if found["n"].sum() <= r.pad:
-            return pd.DataFrame(columns=[*group, "left", "right"])
-        both = [_entries(found, k, r) for k in range(m)]
-        left = [[both[k][0][i].tolist() for k in range(m)] for i in range(len(found))]
-        right = [[both[k][1][i].tolist() for k in range(m)] for i in range(len(found))]
-        return pd.DataFrame(own_keys(found, len(found)) | {"chunk": found["chunk"].tolist(), "left": left, "right": right})
-
-    def through(rows_: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        rows_ = rows_.sort_values(seq)
-        out = own_keys(rows_, len(rows_)) | {seq: rows_[seq].to_numpy()}
-        r = filters.at(rows_["rate"].iloc[0]) if len(states) else None
-        for k, c in enumerate(columns):
-            out[c] = np.nan
-            if r is not None:
-                y, _ = r.run(rows_[c].to_numpy(float), np.asarray(states["left"].iloc[0][k], float))
-                out[c] = r.run(y[::-1], np.asarray(states["right"].iloc[0][k], float))[0][::-1]
-        return pd.DataFrame(out)
-
-    lists = ", ".join(f"{c} array<array<double>>" for c in ("heads", "tails", "ahead", "back"))
-    summary = grouped(parts, *group).applyInPandas(alone, f"{by_key}, chunk long, n long, rate double, {lists}")
-    states = grouped(summary, *keys).applyInPandas(entered, f"{by_key}, chunk long, left array<array<double>>, right array<array<double>>")
-    schema = f"{by_key}, chunk long, `{seq}` {kinds[seq]}, " + ", ".join(f"`{c}` double" for c in columns)
-    done = grouped(parts, *group).cogroup(grouped(states, *group)).applyInPandas(through, schema)
+            return None
+        held = [numbers(rows_, c) for c in columns]
+        passes = [(r.run(x, np.zeros(r.order))) for x in held]
+        back = [r.run(y[::-1], np.zeros(r.order))[1].tolist() for y, _ in passes]
+        heads, tails = [x[: r.pad + 1].tolist() for x in held], [x[-r.pad - 1 :].tolist() for x in held]
+        return {"n": [len(rows_)], "rate": [rate_hz], "heads": [heads], "tails": [tails], "ahead": [[end.tolist() for _, end in passes]], "back": [back]}
+
+    def entered(found: pa.Table) -> dict | None:
+        r = filters.at(found.column("rate")[0].as_py())
+        sizes = found.column("n").to_pylist()
+        if sum(sizes) <= r.pad:
+            return None
+        # a NULL came as NaN: what is not a number stays none in lists
+        lists = {c: [[np.array(x, float) for x in own] for own in found.column(c).to_pylist()] for c in ("heads", "tails", "ahead", "back")}
+        both = [_entries(sizes, *[[own[k] for own in lists[c]] for c in ("heads", "tails", "ahead", "back")], r) for k in range(m)]
+        left, right = ([[both[k][side][i] for k in range(m)] for i in range(len(sizes))] for side in (0, 1))
+        return {"chunk": found.column("chunk").to_pylist(), "left": left, "right": right}
+
+    def through(rows_: pa.Table) -> dict | None:
+        has_states = not rows_.column("is_row")[0].as_py()
+        own = rows_.slice(1) if has_states else rows_
+        out = {seq: own.column(seq).combine_chunks()} | {c: np.full(len(own), np.nan) for c in columns}
+        r = filters.at(own.column("rate")[0].as_py()) if has_states else None
+        for k, c in enumerate(columns if r else []):
+            left, right = (np.array(rows_.column(side)[0].as_py()[k], float) for side in ("left", "right"))
+            out[c] = r.run(r.run(numbers(own, c), left)[0][::-1], right)[0][::-1]
+        return out
+
+    nested = "array<array<double>>"
+    summary = by_series(parts, group, [seq], alone, {"n": "long", "rate": "double", "heads": nested, "tails": nested, "ahead": nested, "back": nested})
+    states = by_series(summary, keys, ["chunk"], entered, {"chunk": "long", "left": nested, "right": nested})
+    # a chunk's states go before its rows
+    both = parts.withColumn("is_row", F.lit(True)).unionByName(states.withColumn("is_row", F.lit(False)), allowMissingColumns=True)
+    done = by_series(both, group, ["is_row", seq], through, {seq: kind} | {c: "double" for c in columns})
     return done.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
 
 
@@ -130,14 +189,11 @@ def with_lookback(df: DataFrame, value: str, span: float, keys: list[str], seq:
     it begins comes whole, with the one before it, so whatever looks at neighbours finds them.
     A stretch that stays within ``span`` for longer than a chunk goes along to each chunk that it reaches into.
     """
-    kinds = dict(df.dtypes)
-    by_key = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     placed = df.withColumn("block", F.floor(F.col(seq) / block).cast("long"))
     blocks = placed.groupBy(*keys, "chunk", "block").agg(F.min(value).alias("low"), F.max(value).alias("high"), F.min_by(value, seq).alias("first"))
 
-    def reach(found: pd.DataFrame) -> pd.DataFrame:
-        found = found.sort_values(["chunk", "block"])
-        chunk, low, high, first, number = (found[c].to_numpy() for c in ("chunk", "low", "high", "first", "block"))
+    def reach(found: pa.Table) -> dict | None:
+        chunk, low, high, first, number = (numbers(found, c) for c in ("chunk", "low", "high", "first", "block"))
         wanted = []
         for at in np.flatnonzero(np.r_[False, chunk[1:] != chunk[:-1]]).tolist():
             lo = hi = first[at]
@@ -146,11 +202,8 @@ def with_lookback(df: DataFrame, value: str, span: float, keys: list[str], seq:
                 lo, hi = min(lo, low[k]), max(hi, high[k])
                 k -= 1
             wanted += [(chunk[j], number[j], chunk[at]) for j in range(max(k - 1, 0), at)]
-        if not wanted:
-            return pd.DataFrame(columns=[*keys, "chunk", "block", "for_chunk"])
-        lists = dict(zip(("chunk", "block", "for_chunk"), zip(*wanted, strict=True), strict=True))
-        return pd.DataFrame({k: [found[k].iloc[0]] * len(wanted) for k in keys} | lists)
+        return dict(zip(("chunk", "block", "for_chunk"), zip(*wanted, strict=True), strict=True)) if wanted else None
 
-    need = grouped(blocks, *keys).applyInPandas(reach, f"{by_key}, chunk long, block long, for_chunk long")
+    need = by_series(blocks, keys, ["chunk", "block"], reach, {"chunk": "long", "block": "long", "for_chunk": "long"})
     back = placed.join(need, [*keys, "chunk", "block"]).withColumn("chunk", F.col("for_chunk")).withColumn("own", F.lit(False))
     return df.withColumn("own", F.lit(True)).unionByName(back.select(*df.columns, "own"))

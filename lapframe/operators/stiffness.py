@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapframe.functions.kernels import Line, butterworth_lowpass, s_curve, segment_labels, window_starts, zero_phase
 from lapframe.functions.series import RUN, SEQ, ordered, sample_rates, so_far
-from lapframe.operators.chunks import CHUNK_ROWS, grouped, lowpass, with_lookback
+from lapframe.operators.chunks import CHUNK_ROWS, by_series, lowpass, numbers, with_lookback
 from lapframe.session import materialize
 
 CUTOFF_HZ, FILTER_ORDER = 2.0, 4
@@ -107,15 +108,13 @@ def estimate_stiffness(df: DataFrame, run: str = RUN, seq: str = SEQ, rate_hz: f
     smooth = materialize(lowpass(long, ["slip", "force"], keys, "rate", CUTOFF_HZ, FILTER_ORDER, seq, rows), "stiffness-filtered")  # read twice
     whole = smooth.where(F.col("slip").isNotNull() & F.col("force").isNotNull())
 
-    def of_chunk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(seq)
-        value, linear = window_values(part["slip"].to_numpy(float), part["force"].to_numpy(float))
-        own = part["own"].to_numpy()
-        same = {c: [part[c].iloc[0]] * int(own.sum()) for c in (run, "axle", "chunk")}
-        return pd.DataFrame(same | {seq: part[seq].to_numpy()[own], "value": value[own], "linear": linear[own]})
+    def of_chunk(part: pa.Table) -> dict:
+        value, linear = window_values(numbers(part, "slip"), numbers(part, "force"))
+        own = part.column("own").to_numpy()
+        return {seq: part.column(seq).to_numpy()[own], "value": value[own], "linear": linear[own]}
 
-    found = grouped(with_lookback(whole, "slip", SPAN_RAD, keys, seq), *keys, "chunk")
-    found = found.applyInPandas(of_chunk, f"`{run}` {kinds[run]}, axle string, chunk long, `{seq}` {kinds[seq]}, value double, linear boolean")
+    found = by_series(with_lookback(whole, "slip", SPAN_RAD, keys, seq), [*keys, "chunk"], [seq], of_chunk, {seq: kinds[seq], "value": "double", "linear": "boolean"})
+    found = materialize(found, "stiffness-windows")  # read twice
     found = found.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
     # a stiffness of the linear region that is unknown is held as such: the struct around it is not null
     held = F.when(F.col("linear"), F.struct("value"))
