@@ -674,6 +674,16 @@ def can_decode_wide(spark, sf_dir):
     return _rounded(decode_wide(frames, messages).select("line_no", *[F.col(f"`{n}`") for n in names]))
 
 
+@query(f"""WITH {_CAN_SQL} SELECT line_no AS row_id, message, 'value' AS signal, v AS value, 'm' AS unit FROM f UNION ALL SELECT line_no, message, 'shade', k::DOUBLE, '' FROM f UNION ALL SELECT line_no, message, 'user', usr::DOUBLE, '' FROM f""")
+def can_decode_table(spark, sf_dir):
+    """Decoding as a table function of SQL."""
+    from lapframe.operators.can_table import register_can_table
+
+    frames, messages = _can_frames(spark, sf_dir)
+    register_can_table(spark, messages)
+    return _rounded(spark.sql("SELECT * FROM can_signals(TABLE(SELECT line_no AS row_id, can_id, is_extended, data FROM {frames}))", frames=frames), but=("row_id",))
+
+
 @query(f"""WITH {_CAN_SQL}, b AS (SELECT line_no, message, (v, k, usr) AS now, lag((v, k, usr)) OVER (PARTITION BY message ORDER BY line_no) AS before FROM f) SELECT message, count(*) AS n FROM b WHERE before IS NULL OR now IS DISTINCT FROM before GROUP BY message""")
 def can_changes(spark, sf_dir):
     from lapframe.operators.can import changed_frames, decode_long, known_frames, message_counts
@@ -823,6 +833,38 @@ def speed_over_distance(spark, sf_dir):
     return _rounded(speed(derive(_laps(spark, sf_dir), only={"speed"})))
 
 
+_TOTAL = "t AS (SELECT *, sqrt(ax_mps2 * ax_mps2 + ay_mps2 * ay_mps2) AS a_total FROM laps)"
+
+
+@query(f"WITH {RUNS}, {LAPS}, {_TOTAL}, r AS (SELECT *, count(*) OVER w AS n, avg(a_total) OVER w AS a_mean FROM t WINDOW w AS (PARTITION BY run_id, n_lap ORDER BY seq ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) SELECT run_id, n_lap, seq, {_r('s_m', 'a_mean')} FROM r WHERE n = 30")
+def combined_acceleration(spark, sf_dir):
+    from lapframe.operators.plots import combined_acceleration as combined
+
+    return _rounded(combined(derive(_laps(spark, sf_dir), only={"total_acceleration"})))
+
+
+@query(f"""WITH {RUNS}, {LAPS}, {_TOTAL}, e AS (SELECT run_id, n_lap, seq, s_m AS x_from, vx_mps AS y_from, lead(s_m) OVER w AS x_to, lead(vx_mps) OVER w AS y_to, a_total AS colour, min(a_total) OVER (PARTITION BY run_id, n_lap) AS low, max(a_total) OVER (PARTITION BY run_id, n_lap) AS high
+  FROM t WINDOW w AS (PARTITION BY run_id, n_lap ORDER BY s_m, seq)) SELECT run_id, n_lap, seq, {_r('x_from', 'y_from', 'x_to', 'y_to', 'colour', 'CASE WHEN high > low THEN (colour - low) / (high - low) ELSE 0 END AS share')} FROM e WHERE x_to IS NOT NULL""")
+def coloured_segments(spark, sf_dir):
+    from lapframe.operators.plots import coloured_segments as segments
+
+    return _rounded(segments(derive(_laps(spark, sf_dir), only={"total_acceleration"})))
+
+
+#: Least squares for two features in closed form.
+_FIT = """m AS (SELECT avg(vx_mps) AS my, avg(whl_radps) AS m1, avg(ax_mps2) AS m2, var_pop(whl_radps) AS s11, var_pop(ax_mps2) AS s22, covar_pop(whl_radps, ax_mps2) AS s12, covar_pop(whl_radps, vx_mps) AS s1y, covar_pop(ax_mps2, vx_mps) AS s2y FROM runs),
+w AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM m)"""
+
+
+@query(f"WITH {RUNS}, {_FIT} SELECT run_id, seq, round(my + b1 * (whl_radps - m1) + b2 * (ax_mps2 - m2), 6) + 0.0::DOUBLE AS speed_estimate FROM runs, w")
+def model_scores(spark, sf_dir):
+    """A linear model and its scaler, fitted over all runs and applied to each row in the workers."""
+    from lapframe.operators.scoring import fit_linear, score
+
+    rows, features = runs(spark, sf_dir), ["whl_radps", "ax_mps2"]
+    return _rounded(score(rows, *fit_linear(rows, features, "vx_mps"), features, "speed_estimate").select("run_id", "seq", "speed_estimate"))
+
+
 @query(f"""WITH {RUNS}, {LAPS}, f AS (SELECT *, CASE WHEN seq > 0 AND n_lap = lag(n_lap) OVER (PARTITION BY run_id ORDER BY seq) THEN 0 ELSE 1 END AS fresh FROM laps), i AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS trace FROM f)
   SELECT run_id, trace, any_value(n_lap) AS n_lap, {_r('avg(pos_x_m) AS label_x', 'avg(pos_y_m) AS label_y')} FROM i GROUP BY run_id, trace""")
 def track_map_labels(spark, sf_dir):

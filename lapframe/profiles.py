@@ -40,6 +40,13 @@ def read_profiles(path: str) -> list[Profile]:
     return out
 
 
+def read_topics(path: str) -> list[str]:
+    """The topics of a list file, which has no header: the first field of each line, blank ones left out, a repeated one once."""
+    with open(path, newline="") as f:
+        named = [r[0].strip() for r in csv.reader(f) if r]
+    return list(dict.fromkeys(t for t in named if t))
+
+
 def select_profile(columns: list[str], profiles: list[Profile]) -> Profile | None:
     """The first profile that matches."""
     return next((p for p in profiles if p.matches(columns)), None)
