@@ -5,15 +5,18 @@ from __future__ import annotations
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 
 from pyspark.sql import functions as F
 
 from lapframe.llm import bit_model, context_mixing, language_id, quality_rules
+from lapframe.llm.queries import QUERIES
 
 
 def _class(raw: bytes) -> int:
@@ -207,3 +210,68 @@ def test_op5_no_stratum_is_judged_against_its_own_labels(spark):
     labels = spark.createDataFrame([(d, 1) for d, *_ in rows], "doc_id long, quality int")
     rejected = {r["doc_id"] for r in quality_rules.judge(docs, labels).where("not kept").collect()}
     assert 9901 in rejected and not rejected & set(range(9000, 9100))
+
+
+def _segmentations(symbols: str, pieces: set[str]):
+    """All ways to cut a marked word into pieces, one by one; a symbol that is no piece is '?'."""
+    if not symbols:
+        yield ()
+    for k in range(1, len(symbols) + 1):
+        piece = symbols[:k] if symbols[:k] in pieces else "?" if k == 1 else None
+        for rest in _segmentations(symbols[k:], pieces) if piece else ():
+            yield (piece, *rest)
+
+
+def test_op1_whole_query_by_enumeration(spark, tmp_path):
+    """Training and prediction again, from every segmentation of every word, with pieces as texts."""
+    rng = np.random.default_rng(9)
+    own = {"en": "the house of a small bird was seen in time", "de": "das haus von einem vogel war nicht zu sehen", "el": "το σπίτι war a time"}
+    rows = []
+    for k in range(60):
+        lang = sorted(own)[k % 3]
+        text = " ".join(rng.choice(own[lang].split(), 1 + k % 9).tolist() + rng.choice(own["en"].split(), k % 3).tolist())
+        rows.append((k, text.upper() if k % 7 == 0 else text + ", 12!", None if k % 11 == 0 else lang))
+    rows += [(60, None, "en"), (61, "", "de"), (62, "42 - 7", None), (None, "das haus", "de"), (5, rows[5][1], rows[5][2]), (63, "zebra qq", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    pieces = set()
+    for i in range(model.get_piece_size()):
+        piece = model.id_to_piece(i).lower()
+        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and all(re.fullmatch(r"[^\W\d_]", c) for c in piece.lstrip("▁")):
+            pieces.add(piece)
+
+    def words(text):
+        return "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+
+    def held(doc_id):
+        return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 5 == 0
+
+    counts = Counter((lang, w) for k, text, lang in rows if lang and not held(k) for w in words(text))
+    langs = sorted({lang for k, _, lang in rows if lang and not held(k)})
+    ways = {w: list(_segmentations("▁" + w, pieces)) for _, text, _ in rows for w in words(text)}
+    chances = lambda p, w: [math.prod(p.get(x, p[None]) for x in way) for way in ways[w]]
+
+    def share(used):  # the pieces of the vocabulary and the unknown one; None: one that was not used
+        total = sum(used.values()) + 0.02 * (len(pieces) + 1)
+        return {x: (n + 0.02) / total for x, n in used.items()} | {None: 0.02 / total}
+
+    probs = {lang: share({}) for lang in langs}
+    for _ in range(3):
+        used = {lang: Counter() for lang in langs}
+        for (lang, w), n in counts.items():
+            p = chances(probs[lang], w)
+            for way, chance in zip(ways[w], p, strict=True):
+                for x in way:
+                    used[lang][x] += n * chance / sum(p)
+        probs = {lang: share(used[lang]) for lang in langs}
+    wanted = []
+    for k, text, _ in rows:
+        logs = [sum(math.log(sum(chances(probs[lang], w))) for w in words(text)) for lang in langs]
+        best = max(logs)
+        wanted.append((k, held(k), langs[logs.index(best)], 1 / sum(math.exp(x - best) for x in logs)) if words(text) else (k, held(k), "und", 0.0))
+    got = [tuple(r) for r in QUERIES["op1_language_id"](spark, str(tmp_path)).select("doc_id", "held_out", "lang_pred", "score").collect()]
+    key = lambda r: (r[0] is None, r[0], r[2])
+    assert len(got) == len(wanted) == 66 and {r[2] for r in got} == {"en", "de", "el", "und"}
+    for a, b in zip(sorted(got, key=key), sorted(wanted, key=key), strict=True):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-9)
