@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lapframe.functions.kernels import Recursion, butterworth_lowpass, mirrored_ends
 from lapframe.functions.series import SEQ
+from lapframe.session import TASK_ROWS, materialize
 
 CHUNK_ROWS = 1 << 16
 
@@ -70,14 +71,26 @@ def numbers(group: pa.Table, column: str) -> np.ndarray:
     return group.column(column).to_numpy()
 
 
-def by_series(df: DataFrame, keys: list[str], order: list[str], f: Callable[[pa.Table], dict | None], columns: dict[str, str]) -> DataFrame:
+def parts_for(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """Into how many partitions :func:`by_series` is to deal ``df``, which is counted, for about ``rows`` rows in each."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
+def long_series(df: DataFrame, keys: list[str], rows: int = CHUNK_ROWS) -> DataFrame | None:
+    """The keys of the series with more than ``rows`` rows; None where there is none. They are few: one in ``rows`` rows at most."""
+    found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows).drop("__n")
+    found = materialize(found, "long-series")
+    return None if found.isEmpty() else found
+
+
+def by_series(df: DataFrame, keys: list[str], order: list[str], f: Callable[[pa.Table], dict | None], columns: dict[str, str], parts: int | None = None) -> DataFrame:
     """keys and ``columns`` (name -> type) that ``f`` makes of each group of ``keys``, its rows sorted by ``order``; None gives no rows.
 
     A task holds one group at a time, and its batches carry many small groups, each of
     which would cost more on its way to Python and back than in ``f`` if sent by itself.
     """
     spark, kinds = df.sparkSession, dict(df.dtypes)
-    dealt = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, *order)
+    dealt = df.repartition(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, rows = [], 0

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lapframe.functions.kernels import Line, butterworth_lowpass, s_curve, segment_labels, window_starts, zero_phase
 from lapframe.functions.series import RUN, SEQ, ordered, sample_rates, so_far
-from lapframe.operators.chunks import CHUNK_ROWS, by_series, lowpass, numbers, with_lookback
+from lapframe.operators.chunks import CHUNK_ROWS, by_series, long_series, lowpass, numbers, parts_for, with_lookback
 from lapframe.session import materialize
 
 CUTOFF_HZ, FILTER_ORDER = 2.0, 4
@@ -182,36 +182,78 @@ def _normal_terms(slip: Column, force: Column, p: Column) -> dict[str, Column]:
     return {f"s{i}{j}": F.sum(parts[i] * parts[j]) for i in range(5) for j in range(i, 5)}
 
 
+def _sums(slip: np.ndarray, force: np.ndarray, p: list[float]) -> np.ndarray:
+    """The same sums (5 x 5) over samples at hand."""
+    b, c, d, e = p
+    bx = b * slip
+    bend = np.arctan(bx)
+    inner = bx - e * (bx - bend)
+    angle = np.arctan(inner)
+    wave, slope = np.sin(c * angle), d * np.cos(c * angle)
+    steep = slope * c / (1.0 + inner * inner)
+    parts = np.stack([steep * (slip * (1.0 - e) + e * slip / (1.0 + bx * bx)), slope * angle, wave, -steep * (bx - bend), d * wave - force])
+    return parts @ parts.T
+
+
+def _advance(r: dict, sums: np.ndarray, tolerance: float) -> None:
+    """Of a fit ``r``: whether what was tried is better, and what to try next."""
+    if np.isfinite(sums).all() and not sums[4, 4] >= r["cost"]:  # the first cost is NaN
+        gain, r["best"], r["cost"], r["sums"], r["damp"] = r["cost"] - sums[4, 4], list(r["tried"]), sums[4, 4], sums.ravel().tolist(), r["damp"] / 3
+        r["done"] = bool(gain < tolerance * max(sums[4, 4], 1.0))
+    else:
+        r["damp"] *= 4
+        r["done"] = bool(r["damp"] > 1e9 or r["sums"] is None)
+    if not r["done"]:
+        normal = np.array(r["sums"]).reshape(5, 5)
+        move = np.linalg.solve(normal[:4, :4] + r["damp"] * np.diag(np.diag(normal[:4, :4]) + 1e-12), -normal[:4, 4])
+        r["tried"] = (np.array(r["best"]) + move).tolist()
+
+
 def _next_try(found: pd.DataFrame, tolerance: float) -> pd.DataFrame:
-    """Of each fit: whether what was tried is better, and what to try next."""
+    """The same for each fit of a batch."""
     out = found[[c for c in found.columns if not (len(c) == 3 and c[0] == "s" and c[1:].isdigit())]].copy()
     for row, r in enumerate(found.to_dict("records")):
         if r["done"]:
             continue
-        sums = np.array([[r[f"s{min(i, j)}{max(i, j)}"] for j in range(5)] for i in range(5)])
-        if np.isfinite(sums).all() and not sums[4, 4] >= r["cost"]:  # the first cost is NaN
-            gain, r["best"], r["cost"], r["sums"], r["damp"] = r["cost"] - sums[4, 4], list(r["tried"]), sums[4, 4], sums.ravel().tolist(), r["damp"] / 3
-            r["done"] = bool(gain < tolerance * max(sums[4, 4], 1.0))
-        else:
-            r["damp"] *= 4
-            r["done"] = bool(r["damp"] > 1e9 or r["sums"] is None)
-        if not r["done"]:
-            normal = np.array(r["sums"]).reshape(5, 5)
-            move = np.linalg.solve(normal[:4, :4] + r["damp"] * np.diag(np.diag(normal[:4, :4]) + 1e-12), -normal[:4, 4])
-            r["tried"] = (np.array(r["best"]) + move).tolist()
+        _advance(r, np.array([[r[f"s{min(i, j)}{max(i, j)}"] for j in range(5)] for i in range(5)]), tolerance)
         for c in ("tried", "best", "cost", "sums", "damp", "done"):
             out.at[out.index[row], c] = r[c]
     return out
 
 
-def fit_tyre_curves(df: DataFrame, keys: list[str], slip: str = "slip", force: str = "force", rounds: int = 60, tolerance: float = 1e-10) -> DataFrame:
+def fit_tyre_curves(df: DataFrame, keys: list[str], slip: str = "slip", force: str = "force", rounds: int = 60, tolerance: float = 1e-10, alone: int = CHUNK_ROWS) -> DataFrame:
     """keys, b, c, d, e, n, rmse: the tyre curve of each series by damped Gauss-Newton steps.
 
-    A round is one pass over the samples: Spark sums up the normal equations at what each series tries, 15 numbers for each;
-    only these meet NumPy. Series that have settled drop out. A series without samples has no row.
+    A series of up to ``alone`` samples is fitted where its samples are, and all such series in one pass. Longer ones are spread over
+    tasks (:func:`_fit_in_rounds`). Both take the same steps. A series without samples has no row.
     """
-    kinds = dict(df.dtypes)
     rows = materialize(df.where(F.col(slip).isNotNull() & F.col(force).isNotNull()).select(*keys, F.col(slip).cast("double").alias("slip"), F.col(force).cast("double").alias("force")), "tyre-rows")
+
+    def fit(part: pa.Table) -> dict:
+        x, y = numbers(part, "slip"), numbers(part, "force")
+        r = {"tried": list(MAGIC_START), "best": list(MAGIC_START), "cost": float("nan"), "sums": None, "damp": 1e-2, "done": False}
+        with np.errstate(all="ignore"):
+            for _ in range(rounds):
+                _advance(r, _sums(x, y, r["tried"]), tolerance)
+                if r["done"]:
+                    break
+        return {k: [v] for k, v in zip("bcde", r["best"], strict=True)} | {"n": [len(x)], "cost": [r["cost"]]}
+
+    long = long_series(rows, keys, alone)
+    short = rows if long is None else rows.join(F.broadcast(long), keys, "left_anti")
+    fits = by_series(short, keys, ["slip", "force"], fit, {**dict.fromkeys("bcde", "double"), "n": "long", "cost": "double"}, parts_for(rows))
+    if long is not None:
+        fits = fits.unionByName(_fit_in_rounds(rows.join(F.broadcast(long), keys), keys, rounds, tolerance))
+    return fits.select(*keys, *"bcde", "n", F.sqrt(F.coalesce("cost", F.lit(float("nan"))) / F.col("n")).alias("rmse"))
+
+
+def _fit_in_rounds(rows: DataFrame, keys: list[str], rounds: int, tolerance: float) -> DataFrame:
+    """keys, b, c, d, e, n, cost of series of any length.
+
+    A round is one pass over the samples: Spark sums up the normal equations at what each series tries, 15 numbers for each;
+    only these meet NumPy. Series that have settled drop out. Fits are fewer than the samples by the length of a series, so they are broadcast.
+    """
+    kinds = dict(rows.dtypes)
     first = F.array(*[F.lit(float(x)) for x in MAGIC_START])
     fits = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(
         *keys, "n", first.alias("tried"), first.alias("best"), F.lit(float("nan")).alias("cost"), F.lit(None).cast("array<double>").alias("sums"), F.lit(1e-2).alias("damp"), F.lit(False).alias("done"),
@@ -224,10 +266,9 @@ def fit_tyre_curves(df: DataFrame, keys: list[str], slip: str = "slip", force: s
 
     fits = materialize(fits, "tyre-fits")
     for _ in range(rounds):
-        tried = fits.where("NOT done").select(*keys, "tried")
+        tried = F.broadcast(fits.where("NOT done").select(*keys, "tried"))
         summed = rows.join(tried, keys).groupBy(*keys).agg(*[v.alias(k) for k, v in _normal_terms(F.col("slip"), F.col("force"), F.col("tried")).items()])
         fits = materialize(fits.withColumn("cost", F.coalesce("cost", F.lit(float("nan")))).join(summed, keys, "left").mapInPandas(advance, schema), "tyre-fits")
         if fits.where("NOT done").isEmpty():
             break
-    named = [F.get("best", F.lit(k)).alias(x) for k, x in enumerate("bcde")]
-    return fits.select(*keys, *named, "n", F.sqrt(F.col("cost") / F.col("n")).alias("rmse"))
+    return fits.select(*keys, *[F.get("best", F.lit(k)).alias(x) for k, x in enumerate("bcde")], "n", "cost")

@@ -81,3 +81,20 @@ def test_tyre_curves_query_finds_the_parameters(spark):
     for r in got:
         peak = 8000 if r["axle"] == "f" else 8800
         assert (r["b"], r["c"], r["d"]) == pytest.approx((12, 1.9, peak), rel=0.02) and abs(r["e"]) < 0.05 and r["rmse"] < 1
+
+
+def test_short_series_need_no_rounds_and_long_ones_agree(spark, monkeypatch):
+    from lapframe.operators import stiffness
+
+    rng = np.random.default_rng(4)
+    slip = rng.uniform(-0.2, 0.2, 900)
+    rows = pd.DataFrame({"run_id": np.repeat(["a", "b"], [300, 600]), "slip": slip, "force": magic_formula(slip, 10.0, 1.6, 7000.0, 0.5) + rng.normal(0, 20, 900)})
+    df = spark.createDataFrame(rows)
+    rounds, calls = stiffness._fit_in_rounds, []
+    monkeypatch.setattr(stiffness, "_fit_in_rounds", lambda *a: calls.append(1) or rounds(*a))
+    short = {r["run_id"]: r for r in fit_tyre_curves(df, ["run_id"]).collect()}
+    assert not calls
+    mixed = {r["run_id"]: r for r in fit_tyre_curves(df, ["run_id"], alone=400).collect()}
+    assert calls and set(mixed) == set(short) == {"a", "b"}
+    for run, r in mixed.items():
+        assert r["n"] == short[run]["n"] and r["rmse"] == pytest.approx(short[run]["rmse"], rel=1e-6)
