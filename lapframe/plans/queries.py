@@ -625,13 +625,13 @@ def tyre_curves(spark, sf_dir):
 
 # --- CAN ---------------------------------------------------------------------------------------------
 
-#: One message per event type: the value in hundredths, the property k, and the user across two bytes in Motorola order.
+#: One message per event type: the value in hundredths with sign in 40 bits (up to 5.4 thousand million), the property k, and the user across two bytes in Motorola order.
 CAN_MESSAGES = {
     "params": [
         {"canId": 0x100 + k, "name": name, "signals": [
-            {"name": "value", "startBit": 0, "bitLength": 16, "isLittleEndian": True, "factor": 0.01, "postfixMetric": "m"},
-            {"name": "shade", "startBit": 16, "bitLength": 8, "isLittleEndian": True, "isSigned": True},
-            {"name": "user", "startBit": 31, "bitLength": 16}]}
+            {"name": "value", "startBit": 0, "bitLength": 40, "isLittleEndian": True, "isSigned": True, "factor": 0.01, "postfixMetric": "m"},
+            {"name": "shade", "startBit": 40, "bitLength": 8, "isLittleEndian": True, "isSigned": True},
+            {"name": "user", "startBit": 55, "bitLength": 16}]}
         for k, name in enumerate(CHANNELS)
     ]
 }
@@ -644,8 +644,8 @@ def can_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.round(F.col("value") * 100).cast("long")
     k = F.get_json_object("props", "$.k").cast("long") * 2 + 20
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    payload = [raw.bitwiseAND(F.lit(255)), F.shiftright(raw, 8), k, F.shiftright(F.col("user_id"), 8).bitwiseAND(F.lit(255)), F.col("user_id").bitwiseAND(F.lit(255))]
-    line = F.format_string("(%.6f) can0 %03X#%02X%02X%02X%02X%02X", seconds, ident, *payload)
+    payload = [*[F.shiftright(raw, 8 * n).bitwiseAND(F.lit(255)) for n in range(5)], k, F.shiftright(F.col("user_id"), 8).bitwiseAND(F.lit(255)), F.col("user_id").bitwiseAND(F.lit(255))]
+    line = F.format_string("(%.6f) can0 %03X#" + "%02X" * 8, seconds, ident, *payload)
     return ev.select(F.lit("log").alias("run_id"), (F.col("event_id") + 1).alias("line_no"), line.alias("line"))
 
 

@@ -94,3 +94,15 @@ def test_dropped_can_logs_as_a_stream(spark, tmp_path):
         (tmp_path / "in" / f"{k}.log").write_text(f"({k}.5) can0 12{k}#0{k}\n")
     frames = parse_lines(candump_stream(spark, str(tmp_path / "in"), files_per_batch=1)).select("ts", "can_id", "problem")
     assert sorted(tuple(r) for r in run_to_end(frames, "candump").collect()) == [(k + 0.5, 0x120 + k, None) for k in range(3)]
+
+
+@pytest.mark.parametrize("name", ["can_decode_long", "can_decode_wide", "can_decode_table", "can_changes"])
+def test_can_queries_hold_any_value(spark, tmp_path, name):
+    """Larger tables hold values over 655.35, more than 16 bits of hundredths."""
+    import duckdb
+
+    duckdb.sql(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN -value WHEN event_id % 3 = 1 THEN 655.3 + value * 1000 ELSE value END AS value) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet'")
+    columns, rows = spark_rows(QUERIES[name](spark, str(tmp_path)))
+    sql_columns, wanted = sql_rows(ORACLES[name], str(tmp_path))
+    assert columns == sql_columns and len(rows) == len(wanted)
+    assert all(close(a, b) for x, y in zip(rows, wanted, strict=True) for a, b in zip(x, y, strict=True))
