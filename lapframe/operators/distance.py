@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapframe.functions.series import RUN, SEQ, diff, ordered, so_far
+from lapframe.functions.series import RUN, SEQ, diff, let, ordered, so_far
 from lapframe.session import materialize
 
 DEBOUNCE_S = 5.0
@@ -80,32 +82,43 @@ def nearest_distance(df: DataFrame, reference: DataFrame, k: int = 3, cell_m: fl
     Points are dealt into square cells. A row looks into its cell and the eight around it; if the
     kth hit is not surely nearer than what lies outside them, the search is repeated with cells four
     times as wide, until no row is left. So the result is exact wherever a run leaves the reference.
+    The points around a cell are one array, so a row stays one row and is never dealt by itself.
     """
-    rows = df.select(run, seq, "pos_x_m", "pos_y_m").where("pos_x_m is not null and pos_y_m is not null")
-    done: DataFrame | None = None
+    rows = df.withColumn("__found", F.lit(None).cast("struct<hits:int,reach:double,s:double>"))
+    known = F.col("pos_x_m").isNotNull() & F.col("pos_y_m").isNotNull()
     n = reference.count()
     k = min(k, n)
-    left, size = rows, float(cell_m)
-    while k:
+    if not k:
+        return df.withColumn("s_norm_m", F.lit(None).cast("double"))
+    reference = materialize(reference, "nearest-reference")
+    parts, left, size, asked = [], rows, float(cell_m), known
+    while True:
         last = n <= 9 * k  # so few points: one cell for all
-        found = materialize(_in_cells(left, reference, k, size, run, seq, everything=last), "nearest-found")
-        sure = found.where(F.lit(True) if last else (F.col("hits") >= k) & (F.col("reach") <= size))
-        done = sure if done is None else done.unionByName(sure)
-        left = materialize(left.join(sure.select(run, seq), [run, seq], "left_anti"), "nearest-left")
+        found = materialize(_in_cells(left, reference, k, size, asked, everything=last), "nearest-found")
+        hit = F.col("__found")
+        open_ = F.lit(False) if last else known & ~F.coalesce((hit["hits"] >= k) & (hit["reach"] <= size), F.lit(False))
+        parts.append(found.where(~open_))
+        left, asked = found.where(open_), F.lit(True)
         if last or left.isEmpty():
             break
         size *= 4
-    if done is None:
-        return df.withColumn("s_norm_m", F.lit(None).cast("double"))
-    return df.join(done.select(run, seq, "s_norm_m"), [run, seq], "left")
+    return reduce(DataFrame.unionByName, parts).withColumn("s_norm_m", F.col("__found")["s"]).drop("__found")
 
 
-def _in_cells(rows: DataFrame, reference: DataFrame, k: int, size: float, run: str, seq: str, everything: bool) -> DataFrame:
+def _in_cells(rows: DataFrame, reference: DataFrame, k: int, size: float, asked: Column, everything: bool) -> DataFrame:
+    """``rows`` with ``__found``: how many hits, the distance of the last of the ``k`` nearest, and their mean place."""
     cell = lambda c: F.floor(F.col(c) / F.lit(size)).cast("long") if not everything else F.lit(0).cast("long")
     around = F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long")) if not everything else F.array(F.lit(0).cast("long"))
-    points = reference.withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around)).withColumns({"__cx": cell("ref_x") + F.col("__dx"), "__cy": cell("ref_y") + F.col("__dy")}).drop("__dx", "__dy")
-    asked = rows.withColumns({"__cx": cell("pos_x_m"), "__cy": cell("pos_y_m")})
-    pairs = asked.join(points, ["__cx", "__cy"], "left").withColumn("d", F.hypot(F.col("pos_x_m") - F.col("ref_x"), F.col("pos_y_m") - F.col("ref_y")))
-    near = Window.partitionBy(run, seq).orderBy(F.col("d").asc_nulls_last(), "ref_seq")
-    best = pairs.withColumn("__no", F.row_number().over(near)).where(F.col("__no") <= k)
-    return best.groupBy(run, seq).agg(F.count("ref_seq").alias("hits"), F.max("d").alias("reach"), F.avg("ref_s").alias("s_norm_m"))
+    points = reference.withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around)).withColumns({"__cx": cell("ref_x") + F.col("__dx"), "__cy": cell("ref_y") + F.col("__dy")})
+    cells = points.groupBy("__cx", "__cy").agg(F.sort_array(F.collect_list(F.struct("ref_seq", "ref_x", "ref_y", "ref_s"))).alias("__points"))
+    placed = rows.withColumns({"__cx": F.when(asked, cell("pos_x_m")), "__cy": F.when(asked, cell("pos_y_m"))})
+    joined = placed.join(materialize(cells, "nearest-cells"), ["__cx", "__cy"], "left")
+    x, y = F.col("pos_x_m"), F.col("pos_y_m")
+    gap = lambda p: F.hypot(x - p["ref_x"], y - p["ref_y"])
+    # distances alone are sorted fast; only points no farther than the kth are looked at with their order
+    kth = F.get(F.sort_array(F.transform("__points", gap)), F.least(F.lit(k), F.size("__points")) - 1)
+    near = lambda far: F.transform(F.filter("__points", lambda p: gap(p) <= far), lambda p: F.struct(gap(p).alias("d"), p["ref_seq"].alias("q"), p["ref_s"].alias("s")))
+    best = F.slice(F.sort_array(let(kth, near)), 1, k)
+    mean = lambda b: F.aggregate(b, F.lit(0.0), lambda total, p: total + p["s"]) / F.size(b)
+    found = let(best, lambda b: F.struct(F.size(b).alias("hits"), F.element_at(b, -1)["d"].alias("reach"), mean(b).alias("s")))
+    return joined.withColumn("__found", F.when(F.col("__points").isNotNull(), found)).drop("__cx", "__cy", "__points")

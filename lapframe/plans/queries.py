@@ -478,9 +478,10 @@ def knn3_distance(spark, sf_dir):
     """Distance of every row by its three nearest points of the first run."""
     from lapframe.operators.distance import nearest_distance, reference_points
 
-    df = runs(spark, sf_dir).withColumns({"pos_x_m": F.col("pos_x_m") + F.col("ax_mps2") * 0.05, "pos_y_m": F.col("pos_y_m") + F.col("vx_mps") * 0.01})
+    df = runs(spark, sf_dir).select("run_id", "seq", (F.col("pos_x_m") + F.col("ax_mps2") * 0.05).alias("pos_x_m"), (F.col("pos_y_m") + F.col("vx_mps") * 0.01).alias("pos_y_m"), "s_m")
     first = df.agg(F.min("run_id")).first()[0]
     reference = reference_points(df.where(F.col("run_id") == F.lit(first)), 25.0)
+    df = df.drop("s_m")
     return _rounded(nearest_distance(df, reference, 3, cell_m=5.0).select("run_id", "seq", "s_norm_m"), 4)
 
 

@@ -198,3 +198,12 @@ def test_scratch_tables_go(spark):
         kept = paths(materialize(spark.range(3), "kept", keep=True))
         assert all(map(os.path.exists, gone | kept))
     assert not any(map(os.path.exists, gone)) and all(map(os.path.exists, kept))
+
+
+def test_nearest_distance_deals_no_row_by_itself(spark):
+    """No join of the rows with what was found for them; rows without a place stay."""
+    reference = spark.range(40).select(F.col("id").alias("ref_seq"), F.col("id").cast("double").alias("ref_x"), F.lit(0.0).alias("ref_y"), (F.col("id") * 2.0).alias("ref_s"))
+    rows = spark.createDataFrame([("a", 0, 5.2, 0.5), ("a", 1, 300.0, 0.0), ("a", 2, None, 1.0)], "run_id string, seq long, pos_x_m double, pos_y_m double")
+    got = nearest_distance(rows, reference, 3, cell_m=2.0)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.seq: r.s_norm_m for r in got.collect()} == {0: 10.0, 1: 76.0, 2: None}
