@@ -93,3 +93,63 @@ def test_changed_payloads_in_order(spark, tmp_path):
     assert {(r["can_id"], r["line_no"]) for r in fed.out().collect()} == want and fed.out().count() == len(want)
     with pytest.raises(Exception, match="event_us|cannot|COLUMN"):
         changed_payloads(spark.createDataFrame(rows, schema).drop("ts")).schema  # event time is needed
+
+
+def test_rows_of_a_call_wait_as_one_value():
+    """And they are given in order once the watermark has passed them, however the calls had them."""
+    import pandas as pd
+
+    from lapframe.streaming.live import _Changes
+
+    class Held(list):
+        def get(self):
+            return iter(self) if self.many else (self[0] if self else None)
+
+        def put(self, values):
+            self[:] = values
+
+        def update(self, value):
+            self[:] = [value]
+
+        appendValue = list.append
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        def _state(self, many):
+            held = Held()
+            held.many = many
+            return held
+
+        def getListState(self, *_):
+            return self._state(True)
+
+        def getValueState(self, *_):
+            return self._state(False)
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+        def registerTimer(self, t):
+            self.timers.append(t)
+
+    class Times:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    kind, handle, times = _Changes(["us", "no", "data"], 1000), Handle(), Times()
+    kind.init(handle)
+    part = lambda at: iter([pd.DataFrame({"us": [t * 1000 for t in at], "no": at, "data": [bytes([t // 20]) for t in at]})])
+    assert not list(kind.handleInputRows(("k",), part([50, 40, 30]), times)) and not list(kind.handleInputRows(("k",), part([20, 60]), times))
+    assert len(kind.waiting) == 2 and handle.timers == [20]
+    times.now = 45
+    got = list(kind.handleExpiredTimer(("k",), times, None))
+    assert got[0].order.tolist() == [20, 40] and len(kind.waiting) == 1 and handle.timers == [50]
+    times.now = 5000
+    assert [p.order.tolist() for p in kind.handleExpiredTimer(("k",), times, None)] == [[60]] and not kind.waiting
