@@ -109,3 +109,13 @@ def test_topic_list(tmp_path):
     path = tmp_path / "topics.csv"
     path.write_text("/a/speed\n\n /b ,ignored\n/a/speed\n\"/c,d\"\n")
     assert read_topics(str(path)) == ["/a/speed", "/b", "/c,d"]
+
+
+def test_derived_channels_are_compiled(spark):
+    """One method for all channels would be over what the JVM compiles."""
+    from lapframe.operators.derive import derive
+    from lapframe.session import METHOD_BYTES, METHOD_LIMIT
+
+    spark.conf.unset(METHOD_LIMIT)
+    derive(spark.createDataFrame([("a", 0, 1.0, 2.0)], "run_id string, seq long, vx_mps double, vy_mps double"))
+    assert int(spark.conf.get(METHOD_LIMIT)) <= METHOD_BYTES
