@@ -99,7 +99,7 @@ def by_series(df: DataFrame, keys: list[str], order: list[str], f: Callable[[pa.
             n = len(next(iter(out.values()))) if out else 0
             if not n:
                 continue
-            made.append(pa.table([pa.repeat(group.column(k)[0], n) for k in keys] + [pa.array(out[c], _TYPES[t], from_pandas=True) for c, t in columns.items()], [*keys, *columns]))
+            made.append(pa.table([pa.repeat(group.column(k)[0], n) for k in keys] + [out[c] if isinstance(out[c], pa.ChunkedArray) else pa.array(out[c], _TYPES[t], from_pandas=True) for c, t in columns.items()], [*keys, *columns]))
             rows += n
             if rows >= _BATCH_ROWS:
                 yield from pa.concat_tables(made).combine_chunks().to_batches()
@@ -110,7 +110,7 @@ def by_series(df: DataFrame, keys: list[str], order: list[str], f: Callable[[pa.
     return dealt.mapInArrow(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], *[f"`{c}` {t}" for c, t in columns.items()]]))
 
 
-class _Filters:
+class Filters:
     """One recursion per sampling rate, in each worker; None where the rate is too low."""
 
     def __init__(self, order: int, cutoff_hz: float):
@@ -151,7 +151,7 @@ def lowpass(df: DataFrame, columns: list[str], keys: list[str], rate: str, cutof
     kind = dict(df.dtypes)[seq]
     group = [*keys, "chunk"]
     parts = df.select(*keys, chunk_of(seq, rows).alias("chunk"), seq, F.col(rate).cast("double").alias("rate"), *[F.col(c).cast("double").alias(c) for c in columns])
-    filters, m = _Filters(order, cutoff_hz), len(columns)
+    filters, m = Filters(order, cutoff_hz), len(columns)
 
     def alone(rows_: pa.Table) -> dict | None:
         rate_hz = rows_.column("rate")[0].as_py()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lapframe.functions.kernels import Line, butterworth_lowpass, s_curve, segment_labels, window_starts, zero_phase
 from lapframe.functions.series import RUN, SEQ, ordered, sample_rates, so_far
-from lapframe.operators.chunks import CHUNK_ROWS, by_series, long_series, lowpass, numbers, parts_for, with_lookback
+from lapframe.operators.chunks import CHUNK_ROWS, Filters, by_series, long_series, lowpass, numbers, parts_for, with_lookback
 from lapframe.session import materialize
 
 CUTOFF_HZ, FILTER_ORDER = 2.0, 4
@@ -73,11 +73,15 @@ def window_values(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def stiffness(slip: np.ndarray, force: np.ndarray, rate_hz: float) -> tuple[np.ndarray, np.ndarray]:
     """One series in one pass: (stiffness, its ratio to the last one of the linear region, at most 1)."""
-    value, linear = window_values(filtered(slip, rate_hz), filtered(force, rate_hz))
+    return _with_ratio(*window_values(filtered(slip, rate_hz), filtered(force, rate_hz)))
+
+
+def _with_ratio(value: np.ndarray, linear: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     held = np.maximum.accumulate(np.where(linear, np.arange(len(value)), -1))
     base = np.where(held >= 0, value[np.maximum(held, 0)], np.nan)
     with np.errstate(divide="ignore", invalid="ignore"):
-        return value, np.minimum(value / base, 1.0)
+        # no ratio to a stiffness of 0
+        return value, np.minimum(np.where(base == 0, np.nan, value / base), 1.0)
 
 
 def _largest(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -100,7 +104,43 @@ def estimate_stiffness(df: DataFrame, run: str = RUN, seq: str = SEQ, rate_hz: f
     """``df`` with cs_f_Nprad, cs_r_Nprad, cs_ratio_f and cs_ratio_r; NULL where a run is too short or has gaps.
 
     ``rate_hz``: the sampling rate of all runs; else each run's own, from its times. ``rows``: the size of a chunk, by ``seq``.
+    Runs of up to so many rows go in one pass each, both axles together, and longer ones in chunks, with the same result.
     """
+    long = long_series(df, [run], rows)
+    if long is None:
+        return _in_one_pass(df, run, seq, rate_hz)
+    short, rest = df.join(F.broadcast(long), run, "left_anti"), df.join(F.broadcast(long), run, "left_semi")
+    return _in_one_pass(short, run, seq, rate_hz).unionByName(_in_chunks(rest, run, seq, rate_hz, rows))
+
+
+def _in_one_pass(df: DataFrame, run: str, seq: str, rate_hz: float | None) -> DataFrame:
+    kinds, filters = dict(df.dtypes), Filters(FILTER_ORDER, CUTOFF_HZ)
+    kept = [c for c in df.columns if c != run]
+    parts = df.withColumns({f"__{c}": F.col(c).cast("double") for a in "fr" for c in (f"alpha_{a}_rad", f"fy_{a}_N")} | ({} if rate_hz else {"__time": F.col("time_s").cast("double")}))
+
+    def rate_of(part: pa.Table) -> float | None:
+        if rate_hz:
+            return float(rate_hz)
+        t = part.column("__time").drop_null().to_numpy()
+        return (len(t) - 1) / (t.max() - t.min()) if len(t) and t.max() > t.min() else None
+
+    def of_run(part: pa.Table) -> dict:
+        out = {c: part.column(c) for c in kept}
+        r = filters.at(rate_of(part)) if part.column(run)[0].is_valid else None
+        for a in "fr":
+            slip, force = numbers(part, f"__alpha_{a}_rad"), numbers(part, f"__fy_{a}_N")
+            value = ratio = np.full(len(part), np.nan)
+            if r is not None and len(slip) > r.pad and np.isfinite(slip).all() and np.isfinite(force).all():
+                value, ratio = _with_ratio(*window_values(r.zero_phase(slip), r.zero_phase(force)))
+            out |= {f"cs_{a}_Nprad": value, f"cs_ratio_{a}": ratio}
+        return out
+
+    found = {f"cs_{a}_Nprad": "double" for a in "fr"} | {f"cs_ratio_{a}": "double" for a in "fr"}
+    done = by_series(parts, [run], [seq], of_run, {c: kinds[c] for c in kept} | found, parts_for(df))
+    return done.select(*df.columns, "cs_f_Nprad", "cs_ratio_f", "cs_r_Nprad", "cs_ratio_r")
+
+
+def _in_chunks(df: DataFrame, run: str, seq: str, rate_hz: float | None, rows: int) -> DataFrame:
     kinds, keys = dict(df.dtypes), [run, "axle"]
     axles = F.array(*[F.struct(F.lit(a).alias("axle"), F.col(f"alpha_{a}_rad").alias("slip"), F.col(f"fy_{a}_N").alias("force")) for a in "fr"])
     rated = df.withColumn("rate", F.lit(float(rate_hz))) if rate_hz else df.join(sample_rates(df, run=run).withColumnRenamed("sample_hz", "rate"), run)

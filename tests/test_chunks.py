@@ -106,3 +106,18 @@ def test_stiffness_in_chunks(spark):
                 assert np.allclose(own[f"cs_{axle}_Nprad"], value, rtol=1e-6, equal_nan=True)
                 assert np.allclose(own[f"cs_ratio_{axle}"], ratio, rtol=1e-6, equal_nan=True)
         assert got[got.run_id == "c"].cs_f_Nprad.isna().all()
+
+
+def test_short_runs_go_in_one_pass(spark, monkeypatch):
+    from lapframe.operators import stiffness as module
+    from lapframe.plans.telemetry import circuits
+
+    df = circuits(spark, "/root/testdata/sf0.001").where("run_id < 3").where("run_id > 0 OR seq < 700").select("run_id", "seq", "time_s", "alpha_f_rad", "alpha_r_rad", "fy_f_N", "fy_r_N")
+    chunks, calls = module._in_chunks, []
+    monkeypatch.setattr(module, "_in_chunks", lambda *a: calls.append(1) or chunks(*a))
+    whole = module.estimate_stiffness(df).toPandas().sort_values(["run_id", "seq"])
+    assert not calls
+    mixed = module.estimate_stiffness(df, rows=800).toPandas().sort_values(["run_id", "seq"])
+    assert calls and len(whole) == len(mixed) and list(whole.columns) == list(mixed.columns)
+    for c in ("cs_f_Nprad", "cs_r_Nprad", "cs_ratio_f", "cs_ratio_r"):
+        assert np.allclose(whole[c], mixed[c], rtol=1e-6, equal_nan=True)
