@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lapframe.functions.nulls import finite
 from lapframe.functions.series import RUN, SEQ, diff, ordered, so_far
+from lapframe.session import dealt
 
 
 def to_long(df: DataFrame, channels: list[str], run: str = RUN, time: str = "time_s") -> DataFrame:
@@ -55,7 +56,7 @@ def interpolate(knots: DataFrame, grid: DataFrame, run: str = RUN, left_clamp: b
     channels = knots.where("channel is not null").select(run, "channel").distinct()
     asked = grid.join(channels, run).select(run, "channel", "time_s", F.lit(None).cast("double").alias("value"), F.lit(1).alias("is_grid"), "seq")
     given = knots.select(run, "channel", "time_s", "value", F.lit(0).alias("is_grid"), F.lit(None).cast("long").alias("seq")).where("value is not null")
-    both = asked.unionByName(given)
+    both = dealt(asked.unionByName(given), run, "channel")
     knot = F.when(F.col("is_grid") == 0, F.struct("time_s", "value"))
     forward = so_far(Window.partitionBy(run, "channel").orderBy("time_s", "is_grid", "value"))
     backward = so_far(Window.partitionBy(run, "channel").orderBy(F.desc("time_s"), "is_grid", F.desc("value")))

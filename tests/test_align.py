@@ -207,3 +207,14 @@ def test_nearest_distance_deals_no_row_by_itself(spark):
     got = nearest_distance(rows, reference, 3, cell_m=2.0)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert {r.seq: r.s_norm_m for r in got.collect()} == {0: 10.0, 1: 76.0, 2: None}
+
+
+def test_rows_are_dealt_by_their_number(spark):
+    """More rows make more partitions, each series in one of them; few rows stay as they are."""
+    from lapframe.session import dealt
+
+    df = spark.range(1000).select((F.col("id") % 50).alias("run_id"), "id")
+    many = dealt(df, "run_id", rows=50)
+    assert many.rdd.getNumPartitions() == 20 and dealt(df, "run_id") is df
+    homes = many.withColumn("home", F.spark_partition_id()).groupBy("run_id").agg(F.count_distinct("home").alias("n"))
+    assert homes.where("n > 1").count() == 0
