@@ -1,7 +1,7 @@
 """Corners: apices of the curvature, the points around them, and labels for every row.
 
-Everything is JVM expressions and joins on (run, lap). A lap's rows are windows; its
-curvature is one array, in which a peak's surroundings are looked at; its few characteristic points are
+A lap's rows are windows in one order, which find all kinds of points in one pass and keep the few
+rows that are any; the surroundings of its peaks are looked at in NumPy, many laps to an Arrow batch; its few characteristic points are
 windows over the points laid out twice, so that searching backward and forward wraps around the
 lap's ends; its corners are one array, which each row looks itself up in.
 
@@ -11,11 +11,14 @@ rows, has no corners. Where corners overlap the one with the larger number holds
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from lapframe.functions.series import RUN, SEQ, diff, forward_quantile, gradient, let, ordered, so_far, with_position
-from lapframe.session import materialize
+from lapframe.functions.series import RUN, SEQ, diff, gradient, ordered, so_far, with_position
+from lapframe.operators.chunks import by_series, numbers, parts_for
+from lapframe.session import dealt, materialize
 
 INPUTS = ("n_lap", "s_m", "curvature_smoothed", "ay_mps2_smoothed", "v_mps", "r_cos_phi_smoothed")
 NONE = "-"
@@ -41,110 +44,144 @@ def _grouped(points: DataFrame, gap_m: float, run: str, take: str) -> DataFrame:
     return cut.groupBy(*keys, "stretch").agg(place.cast("long").alias("pos"), F.count(F.lit(1)).alias("n_points"))
 
 
+def _changes(channel: str, w: WindowSpec, level: float = 0.0) -> Column:
+    sign = F.signum(F.col(channel) - F.lit(level))
+    return F.lead(sign).over(w) != sign
+
+
+def _low_ways(lateral: str, curvature: str, w: WindowSpec) -> Column:
+    """The levels, as 0 and 1, that the lateral acceleration is about to cross on what is nearly a straight."""
+    straight = F.abs(F.lead(curvature).over(w)) < STRAIGHT
+    return F.array_compact(F.array(*[F.when(_changes(lateral, w, level) & straight, F.lit(k)) for k, level in enumerate((LOW_LATERAL, -LOW_LATERAL))]))
+
+
+def _turns(r_cos_phi: str, w: WindowSpec) -> Column:
+    return gradient(F.signum(F.col(r_cos_phi) - F.lit(DECEL_LEVEL)), w) != 0
+
+
+def _near_turns(placed: DataFrame, r_cos_phi: str, w: WindowSpec, pos: str = "pos") -> DataFrame:
+    """``placed`` with ``__slope``, ``__turn`` and ``__reached``: whether a turn's quantile reads the row."""
+    marked = placed.withColumns({"__slope": gradient(r_cos_phi, w), "__turn": F.coalesce(_turns(r_cos_phi, w), F.lit(False))})
+    last = F.last(F.when(F.col("__turn"), F.col(pos)), ignorenulls=True).over(so_far(w))
+    return marked.withColumn("__reached", F.coalesce(F.col(pos) - last < DECEL_ROWS, F.lit(False)))
+
+
+def _falling(reached: DataFrame, keys: list[str], falls_below: float) -> DataFrame:
+    """The turns from which on the upper quartile of the slope is under ``falls_below``; only rows that a turn reaches are looked at, which are all rows that its frame has."""
+    w = ordered(keys, "pos")
+    got = reached.withColumn("__falls", F.percentile("__slope", F.lit(DECEL_QUANTILE)).over(w.rangeBetween(0, DECEL_ROWS - 1)))
+    return got.where(F.col("__turn") & (F.col("__falls") < falls_below))
+
+
+def _by_way(points: DataFrame) -> DataFrame:
+    return points.withColumn("__way", F.explode("__ways")).withColumn("order", F.col("pos") * 2 + F.col("__way"))
+
+
 def sign_changes(laps: DataFrame, channel: str, level: float = 0.0, gap_m: float = SIGN_GAP_M, run: str = RUN, seq: str = SEQ) -> DataFrame:
     """run_id, n_lap, stretch, pos, n_points: where ``channel`` is about to cross ``level``; crossings close together count once."""
     keys = [run, "n_lap"]
-    placed = with_position(laps, keys, seq).withColumn("__sign", F.signum(F.col(channel) - F.lit(level)))
-    ahead = placed.withColumn("__next", F.lead("__sign").over(ordered(keys, seq)))
-    points = ahead.where(F.col("__next") != F.col("__sign")).withColumn("order", F.col("pos"))
-    return _grouped(points, gap_m, run, "median")
+    points = with_position(laps, keys, seq).withColumn("__changes", _changes(channel, ordered(keys, seq), level)).where("__changes")
+    return _grouped(points.withColumn("order", F.col("pos")), gap_m, run, "median")
 
 
 def low_acceleration_points(laps: DataFrame, lateral: str = "ay_mps2_smoothed", curvature: str = "curvature_smoothed", run: str = RUN, seq: str = SEQ) -> DataFrame:
     """Where the lateral acceleration is about to cross plus or minus 2.5 on what is nearly a straight."""
     keys = [run, "n_lap"]
-    w = ordered(keys, seq)
-    placed = with_position(laps, keys, seq)
-    ways = []
-    for side, level in enumerate((LOW_LATERAL, -LOW_LATERAL)):
-        sign = F.signum(F.col(lateral) - F.lit(level))
-        ways.append((F.lead(sign).over(w) != sign) & (F.abs(F.lead(curvature).over(w)) < STRAIGHT))
-    marked = placed.withColumn("__ways", F.array_compact(F.array(*[F.when(way, F.lit(k)) for k, way in enumerate(ways)])))
-    points = marked.withColumn("__way", F.explode("__ways")).withColumn("order", F.col("pos") * 2 + F.col("__way"))
-    return _grouped(points, LOW_GAP_M, run, "median")
+    marked = with_position(laps, keys, seq).withColumn("__ways", _low_ways(lateral, curvature, ordered(keys, seq)))
+    return _grouped(_by_way(marked), LOW_GAP_M, run, "median")
 
 
 def deceleration_points(laps: DataFrame, r_cos_phi: str = "r_cos_phi_smoothed", run: str = RUN, seq: str = SEQ, falls_below: float = 0.0) -> DataFrame:
     """Where braking sets in: the ratio passes -0.15 while the upper quartile of its slope over 20 rows is under ``falls_below``."""
     keys = [run, "n_lap"]
-    w = ordered(keys, seq)
-    placed = with_position(laps, keys, seq).withColumn("__slope", gradient(r_cos_phi, w)).withColumn("__sign", F.signum(F.col(r_cos_phi) - F.lit(DECEL_LEVEL)))
-    marked = placed.withColumn("__turn", gradient("__sign", w)).withColumn("__falls", forward_quantile("__slope", DECEL_ROWS, DECEL_QUANTILE, w))
-    points = marked.where((F.col("__turn") != 0) & (F.col("__falls") < falls_below)).withColumn("order", F.col("pos"))
-    return _grouped(points, DECEL_GAP_M, run, "last")
+    reached = _near_turns(with_position(laps, keys, seq), r_cos_phi, ordered(keys, seq)).where("__reached")
+    return _grouped(_falling(reached, keys, falls_below).withColumn("order", F.col("pos")), DECEL_GAP_M, run, "last")
 
 
 # --- peaks -------------------------------------------------------------------------------------
 
 
-def local_maxima(placed: DataFrame, x: str, keys: list[str]) -> DataFrame:
-    """keys, pos, x: places strictly above both sides; of a plateau its middle, rounded down. A series' ends are none. ``placed`` has pos."""
-    w = ordered(keys, "pos")
-    level = placed.select(*keys, "pos", F.col(x).alias("x")).withColumns({"before": F.lag("x").over(w), "size": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
-    starts = level.where(~F.col("x").eqNullSafe(F.col("before")) | (F.col("pos") == 0))
-    ends = F.coalesce(F.lead("pos").over(w), F.col("size")) - 1
-    plateaus = starts.withColumns({"after": F.lead("x").over(w), "end": ends, "before": F.lag("x").over(w)})
-    tops = plateaus.where((F.col("before") < F.col("x")) & (F.col("after") < F.col("x")))
-    return tops.select(*keys, F.floor((F.col("pos") + F.col("end")) / 2).cast("long").alias("pos"), "x")
+def _maxima(x: np.ndarray) -> np.ndarray:
+    """Places strictly above both sides; of a plateau its middle, rounded down. The ends, and places beside a NaN, are none."""
+    starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    ends, level = np.r_[starts[1:], len(x)] - 1, x[starts]
+    top = np.flatnonzero((level[:-2] < level[1:-1]) & (level[2:] < level[1:-1])) + 1
+    return (starts[top] + ends[top]) // 2
 
 
-def _spaced(distance: int) -> Column:
-    """Of an array ``tops`` of (x, pos), highest first, what no higher one lies closer to than ``distance``; of equals the later one is first."""
-    apart = lambda kept, p: F.forall(kept, lambda q: F.abs(q["pos"] - p["pos"]) >= distance)
-    none = F.filter("tops", lambda p: F.lit(False))
-    return F.aggregate("tops", none, lambda kept, p: F.when(apart(kept, p), F.concat(kept, F.array(p))).otherwise(kept))
+def _spaced(places: np.ndarray, x: np.ndarray, distance: int) -> np.ndarray:
+    """What no higher one lies closer to than ``distance``; of equals the later one is first."""
+    left = places[np.lexsort((-places, -x[places]))]
+    kept = []
+    while len(left):
+        kept.append(left[0])
+        left = left[np.abs(left - left[0]) >= distance]
+    return np.array(kept, np.int64)
 
 
-def _foot(side: Column, top: Column) -> Column:
+def _foot(side: np.ndarray) -> np.ndarray:
     """Of ``side`` (from the peak away) the part down to the nearest of the lowest values before anything above the peak."""
-    place = lambda a, x: F.array_position(a, x).cast("int")
-    before = lambda a: let(place(F.transform(a, lambda v: v > top), F.lit(True)), lambda k: F.when(k > 1, F.slice(a, F.lit(1), k - 1)).otherwise(a))
-    return let(side, lambda a: let(before(a), lambda part: F.slice(part, F.lit(1), place(part, F.array_min(part)))))
+    above = side > side[0]
+    part = side[: above.argmax()] if above.any() else side
+    return part[: np.nanargmin(part) + 1]
 
 
-def _crossing(side: Column, level: Column) -> Column:
+def _crossing(side: np.ndarray, level: float) -> float:
     """How far from the peak ``side`` comes down to ``level``, linear between samples."""
-    def at(k: Column) -> Column:
-        here, before = F.get(side, k - 1), F.get(side, k - 2)
-        return F.when(here < level, k - 1 - (level - here) / (before - here)).otherwise(k - 1.0)
+    k = int((side <= level).argmax())
+    return k - (level - side[k]) / (side[k - 1] - side[k]) if side[k] < level else float(k)
 
-    return let(F.array_position(F.transform(side, lambda v: v <= level), True).cast("int"), at)  # from 1, and the peak itself is above
 
+def _shape(x: np.ndarray, at: int) -> tuple[float, float]:
+    """(prominence, width at half of it) of the peak at place ``at``."""
+    left, right = _foot(x[at::-1]), _foot(x[at:])
+    high = x[at] - max(left[-1], right[-1])
+    return high, _crossing(left, x[at] - high / 2.0) + _crossing(right, x[at] - high / 2.0)
 
-def _shape(series: Column, at: Column, top: Column) -> Column:
-    """(prominence, width at half of it) of the peak at place ``at`` of an array."""
-    def of(feet: Column) -> Column:
-        left, right = feet["left"], feet["right"]
-        high = top - F.greatest(F.element_at(left, -1), F.element_at(right, -1))
-        return let(high, lambda p: F.struct(p.alias("prominence"), (_crossing(left, top - p / 2.0) + _crossing(right, top - p / 2.0)).alias("width")))
 
-    left = _foot(F.reverse(F.slice(series, F.lit(1), at + 1)), top)
-    right = _foot(F.slice(series, at + 1, F.size(series) - at), top)
-    return let(F.struct(left.alias("left"), right.alias("right")), of)
+def peaks(placed: DataFrame, x: str, keys: list[str], height: float, distance: int, least_prominence: float, least_width: float) -> DataFrame:
+    """keys, pos, prominence, width: local maxima by height, then spacing, then prominence, then width at half of it. ``placed`` has pos."""
 
+    def of(series: pa.Table) -> dict | None:
+        values = numbers(series, "__x")
+        tops = _maxima(values)
+        tops = _spaced(tops[values[tops] >= height], values, distance)
+        found = [(int(p), *map(float, _shape(values, p))) for p in tops]
+        found = [f for f in found if f[1] >= least_prominence and f[2] >= least_width]
+        return dict(zip(("pos", "prominence", "width"), zip(*found, strict=True), strict=True)) if found else None
 
-def peaks(placed: DataFrame, x: str, keys: list[str], height: float, distance: int, least_prominence: float, least_width: float) -> DataFrame:
-    """keys, pos, prominence, width: local maxima by height, then spacing, then prominence, then width at half of it."""
-    tops = local_maxima(placed, x, keys).where(F.col("x") >= height)
-    spaced = tops.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "pos")), asc=False).alias("tops")).select(*keys, F.explode(_spaced(distance)).alias("p")).select(*keys, "p.*")
-    series = placed.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.col(x).alias("v")))), lambda r: r["v"]).alias("all"))
-    found = spaced.withColumnRenamed("x", "top").join(series.join(tops.select(*keys).distinct(), keys, "left_semi"), keys)
-    # exploded, so that what follows reads it and does not compute it again
-    shaped = found.select(*keys, "pos", F.explode(F.array(_shape(F.col("all"), F.col("pos").cast("int"), F.col("top")))).alias("shape")).select(*keys, "pos", "shape.*")
-    return shaped.where((F.col("prominence") >= least_prominence) & (F.col("width") >= least_width))
+    series = placed.select(*keys, "pos", F.col(x).cast("double").alias("__x"))
+    return by_series(series, keys, ["pos"], of, {"pos": "long", "prominence": "double", "width": "double"}, parts_for(series))
 
 
 # --- characteristic points and corners -----------------------------------------------------------
 
 
-def characteristic_points(laps: DataFrame, run: str = RUN, seq: str = SEQ) -> DataFrame:
-    """run_id, n_lap, pos, kind of the laps that have an apex: apex, deceleration, lat_accel_change, low_lat_accel."""
+def _marked(df: DataFrame, run: str, seq: str) -> DataFrame:
+    """``df`` with each row's place in its lap, and what it is a candidate for; one order for all."""
+    keys, w = [run, "n_lap"], ordered([run, "n_lap"], seq)
+    placed = with_position(df, keys, seq, "__pos")
+    placed = placed.withColumns({"__changes": F.coalesce(_changes("ay_mps2_smoothed", w), F.lit(False)), "__ways": _low_ways("ay_mps2_smoothed", "curvature_smoothed", w)})
+    return _near_turns(placed, "r_cos_phi_smoothed", w, "__pos")
+
+
+def _at_apices(marked: DataFrame, run: str = RUN) -> DataFrame:
+    """run_id, n_lap, apex, apex_speed: the rows that may be an apex by their lateral acceleration, to be looked up by hash."""
+    return marked.where(F.abs("ay_mps2_smoothed") > APEX_LATERAL).select(run, "n_lap", F.col("__pos").alias("apex"), F.col("v_mps").alias("apex_speed"))
+
+
+def characteristic_points(marked: DataFrame, run: str = RUN) -> DataFrame:
+    """run_id, n_lap, pos, kind of the laps that have an apex: apex, deceleration, lat_accel_change, low_lat_accel.
+
+    Each kind filters the stored rows first, so only candidates are dealt and sorted.
+    """
     keys = [run, "n_lap"]
-    placed = with_position(laps.select(*keys, seq, F.abs("curvature_smoothed").alias("bend"), F.abs("ay_mps2_smoothed").alias("lateral")), keys, seq)
-    apices = peaks(placed, "bend", keys, **APEX).join(placed.select(*keys, "pos", "lateral"), [*keys, "pos"]).where(F.col("lateral") > APEX_LATERAL)
-    changes = sign_changes(laps, "ay_mps2_smoothed", run=run, seq=seq)
-    lows = without_near_changes(low_acceleration_points(laps, run=run, seq=seq), changes, run=run)
-    brakes = deceleration_points(laps, run=run, seq=seq)
+    marked = marked.withColumn("pos", F.col("__pos"))
+    tops = peaks(marked.select(*keys, "pos", F.abs("curvature_smoothed").alias("bend")), "bend", keys, **APEX)
+    apices = _at_apices(marked, run).join(tops.withColumnRenamed("pos", "apex").hint("shuffle_hash"), [*keys, "apex"]).withColumnRenamed("apex", "pos")
+    changes = _grouped(marked.where("__changes").withColumn("order", F.col("pos")), SIGN_GAP_M, run, "median")
+    lows = without_near_changes(_grouped(_by_way(marked.where(F.size("__ways") > 0)), LOW_GAP_M, run, "median"), changes, run=run)
+    brakes = _grouped(_falling(dealt(marked.where("__reached").select(*keys, "pos", "s_m", "__slope", "__turn"), *keys), keys, 0.0).withColumn("order", F.col("pos")), DECEL_GAP_M, run, "last")
     kinds = {"apex": apices, "deceleration": brakes, "lat_accel_change": changes, "low_lat_accel": lows}
     points = None
     for kind, found in kinds.items():
@@ -183,30 +220,26 @@ def label_corners(df: DataFrame, run: str = RUN, seq: str = SEQ) -> DataFrame:
     if lacking := [c for c in INPUTS if c not in df.columns]:
         raise ValueError(f"corners need the channels {', '.join(lacking)}")
     keys = [run, "n_lap"]
-    laps = materialize(df.select(run, seq, *INPUTS), "corner-inputs")  # each step reads its own few columns of it
-    placed = with_position(laps.select(*keys, seq, "v_mps", "r_cos_phi_smoothed"), keys, seq)
-    placed = placed.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    bounds = materialize(corner_bounds(characteristic_points(laps, run, seq), run), "corner-bounds")
-    at_apex = placed.select(*keys, F.col("pos").alias("apex"), F.col("v_mps").alias("apex_speed"))
-    corners = bounds.join(at_apex, [*keys, "apex"]).groupBy(*keys).agg(F.collect_list(F.struct("corner_no", "start", "end", "apex_speed")).alias("corners"))
-    held = placed.join(corners, keys, "left")
+    marked = materialize(_marked(df, run, seq), "corner-inputs")  # each step reads its own few columns and rows of it
+    bounds = materialize(corner_bounds(characteristic_points(marked, run), run), "corner-bounds")
+    corners = _at_apices(marked, run).join(bounds.hint("shuffle_hash"), [*keys, "apex"]).groupBy(*keys).agg(F.collect_list(F.struct("corner_no", "start", "end", "apex_speed")).alias("__corners"))
+    corners = corners.join(marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size")), keys)
+    placed = marked.select(*df.columns, "__pos").repartition(parts_for(marked), *keys)
+    held = placed.join(corners.hint("shuffle_hash"), keys, "left")  # the rows are sorted once, by corner
     # a corner that ends where it starts is the whole lap
-    inside = lambda c: F.pmod(F.col("pos") - c["start"], F.col("size")) < F.coalesce(F.nullif(F.pmod(c["end"] - c["start"], F.col("size")), F.lit(0)), F.col("size"))
-    held = held.withColumn("corner", F.array_max(F.filter("corners", inside))).drop("corners")
-    no = F.col("corner.corner_no")
-    own = Window.partitionBy(*keys, "no")
-    at = F.min("pos").over(own)
-    starts = {}
-    for k, level in enumerate(PHASE_LEVELS, 1):  # each phase begins at the last row under its level, or where the one before does
-        at = F.coalesce(F.max(F.when(F.col("r_cos_phi_smoothed") < level, F.col("pos"))).over(own), F.col(f"from_{k - 1}"))
-        starts[f"from_{k}"] = at
-    held = held.withColumn("no", no).withColumn("from_0", F.min("pos").over(own))
-    for name, column in starts.items():
-        held = held.withColumn(name, column)
-    phase = F.element_at(F.array(*[F.lit(p) for p in PHASES]), sum(((F.col("pos") >= F.col(f"from_{k}")).cast("int") for k in range(1, len(PHASES))), F.lit(1)))
-    named = lambda c: F.when(F.col("no").isNotNull(), c).otherwise(NONE)
-    labels = held.select(run, seq, named(F.concat(F.lit("T"), no)).alias("corner_name"), named(speed_class("corner.apex_speed")).alias("corner_speed"), named(phase).alias("corner_phase"))
-    return df.join(labels, [run, seq], "left")
+    size = F.col("__size")
+    inside = lambda c: F.pmod(F.col("__pos") - c["start"], size) < F.coalesce(F.nullif(F.pmod(c["end"] - c["start"], size), F.lit(0)), size)
+    held = held.withColumn("__corner", F.array_max(F.filter("__corners", inside))).drop("__corners", "__size")
+    no, at = F.col("__corner.corner_no"), F.col("__pos")
+    own = Window.partitionBy(*keys, "__no")
+    # each phase begins at the last row under its level, or where the one before does
+    under = {f"__under_{k}": F.max(F.when(F.col("r_cos_phi_smoothed") < level, at)).over(own) for k, level in enumerate(PHASE_LEVELS, 1)}
+    held = held.withColumn("__no", no).withColumns({"__from": F.min(at).over(own), **under})
+    begun = lambda k: at >= F.coalesce(*[f"__under_{j}" for j in range(k, 0, -1)], "__from")
+    phase = F.element_at(F.array(*[F.lit(p) for p in PHASES]), sum((begun(k).cast("int") for k in range(1, len(PHASES))), F.lit(1)))
+    named = lambda c: F.when(F.col("__no").isNotNull(), c).otherwise(NONE)
+    labels = {"corner_name": F.concat(F.lit("T"), no), "corner_speed": speed_class("__corner.apex_speed"), "corner_phase": phase}
+    return held.select(*df.columns, *[named(c).alias(name) for name, c in labels.items()])
 
 
 def without_near_changes(lows: DataFrame, changes: DataFrame, rows: int = NEAR_ROWS, run: str = RUN) -> DataFrame:

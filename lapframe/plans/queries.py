@@ -590,9 +590,9 @@ _CORNERS = f"""numbered AS (SELECT *, row_number() OVER ({_LAP} pos, kind) AS no
 @query(f"WITH RECURSIVE {CIRCUITS}, {_PEAKS}, {_POINTS.format(_GR.format(x='ratio'), _GR.format(x='rs'))}, {_CORNERS}")
 def corner_labels(spark, sf_dir):
     """Corner name, speed class and phase of every row of laps whose bends line items shape."""
-    from lapframe.operators.corners import label_corners
+    from lapframe.operators.corners import INPUTS, label_corners
 
-    return label_corners(circuits(spark, sf_dir)).select("run_id", "seq", "n_lap", "corner_name", "corner_speed", "corner_phase")
+    return label_corners(circuits(spark, sf_dir).select("run_id", "seq", *INPUTS)).select("run_id", "seq", "n_lap", "corner_name", "corner_speed", "corner_phase")
 
 
 @query()

@@ -131,3 +131,20 @@ def test_labels_of_wandering_laps(spark):
         assert (own.corner_name.tolist(), own.corner_speed.tolist(), own.corner_phase.tolist()) == label_lap(*x)
         seen |= set(own.corner_name)
     assert {"-", "T1", "T2", "T3"} <= seen
+
+
+def test_labels_read_the_table_once(spark):
+    """The labels come with the table's own columns, whatever their names; nothing is joined back to it."""
+    df = _frame(spark).withColumns({"pos": F.col("seq") * 2, "corner": F.lit("own")})
+    got = label_corners(df)
+    assert got.columns == [*df.columns, "corner_name", "corner_speed", "corner_phase"]
+    assert not any(x in got._jdf.queryExecution().optimizedPlan().toString() for x in ("LogicalRDD", "LocalRelation"))
+    rows = got.collect()
+    assert len(rows) == df.count() and all(r.pos == 2 * r.seq and r.corner == "own" for r in rows)
+
+
+def test_quantiles_where_a_turn_reaches_alone(spark):
+    """The quantile of the slope is not computed for rows that no turn's frame has."""
+    df = _frame(spark)
+    plan = deceleration_points(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("percentile(") < plan.index("Filter (__reached") if "Filter (__reached" in plan else plan.index("percentile(") < plan.rindex("< 20)")
