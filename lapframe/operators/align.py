@@ -32,7 +32,10 @@ def to_wide(long: DataFrame, channels: list[str], keys: list[str]) -> DataFrame:
 def keep_first(knots: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of the rows with equal ``keys`` the first one in ``order``."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return knots.withColumn("__no", F.row_number().over(w)).where("__no = 1").drop("__no")
+    # Spark groups floating-point keys by a normalised form, so rows dealt by them would be dealt again
+    exact = [k for k in keys if dict(knots.dtypes)[k] not in ("float", "double")]
+    firsts = dealt(knots, *exact) if exact else knots
+    return firsts.withColumn("__no", F.row_number().over(w)).where("__no = 1").drop("__no")
 
 
 def time_grid(knots: DataFrame, rate_hz: float, run: str = RUN, inclusive: bool = False) -> DataFrame:
@@ -53,7 +56,8 @@ def interpolate(knots: DataFrame, grid: DataFrame, run: str = RUN, left_clamp: b
     Linear between the neighbouring knots; the nearest knot's value outside (before the first knot
     only with ``left_clamp``, else NULL). Of knots at one time the last in order of value decides.
     """
-    channels = knots.where("channel is not null").select(run, "channel").distinct()
+    # a run's few channels are looked up by hash, so the grid's rows are not sorted before they are dealt
+    channels = knots.where("channel is not null").select(run, "channel").distinct().hint("shuffle_hash")
     asked = grid.join(channels, run).select(run, "channel", "time_s", F.lit(None).cast("double").alias("value"), F.lit(1).alias("is_grid"), "seq")
     given = knots.select(run, "channel", "time_s", "value", F.lit(0).alias("is_grid"), F.lit(None).cast("long").alias("seq")).where("value is not null")
     both = dealt(asked.unionByName(given), run, "channel")

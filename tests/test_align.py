@@ -218,3 +218,19 @@ def test_rows_are_dealt_by_their_number(spark):
     assert many.rdd.getNumPartitions() == 20 and dealt(df, "run_id") is df
     homes = many.withColumn("home", F.spark_partition_id()).groupBy("run_id").agg(F.count_distinct("home").alias("n"))
     assert homes.where("n > 1").count() == 0
+
+
+def test_no_step_before_the_deal_grows_with_the_grid(spark, monkeypatch):
+    """First rows are dealt by their number, and a run's channels are found by hash, so grid rows are not sorted run by run."""
+    from lapframe.operators import align
+    from lapframe.session import dealt
+
+    monkeypatch.setattr(align, "dealt", lambda df, *keys: dealt(df, *keys, rows=50))
+    rows = [(f"r{k % 7}", "a", float(k // 14), float(k), k) for k in range(1000)]
+    knots = spark.createDataFrame(rows, "run_id string, channel string, time_s double, value double, seq long")
+    firsts = align.keep_first(knots, ["run_id", "channel", "time_s"], ["seq"])
+    assert firsts._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and firsts.rdd.getNumPartitions() == 20
+    assert {r.seq for r in firsts.collect()} == {k for k in range(1000) if k % 14 < 7}
+    got = align.interpolate(knots, align.time_grid(knots, 1.0))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
