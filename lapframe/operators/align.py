@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lapframe.functions.nulls import finite
 from lapframe.functions.series import RUN, SEQ, diff, ordered, so_far
-from lapframe.session import dealt
+from lapframe.session import TASK_ROWS, dealt
 
 
 def to_long(df: DataFrame, channels: list[str], run: str = RUN, time: str = "time_s") -> DataFrame:
@@ -46,6 +46,9 @@ def time_grid(knots: DataFrame, rate_hz: float, run: str = RUN, inclusive: bool
     ends = knots.groupBy(run).agg(F.min("time_s").alias("a"), F.max("time_s").alias("b"))
     n = F.ceil((F.col("b") - F.col("a")) * F.lit(float(rate_hz))).cast("long")
     n = n + 1 if inclusive else n
+    # runs are dealt by the number of their points before they have them: a task that writes points holds what it writes
+    parts = -(-(ends.agg(F.sum(n)).first()[0] or 0) // TASK_ROWS)
+    ends = ends.repartition(parts, run) if parts > knots.sparkSession.sparkContext.defaultParallelism else ends
     points = ends.withColumn("seq", F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1))))
     return points.select(run, "seq", (F.col("a") + F.col("seq") / F.lit(float(rate_hz))).alias("time_s"))
 

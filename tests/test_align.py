@@ -234,3 +234,15 @@ def test_no_step_before_the_deal_grows_with_the_grid(spark, monkeypatch):
     got = align.interpolate(knots, align.time_grid(knots, 1.0))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_grid_points_are_dealt_by_their_number(spark, monkeypatch):
+    """Many points make more partitions than few, and are the same points."""
+    from lapframe.operators import align
+
+    knots = spark.createDataFrame([(f"r{k}", "a", float(t), 0.0, t) for k in range(40) for t in (0, 25)], "run_id string, channel string, time_s double, value double, seq long")
+    few = align.time_grid(knots, 1.0)
+    monkeypatch.setattr(align, "TASK_ROWS", 50)
+    many = align.time_grid(knots, 1.0)
+    assert many.rdd.getNumPartitions() == 20
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect())) and many.count() == 1000
