@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 
 from lapframe.llm.jaccard_join import mix64
-from lapframe.llm.packing import order_of
+from lapframe.llm.packing import ordered
 
 WIDTH = 48  # bits that hold a code, left-justified
 LEAST_SHARE = 1 << 24  # counts below the total divided by this are raised to it, which bounds the codes' lengths
@@ -217,8 +218,19 @@ def spelled_symbols(s: Symbols) -> tuple[np.ndarray, np.ndarray]:
     return out, opens
 
 
-def contexts(model: Model, s: Symbols) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per family the hash of each symbol's context, of ``bits`` bits, and the symbol's number in the family's code."""
+class Contexts(NamedTuple):
+    """A family's context of each symbol, and the symbol's number in the family's code. The hash that all lots know a
+    context by is ``mix64(plain * factor + term)``; without a factor, ``plain`` is it."""
+
+    plain: np.ndarray
+    number: np.ndarray
+    width: int  # bits of ``plain``
+    factor: np.uint64 | None = None
+    term: np.uint64 = np.uint64(0)
+
+
+def contexts(model: Model, s: Symbols) -> Iterator[Contexts]:
+    """Per family the contexts of the symbols; hashes have ``bits`` bits."""
     drop = np.uint64(64 - model.bits)
     spelled, opens = spelled_symbols(s)
     last = np.repeat(opens, s.spelled_size + 1)
@@ -227,31 +239,56 @@ def contexts(model: Model, s: Symbols) -> Iterator[tuple[np.ndarray, np.ndarray]
     if len(escaped):  # a spelled word is known by a hash of its bytes and their places
         place = np.arange(len(spelled)) - last
         identity[escaped] = mix64(np.bitwise_xor.reduceat(mix64((spelled.astype(np.uint64) + np.uint64(1)) ^ (place.astype(np.uint64) << np.uint64(16))), opens))
-    near = _before(model.upper_number[s.number].astype(np.uint64) + np.uint64(1), s.opens, 1)
-    yield mix64(near * np.uint64(CLASSES) + s.of_word + _B) >> drop, model.upper_number[s.number]
+    upper = model.upper_number[s.number]
+    near = _before(upper.astype(np.uint64) + np.uint64(1), s.opens, 1)
+    yield Contexts(near * np.uint64(CLASSES) + s.of_word, upper, 12, np.uint64(1), _B)
     one, two = _before(identity, s.opens, 1), _before(identity, s.opens, 2)
-    yield mix64(mix64(two + _C) * _A + one) >> drop, s.number
+    yield Contexts(mix64(mix64(two + _C) * _A + one) >> drop, s.number, model.bits)
     number = model.byte_numbers[spelled]
     value = spelled.astype(np.uint64) + np.uint64(1)
     if not len(value):
         for _ in range(BYTE_FAMILIES):
-            yield np.empty(0, np.uint64), number
+            yield Contexts(np.empty(0, np.uint64), number, model.bits)
         return
     back = [_before(value, opens, k) for k in range(1, 6)]
     of_byte = np.repeat(s.of_word[escaped], s.spelled_size + 1)
-    yield mix64((back[0] * np.uint64(CLASSES) + of_byte) * _B + np.uint64(3)) >> drop, number
+    yield Contexts(back[0] * np.uint64(CLASSES) + of_byte, number, 12, _B, np.uint64(3))
     three = back[0] | back[1] << np.uint64(9) | back[2] << np.uint64(18)
-    yield mix64(three * _B + np.uint64(5)) >> drop, number
-    yield mix64((three | back[3] << np.uint64(27) | back[4] << np.uint64(36)) * _B + np.uint64(7)) >> drop, number
+    yield Contexts(three, number, 27, _B, np.uint64(5))
+    yield Contexts(mix64((three | back[3] << np.uint64(27) | back[4] << np.uint64(36)) * _B + np.uint64(7)) >> drop, number, model.bits)
 
 
-def distinct_pairs(context: np.ndarray, number: np.ndarray, rank_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys of the distinct pairs of a context and a symbol; the symbols' places in that order; and where each key's start."""
-    key = context << np.uint64(rank_bits) | number.astype(np.uint64)
-    order = order_of(key)
-    key = key[order]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-    return key[starts], order, starts
+def distinct_pairs(c: Contexts, rank_bits: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the distinct pairs of a context's hash, of ``bits`` bits, and a symbol; and each symbol's pair.
+
+    Short contexts are told apart before they are hashed: by a table if it is not much larger than the symbols, or by one sort.
+    """
+    shift, low = np.uint64(rank_bits), np.uint64((1 << rank_bits) - 1)
+    key = c.plain << shift | c.number.astype(np.uint64)
+    cells = 1 << (c.width + rank_bits)
+    table = cells <= 4 * len(key)
+    if table:
+        key = key.astype(np.int64)
+        used = np.flatnonzero(np.bincount(key, minlength=cells)).astype(np.uint64)
+    else:
+        order, key = ordered(key)
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        used, times = key[starts], np.diff(np.r_[starts, len(key)])
+    if c.factor is None:
+        keys, pair = used, np.arange(len(used))
+    else:
+        again, keys = ordered(mix64((used >> shift) * c.factor + c.term) >> np.uint64(64 - bits) << shift | used & low)
+        fresh = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+        pair = np.empty(len(keys), np.int64)
+        pair[again] = np.cumsum(fresh) - 1
+        keys = keys[fresh]
+    if table:
+        of_cell = np.empty(cells, np.int64)
+        of_cell[used.astype(np.int64)] = pair
+        return keys, of_cell[key]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.repeat(pair, times)
+    return keys, which
 
 
 # --- mixing ------------------------------------------------------------------------------------------
@@ -260,12 +297,10 @@ def distinct_pairs(context: np.ndarray, number: np.ndarray, rank_bits: int) -> t
 def mix_scores(model: Model, s: Symbols, answers: list[np.ndarray]) -> np.ndarray:
     """log10 of the probability of each text, given each family's predictions for the lot's distinct pairs (:func:`shortened`)."""
     at, sources = [], []
-    for k, (code, (context, number)) in enumerate(zip(model.codes, contexts(model, s), strict=True)):
-        key, order, starts = distinct_pairs(context, number, RANK_BITS[k])
+    for k, (code, family) in enumerate(zip(model.codes, contexts(model, s), strict=True)):
+        key, which = distinct_pairs(family, RANK_BITS[k], model.bits)
         length = code.length[(key & np.uint64((1 << RANK_BITS[k]) - 1)).astype(np.int64)]
-        own = np.empty(len(number), np.int64)
-        own[order] = np.repeat(np.cumsum(length) - length, np.diff(np.r_[starts, len(order)]))
-        at.append(own)
+        at.append((np.cumsum(length) - length)[which])
         sources.append(lengthened(answers[2 * k], answers[2 * k + 1], length))
     spelled, _ = spelled_symbols(s)
     byte_length = model.byte_code.length[model.byte_numbers[spelled]]
@@ -285,16 +320,23 @@ def mix_scores(model: Model, s: Symbols, answers: list[np.ndarray]) -> np.ndarra
 
     length = in_line(word_length, byte_length)
     first = np.cumsum(length) - length
-    inputs = np.zeros((PREDICTORS, int(length.sum())), np.int8)
+    decisions = int(length.sum())
+    inputs = np.zeros((PREDICTORS, decisions + STEP), np.int8)
     in_class = s.of_word.astype(np.int64) * model.by_class.shape[1] + model.word_code.start[s.number]
-    for k, words, start in ((0, model.by_class.ravel(), in_class), (2, sources[1], at[1])):
-        _line_up(inputs[k], np.concatenate([words, sources[WORD_FAMILIES + k]]), in_line(start, at[WORD_FAMILIES + k] + len(words)), length)
+    words = ((0, model.by_class.ravel(), in_class), (2, sources[1], at[1]))
+    _line_up(
+        [inputs[k] for k, *_ in words],
+        [np.concatenate([found, sources[WORD_FAMILIES + k]]) for k, found, _ in words],
+        [in_line(start, at[WORD_FAMILIES + k] + len(found)) for k, found, start in words],
+        length,
+    )
     upper = model.upper_code.length[model.upper_number[s.number]]
     _spread(inputs[1], sources[0], at[0], upper, first[event])
     _spread(inputs[1], sources[WORD_FAMILIES + 1], at[WORD_FAMILIES + 1], byte_length, first[spell])
-    of_byte = np.repeat(np.where(is_word, 0, 2).astype(np.int8), length)
+    of_byte = np.zeros(decisions + STEP, np.int8)
+    of_byte[:decisions] = np.repeat(np.where(is_word, 0, 2).astype(np.int8), length)
     opens = first[event[s.opens]] if len(s.number) else np.empty(0, np.int64)
-    size = np.diff(np.r_[opens, inputs.shape[1]])
+    size = np.diff(np.r_[opens, decisions])
     order = np.argsort(-size, kind="stable")
     got = np.zeros(len(order))
     got[order] = advance(opens[order], size[order], of_byte, inputs)
@@ -319,72 +361,86 @@ def lengthened(value: np.ndarray, varied: np.ndarray, length: np.ndarray) -> np.
     return out
 
 
-def _runs(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The run of each entry, the entries, and the entries before each run."""
-    run = np.repeat(np.arange(len(length)), length)
-    return run, np.arange(len(run)), np.cumsum(length) - length
-
-
-def _line_up(out: np.ndarray, source: np.ndarray, start: np.ndarray, length: np.ndarray, many: int = 65_536) -> None:
-    """The runs ``source[start : start + length]`` one after the other; some runs at a time."""
+def _line_up(outs: list[np.ndarray], sources: list[np.ndarray], starts: list[np.ndarray], length: np.ndarray, many: int = 8_192) -> None:
+    """For each of several sources its runs ``source[start : start + length]`` one after the other; some runs at a time."""
     done = 0
     for i in range(0, len(length), many):
-        run, at, before = _runs(length[i : i + many])
-        spot = (start[i : i + many] - before).take(run, mode="clip")
-        spot += at
-        source.take(spot, out=out[done : done + len(at)], mode="clip")
+        own = length[i : i + many]
+        before = np.cumsum(own) - own
+        at = np.arange(int(own.sum()))
+        for out, source, start in zip(outs, sources, starts, strict=True):
+            spot = np.repeat(start[i : i + many] - before, own)
+            spot += at
+            source.take(spot, out=out[done : done + len(at)], mode="clip")
         done += len(at)
 
 
-def _spread(out: np.ndarray, source: np.ndarray, start: np.ndarray, length: np.ndarray, to: np.ndarray, many: int = 65_536) -> None:
+def _spread(out: np.ndarray, source: np.ndarray, start: np.ndarray, length: np.ndarray, to: np.ndarray, many: int = 8_192) -> None:
     """The runs ``source[start : start + length]``, each from its place ``to`` on."""
     for i in range(0, len(length), many):
-        run, at, before = _runs(length[i : i + many])
-        place, spot = ((x[i : i + many] - before).take(run, mode="clip") for x in (to, start))
+        own = length[i : i + many]
+        before = np.cumsum(own) - own
+        at = np.arange(int(own.sum()))
+        place, spot = (np.repeat(x[i : i + many] - before, own) for x in (to, start))
         place += at
         spot += at
         out[place] = source.take(spot, mode="clip")
 
 
-def advance(start: np.ndarray, count: np.ndarray, kind: np.ndarray, inputs: np.ndarray, first=FIRST_WEIGHTS) -> np.ndarray:
+def advance(start: np.ndarray, count: np.ndarray, kind: np.ndarray, inputs: np.ndarray, first=FIRST_WEIGHTS, ahead: int = 16_384) -> np.ndarray:
     """log10 probabilities of texts sorted by falling length; they step side by side, each with its own weights.
 
     The predictions favour the turn that is taken, so its probability is the squashed sum, and a weight moves by what is missing to 1.
+    ``kind`` and ``inputs`` go on for ``STEP`` entries behind the last text's. What does not depend on the weights is
+    made ready for several steps at once, about ``ahead`` decisions.
     """
     lanes, gates = len(start), len(first)
     # per text, gate and predictor, so that the texts still going are the first rows
     weights = np.tile(np.array(first, np.float32).reshape(1, -1), (lanes, 1))
     total = np.zeros(lanes)
-    within = np.arange(STEP)
-    last = len(kind) - 1
-    lives = np.searchsorted(-count, -np.arange(0, int(count[0]) if lanes else 0, STEP), side="left").tolist()
-    predictor = np.arange(PREDICTORS)[:, None, None]
+    within, last = np.arange(STEP), len(kind) - STEP
+    lives = np.searchsorted(-count, -np.arange(0, int(count[0]) if lanes else 0, STEP), side="left")
     row = (np.arange(lanes) * (gates * PREDICTORS))[:, None]
-    at = start.astype(np.int64)[:, None]
-    for nth, live in enumerate(lives):
-        spot = at[:live] + within
-        at[:live] += STEP
-        ragged = count[live - 1] < (nth + 1) * STEP
-        if ragged:
-            np.minimum(spot, last, out=spot)
-        found = inputs.take(spot, axis=1, mode="clip")
-        cell = (kind.take(spot, mode="clip") + (found[-1] != 0)).astype(np.int64)
-        cell *= PREDICTORS
-        cell += row[:live]
-        cell = predictor + cell
-        x = found.astype(np.float32)
-        x *= np.float32(1 / SCALE)
+    # from any place on, the entries of a step as one value
+    parts = [np.ndarray(last + 1, f"V{STEP}", a, strides=(1,)) for a in (*inputs, kind)]
+    low, high, one, rate = np.float32(-10), np.float32(10), np.float32(1), np.float32(RATE)
+    nth = 0
+    while nth < len(lives):
+        live = int(lives[nth])
+        # as long as most of these texts go on
+        n = min(max(1, ahead // (live * STEP)), int(np.searchsorted(-lives, -0.85 * live, side="right")) - nth)
+        done = (nth + np.arange(n))[:, None] * STEP
+        spot = np.minimum(start[:live] + done, last)
+        found = [a[spot].view(np.int8).reshape(n, live, STEP) for a in parts]
+        x = np.empty((n, PREDICTORS, live, STEP), np.float32)
+        for k in range(PREDICTORS):
+            np.multiply(found[k], np.float32(-1 / SCALE), out=x[:, k])
+        gate = found[-1] + (found[-2] != 0)
+        gate *= PREDICTORS
+        cell = np.empty((n, PREDICTORS, live, STEP), np.int64)
+        np.add(gate, row[:live], out=cell[:, 0])
+        for k in range(1, PREDICTORS):
+            np.add(cell[:, 0], k, out=cell[:, k])
+        gone = (done[:, :, None] + within) >= count[:live, None] if count[live - 1] < (nth + n) * STEP else None
+        if gone is not None:  # nothing is learned there
+            for k in range(PREDICTORS):
+                x[:, k][gone] = 0
+        hits = np.empty((n, live * STEP), np.float32)
         own = weights[:live].reshape(-1)
-        logit = np.einsum("kij,kij->ij", x, own.take(cell, mode="clip"))
-        np.minimum(np.maximum(logit, -10, out=logit), 10, out=logit)
-        hit = np.exp(np.negative(logit, out=logit), out=logit)
-        hit += 1
-        np.reciprocal(hit, out=hit)
-        missing = (1 - hit) * np.float32(RATE)
-        if ragged:
-            gone = nth * STEP + within >= count[:live, None]
-            hit[gone], missing[gone] = 1, 0
-        total[:live] += np.log10(hit.prod(axis=1, dtype=np.float64))
-        x *= missing
-        own += np.bincount(cell.ravel(), weights=x.ravel(), minlength=len(own))
+        for hit, now, to in zip(hits, x.reshape(n, PREDICTORS, -1), cell.reshape(n, PREDICTORS, -1), strict=True):
+            np.einsum("kn,kn->n", now, own.take(to, mode="clip"), out=hit)
+            np.minimum(np.maximum(hit, low, out=hit), high, out=hit)
+            np.exp(hit, out=hit)
+            hit += one
+            np.reciprocal(hit, out=hit)
+            missing = one - hit
+            missing *= rate
+            now *= missing
+            own -= np.bincount(to.reshape(-1), weights=now.reshape(-1), minlength=len(own))
+        hits = hits.reshape(n, live, STEP)
+        if gone is not None:
+            hits[gone] = 1
+        for part in np.log10(hits.prod(axis=2, dtype=np.float64)):
+            total[:live] += part
+        nth += n
     return total

@@ -41,10 +41,7 @@ columns are not read; no rows give no rows.
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,15 +53,14 @@ from pyspark.sql import functions as F
 from lapframe.llm.bit_model import CLASSES, END_OF_WORD, FAMILIES, RANK_BITS, VARIED, Code, Model, Symbols, classes_of, contexts, distinct_pairs, mix_scores, predictions, shortened
 from lapframe.llm.common import id_crc, shuffle_width, text_of
 from lapframe.llm.jaccard_join import mix64
-from lapframe.llm.packing import gather_runs, order_of, pack, split_points, steps, unpack, unpack_all
+from lapframe.llm.packing import gather_runs, order_of, ordered, pack, split_points, steps, unpack, unpack_all
 from lapframe.llm.suffix_dedup import blob_groups
 from lapframe.session import materialize
 
 HEAD, BASE_HEAD = 1 << 17, 1 << 18  # words that have a code, and tokens whose counts all tasks know
 _LOT = 5_000_000  # bytes; larger lots send fewer pairs
 _KNOWN_WORDS, _COUNTED_WORDS = 400_000, 400_000  # kept by a worker
-_WORDS = re.compile(rb"[^ \t-\r]+|(?: (?=[ \t-\r])|[\t-\r])[ \t-\r]*")  # not the single space between two words
-_UNCOMMON = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\v", b"\f")  # without these, white space is single spaces and line ends between words
+_LONG_WORD = 256  # bytes; longer words are hashed one by one
 _END_TOKEN = b" "  # no word can be this: the key of the end token
 _SPACE, _BASE_ONLY = 0xFFFF, 0xFFFE  # tags: white space, which the base score does not count; the end token, which the model has apart
 _BLOB = "grp long, kind int, blob binary"
@@ -95,14 +91,87 @@ def learns(doc_id: int | None) -> bool:
 
 def words_of_text(raw: bytes) -> list[bytes]:
     """Words and white space; single spaces between words are left out, other ones stand for themselves."""
-    if raw and not any(x in raw for x in _UNCOMMON) and raw[0] not in b" \n" and raw[-1] not in b" \n":
-        return raw.replace(b"\n", b" \n ").split(b" ")
-    found = _WORDS.findall(raw)
-    if raw[:1] == b" " and (not found or found[0][:1] != b" "):
-        found.insert(0, b" ")
-    if raw[-1:] == b" " and len(raw) > 1 and found[-1][-1:] != b" ":
-        found.append(b" ")
-    return found
+    start, size, _ = split_words(np.frombuffer(raw, np.uint8), np.array([len(raw)]))
+    return _cut(raw, start, size)
+
+
+def split_words(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of several texts, one after the other, start; their sizes; and the number of words of each text."""
+    ends = np.cumsum(sizes)
+    opens = (ends - sizes)[sizes > 0]
+    space = (raw == 32) | (raw - np.uint8(9) < 5)
+    fresh = np.ones(len(raw), bool)
+    np.not_equal(space[1:], space[:-1], out=fresh[1:])
+    fresh[opens] = True
+    start = np.flatnonzero(fresh)
+    size = np.diff(np.r_[start, len(raw)])
+    bare = (size == 1) & (raw[start] == 32)
+    first = np.searchsorted(start, opens)
+    bare[first] = False
+    bare[np.r_[first[1:], len(start)][: len(first)] - 1] = False  # the last of each text
+    start, size = start[~bare], size[~bare]
+    return start, size, np.diff(np.r_[0, np.searchsorted(start, ends)])
+
+
+def _cut(raw: bytes, start: np.ndarray, size: np.ndarray) -> list[bytes]:
+    return [raw[a:b] for a, b in zip(start.tolist(), (start + size).tolist(), strict=True)]
+
+
+def _distinct_words(raw: bytes, start: np.ndarray, size: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted 64-bit hashes of the distinct pairs of a word and its number ``of``; one place of each, how often it occurs, and the pair of each word."""
+    eights = np.ndarray(len(raw), "V8", raw + bytes(8), strides=(1,))  # from any place on
+    key = mix64(size.astype(np.uint64) + (of.astype(np.uint64) << np.uint64(40)))
+    live, at, left = np.arange(len(start)), start, size
+    for _ in range(0, _LONG_WORD, 8):
+        if not len(live):
+            break
+        part = eights[at].view(np.uint64) << (np.uint64(8) * (np.uint64(8) - np.minimum(left, 8).astype(np.uint64)))
+        key[live] = mix64(key[live] ^ part) + np.uint64(1)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    if len(live):
+        rest = _hashes(_cut(raw, at, left))
+        key[live] = mix64(key[live] ^ rest)
+    order, key = ordered(key)
+    distinct, bounds = split_points(key)
+    which = np.empty(len(key), np.int64)
+    which[order] = np.repeat(np.arange(len(distinct)), np.diff(bounds))
+    return distinct, order[bounds[:-1]], np.diff(bounds), which
+
+
+class _Table:
+    """Columns of distinct words by the words' hashes, sorted. A worker's keeps what its lots have in common."""
+
+    def __init__(self, dtypes: list[type]):
+        self.dtypes = dtypes
+        self.forget()
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+    def forget(self) -> None:
+        self.key, self.columns = np.empty(0, np.uint64), [np.empty(0, d) for d in self.dtypes]
+
+    def places(self, key: np.ndarray, made: Callable[[np.ndarray], tuple[np.ndarray, ...]]) -> np.ndarray:
+        """The places of sorted, distinct hashes; those that are not there are put in, with what ``made`` returns for their places among ``key``."""
+        at = np.searchsorted(self.key, key)
+        known = np.zeros(len(key), bool)
+        inside = at < len(self.key)
+        known[inside] = self.key[at[inside]] == key[inside]
+        fresh = np.flatnonzero(~known)
+        if not len(fresh):
+            return at
+        # each goes before the entries that are greater, and after the fresh ones before it
+        to, kept = at[fresh] + np.arange(len(fresh)), np.ones(len(self.key) + len(fresh), bool)
+        kept[to] = False
+        for k, (old, new) in enumerate(zip([self.key, *self.columns], [key[fresh], *made(fresh)], strict=True)):
+            whole = np.empty(len(kept), old.dtype)
+            whole[kept], whole[to] = old, new
+            if k:
+                self.columns[k - 1] = whole
+            else:
+                self.key = whole
+        return at + np.cumsum(~known) - ~known
 
 
 # --- keys of words ---------------------------------------------------------------------------------
@@ -153,30 +222,30 @@ def _unsteps(blobs: list[bytes], dtypes: list[type]) -> list[np.ndarray]:
 
 def _count_words(groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [Counter() for _ in range(CLASSES)]
+        seen = _Table([np.uint64, np.uint16, np.uint8, np.int64])  # the lower word's hash, the tag, the class, the uses
         texts_of, of_bytes = np.zeros(CLASSES, np.int64), np.zeros(257, np.int64)
 
         def flush() -> pa.RecordBatch:
-            parts = []
-            for of_class, counts in enumerate(seen):
-                if counts:
-                    parts.append((*_keys(list(counts)), np.full(len(counts), of_class, np.uint8), np.fromiter(counts.values(), np.int64, len(counts))))
-                    counts.clear()
-            if not parts:
-                return _rows([])
-            lower, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+            lower, *rest = seen.columns
+            seen.forget()
             return _rows(_grouped(lower, groups, rest, 0))
 
         for batch in batches:
-            for ids, texts in lots(batch):
-                for doc, raw, of_class in zip(ids, texts, classes_of(texts).tolist(), strict=True):
-                    if learns(doc):
-                        found = words_of_text(raw)
-                        seen[of_class].update(found)
-                        texts_of[of_class] += 1
-                        of_bytes[:256] += np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-                        of_bytes[END_OF_WORD] += len(found)
-                if sum(map(len, seen)) > _COUNTED_WORDS:
+            for ids, texts in lots(batch, _LOT):
+                texts = [t for i, t in zip(ids, texts, strict=True) if learns(i)]
+                if not texts:
+                    continue
+                of_text, raw = classes_of(texts), b"".join(texts)
+                start, size, n_words = split_words(np.frombuffer(raw, np.uint8), np.array([len(t) for t in texts], np.int64))
+                of_class = np.repeat(of_text, n_words)
+                key, one, n, _ = _distinct_words(raw, start, size, of_class)
+                start, size, of_class = start[one], size[one], of_class[one]
+                place = seen.places(key, lambda k: (*_keys(_cut(raw, start[k], size[k])), of_class[k], 0))  # noqa: B023
+                seen.columns[-1][place] += n
+                texts_of += np.bincount(of_text, minlength=CLASSES)
+                of_bytes[:256] += np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+                of_bytes[END_OF_WORD] += int(n.sum())
+                if len(seen) > _COUNTED_WORDS:
                     yield flush()
         yield flush()
         ends = pack([steps(_hashes([_END_TOKEN])), np.array([_BASE_ONLY], np.uint16), np.zeros(1, np.uint8), texts_of.sum(keepdims=True)])
@@ -297,38 +366,28 @@ _TAIL = [np.uint64, np.int64, np.int32, np.int32]  # token, lot, row in the lot,
 _SUM = [np.int32, np.float64, np.int64]  # row in the lot, sum of logarithms, known
 
 
-class _Words(dict):
-    """Words to their places in arrays: the number in the code, the token's hash, and what it adds to the base score (-1 if rare). Begun anew when full."""
+class _Words:
+    """What is known of words: the number in the code, the token's hash, and what it adds to the base score (-1 if rare, NaN if white space). Begun anew when full."""
 
     def __init__(self, model: Model, head: tuple[np.ndarray, np.ndarray]):
-        super().__init__()
         self.model, self.head = model, head
-        self.forget()
+        self.table = _Table([np.int64, np.uint64, np.float64])
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+    def look_up(self, key: np.ndarray, words_at: Callable[[np.ndarray], list[bytes]]) -> list[np.ndarray]:
+        """The three for sorted, distinct hashes of words; ``words_at`` gives the words at places among them."""
+        if len(self.table) > _KNOWN_WORDS:
+            self.table.forget()
+        place = self.table.places(key, lambda k: self._made(words_at(k)))
+        return [c[place] for c in self.table.columns]
 
-    def forget(self) -> None:
-        self.clear()
-        self.number, self.token, self.value = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0)
-
-    def look_up(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > _KNOWN_WORDS:
-            self.forget()
-        before = len(self)
-        place = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if len(self) > before:
-            fresh = list(islice(self, before, None))
-            lower, tag = _keys(fresh)
-            token, count = self.head
-            at = np.minimum(np.searchsorted(token, lower), max(len(token) - 1, 0))
-            known = token[at] == lower if len(token) else np.zeros(len(lower), bool)
-            value = np.where(known, np.log10((count[at] if len(token) else np.zeros(len(lower))) + 1.0), -1.0)
-            value[tag == _SPACE] = np.nan
-            self.number = np.concatenate([self.number, self.model.number_of(_identity(lower, tag))])
-            self.token, self.value = np.concatenate([self.token, lower]), np.concatenate([self.value, value])
-        return place
+    def _made(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lower, tag = _keys(words)
+        token, count = self.head
+        at = np.minimum(np.searchsorted(token, lower), max(len(token) - 1, 0))
+        known = token[at] == lower if len(token) else np.zeros(len(lower), bool)
+        value = np.where(known, np.log10((count[at] if len(token) else np.zeros(len(lower))) + 1.0), -1.0)
+        value[tag == _SPACE] = np.nan
+        return self.model.number_of(_identity(lower, tag)), lower, value
 
 
 def _counted(token: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -341,12 +400,12 @@ def _counted(token: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _requests(model: Model, s: Symbols, learned: np.ndarray, groups: int) -> list[tuple[int, int, bytes]]:
     """The distinct pairs of a lot by hash range: per family the contexts, the symbols of each, and how often each pair is used in training."""
-    of_word = np.repeat(learned, s.words).astype(np.uint32)
+    of_word = np.repeat(learned, s.words).astype(np.float64)
     of_byte = np.repeat(of_word[s.number == model.escape], s.spelled_size + 1)
     arrays: list[list[np.ndarray]] = [[] for _ in range(groups)]
-    for family, (context, number) in enumerate(contexts(model, s)):
-        keys, order, starts = distinct_pairs(context, number, rank_bits := RANK_BITS[family])
-        n = np.add.reduceat((of_byte if family > 1 else of_word)[order], starts, dtype=np.uint32) if len(keys) else np.empty(0, np.uint32)
+    for family, found in enumerate(contexts(model, s)):
+        keys, which = distinct_pairs(found, rank_bits := RANK_BITS[family], model.bits)
+        n = np.bincount(which, weights=of_byte if family > 1 else of_word, minlength=len(keys)).astype(np.uint32)
         context, number = keys >> np.uint64(rank_bits), (keys & np.uint64((1 << rank_bits) - 1)).astype(np.uint32)
         ends = np.searchsorted(_range_of(context, model.bits, groups), np.arange(groups + 1))
         for g in range(groups):
@@ -364,13 +423,12 @@ def _answers(model: Model, group: int, lots_of: list[int], blobs: list[bytes]) -
         own = [a[4 * family : 4 * family + 4] for a in asked]
         keys = np.concatenate([np.repeat(np.cumsum(c, dtype=np.uint64), m) << np.uint64(rank_bits) | r for c, m, r, _ in own])
         n = np.concatenate([x[3] for x in own])
-        order = order_of(keys)
-        ordered = keys[order]
-        fresh = np.r_[True, ordered[1:] != ordered[:-1]][: len(keys)]
+        order, keys = ordered(keys)
+        fresh = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
         starts = np.flatnonzero(fresh)
         which = np.empty(len(keys), np.int64)
         which[order] = np.cumsum(fresh) - 1
-        distinct = ordered[starts]
+        distinct = keys[starts]
         number = (distinct & np.uint64((1 << rank_bits) - 1)).astype(np.int64)
         found, start = predictions(code, distinct >> np.uint64(rank_bits), number, np.add.reduceat(n[order].astype(np.int64), starts) if len(starts) else n)
         length, at = code.length[number], 0
@@ -394,12 +452,12 @@ def _gather(model, head, groups: int):
             for ids, texts in lots(batch, _LOT):
                 lot = (task << 24) + number
                 number += 1
-                found = [words_of_text(t) for t in texts]
-                words = [w for own in found for w in own]
-                place = known.look_up(words)
-                size = np.array([len(own) for own in found], np.int64)
+                raw = b"".join(texts)
+                start, length, size = split_words(np.frombuffer(raw, np.uint8), np.array([len(t) for t in texts], np.int64))
+                key, one, _, which = _distinct_words(raw, start, length, np.zeros(len(start), np.int64))
+                number_of, token_of, value_of = known.look_up(key, lambda k: _cut(raw, start[one[k]], length[one[k]]))  # noqa: B023
                 row = np.repeat(np.arange(len(texts)), size)
-                value = known.value[place]
+                value = value_of[which]
                 token = ~np.isnan(value)
                 rare = token & (value < 0)
                 # the end is a token as frequent as training texts, so all lots know it or none does
@@ -407,16 +465,17 @@ def _gather(model, head, groups: int):
                 base = np.bincount(row, weights=np.where(token & ~rare, value, 0), minlength=len(texts)) + (math.log10(last[0] + 1) if len(last) else 0)
                 n_tokens = np.bincount(row[token], minlength=len(texts)) + 1
                 n_known = np.bincount(row[token & ~rare], minlength=len(texts)) + len(last)
-                h, r = known.token[place[rare]], row[rare]
+                h, r = token_of[which[rare]], row[rare]
                 if not len(last):
                     h, r = np.r_[h, np.repeat(_hashes([_END_TOKEN]), len(texts))], np.r_[r, np.arange(len(texts))]
-                of_word = known.number[place]
+                of_word = number_of[which]
                 coded = np.full(len(of_word) + len(texts), end, np.int64)
                 is_word = np.ones(len(coded), bool)
                 is_word[np.cumsum(size + 1) - 1] = False
                 coded[is_word] = of_word
-                spelled = [words[k] for k in np.flatnonzero(of_word == escape).tolist()]
-                symbols = Symbols(classes_of(texts), size + 1, coded, np.frombuffer(b"".join(spelled), np.uint8), np.array([len(w) for w in spelled], np.int32))
+                escaped = of_word == escape
+                spelled = gather_runs(np.frombuffer(raw, np.uint8), start[escaped], length[escaped])
+                symbols = Symbols(classes_of(texts), size + 1, coded, spelled, length[escaped].astype(np.int32))
                 doc = np.array([0 if i is None else i for i in ids], np.int64)
                 null = np.array([i is None for i in ids], np.uint8)
                 rows = [(-2 - lot, _OWN, pack([doc, null, n_tokens.astype(np.int64), n_known.astype(np.int64), base, symbols.text_class.astype(np.uint8), symbols.words, coded.astype(np.uint32), symbols.spelled, symbols.spelled_size]))]

@@ -56,25 +56,41 @@ def walk(a: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def order_of(key: np.ndarray) -> np.ndarray:
-    """The order that sorts unsigned integers, equal ones as they stand: one sort of numbers that hold both the key's first bits and the place.
+    """The order that sorts unsigned integers, equal ones as they stand."""
+    return ordered(key)[0]
 
-    Where the first bits leave neighbours undecided, these alone are sorted again.
+
+def ordered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts unsigned integers, equal ones as they stand, and the sorted ones: one sort of numbers that hold both the key's first bits and the place.
+
+    Where the first bits leave neighbours undecided and in the wrong order, these alone are sorted again.
     """
     n = len(key)
     if n < 2:
-        return np.arange(n)
-    room = (n - 1).bit_length()
-    drop = np.uint64(max(0, int(key.max()).bit_length() + room - 64))
-    both = key >> drop << np.uint64(room) | np.arange(n, dtype=np.uint64)
-    both.sort()
-    order = (both & np.uint64((1 << room) - 1)).astype(np.int64)
+        return np.arange(n), key
+    room = np.uint64((n - 1).bit_length())
+    drop = np.uint64(max(0, int(key.max()).bit_length() + int(room) - 64))
+    both = key.astype(np.uint64)
     if drop:
-        found = key[order]
-        if (found[1:] < found[:-1]).any():
-            same = found[1:] >> drop == found[:-1] >> drop
-            at = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
-            order[at] = order[at][np.argsort(found[at], kind="stable")]
-    return order
+        both >>= drop
+    both <<= room
+    both |= np.arange(n, dtype=np.uint64)
+    both.sort()
+    order = (both & ((np.uint64(1) << room) - np.uint64(1))).view(np.int64)
+    both >>= room
+    if not drop:
+        return order, both.astype(key.dtype, copy=False)
+    found = key[order]
+    falls = np.flatnonzero(found[1:] < found[:-1])
+    if len(falls):
+        opens = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+        group = np.searchsorted(opens, falls, side="right") - 1
+        group = group[np.r_[True, group[1:] != group[:-1]]]
+        size = np.diff(np.r_[opens, n])[group]
+        at = np.arange(int(size.sum())) + np.repeat(opens[group] - (np.cumsum(size) - size), size)
+        again = at[np.argsort(found[at], kind="stable")]
+        order[at], found[at] = order[again], found[again]
+    return order, found
 
 
 def split_points(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

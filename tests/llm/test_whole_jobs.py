@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -16,6 +17,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from lapframe.llm import bit_model, context_mixing, language_id, quality_rules
+from lapframe.llm.packing import ordered
 from lapframe.llm.queries import QUERIES
 
 
@@ -165,6 +167,79 @@ def test_op10_words_read_back():
         assert b"".join(b" " * (k > 0 and not space[k] and not space[k - 1]) + w for k, w in enumerate(found)) == raw
 
 
+def test_op10_makes_ready_several_steps_at_once():
+    """What does not depend on the weights is not done step by step; the scores are those of a plain loop."""
+    r = np.random.default_rng(8)
+    count, step = np.array([9000, 8999, 700, 64, 1, 0]), bit_model.STEP
+    start = np.cumsum(count) - count
+    kind = np.repeat(r.integers(0, 2, 4000) * 2, 5).astype(np.int8)[: count.sum() + step]
+    inputs = r.integers(-31, 32, (3, len(kind))).astype(np.int8)
+    inputs[2] *= r.integers(0, 2, len(kind)).astype(np.int8)
+    calls = Counter()
+
+    def seen(_, event, of):
+        calls[event == "c_call" and of.__name__] += 1
+
+    sys.setprofile(seen)
+    try:
+        got = bit_model.advance(start, count, kind, inputs)
+    finally:
+        sys.setprofile(None)
+    steps = -(-count[0] // step)
+    assert calls["take"] + calls["astype"] + calls["reduce"] < 2 * steps
+    for a, n, score in zip(start, count, got, strict=True):
+        w, total = np.array(bit_model.FIRST_WEIGHTS), 0.0
+        for t in range(a, a + n, step):
+            at = slice(t, min(t + step, a + n))
+            x, gate = inputs[:, at].T / bit_model.SCALE, kind[at] + (inputs[2, at] != 0)
+            p = 1 / (1 + np.exp(-np.clip((w[gate] * x).sum(axis=1), -10, 10)))
+            total += np.log10(p).sum()
+            np.add.at(w, gate, (bit_model.RATE * (1 - p))[:, None] * x)
+        assert score == pytest.approx(total, rel=1e-4, abs=1e-12)
+
+
+def test_op10_words_of_many_texts_at_once():
+    """Words never cross texts; words are told apart by all their bytes, however long; a table of known words grows in order."""
+    r = random.Random(6)
+    long = b"x" * 300
+    some = [b"a", b"a\0", b"\0a", b"ab", b"abcdefgh", b"abcdefghi", b"abcdefgh\0", long, long + b"y", long + b"z", b"y" + long, "ñ漢".encode()]
+    texts = [b"".join(r.choice(some + [b" ", b" ", b" ", b"\n", b"\t "]) for _ in range(r.randrange(0, 12))) for _ in range(400)] + [b"", b" ", b""]
+    raw = b"".join(texts)
+    start, size, n_words = context_mixing.split_words(np.frombuffer(raw, np.uint8), np.array([len(t) for t in texts]))
+    found = [raw[a : a + n] for a, n in zip(start, size, strict=True)]
+    assert found == [w for t in texts for w in _words(t)] and n_words.tolist() == [len(_words(t)) for t in texts]
+    of = np.arange(len(found)) % 3
+    want = Counter(zip(found, of.tolist(), strict=True))
+    key, one, n, which = context_mixing._distinct_words(raw, start, size, of)
+    pairs = [(found[k], int(of[k])) for k in one]
+    assert (np.diff(key) > 0).all() and dict(zip(pairs, n.tolist(), strict=True)) == dict(want)
+    assert [pairs[k] for k in which] == list(zip(found, of.tolist(), strict=True))
+    table, known = context_mixing._Table([np.int64]), {}
+    for _ in range(20):
+        asked = np.array(sorted(r.sample(range(300), r.randrange(0, 60))), np.uint64)
+        fresh = [int(k) for k in asked if int(k) not in known]
+        known |= {k: k * k for k in fresh}
+        place = table.places(asked, lambda k, a=asked, f=fresh: (a[k] * a[k],) if a[k].tolist() == f else None)
+        assert table.columns[0][place].tolist() == [known[int(k)] for k in asked] and table.key.tolist() == sorted(known)
+
+
+@pytest.mark.parametrize("n", [0, 1, 50, 40_000])
+def test_op10_pairs_by_table_and_by_sort(n):
+    """A table, one sort of short contexts and one of hashes give the same pairs; sorted keys are in order where their first bits tie."""
+    r = np.random.default_rng(n)
+    plain, number = r.integers(0, 60, n).astype(np.uint64), r.integers(0, 257, n)
+    factor, term, bits = np.uint64(0x9E3779B97F4A7C15), np.uint64(5), 44
+    hashed = bit_model.mix64(plain * factor + term) >> np.uint64(64 - bits)
+    want, which = np.unique(hashed << np.uint64(9) | number.astype(np.uint64), return_inverse=True)
+    for c in (bit_model.Contexts(plain, number, 6, factor, term), bit_model.Contexts(plain, number, 27, factor, term), bit_model.Contexts(hashed, number, bits)):
+        keys, own = bit_model.distinct_pairs(c, 9, bits)
+        assert keys.tolist() == want.tolist() and own.tolist() == which.tolist()
+    key = r.integers(0, 1 << 40, n).astype(np.uint64) << np.uint64(23) | r.integers(0, 300, n).astype(np.uint64)
+    key[n // 2 :] = key[: n - n // 2] ^ (np.arange(n - n // 2) % 3).astype(np.uint64)
+    order, found = ordered(key)
+    assert order.tolist() == np.argsort(key, kind="stable").tolist() and found.tolist() == np.sort(key).tolist()
+
+
 def test_op1_sums_over_all_segmentations():
     """Long pieces count, and a long run of letters is one word: sums are those of a plain forward pass in logarithms."""
     vocabulary = language_id.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
