@@ -747,7 +747,7 @@ def stream_lap_counter(spark, sf_dir):
     from lapframe.streaming.live import lap_counter, run_to_end
 
     samples = runs(spark, sf_dir).select("run_id", "seq", "s_m", F.timestamp_micros((F.col("time_s") * 1e6).cast("long") + 1704067200000000).alias("ts"))
-    return _rounded(run_to_end(lap_counter(_told(spark, samples, "ts", "samples"), late="1 hour"), "laps"))
+    return _rounded(run_to_end(lap_counter(_told(spark, samples, "ts", "samples"), late="1 hour", step="10 minutes"), "laps"))
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 8 HOURS THEN 1 ELSE 0 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
@@ -764,7 +764,7 @@ def stream_changes(spark, sf_dir):
     from lapframe.streaming.live import changed_payloads, run_to_end
 
     events = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_id").alias("order"), F.timestamp_seconds(F.col("event_id") + 1704067200).alias("ts"), F.floor(F.col("value") / 50).cast("string").cast("binary").alias("data"))
-    got = changed_payloads(_told(spark, events, "ts", "frames", 4000), "user_id", "event_id", late="1000 days", idle="1000 days")
+    got = changed_payloads(_told(spark, events, "ts", "frames", 4000), "user_id", "event_id", late="1000 days", idle="1000 days", step="100 days")
     return run_to_end(got, "changes").select("event_id", "user_id")
 
 
