@@ -738,7 +738,9 @@ def _told(spark, rows, time, name, days=2):
     written = spark.read.schema(rows.schema).parquet(path)
     end = written.agg((F.max(time) + F.make_dt_interval(F.lit(days))).alias(time))
     end.select(*[F.col(time) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(path)
+    # a trigger costs a task with a state for each shuffle partition, whatever it brings: with as many files, tasks grow with the rows and not with files times partitions
+    files = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query(f"WITH {RUNS}, {LAPS} SELECT run_id, seq, {_r('s_m')}, n_lap FROM laps")

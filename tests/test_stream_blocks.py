@@ -151,3 +151,20 @@ def test_keys_of_other_types(spark, tmp_path):
     got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
     assert dict(got.dtypes) == {"run_id": "date", "seq": "bigint", "s_m": "double", "n_lap": "int"}
     assert sorted(map(tuple, got.groupBy("n_lap").count().collect())) == [(1, 360), (2, 360), (3, 30)] and got.select("run_id").distinct().count() == 3
+
+
+@pytest.mark.parametrize(("partitions", "batches"), [("20", 2), ("4", 3)])
+def test_triggers_grow_with_the_shuffle_partitions(spark, tmp_path, partitions, batches):
+    """20 files and the one that tells the time; each batch costs a task for each shuffle partition."""
+    from lapframe.plans.queries import _told
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = spark.range(200).repartition(20).selectExpr("id", "timestamp_seconds(id) AS ts")
+        query = _told(spark, rows, "ts", "told").writeStream.format("noop").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    told = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(told) == batches and sum(told) == 201
